@@ -20,7 +20,6 @@ rows; an empty table gives no rows; other columns are kept by ``keep_one`` only.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,8 +164,16 @@ def _verify(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """The pairs (u, v) that are similar. Only documents in pairs are moved."""
     left = words.select(F.col("key").alias("u"), F.col("words").alias("words_u"))
     right = words.select(F.col("key").alias("v"), F.col("words").alias("words_v"))
-    rows = pairs.join(right, "v").join(left, "u")
-    return rows.mapInArrow(_verified, "u long, v long")
+    rows = pairs.select("u", "v").join(right, "v").join(left, "u")
+    return rows.mapInArrow(_verified, "u long, v long").distinct()
+
+
+def _with_words(docs: DataFrame) -> DataFrame:
+    """docs with the hashes of its words and key, a hash of their sequence and number."""
+    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    hashed = docs.withColumn("words", F.transform(words, lambda w: F.xxhash64(w)))
+    return hashed.withColumn("key", F.xxhash64(F.size("words"), "words"))
 
 
 def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
@@ -189,50 +196,61 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (the least doc_id of its class), class_rows and links.
-
-    links counts the verified links of the row's text to other texts.
-    """
-    spark = docs.sparkSession
-    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
-    # equal word sequences have equal keys; 64 bits of the sequence and its length
-    rows = rows.withColumn("key", F.xxhash64(F.size("words"), "words"))
-    keys = durable(rows.select("doc_id", "key"), "keys")
-    # one row a distinct text: copies meet on the mappers first, and only the hash and one id move
-    firsts = keys.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
-    firsts = durable(firsts, "firsts")
-    wanted = firsts.select("key", F.col("doc_id").alias("first_id"))
-    words_of = rows.join(wanted, "key").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).dropDuplicates(["key"]).select("key", "words")
-    words_of = durable(words_of, "words")
-    bands = words_of.mapInArrow(_signed, "key long, bands array<long>")
-    bands = durable(bands.select("key", F.explode("bands").alias("band")), "bands")
+    """One row per row of docs: doc_id, key (of the text's words), class_id (the least doc_id of its class), class_rows."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keys = durable(_with_words(texts).select("doc_id", "key"), "keys")
+    # one row a distinct text: copies meet on the mappers first, and only hashes and ids move
+    firsts = durable(keys.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "firsts")
+    signed = _with_words(texts).select("key", "words").mapInArrow(_signed, "key long, bands array<long>")
+    signed = durable(signed.groupBy("key").agg(F.first("bands").alias("bands")), "signed")
+    bands = signed.select("key", F.explode("bands").alias("band"))
     centre = bands.groupBy("band").agg(F.min("key").alias("u"), F.count("*").alias("members")).where("members > 1")
     members = durable(bands.join(centre.select("band", "u"), "band"), "members")
-    pairs = members.select("u", F.col("key").alias("v")).where("u <> v").distinct()
-    links = durable(_verify(durable(pairs, "pairs"), words_of), "links")
-    roots = durable(components(links), "roots")
-    root_of = roots.select(F.col("node").alias("key"), "root")
-    named = members.join(root_of, "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
-    # buckets that still hold several classes: every pair across classes is compared
+    pairs = members.where("u <> key").groupBy("u", F.col("key").alias("v")).agg(F.count("*").alias("shared"))
+    pairs = durable(pairs, "pairs")
+    # words of the candidates alone are kept; every member of a shared bucket is in a pair
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(firsts.select("key", "first_id"), "key")
+    needed = durable(needed.withColumnRenamed("key", "wanted"), "needed")
+    words_of = _with_words(texts.join(needed, F.col("doc_id").eqNullSafe(F.col("first_id")))).where("key = wanted")
+    words_of = durable(words_of.select("key", "words"), "words")
+
+    # first each text with the centre that it shares most buckets with
+    best = pairs.groupBy("v").agg(F.max_by("u", F.struct("shared", "u")).alias("u"))
+    links = durable(_verify(best, words_of), "links")
+    roots = durable(components(links), "roots").withColumnRenamed("node", "key")
+
+    def root_of(rows: DataFrame, key: str, name: str) -> DataFrame:
+        named = roots.select(F.col("key").alias(key), F.col("root").alias(f"{name}_"))
+        return rows.join(named, key, "left").withColumn(name, F.coalesce(f"{name}_", key)).drop(f"{name}_")
+
+    # then with its other centres, where that can still join classes
+    others = root_of(root_of(pairs.join(best, ["u", "v"], "left_anti"), "u", "ru"), "v", "rv").where("ru <> rv")
+    links = durable(links.union(_verify(durable(others, "others"), words_of)), "links")
+    roots = durable(components(links), "roots").withColumnRenamed("node", "key")
+
+    # last, in buckets that still hold several classes, every pair across classes that was not compared yet
+    named = root_of(members, "key", "root").select("band", "key", "root")
     mixed = named.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band")
     left_over = durable(named.join(mixed, "band"), "mixed")
     x = left_over.select("band", F.col("key").alias("u"), F.col("root").alias("ru"))
     y = left_over.select("band", F.col("key").alias("v"), F.col("root").alias("rv"))
     more = x.join(y, "band").where("u < v and ru <> rv").select("u", "v").distinct()
-    more = more.join(durable(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), "done"), ["u", "v"], "left_anti")
-    found = durable(_verify(durable(more, "more"), words_of), "links")
-    links = links.union(found)
-    roots = components(links)
-    degree = links.select(F.explode(F.array("u", "v")).alias("key")).groupBy("key").agg(F.count("*").alias("links"))
-    of_key = firsts.join(roots.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left")
-    of_key = durable(of_key.select("key", "doc_id", "n", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
-    per_class = of_key.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_rows"))
-    named = of_key.join(per_class, "root").select("key", "class_id", "class_rows", "links")
-    return keys.join(named, "key").select("doc_id", "class_id", "class_rows", "links")
+    more = more.join(pairs.select("u", "v"), ["u", "v"], "left_anti")  # a centre is the least of its bucket
+    links = links.union(_verify(durable(more, "more"), words_of))
+    roots = components(links).withColumnRenamed("node", "key")
+    of_key = durable(firsts.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "classes")
+    per_class = of_key.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_rows"))
+    return keys.join(of_key.join(per_class, "root").select("key", "class_id", "class_rows"), "key").select("doc_id", "key", "class_id", "class_rows")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class: that of its least doc_id (null ids first, equal ids by text)."""
-    raise NotImplementedError
+    """docs with one row of each class, that of its least doc_id, in the columns of docs.
+
+    Rows without doc_id give way to rows with one; a class of such rows alone keeps one row a
+    distinct text.
+    """
+    columns = docs.columns
+    kept = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key")).distinct()
+    rows = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = _with_words(rows.join(durable(kept, "kept"), F.col("doc_id").eqNullSafe(F.col("kept_id")))).where("key = kept_key")
+    return own.drop("words", "text").dropDuplicates(["kept_id", "key"]).select("row.*")
