@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, packing, planes, secrets, toxicity
+from . import ann, neardup, packing, planes, secrets, toxicity
 from .common import shared_dir, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -20,6 +20,11 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ann.usable(table(spark, sf_dir, "embeddings"))
+    return ann.search(ann.build_index(rows), rows.where("vec_id % 20 = 0"), k=20)
+
+
 def op3_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -50,6 +55,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hnsw": op1_hnsw,
     "op3_bitplanes": op3_bitplanes,
     "op4_neardup": op4_neardup,
     "op5_secrets": op5_secrets,
