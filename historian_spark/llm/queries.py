@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, neardup, packing, planes, secrets, toxicity
+from . import ann, licenses, lzprint, neardup, packing, planes, secrets, toxicity
 from .common import shared_dir, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -33,6 +33,14 @@ def op3_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_lzprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lzprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), END_ID, keep_ids=False)
     return packed.select("doc_id", "start", "length", F.col("crc32").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -59,7 +67,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bitplanes": op3_bitplanes,
     "op4_neardup": op4_neardup,
     "op5_secrets": op5_secrets,
+    "op7_licenses": op7_licenses,
+    "op8_lzprint": op8_lzprint,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_licenses": licenses.containment_sql()}
