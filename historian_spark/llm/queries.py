@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, licenses, lzprint, neardup, packing, planes, secrets, toxicity
+from . import ann, licenses, lzprint, neardup, packing, planes, secrets, toxicity, urlrules
 from .common import shared_dir, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -25,6 +25,12 @@ def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(ann.build_index(rows), rows.where("vec_id % 20 = 0"), k=20)
 
 
+def op2_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    labelled = urlrules.judged_by_list(pages, "page_id", "url").withColumnRenamed("listed", "label")
+    return urlrules.judge(pages, urlrules.mine(labelled))
+
+
 def op3_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -64,6 +70,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hnsw": op1_hnsw,
+    "op2_urlrules": op2_urlrules,
     "op3_bitplanes": op3_bitplanes,
     "op4_neardup": op4_neardup,
     "op5_secrets": op5_secrets,
