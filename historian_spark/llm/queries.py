@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, licenses, lzprint, neardup, packing, planes, secrets, toxicity, urlrules
+from . import ann, bytebpe, licenses, lzprint, neardup, packing, planes, secrets, toxicity, urlrules
 from .common import shared_dir, table
 
-WORD_BPE = "word_bpe_49k.json"
+WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 END_ID = 2
 
 
@@ -39,6 +39,15 @@ def op3_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = tokenizer_path(BYTE_BPE)
+    decoded = bytebpe.decode(bytebpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -74,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bitplanes": op3_bitplanes,
     "op4_neardup": op4_neardup,
     "op5_secrets": op5_secrets,
+    "op6_bytebpe": op6_bytebpe,
     "op7_licenses": op7_licenses,
     "op8_lzprint": op8_lzprint,
     "op9_packing": op9_packing,
