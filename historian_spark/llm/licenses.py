@@ -21,9 +21,13 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable
+
 SHINGLE = 5
 SHARE = 0.8
 BANDS = 12
+#: Retrieved pairs of document and license that may be broadcast (16 bytes and a name each).
+BROADCAST_ROWS = 100_000
 
 #: Notices of public licenses.
 TEMPLATES = {
@@ -80,20 +84,26 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, bands: int = BA
     values = sorted({(min(x ^ m for x in unit), name) for name, h in _template_hashes(spark, templates).items() for m in masks for unit in (list(zip(h, h[1:])) or [h])})
     index = spark.createDataFrame(values, "value long, license string")  # as small as the list of templates
     listed = spark.createDataFrame([(name, template_shingles(t)) for name, t in templates.items()], "license string, shingles array<string>")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    word_hashes = F.transform(_words(F.col("text")), lambda w: F.xxhash64(w))
-    rows = docs.select("doc_id", text.alias("text"), F.monotonically_increasing_id().alias("row_id")).select("*", word_hashes.alias("w"))
+    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    rows = docs.select("key", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
     starts = F.when(F.size("w") >= SHINGLE, F.sequence(F.lit(0), F.size("w") - SHINGLE)).otherwise(F.array().cast("array<int>"))
-    rows = rows.select("row_id", "doc_id", "text", F.transform(starts, lambda k: _run_hash(F.col("w"), k)).alias("s"))
+    rows = rows.select("key", F.transform(starts, lambda k: _run_hash(F.col("w"), k)).alias("s"))
     firsts = F.when(F.size("s") > 0, F.sequence(F.lit(0), F.size("s") - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
     windows = F.transform(firsts, lambda k: F.struct(F.get(F.col("s"), k).alias("a"), F.get(F.col("s"), k + 1).alias("b")))
-    windows = rows.select("row_id", "doc_id", "text", F.inline(windows))
+    windows = rows.select("key", F.inline(windows))
     signature = F.array(*[F.least(F.col("a").bitwiseXOR(F.lit(m)), F.col("b").bitwiseXOR(F.lit(m))) for m in masks])  # least() skips a null
-    met = windows.select("row_id", "doc_id", "text", F.explode(signature).alias("value")).join(F.broadcast(index), "value")
-    met = met.groupBy("row_id", "license").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
-    words = met.join(F.broadcast(listed), "license").select("doc_id", "license", "shingles", _words(F.col("text")).alias("w"))
-    own = F.transform(F.sequence(F.lit(0), F.size("w") - SHINGLE), lambda k: F.concat_ws(" ", *[F.get(F.col("w"), k + j) for j in range(SHINGLE)]))
-    judged = words.select("doc_id", "license", F.size(F.array_intersect("shingles", own)).alias("matched"), F.size("shingles").alias("total"))
+    met = windows.select("key", F.explode(signature).alias("value")).join(F.broadcast(index), "value").select("key", "license").distinct()
+    # few documents meet a template; they are sent to all tasks only if they are as few as that
+    met = durable(met, "met")
+    met = docs.join(F.broadcast(met) if met.count() <= BROADCAST_ROWS else met, "key")
+    listed = met.join(F.broadcast(listed), "license")
+
+    def matched(words: Column) -> Column:
+        own = F.transform(F.sequence(F.lit(0), F.size(words) - SHINGLE), lambda k: F.concat_ws(" ", *[F.get(words, k + j) for j in range(SHINGLE)]))
+        return F.size(F.array_intersect("shingles", own))
+
+    # words are bound by a lambda: as a column of their own they would be split again for every shingle once the filter is pushed down
+    judged = listed.select("doc_id", "license", F.transform(F.array(_words(F.col("text"))), matched)[0].alias("matched"), F.size("shingles").alias("total"))
     return judged.where(F.col("matched") >= share * F.col("total") - 1e-9).withColumn("containment", F.col("matched") / F.col("total"))
 
 
