@@ -138,7 +138,7 @@ def overlap(a: str, b: str) -> float:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose bags overlap enough, by hashed words; a centre's bag is kept for the rows that follow."""
+    """Weighted Jaccard similarity of pairs, by hashed words; a bag is kept for the rows that follow."""
     last_key, last = None, None
 
     def bag(words) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +146,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return np.unique(h, return_counts=True)
 
     for batch in batches:
-        kept = []
+        alike = []
         u, v = batch.column("u").to_pylist(), batch.column("v").to_pylist()
         (wu, eu), (wv, ev) = _flat(batch.column("words_u")), _flat(batch.column("words_v"))
         for k in range(batch.num_rows):
@@ -155,17 +155,20 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, n = bag(wv[ev[k] : ev[k + 1]])
             _, x, y = np.intersect1d(last[0], h, assume_unique=True, return_indices=True)
             both = np.minimum(last[1][x], n[y]).sum()
-            if both >= SIMILARITY * (last[1].sum() + n.sum() - both) - 1e-9:
-                kept.append(k)
-        yield pa.RecordBatch.from_arrays([pa.array([u[k] for k in kept], pa.int64()), pa.array([v[k] for k in kept], pa.int64())], ["u", "v"])
+            alike.append(both / (last[1].sum() + n.sum() - both))
+        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(alike, pa.float64())], ["u", "v", "alike"])
 
 
 def _verify(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """The pairs (u, v) that are similar. Only documents in pairs are moved."""
+    """The pairs (u, v) and how alike they are. Only documents in pairs are moved."""
     left = words.select(F.col("key").alias("u"), F.col("words").alias("words_u"))
     right = words.select(F.col("key").alias("v"), F.col("words").alias("words_v"))
     rows = pairs.select("u", "v").join(right, "v").join(left, "u")
-    return rows.mapInArrow(_verified, "u long, v long").distinct()
+    return rows.mapInArrow(_verified, "u long, v long, alike double").distinct()
+
+
+def _linked(compared: DataFrame) -> DataFrame:
+    return compared.where(F.col("alike") >= SIMILARITY).select("u", "v")
 
 
 def _with_words(docs: DataFrame) -> DataFrame:
@@ -178,7 +181,8 @@ def _with_words(docs: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     """node, root (the least node of its component) for the nodes of edges u < v, by star contraction."""
-    now = durable(edges.select("u", "v").where("u <> v").distinct(), "edges")
+    edges = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    now = durable(edges.where("u <> v").distinct(), "edges")
     seen = None
     for _ in range(rounds):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -204,8 +208,13 @@ def classes(docs: DataFrame) -> DataFrame:
     signed = _with_words(texts).select("key", "words").mapInArrow(_signed, "key long, bands array<long>")
     signed = durable(signed.groupBy("key").agg(F.first("bands").alias("bands")), "signed")
     bands = signed.select("key", F.explode("bands").alias("band"))
-    centre = bands.groupBy("band").agg(F.min("key").alias("u"), F.count("*").alias("members")).where("members > 1")
-    members = durable(bands.join(centre.select("band", "u"), "band"), "members")
+    sizes = bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    shared = durable(bands.join(sizes, "band"), "shared")
+    # the centre of a bucket is the member that meets most others anywhere, such as the text others were made from
+    popular = shared.groupBy("key").agg(F.sum("members").alias("meets"))
+    shared = shared.join(popular, "key")
+    centre = shared.groupBy("band").agg(F.max_by("key", F.struct("meets", "key")).alias("u"))
+    members = durable(shared.select("band", "key").join(centre, "band"), "members")
     pairs = members.where("u <> key").groupBy("u", F.col("key").alias("v")).agg(F.count("*").alias("shared"))
     pairs = durable(pairs, "pairs")
     # words of the candidates alone are kept; every member of a shared bucket is in a pair
@@ -216,7 +225,8 @@ def classes(docs: DataFrame) -> DataFrame:
 
     # first each text with the centre that it shares most buckets with
     best = pairs.groupBy("v").agg(F.max_by("u", F.struct("shared", "u")).alias("u"))
-    links = durable(_verify(best, words_of), "links")
+    compared = durable(_verify(best, words_of), "compared")
+    links = _linked(compared)
     roots = durable(components(links), "roots").withColumnRenamed("node", "key")
 
     def root_of(rows: DataFrame, key: str, name: str) -> DataFrame:
@@ -225,18 +235,24 @@ def classes(docs: DataFrame) -> DataFrame:
 
     # then with its other centres, where that can still join classes
     others = root_of(root_of(pairs.join(best, ["u", "v"], "left_anti"), "u", "ru"), "v", "rv").where("ru <> rv")
-    links = durable(links.union(_verify(durable(others, "others"), words_of)), "links")
+    compared = durable(compared.union(_verify(durable(others, "others"), words_of)), "compared")
+    links = durable(_linked(compared), "links")
     roots = durable(components(links), "roots").withColumnRenamed("node", "key")
 
-    # last, in buckets that still hold several classes, every pair across classes that was not compared yet
-    named = root_of(members, "key", "root").select("band", "key", "root")
+    # last, in buckets that still hold several classes, every pair across classes that was not compared yet;
+    # 1 - similarity is a metric, so two members whose distances to the centre differ too much cannot be linked
+    named = root_of(members, "key", "root").select("band", "u", "key", "root")
     mixed = named.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band")
-    left_over = durable(named.join(mixed, "band"), "mixed")
-    x = left_over.select("band", F.col("key").alias("u"), F.col("root").alias("ru"))
-    y = left_over.select("band", F.col("key").alias("v"), F.col("root").alias("rv"))
-    more = x.join(y, "band").where("u < v and ru <> rv").select("u", "v").distinct()
-    more = more.join(pairs.select("u", "v"), ["u", "v"], "left_anti")  # a centre is the least of its bucket
-    links = links.union(_verify(durable(more, "more"), words_of))
+    far = compared.select("u", F.col("v").alias("key"), (1 - F.col("alike")).alias("far"))
+    left_over = named.join(mixed, "band").join(far, ["u", "key"], "left")
+    left_over = durable(left_over.withColumn("far", F.when(F.col("u") == F.col("key"), 0.0).otherwise(F.col("far"))), "mixed")
+    x = left_over.select("band", F.col("key").alias("u"), F.col("root").alias("ru"), F.col("far").alias("fu"))
+    y = left_over.select("band", F.col("key").alias("v"), F.col("root").alias("rv"), F.col("far").alias("fv"))
+    near = F.coalesce(F.abs(F.col("fu") - F.col("fv")) <= 1 - SIMILARITY + 1e-9, F.lit(True))
+    more = x.join(y, (x["band"] == y["band"]) & (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & near).select("u", "v").distinct()
+    done = compared.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    more = more.join(done, ["u", "v"], "left_anti")
+    links = links.union(_linked(_verify(durable(more, "more"), words_of)))
     roots = components(links).withColumnRenamed("node", "key")
     of_key = durable(firsts.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "classes")
     per_class = of_key.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_rows"))
