@@ -9,8 +9,10 @@ process stops once its next point cannot lower any register.
 
 Banded signatures give candidates. Equal texts are first collapsed to one representative; in
 each bucket the members are compared with the bucket's least one, exactly, on whole bags.
-Classes of what was found are formed, and then all pairs of a bucket that are still in
-different classes are compared too, so only pairs that cannot join new classes are left out.
+Classes of what was found are formed. Where the members of buckets with one centre are still in
+different classes, an exact prefix join finds the pairs across classes that can be alike: the
+shingles that few of some pivots have come first, so that what all share makes no candidates. Those
+are compared too, so only pairs that cannot join new classes are left out.
 
 Cases: words are white-space-delimited, lower-cased; a text of fewer than five words has one
 shingle, all its words; texts with equal words are always one class, those without words
@@ -32,6 +34,7 @@ from .common import durable
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 25, 5
+PIVOTS = 16  # texts of a centre's buckets, at most, whose shingles count as common there
 _U = np.uint64
 
 
@@ -122,7 +125,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands = bands.view(np.int64)[np.diff(own) > 0]
             keys = batch.column("key").slice(a, b - a).filter(pa.array(np.diff(own) > 0))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays([keys, lists], ["key", "bands"])
+            n = pa.array(np.maximum(1, np.diff(own) - SHINGLE + 1)[np.diff(own) > 0])
+            yield pa.RecordBatch.from_arrays([keys, n, lists], ["key", "n", "bands"])
 
 
 def overlap(a: str, b: str) -> float:
@@ -167,6 +171,68 @@ def _verify(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return rows.mapInArrow(_verified, "u long, v long, alike double").distinct()
 
 
+def _size_class(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(1.05)).astype(np.int32)
+
+
+def _members(words: np.ndarray) -> np.ndarray:
+    """A text's bag of shingles as a set: the second of equal ones is another member than the first."""
+    h, count = np.unique(shingles(words, np.array([0, len(words)]))[0], return_counts=True)
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return _mix(np.repeat(h, count) + _U(0x9E3779B97F4A7C15) * nth.astype(np.uint64))
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first shingles of each text v, those that few pivots of its centre u have before the others, as index and probe rows.
+
+    Two texts of n and m shingles that are alike share at least 4 (n + m) / 9 of them, so in any
+    common order one of the first n - 4 (n + m) / 9 + 1 of one is among the first of the other.
+    The shorter is indexed under its class of size, the longer probes the classes it may meet.
+    """
+    last_key, last = None, None
+    for batch in batches:
+        u, roots, v = (batch.column(c).to_pylist() for c in ("u", "root", "v"))
+        wv, ev = _flat(batch.column("words_v"))
+        for k in range(batch.num_rows):
+            if u[k] != last_key:
+                texts = (np.array(w, np.int64).view(np.uint64) for w in batch.column("pivots")[k].as_py())
+                last_key, last = u[k], np.unique(np.concatenate([_members(w) for w in texts]), return_counts=True)
+            token = _members(wv[ev[k] : ev[k + 1]])
+            at = np.minimum(np.searchsorted(last[0], token), len(last[0]) - 1)
+            order = np.lexsort((token, np.where(last[0][at] == token, last[1][at], 0)))
+            n = len(order)
+            least = (4 * n + 4) // 5  # shingles of the shortest partner
+            short = n - (8 * n + 8) // 9 + 1
+            place = np.arange(n - (4 * (n + least) + 8) // 9 + 1)
+            low, high = _size_class(np.array([least]))[0], _size_class(np.minimum(n, (9 * (n - place)) // 4 - n))
+            wide = np.maximum(high - low + 1, 0)
+            probe = np.repeat(place, wide)
+            size = low + np.arange(len(probe)) - np.repeat(np.cumsum(wide) - wide, wide)
+            place = np.concatenate([np.arange(short), probe]).astype(np.int32)
+            size = np.concatenate([np.repeat(_size_class(np.array([n])), short), size]).astype(np.int32)
+            rows = len(place)
+            same = [pa.array(np.full(rows, x)) for x in (u[k], v[k], roots[k])]
+            columns = [*same, pa.array(np.arange(rows) >= short), pa.array(size), pa.array(token[order][place].view(np.int64)), pa.array(place), pa.array(np.full(rows, n, np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["u", "v", "root", "probe", "size", "token", "place", "n"])
+
+
+def _across(left_over: DataFrame, words: DataFrame) -> DataFrame:
+    """Pairs (u, v) of left_over's texts with one centre and different classes that may be alike; none that is alike is missing."""
+    # pivots only order shingles: any members serve, and any order finds the same pairs
+    some = left_over.groupBy("u", F.pmod(F.xxhash64("v"), F.lit(PIVOTS)).alias("slot")).agg(F.min("v").alias("key")).select("u", "key")
+    some = some.union(left_over.select("u", F.col("u").alias("key")).distinct())
+    pivots = durable(some.join(words, "key").groupBy("u").agg(F.collect_list("words").alias("pivots")), "pivots")
+    rows = left_over.join(words.select(F.col("key").alias("v"), F.col("words").alias("words_v")), "v").join(pivots, "u")
+    found = rows.mapInArrow(_prefixes, "u long, v long, root long, probe boolean, size int, token long, place int, n int")
+    found = durable(found, "prefixes")
+    x, y = found.where("not probe").alias("x"), found.where("probe").alias("y")
+    common = (4 * (F.col("x.n") + F.col("y.n")) + 8) / 9
+    fits = (F.col("x.place") <= F.col("x.n") - F.floor(common)) & (F.col("y.place") <= F.col("y.n") - F.floor(common))
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("u", "size", "token")]
+    met = x.join(y, [*same, F.col("x.root") != F.col("y.root"), F.col("x.n") <= F.col("y.n"), fits])
+    return met.select(F.least("x.v", "y.v").alias("u"), F.greatest("x.v", "y.v").alias("v")).distinct()
+
+
 def _linked(compared: DataFrame) -> DataFrame:
     return compared.where(F.col("alike") >= SIMILARITY).select("u", "v")
 
@@ -205,17 +271,17 @@ def classes(docs: DataFrame) -> DataFrame:
     keys = durable(_with_words(texts).select("doc_id", "key"), "keys")
     # one row a distinct text: copies meet on the mappers first, and only hashes and ids move
     firsts = durable(keys.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "firsts")
-    signed = _with_words(texts).select("key", "words").mapInArrow(_signed, "key long, bands array<long>")
-    signed = durable(signed.groupBy("key").agg(F.first("bands").alias("bands")), "signed")
-    bands = signed.select("key", F.explode("bands").alias("band"))
+    signed = _with_words(texts).select("key", "words").mapInArrow(_signed, "key long, n long, bands array<long>")
+    signed = durable(signed.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands")), "signed")
+    bands = signed.select("key", "n", F.explode("bands").alias("band"))
     sizes = bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     shared = durable(bands.join(sizes, "band"), "shared")
     # the centre of a bucket is the member that meets most others anywhere, such as the text others were made from
     popular = shared.groupBy("key").agg(F.sum("members").alias("meets"))
     shared = shared.join(popular, "key")
-    centre = shared.groupBy("band").agg(F.max_by("key", F.struct("meets", "key")).alias("u"))
-    members = durable(shared.select("band", "key").join(centre, "band"), "members")
-    pairs = members.where("u <> key").groupBy("u", F.col("key").alias("v")).agg(F.count("*").alias("shared"))
+    centre = shared.groupBy("band").agg(F.max(F.struct("meets", "key", "n")).alias("c")).select("band", F.col("c.key").alias("u"), F.col("c.n").alias("nu"))
+    members = durable(shared.select("band", "key", "n").join(centre, "band"), "members")
+    pairs = members.where("u <> key").groupBy("u", F.col("key").alias("v")).agg(F.count("*").alias("shared"), F.first(5 * F.least("n", "nu") >= 4 * F.greatest("n", "nu")).alias("comparable"))
     pairs = durable(pairs, "pairs")
     # words of the candidates alone are kept; every member of a shared bucket is in a pair
     needed = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(firsts.select("key", "first_id"), "key")
@@ -224,6 +290,7 @@ def classes(docs: DataFrame) -> DataFrame:
     words_of = durable(words_of.select("key", "words"), "words")
 
     # first each text with the centre that it shares most buckets with
+    pairs = pairs.where("comparable")  # texts of too different lengths are not alike
     best = pairs.groupBy("v").agg(F.max_by("u", F.struct("shared", "u")).alias("u"))
     compared = durable(_verify(best, words_of), "compared")
     links = _linked(compared)
@@ -239,17 +306,11 @@ def classes(docs: DataFrame) -> DataFrame:
     links = durable(_linked(compared), "links")
     roots = durable(components(links), "roots").withColumnRenamed("node", "key")
 
-    # last, in buckets that still hold several classes, every pair across classes that was not compared yet;
-    # 1 - similarity is a metric, so two members whose distances to the centre differ too much cannot be linked
-    named = root_of(members, "key", "root").select("band", "u", "key", "root")
+    # last, in buckets that still hold several classes, the pairs across classes that share a prefix
+    named = root_of(members.where("u <> key"), "key", "root").select("band", "u", F.col("key").alias("v"), "root")
     mixed = named.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band")
-    far = compared.select("u", F.col("v").alias("key"), (1 - F.col("alike")).alias("far"))
-    left_over = named.join(mixed, "band").join(far, ["u", "key"], "left")
-    left_over = durable(left_over.withColumn("far", F.when(F.col("u") == F.col("key"), 0.0).otherwise(F.col("far"))), "mixed")
-    x = left_over.select("band", F.col("key").alias("u"), F.col("root").alias("ru"), F.col("far").alias("fu"))
-    y = left_over.select("band", F.col("key").alias("v"), F.col("root").alias("rv"), F.col("far").alias("fv"))
-    near = F.coalesce(F.abs(F.col("fu") - F.col("fv")) <= 1 - SIMILARITY + 1e-9, F.lit(True))
-    more = x.join(y, (x["band"] == y["band"]) & (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & near).select("u", "v").distinct()
+    left_over = durable(named.join(mixed, "band", "left_semi").select("u", "v", "root").distinct(), "mixed")
+    more = _across(left_over, words_of)
     done = compared.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     more = more.join(done, ["u", "v"], "left_anti")
     links = links.union(_linked(_verify(durable(more, "more"), words_of)))
