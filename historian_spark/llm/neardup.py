@@ -34,6 +34,7 @@ from .common import durable
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 25, 5
+BITMAP_BITS = 26
 PIVOTS = 16  # texts of a centre's buckets, at most, whose shingles count as common there
 _U = np.uint64
 
@@ -182,6 +183,15 @@ def _members(words: np.ndarray) -> np.ndarray:
     return _mix(np.repeat(h, count) + _U(0x9E3779B97F4A7C15) * nth.astype(np.uint64))
 
 
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles that two or more of a centre's pivots hold, ascending, and how many hold each."""
+    for batch in batches:
+        for u, texts in zip(batch.column("u"), batch.column("pivots")):
+            token, held = np.unique(np.concatenate([_members(w.values.to_numpy().view(np.uint64)) for w in texts.values if len(w)]), return_counts=True)
+            rows = (pa.array([x], pa.list_(kind)) for x, kind in ((token[held > 1].view(np.int64), pa.int64()), (held[held > 1].astype(np.int8), pa.int8())))
+            yield pa.RecordBatch.from_arrays([pa.array([u.as_py()]), *rows], ["u", "common", "held"])
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first shingles of each text v, those that few pivots of its centre u have before the others, as index and probe rows.
 
@@ -195,11 +205,13 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wv, ev = _flat(batch.column("words_v"))
         for k in range(batch.num_rows):
             if u[k] != last_key:
-                texts = (np.array(w, np.int64).view(np.uint64) for w in batch.column("pivots")[k].as_py())
-                last_key, last = u[k], np.unique(np.concatenate([_members(w) for w in texts]), return_counts=True)
+                last_key, last = u[k], [batch.column(c)[k].values.to_numpy() for c in ("common", "held")]
+                last[0] = last[0].view(np.uint64)
             token = _members(wv[ev[k] : ev[k + 1]])
-            at = np.minimum(np.searchsorted(last[0], token), len(last[0]) - 1)
-            order = np.lexsort((token, np.where(last[0][at] == token, last[1][at], 0)))
+            order = np.argsort(token)
+            if len(last[0]):
+                at = np.minimum(np.searchsorted(last[0], token), len(last[0]) - 1)
+                order = np.lexsort((token, np.where(last[0][at] == token, last[1][at], 0)))
             n = len(order)
             least = (4 * n + 4) // 5  # shingles of the shortest partner
             short = n - (8 * n + 8) // 9 + 1
@@ -221,7 +233,8 @@ def _across(left_over: DataFrame, words: DataFrame) -> DataFrame:
     # pivots only order shingles: any members serve, and any order finds the same pairs
     some = left_over.groupBy("u", F.pmod(F.xxhash64("v"), F.lit(PIVOTS)).alias("slot")).agg(F.min("v").alias("key")).select("u", "key")
     some = some.union(left_over.select("u", F.col("u").alias("key")).distinct())
-    pivots = durable(some.join(words, "key").groupBy("u").agg(F.collect_list("words").alias("pivots")), "pivots")
+    pivots = some.join(words, "key").groupBy("u").agg(F.collect_list("words").alias("pivots"))
+    pivots = durable(pivots.mapInArrow(_common, "u long, common array<long>, held array<tinyint>"), "pivots")
     rows = left_over.join(words.select(F.col("key").alias("v"), F.col("words").alias("words_v")), "v").join(pivots, "u")
     found = rows.mapInArrow(_prefixes, "u long, v long, root long, probe boolean, size int, token long, place int, n int")
     found = durable(found, "prefixes")
@@ -245,6 +258,18 @@ def _with_words(docs: DataFrame) -> DataFrame:
     return hashed.withColumn("key", F.xxhash64(F.size("words"), "words"))
 
 
+def _among(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """The rows whose value of column is among wanted's, and few others: by a bitmap of at most 2**BITMAP_BITS bits.
+
+    The bitmap is a table of 64-bit words, 2**20 rows at most whatever the input, and is broadcast.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITMAP_BITS))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place(c), F.lit(64)).cast("int"))
+    words = wanted.groupBy(F.shiftright(place(column), 6).alias("bit_word")).agg(F.bit_or(bit(column)).alias("bits"))
+    near = rows.withColumn("bit_word", F.shiftright(place(column), 6)).join(F.broadcast(words), "bit_word")
+    return near.where(F.col("bits").bitwiseAND(bit(column)) != 0).drop("bit_word", "bits")
+
+
 def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     """node, root (the least node of its component) for the nodes of edges u < v, by star contraction."""
     edges = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
@@ -286,7 +311,8 @@ def classes(docs: DataFrame) -> DataFrame:
     # words of the candidates alone are kept; every member of a shared bucket is in a pair
     needed = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(firsts.select("key", "first_id"), "key")
     needed = durable(needed.withColumnRenamed("key", "wanted"), "needed")
-    words_of = _with_words(texts.join(needed, F.col("doc_id").eqNullSafe(F.col("first_id")))).where("key = wanted")
+    held = _among(texts, needed.select(F.col("first_id").alias("doc_id")), "doc_id")
+    words_of = _with_words(held.join(needed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first_id")))).where("key = wanted")
     words_of = durable(words_of.select("key", "words"), "words")
 
     # first each text with the centre that it shares most buckets with
@@ -329,5 +355,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     kept = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key")).distinct()
     rows = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = _with_words(rows.join(durable(kept, "kept"), F.col("doc_id").eqNullSafe(F.col("kept_id")))).where("key = kept_key")
+    own = _with_words(rows.join(durable(kept, "kept").hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")))).where("key = kept_key")
     return own.drop("words", "text").dropDuplicates(["kept_id", "key"]).select("row.*")
