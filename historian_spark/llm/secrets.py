@@ -3,7 +3,9 @@
 Base rules find assignments, access keys and long hexadecimal runs. The method adds tokens
 that look random: for every long token with a digit the smallest encoding that holds its
 symbols is inferred, and three tests ask whether its symbols are uniform and independent:
-chi-squared over the alphabet, runs above and below its middle, and serial correlation. Their
+chi-squared over the alphabet, runs above and below its middle, and serial correlation. A token
+is cut at inner ``=``, and its longest runs in each alphabet of ``PARTS`` are tested if they are
+long too, so a value is tested without its name or the path before it. Their
 p-values are combined by Fisher's rule. Ordinary tokens fail the tests; how small a p-value
 must be to call a token ordinary is set in each class of lengths by the step-up rule for false
 discoveries over all documents, so that of the tokens called ordinary at most a share
@@ -13,7 +15,7 @@ discoveries over all documents, so that of the tokens called ordinary at most a
 lengths); ``scan`` then is a plain projection, without a shuffle.
 
 Cases: a null or empty text has no spans; spans are code points, end exclusive; an added span
-inside a base span is left out; repeated rows and null ids give rows of their own; an empty
+inside a base span or a wider added one is left out; repeated rows and null ids give rows of their own; an empty
 table gives no rows and no thresholds; columns of docs are kept by ``redact`` only.
 """
 
@@ -30,6 +32,8 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: The parts of a token that are tested: its runs in each alphabet, the last one with its padding.
+PARTS = (r"[A-Za-z0-9+/]+(?:=+\z)?", r"[A-Za-z0-9_-]+(?:=+\z)?", r"[A-Za-z0-9]+(?:=+\z)?")
 FALSE_SHARE = 0.01
 LENGTHS = (20, 24, 32, 40, 48, 64, 96)
 _BINS = 20  # of the histogram, for each power of e
@@ -148,8 +152,14 @@ def _stratum(length: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<start,end,stratum,p>> of tested tokens; p is null where no encoding fits."""
-    digits = F.filter(matches(text, TOKEN), lambda x: x["hit"].rlike("[0-9]"))
+    """array<struct<start,end,stratum,p>> of the tested parts of long tokens; parts may lie in each other."""
+
+    def parts(x: Column) -> Column:
+        found = F.array_distinct(F.concat(*[matches(x["hit"], p) for p in PARTS]))
+        return F.transform(found, lambda y: F.struct((x["start"] + y["start"]).alias("start"), (x["start"] + y["end"]).alias("end"), y["hit"].alias("hit")))
+
+    tokens = F.filter(matches(text, TOKEN), lambda x: x["hit"].rlike("[0-9]"))
+    digits = F.filter(F.flatten(F.transform(tokens, parts)), lambda x: (F.length(x["hit"]) >= LENGTHS[0]) & x["hit"].rlike("[0-9]"))
 
     def tested(x: Column) -> Column:
         p = randomness(F.regexp_replace(x["hit"], "=+$", ""))
@@ -198,7 +208,9 @@ def _with_spans(docs: DataFrame, cuts: dict[int, int]) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base, added = all_spans(F.col("_text"), cuts)
     rows = docs.withColumn("_text", text).withColumn("_base", base).withColumn("_added", added)
-    free = F.filter("_added", lambda x: ~F.exists("_base", lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"])))
+    inside = lambda x, y: (y["start"] <= x["start"]) & (x["end"] <= y["end"])
+    wider = lambda x, y: inside(x, y) & (x["end"] - x["start"] < y["end"] - y["start"])
+    free = F.filter("_added", lambda x: ~F.exists("_base", lambda b: inside(x, b)) & ~F.exists("_added", lambda y: wider(x, y)))
     return rows.withColumn("_spans", F.array_sort(F.concat("_base", free)))
 
 

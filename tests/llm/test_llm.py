@@ -204,6 +204,32 @@ def test_random_tokens_are_told_from_regular_ones(spark):
     assert sum(r["p"] > 0.01 for r in got if r["own"]) > 190 and all(r["p"] < 0.001 for r in got if not r["own"])
 
 
+def test_random_values_are_found_behind_names_and_in_paths(spark):
+    import base64
+
+    value, key = "x9Qf2LzR8vKm3TbYw7NcHs5Jd1Pg6UaE", "q7Rk/T2mXv+9LbWc4ZsJ/h8NdYp3GfE6uAoKi1Qt"
+    padded, safe = base64.b64encode(random.Random(3).randbytes(31)).decode(), "Vb3-kT8_wQz5XnJr2LfYc9-HmD7sPa_G4"
+    texts = [f"sid={value} end", f"AWS_SECRET_ACCESS_KEY={key}", f"https://a.example.com/reset-link/{value}", f"data={padded} end", f"com/reset-link/{safe}?a=b", f"run sid=a={value}=b {value}", f"api-v2/{key}"]
+    values = [value, key, value, padded, safe, value, key]
+    # ordinary tokens beside them, so that there is something to tell the values from
+    plain = [f"id=section/{'xyxy12' * 6}-{'item' * 6}{k}" for k in range(40)]
+    docs = spark.createDataFrame([(k, t, None, None, 1) for k, t in enumerate(texts + plain)], DOCS)
+    cuts = secrets.thresholds(docs)
+    assert secrets.scan(docs.where("doc_id < 7"), cuts).where("base <> ''").count() == 0
+    for r in secrets.scan(docs, cuts).collect():
+        spans = [tuple(map(int, s.split(":")[1:])) for s in r["spans"].split(",") if s]
+        if r["doc_id"] >= len(texts):
+            assert spans == []
+            continue
+        t, v = texts[r["doc_id"]], values[r["doc_id"]]
+        starts = [k for k in range(len(t)) if t.startswith(v, k)]
+        assert len(spans) == len(starts) and all(a <= k and k + len(v) <= b for k, (a, b) in zip(starts, spans))
+        if r["doc_id"] in (0, 1, 3, 5):  # a name is no part of its value
+            assert [t[a:b] for a, b in spans] == [v] * len(spans)
+    redacted = {r["doc_id"]: r["text"] for r in secrets.redact(docs, cuts).collect()}
+    assert redacted[0] == "sid=[secret] end" and redacted[5] == "run sid=a=[secret]=b [secret]" and value not in redacted[2]
+
+
 # byte pairs
 def test_byte_pairs(spark, hard, none):
     import regex
