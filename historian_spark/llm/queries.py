@@ -28,7 +28,7 @@ def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     labelled = urlrules.judged_by_list(pages, "page_id", "url").withColumnRenamed("listed", "label")
-    return urlrules.judge(pages, urlrules.mine(labelled))
+    return urlrules.judge(pages, urlrules.mine_rules(labelled))
 
 
 def op3_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:

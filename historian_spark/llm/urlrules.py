@@ -1,8 +1,9 @@
 """URL filters by listed rules and by association rules mined from their verdicts.
 
-Listed rules (host, path) judge what they fit. Their verdicts are labels: FP-growth over the
-tokens of the labelled URLs and the label finds token combinations that go with a verdict.
-Rules are pruned by support and confidence, and where a part of the combination is as sure.
+Listed rules (host, path) judge what they fit. Their verdicts are labels: a level-wise search
+over the tokens of the labelled URLs finds token combinations that go with a verdict. Rules are
+pruned by support and confidence, and where a part of the combination is as sure; the search
+leaves out what would be pruned, so no number of rules has to be cut.
 Each rule is filed under its rarest token; a URL meets, by its tokens, the rules filed under
 one of them, and takes the surest that it holds whole. URLs that no rule fits are allowed.
 
@@ -14,18 +15,22 @@ table gives no rows; columns other than the id and the URL are not read.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable
+
 #: The listed rules, each with its verdict.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 MIN_SUPPORT = 0.005
 MIN_CONFIDENCE = 0.9
-MAX_RULES = 10_000
+BROADCAST_RULES = 10_000  # more are joined without a broadcast
 
 
 @dataclass(frozen=True)
@@ -82,39 +87,80 @@ def judged_by_list(pages: DataFrame, id_column: str, url_column: str, rules=RULE
     return rows.withColumn("rule", which).withColumn("listed", verdict).withColumn("tokens", tokens_of(F.col("host"), F.col("path"), rules))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_rules: int = MAX_RULES) -> list[Rule]:
-    """Pruned rules from rows of tokens and a label; at most max_rules, the most supported."""
-    baskets = labelled.where(F.col("label").isNotNull()).select(F.concat("tokens", F.array(F.concat(F.lit("label:"), F.col("label")))).alias("items"))
-    if baskets.isEmpty():
-        return []
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.where(F.startswith(F.element_at("consequent", 1), F.lit("label:")))
-    found = found.select(F.array_sort("antecedent").alias("tokens"), F.element_at("consequent", 1).alias("label"), "confidence", "support")
-    rows = found.orderBy(F.desc("support"), F.desc("confidence"), "tokens", "label").limit(max_rules).collect()
-    kept: list[Rule] = []
-    sure: dict[tuple[frozenset, str], float] = {}
-    for r in sorted(rows, key=lambda r: (len(r["tokens"]), r["tokens"], r["label"])):
-        own, label = frozenset(r["tokens"]), r["label"].removeprefix("label:")
-        parts = [own - {t} for t in own]
-        best = max([sure.get((p, label), 0.0) for p in parts if p], default=0.0)
-        sure[own, label] = max(best, r["confidence"])
-        if r["confidence"] > best:
-            kept.append(Rule(tuple(r["tokens"]), label, r["confidence"], r["support"]))
-    return kept
-
-
-def judge(pages: DataFrame, mined: list[Rule], id_column: str = "page_id", url_column: str = "url", rules=RULES) -> DataFrame:
+def _candidates(live: Column, k: int) -> Column:
+    """The sets of k + 1 tokens of which all parts of k tokens are in live."""
+    pairs = lambda a: F.filter(live, lambda b: (F.slice(a, 1, k - 1) == F.slice(b, 1, k - 1)) & (F.element_at(a, k) < F.element_at(b, k)))
+    found = F.flatten(F.transform(live, lambda a: F.transform(pairs(a), lambda b: F.concat(a, F.slice(b, k, 1)))))
+    # the pair itself are the parts without one of the last two tokens
+    return F.filter(found, lambda c: reduce(and_, [F.array_contains(live, _without(c, at, k + 1)) for at in range(k - 1)], F.lit(True)))
+
+
+def _without(tokens: Column, at: int, size: int) -> Column:
+    return F.concat(F.slice(tokens, 1, at), F.slice(tokens, at + 2, size - at - 1))
+
+
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """tokens, verdict, confidence and support of every rule of which no part is as sure, from rows of tokens and a label.
+
+    Sets of tokens grow by one token a round. One that has as many rows as a part of it, or rows
+    of one label only, is not extended: any set that holds it has a part that is as sure.
+    """
+    spark = labelled.sparkSession
+    rows = labelled.where(F.col("label").isNotNull()).select("tokens", "label")
+    total = rows.count()
+    none = spark.createDataFrame([], "tokens array<string>, verdict string, confidence double, support double")
+    if not total:
+        return none
+    least = math.ceil(min_support * total)
+    frequent = rows.select(F.explode("tokens").alias("token"), "label").groupBy("token", "label").count().where(F.col("count") >= least).select("token").distinct()
+    kept = rows.withColumn("row_id", F.monotonically_increasing_id()).select("row_id", "label", F.explode("tokens").alias("token")).join(F.broadcast(frequent), "token")  # at most 1 / min_support times a row's mean tokens
+    baskets = kept.groupBy("row_id", "label").agg(F.array_sort(F.collect_list("token")).alias("tokens")).groupBy("tokens", "label").agg(F.count("*").alias("rows"))
+    baskets = durable(baskets.withColumn("basket", F.monotonically_increasing_id()), "baskets")
+    found = baskets.select("basket", "label", "rows", F.explode("tokens").alias("token")).select("basket", "label", "rows", F.array("token").alias("tokens"))
+    before, rules, k = None, none, 1
+    while True:
+        own = found.groupBy("tokens", "label").agg(F.sum("rows").alias("own"))
+        counts = own.groupBy("tokens").agg(F.sum("own").alias("n"), F.collect_list(F.struct("label", "own")).alias("by")).select("tokens", "n", F.inline("by"))
+        if before is None:
+            counts = counts.withColumn("part_n", F.lit(total + 1)).withColumn("part_best", F.lit(0.0))
+        else:
+            parts = counts.withColumn("part", F.explode(F.array(*[_without(F.col("tokens"), at, k) for at in range(k)])))
+            counts = parts.join(before, ["part", "label"]).groupBy("tokens", "label", "n", "own").agg(F.min("part_n").alias("part_n"), F.max("part_best").alias("part_best"))
+        counts = durable(counts.withColumn("confidence", F.col("own") / F.col("n")), "url-sets")
+        sure = counts.where((F.col("own") >= least) & (F.col("confidence") >= min_confidence) & (F.col("confidence") > F.col("part_best")))
+        rules = rules.unionByName(sure.select("tokens", F.col("label").alias("verdict"), "confidence", (F.col("own") / total).alias("support")))
+        live = durable(counts.where((F.col("own") >= least) & (F.col("n") < F.col("part_n")) & (F.col("own") < F.col("n"))).select("tokens").distinct(), "url-live")
+        if live.isEmpty():
+            return rules
+        before = counts.join(live, "tokens", "left_semi").select(F.col("tokens").alias("part"), "label", F.col("n").alias("part_n"), F.greatest("confidence", "part_best").alias("part_best"))
+        held = found.join(live, "tokens", "left_semi").groupBy("basket", "label", "rows").agg(F.array_sort(F.collect_list("tokens")).alias("live"))
+        found = durable(held.select("basket", "label", "rows", F.explode(_candidates(F.col("live"), k)).alias("tokens")), "url-found")
+        k += 1
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[Rule]:
+    """The rules of mine_rules as a list, for few of them."""
+    return [Rule(tuple(r["tokens"]), r["verdict"], r["confidence"], r["support"]) for r in mine_rules(labelled, min_support, min_confidence).collect()]
+
+
+def _filed(mined: DataFrame) -> DataFrame:
+    """token (the rarest of a rule's own), needs, says and confidence."""
+    each = mined.select("*", F.explode("tokens").alias("token"))
+    seen = each.groupBy("token").agg(F.sum("support").alias("seen"))
+    rarest = each.join(seen, "token").groupBy("tokens", "verdict", "confidence").agg(F.min(F.struct("seen", "token"))["token"].alias("token"))
+    return rarest.select("token", F.col("tokens").alias("needs"), F.col("verdict").alias("says"), "confidence")
+
+
+def judge(pages: DataFrame, mined: DataFrame | list[Rule], id_column: str = "page_id", url_column: str = "url", rules=RULES) -> DataFrame:
     """id, host, path, rule, verdict, and mined: the tokens of the mined rule that decided, if one did."""
-    spark = pages.sparkSession
-    seen: dict[str, float] = {}
-    for r in mined:
-        for t in r.tokens:
-            seen[t] = seen.get(t, 0.0) + r.support
-    filed = [(min(r.tokens, key=lambda t: (seen[t], t)), list(r.tokens), r.verdict, r.confidence) for r in mined]
-    index = spark.createDataFrame(filed, "token string, needs array<string>, says string, confidence double")  # MAX_RULES rows at most
+    if isinstance(mined, list):
+        mined = pages.sparkSession.createDataFrame([(list(r.tokens), r.verdict, r.confidence, r.support) for r in mined], "tokens array<string>, verdict string, confidence double, support double")
+    index = durable(_filed(mined), "url-rules")
+    if index.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
+        index = F.broadcast(index)
     rows = judged_by_list(pages, id_column, url_column, rules).withColumn("row_id", F.monotonically_increasing_id())
     asked = rows.where("listed is null").select("row_id", "tokens", F.explode("tokens").alias("token"))
-    met = asked.join(F.broadcast(index), "token").where(F.size(F.array_except("needs", "tokens")) == 0)
+    met = asked.join(index, "token").where(F.size(F.array_except("needs", "tokens")) == 0)
     # the surest, then the longest, then the first in order of tokens; block before allow
     best = met.groupBy("row_id").agg(F.min(F.struct((-F.col("confidence")).alias("c"), (-F.size("needs")).alias("n"), F.array_join("needs", " ").alias("mined"), F.when(F.col("says") == "block", 0).otherwise(1).alias("o"), "says")).alias("best"))
     judged = rows.join(best, "row_id", "left")

@@ -320,6 +320,40 @@ def test_urls(spark):
     assert urlrules.mine(urlrules.judged_by_list(pages.limit(0), "page_id", "url").withColumnRenamed("listed", "label")) == []
 
 
+def test_no_rule_is_cut(spark, monkeypatch):
+    from itertools import combinations
+
+    labels = "tokens array<string>, label string"
+    hot = [f"path:w{k:02d}" for k in range(14)]
+    rows = [(hot, "block" if k % 20 else "allow") for k in range(60)] + [([f"host:h{k % 6}", f"path:p{k % 4}"], "allow") for k in range(120)]
+    got = {(r.tokens, r.verdict) for r in urlrules.mine(spark.createDataFrame(rows, labels), min_support=0.05)}
+    assert got == {((w,), "block") for w in hot} | {((f"host:h{k}",), "allow") for k in range(6)} | {((f"path:p{k}",), "allow") for k in range(4)}
+
+    rng = random.Random(8)
+    rows = []
+    for _ in range(400):
+        tokens = [t for t in "abcdefg" if rng.random() < 0.5]
+        rows.append((tokens, "block" if len({"a", "b", "c"} & set(tokens)) > 1 and rng.random() < 0.97 or {"d", "e", "f"} <= set(tokens) else "allow"))
+    sure = {}
+    for size in range(1, 8):
+        for x in combinations("abcdefg", size):
+            own = [label for tokens, label in rows if set(x) <= set(tokens)]
+            for label in ("allow", "block"):
+                if own and own.count(label) >= 0.02 * len(rows):
+                    sure[x, label] = own.count(label) / len(own)
+    minimal = {k for k, c in sure.items() if c >= 0.8 and all(sure[p, k[1]] < c for n in range(1, len(k[0])) for p in combinations(k[0], n))}
+    table = spark.createDataFrame(rows, labels)
+    mined = urlrules.mine(table, min_support=0.02, min_confidence=0.8)
+    assert {(r.tokens, r.verdict) for r in mined} == minimal and len(mined) == len(minimal) and max(len(r.tokens) for r in mined) > 2
+    assert all(r.confidence == sure[r.tokens, r.verdict] for r in mined)
+
+    pages = spark.createDataFrame([(k, f"http://h{k % 6}.x/p{k % 4}/w{k:02d}") for k in range(30)], "page_id long, url string")
+    rules = spark.createDataFrame([(["host:x", "path:p"], "block", 1.0, 0.1), (["path:w"], "allow", 0.9, 0.5)], "tokens array<string>, verdict string, confidence double, support double")
+    few = sorted(map(tuple, urlrules.judge(pages, rules).collect()), key=str)
+    monkeypatch.setattr(urlrules, "BROADCAST_RULES", 0)
+    assert sorted(map(tuple, urlrules.judge(pages, rules).collect()), key=str) == few
+
+
 # toxicity
 def test_toxicity(spark, hard, none):
     rng, rows, labels = random.Random(4), [], []
