@@ -33,9 +33,9 @@ def mark_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the kept documents, placed in sequences."""
+    """Pieces of the kept documents with their ids, placed in sequences."""
     ship(spark)
-    return packing.pack_documents(docs, tokenizer_path(WORD_BPE), END_ID, keep_ids=False)
+    return packing.pack_documents(docs, tokenizer_path(WORD_BPE), END_ID)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("secrets", mark_secrets), ("packing", pack)]

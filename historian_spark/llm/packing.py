@@ -229,5 +229,9 @@ def place(pieces: DataFrame, length: int = SEQUENCE) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int = SEQUENCE, keep_ids: bool = True) -> DataFrame:
     """Whole packing of docs: doc_id, start, length, doc_tokens, crc32, sequence_id, offset and, if asked, ids."""
     pieces = cut_documents(docs, tokenizer, end_id, length).withColumn("crc32", F.crc32("ids"))
-    pieces = durable(pieces if keep_ids else pieces.drop("ids"), "pieces")
-    return place(pieces, length)
+    if not keep_ids:
+        return place(durable(pieces.drop("ids"), "pieces"), length)
+    # ids move once, to the placed pieces, and not through the windows
+    pieces = durable(pieces.withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    placed = place(pieces.drop("ids"), length).hint("shuffle_hash")
+    return pieces.select("piece", "ids").join(placed, "piece").select("doc_id", "start", "length", "doc_tokens", "ids", "crc32", "sequence_id", "offset")

@@ -57,8 +57,8 @@ def op8_lzprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), END_ID, keep_ids=False)
-    return packed.select("doc_id", "start", "length", F.col("crc32").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), END_ID)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

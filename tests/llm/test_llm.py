@@ -119,6 +119,21 @@ def test_packing(hard, none):
     assert packing.pack_documents(none, WORD_BPE, 2).count() == 0
 
 
+def test_ids_are_placed(spark, hard, monkeypatch):
+    import corpus_pipeline
+
+    from historian_spark.llm import queries
+
+    packed, pack = [], packing.pack_documents
+    monkeypatch.setattr(packing, "pack_documents", lambda *a, **b: packed.append(pack(*a, **b)) or packed[-1])
+    rows = corpus_pipeline.pack(spark, hard, "").collect()
+    assert rows and all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["crc32"] for r in rows)
+    monkeypatch.setattr(queries, "table", lambda *a: hard)
+    own = queries.op9_packing(spark, "").collect()
+    assert sorted((r["sequence_id"], r["offset"], r["ids_crc32"]) for r in own) == sorted((r["sequence_id"], r["offset"], r["crc32"]) for r in rows)
+    assert len(packed) == 2 and all("ids" in p.columns for p in packed)
+
+
 # near duplicates
 def brute_classes(rows):
     parent = list(range(len(rows)))
