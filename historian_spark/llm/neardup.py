@@ -291,7 +291,7 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, key (of the text's words), class_id (the least doc_id of its class), class_rows."""
+    """One row per row of docs: doc_id, key (of the text's words), class_id (the least doc_id of its class), class_rows, class_key (one a class)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keys = durable(_with_words(texts).select("doc_id", "key"), "keys")
     # one row a distinct text: copies meet on the mappers first, and only hashes and ids move
@@ -343,17 +343,18 @@ def classes(docs: DataFrame) -> DataFrame:
     roots = components(links).withColumnRenamed("node", "key")
     of_key = durable(firsts.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "classes")
     per_class = of_key.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_rows"))
-    return keys.join(of_key.join(per_class, "root").select("key", "class_id", "class_rows"), "key").select("doc_id", "key", "class_id", "class_rows")
+    return keys.join(of_key.join(per_class, "root").select("key", "class_id", "class_rows", F.col("root").alias("class_key")), "key").select("doc_id", "key", "class_id", "class_rows", "class_key")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each class, that of its least doc_id, in the columns of docs.
 
-    Rows without doc_id give way to rows with one; a class of such rows alone keeps one row a
-    distinct text.
+    Rows without doc_id give way to rows with one; of several texts with that doc_id the one of
+    the least key is kept.
     """
     columns = docs.columns
-    kept = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key")).distinct()
+    ids = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")  # nulls last
+    kept = classes(docs).groupBy("class_key").agg(F.min(ids).alias("kept")).select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.key").alias("kept_key"))
     rows = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     own = _with_words(rows.join(durable(kept, "kept").hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")))).where("key = kept_key")
     return own.drop("words", "text").dropDuplicates(["kept_id", "key"]).select("row.*")

@@ -185,6 +185,16 @@ def test_near_duplicates(spark, hard, none):
     assert neardup.classes(none).count() == 0 and neardup.keep_one(none).count() == 0
 
 
+def test_one_of_each_class_is_kept(spark):
+    a, b, c = prose(31, 200), prose(32, 200), prose(33, 200)
+    rows = [(None, a), (None, a + " end"), (7, b), (7, b + " end"), (7, b), (7, c), (None, c + " end")]
+    docs = spark.createDataFrame([(k, t, "en", None, 1) for k, t in rows], DOCS)
+    assert neardup.classes(docs).select("class_key").distinct().count() == 3
+    kept = neardup.keep_one(docs).collect()
+    assert sorted((str(r["doc_id"]), r["text"][:20]) for r in kept) == sorted([("None", a[:20]), ("7", b[:20]), ("7", c[:20])])
+    assert [r["text"] for r in kept if r["text"].startswith(c[:20])] == [c]
+
+
 # secrets
 def test_secrets(spark, none):
     import re
