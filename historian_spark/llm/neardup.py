@@ -270,12 +270,12 @@ def _among(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
     return near.where(F.col("bits").bitwiseAND(bit(column)) != 0).drop("bit_word", "bits")
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """node, root (the least node of its component) for the nodes of edges u < v, by star contraction."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (the least node of its component) for the nodes of edges u < v, by star contraction until nothing changes."""
     edges = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     now = durable(edges.where("u <> v").distinct(), "edges")
     seen = None
-    for _ in range(rounds):
+    while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()

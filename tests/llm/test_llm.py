@@ -195,6 +195,14 @@ def test_one_of_each_class_is_kept(spark):
     assert [r["text"] for r in kept if r["text"].startswith(c[:20])] == [c]
 
 
+def test_components_run_until_nothing_changes(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "range", lambda n: [0], raising=False)  # a fixed number of rounds would be one
+    path = list(range(40))
+    random.Random(2).shuffle(path)
+    rows = neardup.components(spark.createDataFrame(list(zip(path, path[1:])), "u long, v long")).collect()
+    assert sorted((r["node"], r["root"]) for r in rows) == [(k, 0) for k in range(1, 40)]
+
+
 # secrets
 def test_secrets(spark, none):
     import re
