@@ -6,9 +6,13 @@ import atexit
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
@@ -35,10 +39,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """A folder of this session in spark.checkpoint.dir, which driver and executors share.
+
+    Where that is unset a temporary folder serves a local master only; on a cluster every
+    executor would write to a disk of its own, so that is an error.
+    """
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            base = tempfile.mkdtemp(prefix="checkpoint-")
         _own_dirs[app] = f"{base.rstrip('/')}/llm-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_drop, spark, _own_dirs[app])
     return _own_dirs[app]
@@ -63,3 +76,38 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 def whole_text(docs: DataFrame, *keep: str) -> DataFrame:
     """The named columns and text, a null text as the empty one."""
     return docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def column(name: str) -> Column:
+    """A top-level column by its exact name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """name, lengthened until docs has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+_one: dict[Any, Any] = {}
+
+
+def only(key: Any, make: Callable[[], Any]) -> Any:
+    """A worker's one large table: that of key is made when it is first asked for, and drops any other's."""
+    if key not in _one:
+        _one.clear()
+        _one[key] = make()
+    return _one[key]
+
+
+def slices(texts: pa.Array, size: int) -> Iterator[tuple[int, pa.Array]]:
+    """Consecutive parts of a string array of some size bytes each, with their first rows; a longer text is alone."""
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + size, "right")) - 1)
+        yield at, texts.slice(at, to - at)
+        at = to

@@ -14,13 +14,19 @@
 Cases: a null or empty text has no feature and gets the score of the intercept; null doc_ids
 are not held out and carry no label; several labels of one doc_id count as their maximum; null
 labels are no labels; without labels of both kinds the seed words alone decide; repeated rows
-get equal scores; an empty table gives no rows; other columns are never read.
+get equal scores; an empty table gives no rows; other columns are never read, and ``keep_clean``
+keeps them in the JVM. Texts are read in slices of some ``SLICE_BYTES``, so a worker holds its
+Arrow batch and what one slice becomes; a longer text is a slice of its own and is read whole.
+
+``max_rows`` bounds the rows that the model is fitted on, ``max_features`` the lexicon and
+``max_voters`` the words that vote; features beyond that, those that lean least surely, have no
+weight. All documents are scored alike.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import durable, only, slices, whole_text
 
 MAX_ROWS = 20_000
 MAX_FEATURES = 4_000
@@ -43,7 +49,8 @@ BEGINNINGS = (3, 4, 5, 6)
 #: A feature that a text has so often is a feature of its own, with this mark.
 OFTEN, OFTEN_MARK = 3, "~often"
 _WORD = re.compile(r"\w+")
-_CACHE_PIECES = 400_000
+_CACHE_PIECES = 100_000
+SLICE_BYTES = 2 << 20
 
 
 def piece_features(piece: str) -> list[str]:
@@ -83,20 +90,22 @@ def _ragged(lists: list[tuple[int, ...]], codes: np.ndarray, rows: np.ndarray) -
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many toxic and other texts of a batch have each feature, once and OFTEN times."""
+    """How many toxic and other texts of a slice have each feature, once and OFTEN times."""
     for batch in batches:
-        row, code, pieces = _pieces(batch.column("text"))
-        toxic = batch.column("toxic").to_numpy(zero_copy_only=False) > 0
-        names: dict[str, int] = {}
-        lists = [tuple(names.setdefault(f, len(names)) for f in piece_features(p)) for p in pieces]
-        rows, ids = _ragged(lists, code, row)
-        key, times = np.unique(ids * max(1, batch.num_rows) + rows, return_counts=True)
-        ids, ill = key // max(1, batch.num_rows), toxic[key % max(1, batch.num_rows)]
-        for mark, own in (("", times > 0), (OFTEN_MARK, times >= OFTEN)):
-            both, bad = np.bincount(ids[own], minlength=len(names)), np.bincount(ids[own], ill[own], minlength=len(names))
-            some = np.flatnonzero(both)
+        marked = batch.column("toxic").to_numpy(zero_copy_only=False) > 0
+        for first, texts in slices(batch.column("text"), SLICE_BYTES):
+            toxic = marked[first : first + len(texts)]
+            row, code, pieces = _pieces(texts)
+            names: dict[str, int] = {}
+            lists = [tuple(names.setdefault(f, len(names)) for f in piece_features(p)) for p in pieces]
+            rows, ids = _ragged(lists, code, row)
+            key, times = np.unique(ids * len(texts) + rows, return_counts=True)
+            ids, ill = key // len(texts), toxic[key % len(texts)]
             listed = list(names)
-            yield pa.RecordBatch.from_arrays([pa.array([listed[k] + mark for k in some], pa.string()), pa.array(bad[some].astype(np.int64)), pa.array(both[some].astype(np.int64))], ["feature", "toxic", "all"])
+            for mark, own in (("", times > 0), (OFTEN_MARK, times >= OFTEN)):
+                both, bad = np.bincount(ids[own], minlength=len(names)), np.bincount(ids[own], ill[own], minlength=len(names))
+                some = np.flatnonzero(both)
+                yield pa.RecordBatch.from_arrays([pa.array([listed[k] + mark for k in some], pa.string()), pa.array(bad[some].astype(np.int64)), pa.array(both[some].astype(np.int64))], ["feature", "toxic", "all"])
 
 
 class _Finder:
@@ -121,15 +130,16 @@ class _Finder:
         return got
 
 
-_finders: dict[tuple[str, ...], _Finder] = {}
+def present(texts: pa.Array, features: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and features that occur, each pair once, by row; patterns are numbered after the features."""
+    parts = [(first + row, f) for first, some in slices(texts, SLICE_BYTES) for row, f in [_present(some, features)]]
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate([r for r, _ in parts]), np.concatenate([f for _, f in parts])
 
 
-def present(texts: pa.Array, features: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and features that occur, each pair once; patterns are numbered after the features."""
-    if features not in _finders:
-        _finders.clear()
-        _finders[features] = _Finder(features)
-    find = _finders[features]
+def _present(texts: pa.Array, features: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    find = only(features, lambda: _Finder(features))
     row, code, pieces = _pieces(texts)
     rows, ids = _ragged([find(p) for p in pieces], code, row)
     bases, total = max(1, len(find.once)), len(features) + len(PATTERNS)
@@ -221,9 +231,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     share = min(1.0, max_rows / max(1, marked.count()))
-    chosen = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    chosen = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52)) < F.lit(int(share * (1 << 52))))
     # the sample's ids are bounded by max_rows, and so can be sent to every task
     sample = whole_text(docs, F.col("doc_id").cast("long").alias("doc_id")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    sample = durable(sample, "sample")  # read three times
     counted = sample.mapInArrow(_counts, "feature string, toxic long, all long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("all").alias("all"))
     sizes = sample.groupBy().agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("ill")).first()
     n, ill = sizes["n"], sizes["ill"]
@@ -259,29 +270,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
     return Model(features, w, b, given, corr)
 
 
-def _score(model: Model):
+def scorer(model: Model) -> Callable:
+    """A function of a column of texts: their scores. Only the texts go to the workers, other columns stay in the JVM."""
     features, weights, intercept = model.features, model.weights, model.intercept
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, f = present(batch.column("text"), features)
-            z = intercept + np.bincount(row, weights[f], minlength=batch.num_rows)
-            score = pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())
-            kept = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), score], [*kept, "score"])
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        row, f = present(texts, features)
+        z = intercept + np.bincount(row, weights[f], minlength=len(texts))
+        return pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())
 
     return run
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 where score >= 0.5) for every row of docs."""
-    rows = whole_text(docs, F.col("doc_id").cast("long").alias("doc_id"))
-    return rows.mapInArrow(_score(model), "doc_id long, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    rows = whole_text(docs, F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", scorer(model)("text").alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that are not predicted toxic, with their columns."""
-    columns = docs.columns
-    rows = docs.withColumn("row", F.struct(*columns)).select("row", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    kept = rows.mapInArrow(_score(model), f"row {docs.schema.simpleString()}, score double").where("score < 0.5")
-    return kept.select("row.*")
+    return docs.where(scorer(model)(F.coalesce(F.col("text").cast("string"), F.lit(""))) < 0.5)
