@@ -16,18 +16,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import only, slices
+
 #: White space and controls on which splitting by ASCII white space and the tokenizer may differ.
 RARE_SPACE = "[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -     　]"
 _CUT_OFF = frozenset(".,;:!?")
-SLICE_BYTES = 8 << 20
-_encoders: dict[tuple, WordEncoder] = {}
+SLICE_BYTES = 4 << 20
 
 
 def encoder(path: str) -> WordEncoder:
-    """One encoder per worker process and file."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    """The worker's encoder of a file."""
+    return only(("words", path), lambda: WordEncoder(path))
 
 
 def _byte_letters() -> dict[int, str]:
@@ -38,7 +37,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordEncoder:
-    def __init__(self, path: str, known_pieces: int = 500_000):
+    def __init__(self, path: str, known_pieces: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -71,9 +70,7 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one flat array, and each text's number of ids."""
-        size = max(1, len(texts))
-        step = max(1, int(size * min(1.0, SLICE_BYTES / max(1, texts.nbytes))))
-        parts = [self._slice(texts.slice(k, step), end_id) for k in range(0, len(texts), step)]
+        parts = [self._slice(part, end_id) for _, part in slices(texts, SLICE_BYTES)]
         if not parts:
             return np.empty(0, np.uint32), np.empty(0, np.int64)
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
