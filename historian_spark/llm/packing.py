@@ -161,16 +161,16 @@ def _cut(tokenizer: str, end_id: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, n = encoder(tokenizer).encode(batch.column("text"), end_id)
-            base = np.concatenate([[0], np.cumsum(n)])[:-1]
             pieces = -(-n // length)
             doc = np.repeat(np.arange(len(n)), pieces)
             nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             start = nth * length
             size = np.minimum(length, n[doc] - start)
-            raw = ids.astype("<u4").tobytes()
-            parts = [raw[4 * a : 4 * b] for a, b in zip(base[doc] + start, base[doc] + start + size)]
+            # pieces follow one another in the flat ids as they do here
+            ends = np.concatenate([[0], np.cumsum(4 * size)]).astype(np.int32)
+            parts = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(doc)), pa.array(start.astype(np.int64)), pa.array(size.astype(np.int64)), pa.array(n[doc].astype(np.int64)), pa.array(parts, pa.binary())],
+                [batch.column("doc_id").take(pa.array(doc)), pa.array(start.astype(np.int64)), pa.array(size.astype(np.int64)), pa.array(n[doc].astype(np.int64)), parts],
                 ["doc_id", "start", "length", "doc_tokens", "ids"],
             )
 
