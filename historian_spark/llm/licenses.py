@@ -1,33 +1,32 @@
 """License scans with DataFrame functions only.
 
 The text is cut into windows of six words that start at every second word, each the set of its
-two runs of five words. Twelve minimum hashes of a window are twelve bands of one row: a window
-with a template's shingle as one of its two meets the template with a probability of 1 - 2^-12,
-and a window equal to two neighbouring shingles of a template always does. A fixed table of the
-templates' band values, broadcast, retrieves templates; then the exact share of a template's
-shingles in the whole text decides (0.8 or more).
+two runs of five words, so that every run lies in one window. ``BANDS`` seeded hash functions
+give a window as many minimum hashes, each a band of one row. A window that holds a template's
+shingle meets it in a band if there the shingle's hash is the smaller of two, so in one band at
+least with a probability of 1 - 2^-BANDS, whatever stands beside it. A broadcast table of the
+templates' band values, whose size is that of the list of templates, retrieves the shingle; the
+words at the window's place then verify it exactly. Distinct verified shingles are counted for
+each row and template, and the share of a template's shingles decides (0.8 or more). All of this
+is one pass over the texts; only verified shingles move.
 
 Cases: words are runs of letters a-z and digits after lower-casing; a text with fewer than five
 words, a null or an empty one has no license; a license is one row a document row, however
-often it occurs; repeated rows and null ids give rows of their own; an empty table gives no
+often it occurs; a text of any length is one row of arrays of its words and their hashes, some
+50 bytes a word; repeated rows and null ids give rows of their own; an empty table gives no
 rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import random
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
-
 SHINGLE = 5
 SHARE = 0.8
-BANDS = 12
-#: Retrieved pairs of document and license that may be broadcast (16 bytes and a name each).
-BROADCAST_ROWS = 100_000
+BANDS = 20
 
 #: Notices of public licenses.
 TEMPLATES = {
@@ -59,52 +58,42 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def _masks(bands: int) -> list[int]:
-    rng = random.Random(7)
-    return [rng.getrandbits(63) for _ in range(bands)]
-
-
 def _run_hash(words: Column, k: Column) -> Column:
     """Hash of the five word hashes from place k (from 0); get() reads one element, slice() would copy the array."""
     return F.xxhash64(*[F.get(words, k + j) for j in range(SHINGLE)])
 
 
-def _template_hashes(spark, templates: dict[str, str]) -> dict[str, list[int]]:
-    rows = [(name, template_shingles(text)) for name, text in templates.items()]
-    df = spark.createDataFrame(rows, "name string, shingles array<string>")
-    one = lambda s: _run_hash(F.transform(F.split(s, " "), lambda w: F.xxhash64(w)), F.lit(0))
-    return {r["name"]: r["h"] for r in df.select("name", F.transform("shingles", one).alias("h")).collect()}
+def _in_band(shingle: Column, band: int) -> Column:
+    """The hash function of a band, on the hash of a shingle; null for a null."""
+    return F.when(shingle.isNotNull(), F.xxhash64(shingle, F.lit(band)))
+
+
+def _index(spark, templates: dict[str, str], bands: int) -> DataFrame:
+    """value, license, shingle, number and total: a row for each band of each shingle of each template."""
+    rows = [(name, k, s, len(found)) for name, found in ((n, template_shingles(t)) for n, t in templates.items()) for k, s in enumerate(found)]
+    df = spark.createDataFrame(rows, "license string, number int, shingle string, total int")
+    hashed = df.withColumn("h", _run_hash(F.transform(F.split("shingle", " "), lambda w: F.xxhash64(w)), F.lit(0)))
+    return hashed.select(F.explode(F.array(*[_in_band(F.col("h"), k) for k in range(bands)])).alias("value"), "license", "shingle", "number", "total")
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, bands: int = BANDS, share: float = SHARE) -> DataFrame:
     """doc_id, license, matched and total shingles of the template, containment; a row for each license of each row of docs."""
-    spark = docs.sparkSession
-    masks = _masks(bands)
-    # a template's units: its neighbouring shingles, at every offset; the shingle itself if it has but one
-    values = sorted({(min(x ^ m for x in unit), name) for name, h in _template_hashes(spark, templates).items() for m in masks for unit in (list(zip(h, h[1:])) or [h])})
-    index = spark.createDataFrame(values, "value long, license string")  # as small as the list of templates
-    listed = spark.createDataFrame([(name, template_shingles(t)) for name, t in templates.items()], "license string, shingles array<string>")
-    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    rows = docs.select("key", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
-    starts = F.when(F.size("w") >= SHINGLE, F.sequence(F.lit(0), F.size("w") - SHINGLE)).otherwise(F.array().cast("array<int>"))
-    rows = rows.select("key", F.transform(starts, lambda k: _run_hash(F.col("w"), k)).alias("s"))
-    firsts = F.when(F.size("s") > 0, F.sequence(F.lit(0), F.size("s") - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
-    windows = F.transform(firsts, lambda k: F.struct(F.get(F.col("s"), k).alias("a"), F.get(F.col("s"), k + 1).alias("b")))
-    windows = rows.select("key", F.inline(windows))
-    signature = F.array(*[F.least(F.col("a").bitwiseXOR(F.lit(m)), F.col("b").bitwiseXOR(F.lit(m))) for m in masks])  # least() skips a null
-    met = windows.select("key", F.explode(signature).alias("value")).join(F.broadcast(index), "value").select("key", "license").distinct()
-    # few documents meet a template; they are sent to all tasks only if they are as few as that
-    met = durable(met, "met")
-    met = docs.join(F.broadcast(met) if met.count() <= BROADCAST_ROWS else met, "key")
-    listed = met.join(F.broadcast(listed), "license")
-
-    def matched(words: Column) -> Column:
-        own = F.transform(F.sequence(F.lit(0), F.size(words) - SHINGLE), lambda k: F.concat_ws(" ", *[F.get(words, k + j) for j in range(SHINGLE)]))
-        return F.size(F.array_intersect("shingles", own))
-
-    # words are bound by a lambda: as a column of their own they would be split again for every shingle once the filter is pushed down
-    judged = listed.select("doc_id", "license", F.transform(F.array(_words(F.col("text"))), matched)[0].alias("matched"), F.size("shingles").alias("total"))
-    return judged.where(F.col("matched") >= share * F.col("total") - 1e-9).withColumn("containment", F.col("matched") / F.col("total"))
+    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # a row's number; it is made and used in one job, and never joined with another's
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", _words(F.col("text")).alias("words"))
+    rows = rows.select("*", F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
+    firsts = F.when(F.size("w") >= SHINGLE, F.sequence(F.lit(0), F.size("w") - SHINGLE, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    windows = rows.select("row_id", "doc_id", "words", "w", F.explode(firsts).alias("at"))
+    second = F.when(F.col("at") + SHINGLE < F.size("w"), _run_hash(F.col("w"), F.col("at") + 1))
+    windows = windows.select("row_id", "doc_id", "words", "at", _run_hash(F.col("w"), F.col("at")).alias("a"), second.alias("b"))
+    # least() skips a null
+    signature = F.array(*[F.least(_in_band(F.col("a"), k), _in_band(F.col("b"), k)) for k in range(bands)])
+    met = windows.select("row_id", "doc_id", "words", "at", F.explode(signature).alias("value")).join(F.broadcast(_index(docs.sparkSession, templates, bands)), "value")
+    run = lambda k: F.array_join(F.slice("words", k + 1, SHINGLE), " ")
+    verified = met.where((run(F.col("at")) == F.col("shingle")) | (run(F.col("at") + 1) == F.col("shingle")))
+    counted = verified.groupBy("row_id", "doc_id", "license", "total").agg(F.count_distinct("number").cast("int").alias("matched"))
+    found = counted.where(F.col("matched") >= share * F.col("total") - 1e-9)
+    return found.select("doc_id", "license", "matched", "total", (F.col("matched") / F.col("total")).alias("containment"))
 
 
 def containment_sql(templates: dict[str, str] = TEMPLATES, share: float = SHARE) -> str:
