@@ -1,17 +1,26 @@
 """Nearest neighbours by inner product over hierarchical navigable small-world graphs.
 
-Vectors are dealt by a hash of their id to shards of bounded size. Each shard builds one graph
-and stores it as flat neighbour arrays, a row a shard. One more component makes all vectors of
-a shard equally long, so that the nearest in the graph have the largest inner products. Equal
-vectors are one node with all their ids. A search sends blocks of queries to every shard, walks
-the graphs for many queries at once, scores what it finds in double precision on the original
-vectors, and merges the shards' best.
+Vectors are parted by dimension and by class of length (its exponent, in steps of half a power of
+two), and dealt by a hash of their id to shards of bounded size within a part, so that the vectors
+of a shard are about equally long. Each shard, scaled by a power of two, builds one graph and
+stores it as flat neighbour arrays, a row a shard. One more component makes its vectors exactly
+equally long, so that the nearest in the graph have the largest inner products. Equal vectors are
+one node with all their ids. A search sends blocks of queries to every shard of their dimension,
+walks the graphs for many queries at once, scores what it finds in double precision on the
+original vectors, and merges the shards' best. A query that a graph leaves with fewer than k of
+the shard's vectors is compared with all of that shard.
+
+Shards hold ``least_rows`` vectors on small tables, more as the table grows so that a query meets
+about ``SHARDS`` of them, and ``most_rows`` at most, which bounds a task's memory; beyond that the
+number of shards that a query meets grows with the table. Uneven lengths add a shard a class.
 
 Cases: vectors that are null, of length zero, all zero or that hold null or non-finite
-components take no part, nor do null ids; only vectors of equal length meet; ties go to the
-smaller id; rows equal in id and vector count once, an id with several vectors is a candidate
-with each and one query; with too few candidates a query has fewer rows; an empty table gives
-an empty index and no rows; other columns are ignored.
+components take no part, nor do null ids; only vectors of equal dimension meet; ties go to the
+smaller id; where a product leaves the range of doubles, its score is infinite or zero, and the
+products of the vectors scaled by powers of two, which are in the same order, decide the ranks;
+rows equal in id and vector count once, an id with several vectors is a candidate with each and
+one query; with too few candidates a query has fewer rows; an empty table gives an empty index
+and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +30,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import column, durable
 
-SHARD_ROWS = 4_096
-BLOCK_QUERIES = 4_096
+LEAST_ROWS, MOST_ROWS, SHARDS = 8_192, 131_072, 64
+BLOCK_QUERIES = 8_192
+SALTS = 64
 LINKS = 16
-EF_BUILD, EF_SEARCH = 64, 128
+EF_BUILD, EF_SEARCH = 64, 192
 _STEP = 4  # nodes a query expands at once
 _BATCH = 256
 
@@ -160,7 +170,13 @@ def search_graph(q: np.ndarray, vectors: np.ndarray, layers: list[np.ndarray], e
     return np.concatenate(out) if out else np.empty((0, ef), np.int64)
 
 
-INDEX = "dim int, shard int, n int, ids binary, id_ends binary, vectors binary, layer_sizes array<int>, links binary"
+INDEX = "dim int, length int, shard int, n int, ids binary, id_ends binary, vectors binary, layer_sizes array<int>, links binary"
+
+
+def _scaled(x: np.ndarray, axis: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """x over a power of two, whose exponent comes with it, so that the largest component (of each row, with axis=1) is about 1."""
+    exponent = np.frexp(np.abs(x).max(axis=axis, keepdims=axis is not None, initial=0.0))[1]
+    return np.ldexp(x, -exponent), exponent
 
 
 def _lengthened(x: np.ndarray) -> np.ndarray:
@@ -171,7 +187,7 @@ def _lengthened(x: np.ndarray) -> np.ndarray:
 
 
 def _build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    x = np.array(rows["vector"].tolist(), np.float64)
+    x = np.stack(rows["vector"].to_numpy())
     ids = rows["vec_id"].to_numpy(np.int64)
     by = np.lexsort((ids, *x.T[::-1]))
     x, ids = x[by], ids[by]
@@ -180,66 +196,99 @@ def _build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     x, ids, new = x[~same], ids[~same], new[~same]
     first = np.flatnonzero(new)
     nodes = x[first]
-    order, layers = build_graph(_lengthened(nodes), seed=int(key[1]))
+    order, layers = build_graph(_lengthened(_scaled(nodes)[0]), seed=int(key[2]))
     ends = np.append(first, len(ids))
     lists = [ids[ends[k] : ends[k + 1]] for k in order]
     id_ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
     flat = b"".join(x.astype("<i4").tobytes() for x in layers)
-    return pd.DataFrame([[key[0], key[1], len(order), np.concatenate(lists).astype("<i8").tobytes(), id_ends.astype("<i8").tobytes(), nodes[order].astype("<f8").tobytes(), [len(x) for x in layers], flat]], columns=[c.split()[0] for c in INDEX.split(", ")])
+    row = [*key, len(order), np.concatenate(lists).astype("<i8").tobytes(), id_ends.astype("<i8").tobytes(), nodes[order].astype("<f8").tobytes(), [len(x) for x in layers], flat]
+    return pd.DataFrame([row], columns=[c.split()[0] for c in INDEX.split(", ")])
 
 
 def usable(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """vec_id, vector (doubles) and dim of the rows that take part."""
+    """vec_id, vector (doubles), dim and length (a class of lengths) of the rows that take part."""
     finite = lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) < float("inf"))
-    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("vector"))
+    rows = vectors.select(column(id_column).cast("long").alias("vec_id"), column(vector_column).cast("array<double>").alias("vector"))
     fit = F.forall("vector", finite) & F.exists("vector", lambda y: y != 0)
-    return rows.where(F.col("vec_id").isNotNull() & F.coalesce(fit, F.lit(False))).withColumn("dim", F.size("vector"))
+    rows = rows.where(F.col("vec_id").isNotNull() & F.coalesce(fit, F.lit(False)))
+    most = F.array_max(F.transform("vector", lambda y: F.abs(y)))
+    squares = lambda m: F.aggregate("vector", F.lit(0.0), lambda acc, y: acc + (y / m) * (y / m))
+    halves = F.transform(F.array(most), lambda m: 2 * F.log2(m) + F.log2(squares(m)))[0]  # twice the length's logarithm
+    return rows.withColumn("dim", F.size("vector")).withColumn("length", F.floor(halves + 0.5).cast("int"))
+
+
+def _shard_rows(n: int, least: int, most: int) -> int:
+    return min(most, max(least, -(-n // SHARDS)))
 
 
-def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def build_index(rows: DataFrame, least_rows: int = LEAST_ROWS, most_rows: int = MOST_ROWS) -> DataFrame:
     """The index of usable rows, one row a shard, stored in the shared folder."""
-    counts = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row a length of vectors
-    shards = F.lit(1)
-    for dim, n in counts.items():
-        shards = F.when(F.col("dim") == dim, F.lit(max(1, -(-n // shard_rows)))).otherwise(shards)
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), shards).cast("int"))
-    return durable(dealt.groupBy("dim", "shard").applyInPandas(_build, INDEX), "ann")
+    counts = durable(rows.groupBy("dim", "length").agg(F.count("*").alias("n")), "ann-parts")
+    size = _shard_rows(int(counts.agg(F.sum("n")).first()[0] or 0), least_rows, most_rows)
+    # a row a part, once for each salt: a part that holds all vectors meets them in many tasks
+    shards = counts.select("dim", "length", F.ceil(F.col("n") / size).alias("shards"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(SALTS)).cast("int"))
+    dealt = salted.join(shards, ["dim", "length", "salt"]).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
+    return durable(dealt.select("vec_id", "vector", "dim", "length", "shard").groupBy("dim", "length", "shard").applyInPandas(_build, INDEX), "ann")
+
+
+def _nodes_of(row: pd.Series) -> tuple[np.ndarray, list[np.ndarray]]:
+    flat, layers, at = np.frombuffer(row["links"], "<i4"), [], 0
+    for level, size in enumerate(row["layer_sizes"]):
+        width = 2 * LINKS if level == 0 else LINKS
+        layers.append(flat[at : at + size * width].reshape(size, width))
+        at += size * width
+    return np.frombuffer(row["vectors"], "<f8").reshape(-1, int(row["dim"])), layers
+
+
+def _all_nodes(q: np.ndarray, nodes: np.ndarray, width: int) -> np.ndarray:
+    """The width best nodes of each row of q among all, -1 for none."""
+    out = np.full((len(q), width), -1, np.int64)
+    for a in range(0, len(q), _BATCH):
+        score = q[a : a + _BATCH] @ nodes.T
+        best = np.argsort(-score, axis=1, kind="stable")[:, :width]
+        out[a : a + len(best), : best.shape[1]] = best
+    return out
+
+
+RANKED = "query_id long, vec_id long, score double, size int, part double"
 
 
 def _searcher(k: int, ef: int, exclude_own: bool):
     def run(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
         if not len(index) or not len(queries):
-            return empty
+            return pd.DataFrame({c.split()[0]: [] for c in RANKED.split(", ")})
         row = index.iloc[0]
-        dim = int(row["dim"])
-        nodes = np.frombuffer(row["vectors"], "<f8").reshape(-1, dim)
+        nodes, layers = _nodes_of(row)
         ids, ends = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["id_ends"], "<i8")
-        flat, layers, at = np.frombuffer(row["links"], "<i4"), [], 0
-        for level, size in enumerate(row["layer_sizes"]):
-            width = 2 * LINKS if level == 0 else LINKS
-            layers.append(flat[at : at + size * width].reshape(size, width))
-            at += size * width
-        q = np.array(queries["vector"].tolist(), np.float64)
+        q = np.stack(queries["vector"].to_numpy())
         own = queries["query_id"].to_numpy(np.int64)
-        length = np.sqrt(np.einsum("nd,nd->n", q, q))[:, None]
-        lengthened = np.concatenate([q / length, np.zeros((len(q), 1))], 1).astype(np.float32)
-        found = search_graph(lengthened, _lengthened(nodes), layers, ef)
+        (small_q, q_size), (small, size) = _scaled(q, 1), _scaled(nodes)
+        unit = small_q / np.sqrt(np.einsum("nd,nd->n", small_q, small_q))[:, None]
+        found = search_graph(np.concatenate([unit, np.zeros((len(q), 1))], 1).astype(np.float32), _lengthened(small), layers, ef)
+        short = (found >= 0).sum(1) < min(k + 1, len(nodes))
+        if short.any():
+            found[short] = _all_nodes(small_q[short], small, found.shape[1])
         r, c = np.nonzero(found >= 0)
         node = found[r, c]
-        score = (nodes[node] * q[r]).sum(1)
+        with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+            score = (nodes[node] * q[r]).sum(1)
+        # the product as part * 2 ** size: the order of these is that of the products, also where doubles end
+        part, exponent = np.frexp((small[node] * small_q[r]).sum(1))
+        far = 1 + (1 << 20)
+        order = np.where(part == 0, 0, np.sign(part) * (far + exponent + q_size[r, 0] + size)).astype(np.int64)
+        score = np.where(np.isnan(score), np.sign(part) * np.inf, score)
         n = np.minimum(ends[node + 1] - ends[node], k + 1)  # the smallest ids of equal vectors
         which = np.repeat(np.arange(len(node)), n)
         vec = ids[np.repeat(ends[node], n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)]
-        r, score = r[which], score[which]
+        r, score, order, part = r[which], score[which], order[which], part[which]
         if exclude_own:
             other = vec != own[r]
-            r, vec, score = r[other], vec[other], score[other]
-        by = np.lexsort((vec, -score, r))
-        r, vec, score = r[by], vec[by], score[by]
-        rank = np.arange(len(r)) - np.searchsorted(r, r)
-        top = rank < k
-        return pd.DataFrame({"query_id": own[r[top]], "vec_id": vec[top], "score": score[top]})
+            r, vec, score, order, part = (x[other] for x in (r, vec, score, order, part))
+        by = np.lexsort((vec, -part, -order, r))
+        r, vec, score, order, part = (x[by] for x in (r, vec, score, order, part))
+        top = np.arange(len(r)) - np.searchsorted(r, r) < k
+        return pd.DataFrame({"query_id": own[r[top]], "vec_id": vec[top], "score": score[top], "size": order[top].astype(np.int32), "part": part[top]})
 
     return run
 
@@ -247,15 +296,18 @@ def _searcher(k: int, ef: int, exclude_own: bool):
 def search(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEARCH, exclude_own: bool = True) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found for each usable row of queries.
 
-    Shards meet blocks of queries; a task holds one shard and one block.
+    Shards meet blocks of queries; a task holds one shard and one block. What moves is the
+    queries, once for each shard that they meet, and the shards, once for each block.
     """
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    shards = index.withColumn("block", every)
-    asked = queries.select(F.col("vec_id").alias("query_id"), "vector", F.col("dim").alias("q_dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("q_block"))
-    targets = index.select(F.col("dim").alias("q_dim"), F.col("shard").alias("q_shard"))
-    asked = asked.join(targets, "q_dim")
-    found = shards.groupBy("dim", "shard", "block").cogroup(asked.groupBy("q_dim", "q_shard", "q_block")).applyInPandas(_searcher(k, max(ef, k + 1), exclude_own), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    shards = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = queries.select(F.col("vec_id").alias("query_id"), "vector", F.col("dim").alias("q_dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    # the shards of a dimension as one row, once for each salt, so that no dimension's queries meet in one task
+    targets = index.groupBy(F.col("dim").alias("q_dim")).agg(F.collect_list(F.struct("length", "shard")).alias("targets"))
+    targets = durable(targets, "ann-targets").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    asked = asked.withColumn("salt", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(SALTS)).cast("int")).join(targets, ["q_dim", "salt"])
+    asked = asked.select("query_id", "vector", "q_dim", "block", F.explode("targets").alias("to")).select("query_id", "vector", "q_dim", "to.length", "to.shard", "block")
+    found = shards.groupBy("dim", "length", "shard", "block").cogroup(asked.groupBy("q_dim", "length", "shard", "block")).applyInPandas(_searcher(k, max(ef, k + 1), exclude_own), RANKED)
+    best = Window.partitionBy("query_id").orderBy(F.desc("size"), F.desc("part"), "vec_id")
     ranked = found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
