@@ -17,7 +17,9 @@ are compared too, so only pairs that cannot join new classes are left out.
 Cases: words are white-space-delimited, lower-cased; a text of fewer than five words has one
 shingle, all its words; texts with equal words are always one class, those without words
 among them; a null text is the empty one; a null doc_id has a class too; repeated rows stay
-rows; an empty table gives no rows; other columns are kept by ``keep_one`` only.
+rows; an empty table gives no rows; other columns are kept by ``keep_one`` only, whatever their
+names. Texts with equal words are told by a 64-bit hash of them and not compared again: among n
+distinct texts two fall together with a probability of n * n / 2**65 or less.
 """
 
 from __future__ import annotations
@@ -26,16 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import column, durable, unused
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 25, 5
 BITMAP_BITS = 26
 PIVOTS = 16  # texts of a centre's buckets, at most, whose shingles count as common there
+SALT_ROWS = 64  # members of a centre's buckets that meet in a task, about
 _U = np.uint64
 
 
@@ -183,13 +186,13 @@ def _members(words: np.ndarray) -> np.ndarray:
     return _mix(np.repeat(h, count) + _U(0x9E3779B97F4A7C15) * nth.astype(np.uint64))
 
 
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingles that two or more of a centre's pivots hold, ascending, and how many hold each."""
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """u and each member of a pivot's bag, for every pivot of a batch."""
     for batch in batches:
-        for u, texts in zip(batch.column("u"), batch.column("pivots")):
-            token, held = np.unique(np.concatenate([_members(w.values.to_numpy().view(np.uint64)) for w in texts.values if len(w)]), return_counts=True)
-            rows = (pa.array([x], pa.list_(kind)) for x, kind in ((token[held > 1].view(np.int64), pa.int64()), (held[held > 1].astype(np.int8), pa.int8())))
-            yield pa.RecordBatch.from_arrays([pa.array([u.as_py()]), *rows], ["u", "common", "held"])
+        words, ends = _flat(batch.column("words"))
+        for k, u in enumerate(batch.column("u").to_pylist()):
+            token = _members(words[ends[k] : ends[k + 1]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), u)), pa.array(token.view(np.int64))], ["u", "token"])
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,14 +202,18 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     common order one of the first n - 4 (n + m) / 9 + 1 of one is among the first of the other.
     The shorter is indexed under its class of size, the longer probes the classes it may meet.
     """
-    last_key, last = None, None
+    last_key = None
     for batch in batches:
         u, roots, v = (batch.column(c).to_pylist() for c in ("u", "root", "v"))
         wv, ev = _flat(batch.column("words_v"))
         for k in range(batch.num_rows):
             if u[k] != last_key:
-                last_key, last = u[k], [batch.column(c)[k].values.to_numpy() for c in ("common", "held")]
-                last[0] = last[0].view(np.uint64)
+                last_key, common = u[k], batch.column("common")[k].values
+                last = [np.empty(0, np.uint64), np.empty(0, np.int64)]
+                if common is not None and len(common):  # sorted by signed token
+                    last = [common.field("token").to_numpy().view(np.uint64), common.field("held").to_numpy()]
+                    by = np.argsort(last[0])
+                    last = [x[by] for x in last]
             token = _members(wv[ev[k] : ev[k + 1]])
             order = np.argsort(token)
             if len(last[0]):
@@ -233,9 +240,14 @@ def _across(left_over: DataFrame, words: DataFrame) -> DataFrame:
     # pivots only order shingles: any members serve, and any order finds the same pairs
     some = left_over.groupBy("u", F.pmod(F.xxhash64("v"), F.lit(PIVOTS)).alias("slot")).agg(F.min("v").alias("key")).select("u", "key")
     some = some.union(left_over.select("u", F.col("u").alias("key")).distinct())
-    pivots = some.join(words, "key").groupBy("u").agg(F.collect_list("words").alias("pivots"))
-    pivots = durable(pivots.mapInArrow(_common, "u long, common array<long>, held array<tinyint>"), "pivots")
-    rows = left_over.join(words.select(F.col("key").alias("v"), F.col("words").alias("words_v")), "v").join(pivots, "u")
+    held = some.join(words, "key").select("u", "words").mapInArrow(_tokens, "u long, token long").groupBy("u", "token").agg(F.count("*").alias("held")).where("held > 1")
+    common = held.groupBy("u").agg(F.collect_list(F.struct("token", "held")).alias("common"))
+    # the members of a centre are dealt over as many tasks as there are SALT_ROWS of them
+    weights = durable(left_over.groupBy("u").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")), "weights")
+    pivots = durable(weights.join(common, "u", "left").select("u", "common", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")), "pivots")
+    salted = left_over.join(weights, "u").withColumn("salt", F.pmod(F.xxhash64("v", F.lit(1)), F.col("salts")).cast("int")).drop("salts")
+    rows = salted.join(words.select(F.col("key").alias("v"), F.col("words").alias("words_v")), "v").join(pivots, ["u", "salt"])
+    rows = rows.select("u", "v", "root", "words_v", "common")
     found = rows.mapInArrow(_prefixes, "u long, v long, root long, probe boolean, size int, token long, place int, n int")
     found = durable(found, "prefixes")
     x, y = found.where("not probe").alias("x"), found.where("probe").alias("y")
@@ -250,6 +262,10 @@ def _linked(compared: DataFrame) -> DataFrame:
     return compared.where(F.col("alike") >= SIMILARITY).select("u", "v")
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string")).alias("text_hash")
+
+
 def _with_words(docs: DataFrame) -> DataFrame:
     """docs with the hashes of its words and key, a hash of their sequence and number."""
     text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
@@ -277,10 +293,12 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # what a join takes in is stored first: a node with very many edges can then be split over tasks
+        least = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
+        large = durable(large, "large")
         # now every edge is (smaller, larger); link all smaller neighbours of a node to their least
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
+        low = durable(large.groupBy("v").agg(F.min("u").alias("m")), "low")
         small = large.join(low, "v").select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("v")), F.struct(F.col("m").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         now = durable(small.where("u <> v").distinct(), "edges")
         state = tuple(now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
@@ -291,20 +309,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, key (of the text's words), class_id (the least doc_id of its class), class_rows, class_key (one a class)."""
+    """One row per row of docs: doc_id, key (of the text's words), class_id (the least doc_id of its class), class_rows, class_key (one a class), text_hash."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keys = durable(_with_words(texts).select("doc_id", "key"), "keys")
+    keys = durable(_with_words(texts).select("doc_id", "key", _text_hash()), "keys")
     # one row a distinct text: copies meet on the mappers first, and only hashes and ids move
     firsts = durable(keys.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "firsts")
     signed = _with_words(texts).select("key", "words").mapInArrow(_signed, "key long, n long, bands array<long>")
     signed = durable(signed.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands")), "signed")
     bands = signed.select("key", "n", F.explode("bands").alias("band"))
-    sizes = bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    # sums by a key are stored before they are joined back: both sides of the join are then plain, and a hot key can be split
+    sizes = durable(bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
     shared = durable(bands.join(sizes, "band"), "shared")
     # the centre of a bucket is the member that meets most others anywhere, such as the text others were made from
     popular = shared.groupBy("key").agg(F.sum("members").alias("meets"))
-    shared = shared.join(popular, "key")
-    centre = shared.groupBy("band").agg(F.max(F.struct("meets", "key", "n")).alias("c")).select("band", F.col("c.key").alias("u"), F.col("c.n").alias("nu"))
+    centre = shared.join(popular, "key").groupBy("band").agg(F.max(F.struct("meets", "key", "n")).alias("c"))
+    centre = durable(centre.select("band", F.col("c.key").alias("u"), F.col("c.n").alias("nu")), "centre")
     members = durable(shared.select("band", "key", "n").join(centre, "band"), "members")
     pairs = members.where("u <> key").groupBy("u", F.col("key").alias("v")).agg(F.count("*").alias("shared"), F.first(5 * F.least("n", "nu") >= 4 * F.greatest("n", "nu")).alias("comparable"))
     pairs = durable(pairs, "pairs")
@@ -335,6 +354,7 @@ def classes(docs: DataFrame) -> DataFrame:
     # last, in buckets that still hold several classes, the pairs across classes that share a prefix
     named = root_of(members.where("u <> key"), "key", "root").select("band", "u", F.col("key").alias("v"), "root")
     mixed = named.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band")
+    mixed = durable(mixed, "mixed-bands")
     left_over = durable(named.join(mixed, "band", "left_semi").select("u", "v", "root").distinct(), "mixed")
     more = _across(left_over, words_of)
     done = compared.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
@@ -342,8 +362,8 @@ def classes(docs: DataFrame) -> DataFrame:
     links = links.union(_linked(_verify(durable(more, "more"), words_of)))
     roots = components(links).withColumnRenamed("node", "key")
     of_key = durable(firsts.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "classes")
-    per_class = of_key.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_rows"))
-    return keys.join(of_key.join(per_class, "root").select("key", "class_id", "class_rows", F.col("root").alias("class_key")), "key").select("doc_id", "key", "class_id", "class_rows", "class_key")
+    per_class = durable(of_key.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_rows")), "per-class")
+    return keys.join(of_key.join(per_class, "root").select("key", "class_id", "class_rows", F.col("root").alias("class_key")), "key").select("doc_id", "key", "class_id", "class_rows", "class_key", "text_hash")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -352,9 +372,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows without doc_id give way to rows with one; of several texts with that doc_id the one of
     the least key is kept.
     """
-    columns = docs.columns
-    ids = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")  # nulls last
-    kept = classes(docs).groupBy("class_key").agg(F.min(ids).alias("kept")).select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.key").alias("kept_key"))
-    rows = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = _with_words(rows.join(durable(kept, "kept").hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")))).where("key = kept_key")
-    return own.drop("words", "text").dropDuplicates(["kept_id", "key"]).select("row.*")
+    ids = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "text_hash")  # nulls last
+    kept = classes(docs).groupBy("class_key").agg(F.min(ids).alias("k"))
+    # rows equal in doc_id and text are one; the join and the choice among them share one partitioning
+    named = {c: unused(docs, c) for c in ("none", "id", "hash")}
+    own = [F.col("k.none"), F.coalesce("k.doc_id", F.lit(0)), F.col("k.text_hash")]
+    kept = durable(kept.select(*[x.alias(c) for x, c in zip(own, named.values())]), "kept")
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.withColumns(dict(zip(named.values(), (doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), _text_hash()))))
+    found = rows.join(kept.hint("merge"), list(named.values())).dropDuplicates(list(named.values()))
+    return found.select(*[column(c) for c in docs.columns])
