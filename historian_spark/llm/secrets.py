@@ -11,12 +11,15 @@ must be to call a token ordinary is set in each class of lengths by the step-up
 discoveries over all documents, so that of the tokens called ordinary at most a share
 ``FALSE_SHARE`` is expected to be random ones. The others are reported.
 
-``thresholds`` gathers one histogram (at most some 600 bins for each of seven classes of
-lengths); ``scan`` then is a plain projection, without a shuffle.
+``scan`` runs patterns and tests once and stores what they find, without the texts; ``thresholds``
+gathers one histogram of it (at most some 600 bins for each of seven classes of lengths), and a
+projection then names the spans. Nothing is shuffled but the histogram.
 
 Cases: a null or empty text has no spans; spans are code points, end exclusive; an added span
-inside a base span or a wider added one is left out; repeated rows and null ids give rows of their own; an empty
-table gives no rows and no thresholds; columns of docs are kept by ``redact`` only.
+inside a base span or a wider added one is left out; n tokens of a text take n log n steps beside
+the search, and a token of n signs some 64 n; repeated rows and null ids give rows of their own; an
+empty table gives no rows and no thresholds; columns of docs are kept by ``redact`` only, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import column, durable, unused
+
 #: Fixed patterns of the base rules, in the order in which kinds are listed.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -39,27 +44,31 @@ LENGTHS = (20, 24, 32, 40, 48, 64, 96)
 _BINS = 20  # of the histogram, for each power of e
 
 
+def _bind(value: Column, then) -> Column:
+    """then(value), with value computed once: inside a lambda variables cannot be named."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _running(values: Column, join) -> Column:
+    """For each place of an array the values up to it, joined: in rounds of doubling distance, so n log n steps and no growing copies."""
+    strides = F.filter(F.array(*[F.lit(1 << r) for r in range(31)]), lambda s: s < F.size(values))
+    return F.aggregate(strides, values, lambda acc, s: F.transform(acc, lambda v, k: F.when(k >= s, join(v, F.get(acc, k - s))).otherwise(v)))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start,end,hit,value>> of leftmost non-overlapping matches; value: the pattern's own group, if it has one.
 
     Each step of the search begins where the last one ended and takes the gap and the match,
-    or what is left at the end of the text, so the time is linear in the text.
+    or what is left at the end of the text. Running sums of their lengths give the places, so n
+    matches take n log n steps beside the search.
     """
     step = rf"\G((?s:.*?))(?:({pattern})|\z)"
     gaps, hits = F.regexp_extract_all(text, F.lit(step), F.lit(1)), F.regexp_extract_all(text, F.lit(step), F.lit(2))
     values = F.regexp_extract_all(text, F.lit(step), F.lit(3)) if pattern == ASSIGN else hits
-    zipped = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), values.alias("value"))
-    kind = "array<struct<start:int,end:int,hit:string,value:string>>"
-
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["value"].alias("value")))
-        return F.struct(end.alias("at"), F.when(F.length(x["hit"]) > 0, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
-
-    none = F.array().cast(kind)
-    folded = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("found")), add, lambda acc: acc["found"])
-    return F.when(text.rlike(pattern), folded).otherwise(none)
+    lengths = F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.length(h))
+    steps = F.arrays_zip(_running(lengths, lambda a, b: a + b).alias("end"), hits.alias("hit"), values.alias("value"))
+    found = F.transform(F.filter(steps, lambda x: x["hit"] != ""), lambda x: F.struct((x["end"] - F.length(x["hit"])).alias("start"), x["end"].alias("end"), x["hit"].alias("hit"), x["value"].alias("value")))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string,value:string>>"))
 
 
 def _of_kind(k: int):
@@ -98,20 +107,12 @@ ENCODINGS = (
 
 
 def randomness(body: Column) -> Column:
-    """p-value of the combined tests that body's symbols are uniform and independent; null if no encoding fits.
-
-    Inside a lambda variables cannot be named, so later steps are transforms of one-element arrays.
-    """
-    letters = F.coalesce(*[F.when(body.rlike(rule), F.lit(symbols)) for rule, symbols in ENCODINGS])
-    fits = body.rlike("[0-9]") & letters.isNotNull()
-
-    def step(value: Column, then) -> Column:
-        return F.transform(F.array(value), then)[0]
-
+    """p-value of the combined tests that body's symbols are uniform and independent; null if no encoding fits."""
     def tests(d: Column) -> Column:
-        x, k = d["x"], d["k"]
+        x, k, letters = d["x"], d["k"], d["letters"]
         n = F.size(x).cast("double")
-        squares = F.aggregate(F.array_distinct(x), F.lit(0.0), lambda acc, s: acc + F.pow(F.size(F.filter(x, lambda y: y == s)).cast("double"), F.lit(2.0)))
+        times = lambda s: (n - F.length(F.replace(body, s, F.lit("")))).cast("double")
+        squares = F.aggregate(F.split(letters, ""), F.lit(0.0), lambda acc, s: acc + F.when(s == "", 0.0).otherwise(times(s) * times(s)))
         mean = F.aggregate(x, F.lit(0.0), lambda acc, y: acc + y) / n
         high = F.transform(x, lambda y: F.when(y >= k / 2, 1).otherwise(0))
         pairs = F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
@@ -141,10 +142,14 @@ def randomness(body: Column) -> Column:
     def fisher(h: Column) -> Column:
         return F.least(F.lit(1.0), F.exp(-h) * (1 + h + h * h / 2))
 
-    split = F.filter(F.split(body, ""), lambda c: c != "")
-    positions = F.transform(split, lambda c: (F.instr(letters, c) - 1).cast("double"))
-    first = F.struct(positions.alias("x"), F.length(letters).cast("double").alias("k"))
-    return F.when(fits, step(step(step(step(step(first, tests), sums), scores), combined), fisher))
+    def of(letters: Column) -> Column:
+        signs = F.filter(F.split(body, ""), lambda c: c != "")
+        positions = F.transform(signs, lambda c: (F.instr(letters, c) - 1).cast("double"))
+        first = F.struct(positions.alias("x"), F.length(letters).cast("double").alias("k"), letters.alias("letters"))
+        return F.when(letters.isNotNull(), _bind(_bind(_bind(_bind(_bind(first, tests), sums), scores), combined), fisher))
+
+    encoding = F.coalesce(*[F.when(body.rlike(rule), F.lit(symbols)) for rule, symbols in ENCODINGS])
+    return F.when(body.rlike("[0-9]"), _bind(encoding, of))
 
 
 def _stratum(length: Column) -> Column:
@@ -162,7 +167,7 @@ def candidates(text: Column) -> Column:
     digits = F.filter(F.flatten(F.transform(tokens, parts)), lambda x: (F.length(x["hit"]) >= LENGTHS[0]) & x["hit"].rlike("[0-9]"))
 
     def tested(x: Column) -> Column:
-        p = randomness(F.regexp_replace(x["hit"], "=+$", ""))
+        p = _bind(F.regexp_replace(x["hit"], "=+$", ""), randomness)
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), _stratum(F.length(x["hit"])).alias("stratum"), p.alias("p"))
 
     return F.filter(F.transform(digits, tested), lambda x: x["p"].isNotNull())
@@ -172,10 +177,19 @@ def _bin(p: Column) -> Column:
     return F.floor(-F.log(F.greatest(p, F.lit(1e-12))) * _BINS).cast("int")
 
 
-def thresholds(docs: DataFrame, false_share: float = FALSE_SHARE) -> dict[int, int]:
-    """For each class of lengths the least bin whose tokens are called ordinary, over all documents."""
+SPANS = "array<struct<start:int,kind:int,end:int>>"
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """doc_id, base and tested (the candidates) of every row of docs, stored: the patterns and tests run once."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    tokens = docs.select(text.alias("text")).where(F.col("text").rlike(TOKEN)).select(F.explode(candidates(F.col("text"))).alias("c"))
+    rows = docs.select("doc_id", text.alias("text")).select("doc_id", base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("tested"))
+    return durable(rows, "spans")
+
+
+def thresholds(tested: DataFrame, false_share: float = FALSE_SHARE) -> dict[int, int]:
+    """For each class of lengths the least bin whose tokens are called ordinary, over all rows of a column tested."""
+    tokens = tested.select(F.explode("tested").alias("c"))
     counts = tokens.groupBy("c.stratum", _bin(F.col("c.p")).alias("bin")).agg(F.count("*").alias("n"))
     strata: dict[int, dict[int, int]] = {}
     for r in counts.collect():  # at most the bins of each class
@@ -190,9 +204,14 @@ def thresholds(docs: DataFrame, false_share: float = FALSE_SHARE) -> dict[int, i
     return cuts
 
 
-def all_spans(text: Column, cuts: dict[int, int]) -> tuple[Column, Column]:
-    """The base spans of a text, in order, and those that the method adds, as arrays of struct<start,kind,end>."""
-    base = base_spans(text)
+def text_thresholds(docs: DataFrame, false_share: float = FALSE_SHARE) -> dict[int, int]:
+    """thresholds of docs, from their texts."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return thresholds(docs.select(text.alias("text")).where(F.col("text").rlike(TOKEN)).select(candidates(F.col("text")).alias("tested")), false_share)
+
+
+def all_spans(base: Column, tested: Column, cuts: dict[int, int]) -> Column:
+    """The base spans and those that the method adds, as arrays of struct<start,kind,end> by start, then kind."""
 
     def is_random(x: Column) -> Column:
         least = F.lit(1 << 30)
@@ -200,18 +219,16 @@ def all_spans(text: Column, cuts: dict[int, int]) -> tuple[Column, Column]:
             least = F.when(x["stratum"] == stratum, F.lit(b)).otherwise(least)
         return _bin(x["p"]) < least
 
-    added = F.transform(F.filter(candidates(text), is_random), _of_kind(3))
-    return base, added
+    added = F.transform(F.filter(tested, is_random), _of_kind(3))
+    # in this order a span that holds another comes before it, so the farthest end so far tells
+    wide = F.array_sort(F.transform(F.concat(base, added), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["kind"].alias("kind"))))
 
+    def free(s: Column) -> Column:
+        far = _running(F.transform(s, lambda x: -x["back"]), lambda a, b: F.greatest(a, b))
+        held = lambda far: F.filter(F.transform(s, lambda x, k: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), (-x["back"]).alias("end"), F.get(far, k - 1).alias("far"))), lambda x: (x["kind"] < 3) | x["far"].isNull() | (x["far"] < x["end"]))
+        return F.transform(_bind(far, held), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
 
-def _with_spans(docs: DataFrame, cuts: dict[int, int]) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base, added = all_spans(F.col("_text"), cuts)
-    rows = docs.withColumn("_text", text).withColumn("_base", base).withColumn("_added", added)
-    inside = lambda x, y: (y["start"] <= x["start"]) & (x["end"] <= y["end"])
-    wider = lambda x, y: inside(x, y) & (x["end"] - x["start"] < y["end"] - y["start"])
-    free = F.filter("_added", lambda x: ~F.exists("_base", lambda b: inside(x, b)) & ~F.exists("_added", lambda y: wider(x, y)))
-    return rows.withColumn("_spans", F.array_sort(F.concat("_base", free)))
+    return F.array_sort(_bind(wide, free)).cast(SPANS)
 
 
 def _listed(spans: str) -> Column:
@@ -219,25 +236,41 @@ def _listed(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"], x["end"])), ",")
 
 
-def scan(docs: DataFrame, cuts: dict[int, int]) -> DataFrame:
-    """doc_id, base and spans (texts of kind:start:end, comma-joined) and counts of each base kind."""
-    rows = _with_spans(docs.select("doc_id", "text"), cuts)
-    count = lambda k: F.size(F.filter("_base", lambda x: x["kind"] == k)).cast("long")
-    return rows.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), _listed("_base").alias("base"), _listed("_spans").alias("spans"))
+def scan(docs: DataFrame, false_share: float = FALSE_SHARE) -> DataFrame:
+    """doc_id, counts of each base kind, base and spans (texts of kind:start:end, comma-joined) of every row of docs."""
+    found = find(docs)
+    rows = found.select("doc_id", "base", all_spans(F.col("base"), F.col("tested"), thresholds(found, false_share)).alias("spans"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    return rows.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), _listed("base").alias("base"), _listed("spans").alias("spans"))
 
 
-def redact(docs: DataFrame, cuts: dict[int, int], mark: str = "[secret]") -> DataFrame:
-    """docs with every span replaced by mark; n_chars, if there is such a column, follows the new text."""
-    rows = _with_spans(docs, cuts)
+def _marked(text: Column, spans: Column, mark: str) -> Column:
+    """text with mark in place of each span; of spans that overlap the first one is marked, to the end of the last.
+
+    Pieces are cut from four bytes a sign, where a place is found at once.
+    """
+    size = F.length(text)
 
-    def add(acc: Column, x: Column) -> Column:
-        gap = F.substring(F.col("_text"), acc["at"] + 1, F.greatest(F.lit(0), x["start"] - acc["at"]))
-        fresh = F.concat(acc["out"], gap, F.when(x["start"] >= acc["at"], F.lit(mark)).otherwise(F.lit("")))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), fresh.alias("out"))
+    def pieces(wide: Column) -> Column:
+        cut = lambda a, b: F.decode(F.substring(wide, 4 * a + 1, 4 * F.greatest(F.lit(0), b - a)), "UTF-32")
 
-    done = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda acc: F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, F.length("_text"))))
-    found = F.size("_spans") > 0
-    rows = rows.withColumn("text", F.when(found, done).otherwise(F.col("text")))
+        def by(far: Column) -> Column:
+            before = lambda k: F.coalesce(F.get(far, k - 1), F.lit(0))
+            parts = F.transform(spans, lambda x, k: F.when(x["start"] >= before(k), F.concat(cut(before(k), x["start"]), F.lit(mark))).otherwise(F.lit("")))
+            return F.concat(F.array_join(parts, ""), cut(F.element_at(far, -1), size))
+
+        return _bind(_running(F.transform(spans, lambda x: x["end"]), lambda a, b: F.greatest(a, b)), by)
+
+    return _bind(F.encode(text, "UTF-32"), pieces)
+
+
+def redact(docs: DataFrame, cuts: dict[int, int], mark: str = "[secret]") -> DataFrame:
+    """docs with every span replaced by mark; n_chars, if there is such a column, follows the new text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    work = unused(docs, "work")
+    done = lambda t: _bind(all_spans(base_spans(t), candidates(t), cuts), lambda s: F.when(F.size(s) > 0, _marked(t, s, mark)))
+    rows = docs.withColumn(work, _bind(text, done))  # null where nothing is marked
+    fresh = {"text": F.coalesce(column(work), F.col("text"))}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(found, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        fresh["n_chars"] = F.when(column(work).isNotNull(), F.length(column(work)).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return rows.select(*[fresh[c].alias(c) if c in fresh else column(c) for c in docs.columns])
