@@ -24,18 +24,13 @@ class AggregatePlan:
         return cls(aggregate or "Average", start, end, interval_ms or 60_000)
 
 
-def _mean(value: Column) -> Column:
-    """An average that does not depend on the order of rows: an exact decimal sum over a count."""
-    return F.sum(value.cast("decimal(18,6)")).cast("double") / F.count(value)
-
-
 def aggregate(name: str, value: Column, ts: Column) -> Column:
     """By name; averages over time are plain averages, and so is every unknown name."""
     known = {
-        "Minimum": lambda: F.min(value), "Maximum": lambda: F.max(value), "Total": lambda: F.sum(value.cast("decimal(18,6)")).cast("double"),
+        "Minimum": lambda: F.min(value), "Maximum": lambda: F.max(value), "Total": lambda: F.sum(value),
         "Count": lambda: F.count(value).cast("double"), "Start": lambda: F.min_by(value, ts), "End": lambda: F.max_by(value, ts),
     }
-    return known.get(name, lambda: _mean(value))()
+    return known.get(name, lambda: F.avg(value))()
 
 
 def processed(rows: DataFrame, plan: AggregatePlan, key: str = "variable_id", ts: str = "sourcetimestamp", value: str = "value_double") -> DataFrame:
