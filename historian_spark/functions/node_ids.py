@@ -33,11 +33,6 @@ def node_id(value) -> str:
     raise TypeError(f"not a node id: {value!r}")
 
 
-def slug(namespace: int, identifier) -> str:
-    text = re.sub("[^a-zA-Z0-9_]+", "_", f"{namespace}_{identifier}").strip("_").lower() or "unknown"
-    return (f"t_{text}" if text[0].isdigit() else text)[:SLUG_LENGTH]
-
-
 def slug_column(namespace: Column, identifier: Column) -> Column:
     text = F.lower(F.btrim(F.regexp_replace(F.concat_ws("_", namespace, identifier), "[^a-zA-Z0-9_]+", "_"), F.lit("_")))
     text = F.when(text == "", F.lit("unknown")).otherwise(text)
@@ -54,22 +49,6 @@ def check_table_name(name: str) -> str:
     return name
 
 
-def type_short_name(value) -> str | None:
-    """The event type's own name; numbers have none."""
-    if isinstance(value, int):
-        return None
-    text = re.sub(r"^ns=\d+;s=", "", str(value))
-    return text.removeprefix("Events.")
-
-
-def group_key(text: str) -> str:
-    return text.rpartition(".")[0] or text
-
-
-def metric_node_name(path: str) -> str:
-    return "".join(p[:1].upper() + p[1:] for p in re.split(r"[._]", path) if p)
-
-
 def flatten(metrics: dict, prefix: str = "") -> dict:
     """Nested metrics as dotted paths."""
     found = {}

@@ -25,3 +25,8 @@ def decode_value(value: Column) -> Column:
 
 def field(json: Column, name: str) -> Column:
     return F.get_json_object(json, f"$.{name}")
+
+
+def json_safe(*columns: Column) -> Column:
+    """Columns as one JSON object; bytes become base64, nested values their JSON, nulls are left out."""
+    return F.to_json(F.struct(*columns))

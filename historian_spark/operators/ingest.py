@@ -15,8 +15,9 @@ def storage_mode(text: str | None) -> str:
 
 
 def first_write(rows: DataFrame, keys: list[str], arrival: str) -> DataFrame:
-    """The earliest arrival of each key."""
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(arrival))).where("nth = 1").drop("nth")
+    """The earliest arrival of each key; partial aggregates move, one row a key and task."""
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), arrival).alias("first"))
+    return best.select("first.*")
 
 
 def insert_new(target: DataFrame | None, rows: DataFrame, keys: list[str], arrival: str) -> DataFrame:
@@ -39,9 +40,11 @@ def merge_last_values(stored: DataFrame, rows: DataFrame, key: str = "variable_i
     return both.select(key, F.when(wins, F.col("nt")).otherwise(F.col(ts)).alias(ts), F.when(wins, F.col("nv")).otherwise(F.col(value)).alias(value), F.when(wins, F.lit(False)).otherwise(F.col("is_seed")).alias("is_seed"))
 
 
-def seed_missing(stored: DataFrame, seeds: DataFrame, key: str = "variable_id") -> DataFrame:
-    """Seeds for series without a stored value."""
-    return seeds.join(stored.select(key), key, "left_anti").dropDuplicates([key]).withColumn("is_seed", F.lit(True))
+def seed_missing(stored: DataFrame, seeds: DataFrame, key: str = "variable_id", position: str | None = None) -> DataFrame:
+    """Seeds for series without a stored value; of several for one series the first by position, if there is such a column."""
+    new = seeds.join(stored.select(key), key, "left_anti")
+    new = new.dropDuplicates([key]) if position is None else first_write(new, [key], position)
+    return new.withColumn("is_seed", F.lit(True))
 
 
 def backfill_seeds(stored: DataFrame, history: DataFrame, key: str = "variable_id", ts: str = "sourcetimestamp", id_column: str = "value_id", value: str = "value_double") -> DataFrame:
@@ -52,6 +55,18 @@ def backfill_seeds(stored: DataFrame, history: DataFrame, key: str = "variable_i
     return both.select(key, F.when(found, F.col("ht")).otherwise(F.col(ts)).alias(ts), F.when(found, F.col("hv")).otherwise(F.col(value)).alias(value), F.lit(False).alias("is_seed"), found.alias("restored"))
 
 
+CHUNK = 4096  # positions that are numbered in one task
+
+
+def numbered(rows: DataFrame, position: str, name: str) -> DataFrame:
+    """rows with a number from 1 in order of position: counted by ranges of positions first, so no task sees all rows."""
+    ranged = rows.withColumn("chunk", F.floor(F.col(position) / CHUNK))
+    before = F.sum("n").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))  # a row a chunk
+    base = ranged.groupBy("chunk").agg(F.count("*").alias("n")).select("chunk", F.coalesce(before, F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("chunk").orderBy(position))
+    return ranged.withColumn("inside", inside).join(base, "chunk").withColumn(name, F.col("base") + F.col("inside")).drop("chunk", "base", "inside")
+
+
 def register(dimension: DataFrame, nodes: DataFrame, reset_type: bool) -> DataFrame:
     """Upsert of nodes by node_id; registering one node resets its type to Unknown, in bulk it stays. New ids follow the largest."""
     ranked = nodes.groupBy("node_id").agg(F.min("position").alias("position"))
@@ -59,8 +74,18 @@ def register(dimension: DataFrame, nodes: DataFrame, reset_type: bool) -> DataFr
     kept = known.withColumn("data_type", F.when(F.col("again") & F.lit(reset_type), F.lit("Unknown")).otherwise(F.col("data_type"))).drop("again")
     new = ranked.join(dimension.select("node_id"), "node_id", "left_anti")
     top = dimension.agg(F.coalesce(F.max("variable_id"), F.lit(0)).alias("top"))
-    numbered = new.crossJoin(F.broadcast(top)).withColumn("variable_id", F.col("top") + F.row_number().over(Window.orderBy("position")))  # top is one row
-    return kept.unionByName(numbered.select("node_id", "variable_id", F.lit("Unknown").alias("data_type")), allowMissingColumns=True)
+    fresh = numbered(new, "position", "nth").crossJoin(F.broadcast(top)).withColumn("variable_id", F.col("top") + F.col("nth"))  # top is one row
+    return kept.unionByName(fresh.select("node_id", "variable_id", F.lit("Unknown").alias("data_type")), allowMissingColumns=True)
+
+
+def touch(dimension: DataFrame, names: DataFrame, key: str, id_column: str, now: Column) -> DataFrame:
+    """Event sources or types by name: known ones get now as updated_at, new ones the next ids in order of their names' positions."""
+    asked = names.groupBy(key).agg(F.min("position").alias("position"))
+    known = dimension.join(asked.select(key, F.lit(True).alias("again")), key, "left")
+    kept = known.withColumn("updated_at", F.when(F.col("again"), now).otherwise(F.col("updated_at"))).drop("again")
+    top = dimension.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("top"))
+    new = numbered(asked.join(dimension.select(key), key, "left_anti"), "position", "nth").crossJoin(F.broadcast(top))  # top is one row
+    return kept.unionByName(new.select(key, (F.col("top") + F.col("nth")).alias(id_column), now.alias("updated_at")))
 
 
 def valid_events(rows: DataFrame, now: Column) -> DataFrame:

@@ -85,6 +85,54 @@ def latest(rows: DataFrame, key: str, ts: str, id_column: str, *values: str, sin
     return best.select(key, f"last.{ts}", *[f"last.{v}" for v in values])
 
 
+def metadata_page(meta: DataFrame, after, size: int, cap: int | None = None, key: str = "variable_id") -> DataFrame:
+    """The next rows of a dimension behind a key, in its order; cap: the most that a caller will hold."""
+    return meta.where(F.col(key) > after).orderBy(key).limit(size if cap is None else min(size, cap))
+
+
+def latest_levels(requested: DataFrame, stored: DataFrame | None, history: DataFrame, key: str, ts: str, id_column: str, value: str, fallback: bool = True, since=None) -> DataFrame:
+    """Every requested series once, with time, value and level: stored, history or none.
+
+    since bounds how far back the history is asked; fallback=False does not ask it at all. Only
+    series without a stored value are looked for there.
+    """
+    asked = requested.select(key).distinct()
+    empty = history.select(key, ts, value).limit(0)
+    held = (empty if stored is None else stored.select(key, ts, value)).withColumn("level", F.lit("stored"))
+    found = asked.join(held, key, "left")
+    if fallback:
+        open_ = found.where("level is null").select(key)
+        last = latest(history.join(open_, key, "left_semi"), key, ts, id_column, value, since=since)
+        more = last.select(key, F.col(ts).alias("ht"), F.col(value).alias("hv"))
+        found = found.join(more, key, "left").select(key, F.coalesce(ts, "ht").alias(ts), F.coalesce(value, "hv").alias(value), F.when(F.col("level").isNotNull(), F.col("level")).when(F.col("ht").isNotNull(), F.lit("history")).alias("level"))
+    return found.withColumn("level", F.coalesce("level", F.lit("none")))
+
+
+def healed(stored: DataFrame, levels: DataFrame, key: str, ts: str, value: str) -> DataFrame:
+    """stored with the values that latest_levels found in the history, so that the next read finds them there."""
+    new = levels.where("level = 'history'").select(key, ts, value)
+    return stored.select(key, ts, value).unionByName(new)
+
+
+def array_rows(spark, **arrays) -> DataFrame:
+    """Parallel arrays of parameters as rows, a column each; shorter ones end in nulls."""
+    one = spark.createDataFrame([tuple(arrays.values())], list(arrays))
+    return one.select(F.inline(F.arrays_zip(*arrays)))
+
+
+def selected(rows: DataFrame, clauses: list) -> DataFrame:
+    """The fields that select clauses name, in their order; an unknown one is a column of nulls."""
+    from ..plans.planner import field_name
+
+    names = list(dict.fromkeys(field_name(c) for c in clauses))
+    return rows.select(*[F.col(f"`{n}`") if n in rows.columns else F.lit(None).cast("string").alias(n) for n in names]) if names else rows
+
+
+def plan_text(rows: DataFrame) -> str:
+    """The physical plan that Spark chose, with what is pushed to the scans."""
+    return rows._jdf.queryExecution().explainString(rows.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
 def latest_for(requested: DataFrame, stored: DataFrame | None, history: DataFrame, key: str, ts: str, id_column: str, value: str, fallback: bool = True) -> DataFrame:
     """Every requested series with its value: the stored one, else the history's last, else null."""
     found = requested.select(key).distinct()

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.filters import legal_column
+from ..plans.filters import expand_fields, legal_column
 
 #: Fields that every event has and typed tables do not repeat.
 COMMON_FIELDS = ("Time", "EventType", "SourceNode", "ReceiveTime", "LocalTime")
@@ -18,6 +18,27 @@ def next_version(current: list[str] | None, version: int, fields: list[str]) ->
     return version if current == fields else version + 1 if current is not None else 1
 
 
+def sync(schemas: DataFrame, event_type_id: int, fields: list[str]) -> DataFrame:
+    """schemas with a type's field list: a new version if it is not the latest one, else as they were."""
+    spark = schemas.sparkSession
+    new = spark.createDataFrame([(event_type_id, fields)], "event_type_id int, fields array<string>")
+    last = latest_schemas(schemas).select("event_type_id", "schema_version", F.col("fields").alias("had"))
+    changed = new.join(last, "event_type_id", "left").where("had is null or had <> fields")
+    fresh = changed.select("event_type_id", (F.coalesce("schema_version", F.lit(0)) + 1).alias("schema_version"), "fields")
+    return schemas.unionByName(fresh.select([F.col(f.name).cast(f.dataType) for f in schemas.schema.fields]))
+
+
+def upsert(stored: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """stored with rows in place of those of equal keys, and with the new ones."""
+    return stored.join(rows.select(*keys), keys, "left_anti").unionByName(rows.select(*stored.columns))
+
+
+def allowed_fields(configured: set[str], schemas: DataFrame, aliases: dict[str, str] | None = None) -> set[str]:
+    """The fields that a filter may ask for: the configured ones, else all of the latest schemas; a column a name, so few."""
+    found = configured or {r["field"] for r in all_fields(schemas).collect()}
+    return expand_fields(found, aliases)
+
+
 def latest_schemas(schemas: DataFrame) -> DataFrame:
     best = schemas.groupBy("event_type_id").agg(F.max_by(F.struct("schema_version", "fields"), "schema_version").alias("s"))
     return best.select("event_type_id", "s.schema_version", "s.fields")

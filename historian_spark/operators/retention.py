@@ -40,6 +40,12 @@ def trim(rows: DataFrame, key: str, ts: str, id_column: str, cutoff=None, count:
     return keep_newest(rows, key, ts, id_column, count) if count > 0 else rows
 
 
+def deactivate(dimension: DataFrame, key: str, ids: list) -> DataFrame:
+    """Soft deletion: the rows stay, with is_active false."""
+    was = F.col("is_active") if "is_active" in dimension.columns else F.lit(True)
+    return dimension.withColumn("is_active", was & ~F.coalesce(F.col(key).isin(ids), F.lit(False)))
+
+
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     counted = [df.agg(F.lit(name).alias("table_name"), F.count("*").alias("row_count")) for name, df in sorted(tables.items())]
     out = counted[0]

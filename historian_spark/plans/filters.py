@@ -46,7 +46,7 @@ def type_filter(types: list, column: str = "event_type") -> list[dict]:
 
 
 def infer_literal(text: str):
-    """The value of a text: bool, then int, then float, else the text."""
+    """The value of a text: bool, then int, then float, else the text (node ids are texts here, in their canonical form)."""
     if text.lower() in ("true", "false"):
         return text.lower() == "true"
     for kind in (int, float):
@@ -65,9 +65,13 @@ def _numeric(kind: T.DataType) -> bool:
     return isinstance(kind, T.NumericType | T.BooleanType)
 
 
+class WholeFilterFalse(ValueError):
+    """A mistake in a filter that makes no event pass it."""
+
+
 class Compiler:
-    def __init__(self, elements: list[dict], schema: T.StructType, strict_shared: bool = False):
-        self.elements, self.types = elements, {f.name: f.dataType for f in schema.fields}
+    def __init__(self, elements: list[dict], schema: T.StructType, strict_shared: bool = False, node_column: str = "source_id"):
+        self.elements, self.types, self.node_column = elements, {f.name: f.dataType for f in schema.fields}, node_column
         self.strict_shared, self.seen, self.stack = strict_shared, set(), []
 
     def compile(self) -> Column:
@@ -94,6 +98,8 @@ class Compiler:
             return F.lit(v if kind is not None or v is None else str(v)), kind if kind is not None or v is None else T.StringType()
         if "attribute" in o:
             path = o["attribute"] if isinstance(o["attribute"], list) else [o["attribute"]]
+            if not path and o.get("of") == "NodeId" and self.node_column in self.types:  # the node that emits the event
+                return F.col(self.node_column), self.types[self.node_column]
             for name in ("/".join(path), path[0] if path else ""):
                 if name in self.types:
                     return F.col(f"`{name}`"), self.types[name]
@@ -131,7 +137,9 @@ class Compiler:
     def _Like(self, operands: list[dict]) -> Column:
         """% and _ become .* and . of an anchored pattern; other signs keep their meaning in patterns."""
         (x, kind), pattern = self._operand(operands[0]), operands[1].get("literal")
-        if not isinstance(pattern, str) or kind is None:
+        if not isinstance(pattern, str):
+            raise WholeFilterFalse("a pattern must be text")
+        if kind is None:
             return F.lit(False)
         return x.cast("string").rlike("^" + pattern.replace("%", ".*").replace("_", ".") + "$")
 
@@ -167,8 +175,14 @@ class Compiler:
         return F.lit(True)
 
 
-def compile_filter(elements: list[dict] | None, schema: T.StructType, strict_shared: bool = False) -> Column:
-    return Compiler(elements or [], schema, strict_shared).compile()
+def compile_filter(elements: list[dict] | None, schema: T.StructType, strict_shared: bool = False, strict_errors: bool = False) -> Column:
+    """The filter as a condition. A mistake such as a pattern that is no text makes it false, or with strict_errors raises."""
+    try:
+        return Compiler(elements or [], schema, strict_shared).compile()
+    except WholeFilterFalse:
+        if strict_errors:
+            raise
+        return F.lit(False)
 
 
 def event_types_of(elements: list[dict], column: str = "event_type") -> list:
@@ -177,8 +191,29 @@ def event_types_of(elements: list[dict], column: str = "event_type") -> list:
 
 
 def strip_types(elements: list[dict], column: str = "event_type") -> list[dict]:
-    """The filter without its conditions on the event type (they become true)."""
-    return [element("And") if e["op"] in ("InList", "Equals") and e["operands"][0].get("attribute") in (column, [column]) else e for e in elements]
+    """The filter without its conditions on the event type, as far as And alone stands above them.
+
+    Beneath Or and Not they stay: there a condition taken as true would change what the rest means.
+    """
+
+    def on_type(k: int) -> bool:
+        e = elements[k]
+        return e["op"] in ("InList", "Equals") and bool(e["operands"]) and e["operands"][0].get("attribute") in (column, [column])
+
+    def copied(k: int, out: list[dict], strips: bool, above: tuple = ()) -> int:
+        """The place in out of element k; strips: whether nothing but And stands above it."""
+        if k in above:
+            raise ValueError(f"filter element {k} refers to itself")
+        e = element("And") if strips and on_type(k) else elements[k]
+        inner = lambda o: isinstance(o.get("element"), int) and 0 <= o["element"] < len(elements)
+        operands = [ref(copied(o["element"], out, strips and e["op"] == "And", (*above, k))) if inner(o) else o for o in e["operands"]]
+        out.append(element(e["op"], *operands))
+        return len(out) - 1
+
+    stripped: list[dict] = []
+    if elements:
+        copied(len(elements) - 1, stripped, True)
+    return stripped
 
 
 def parse_csv_set(text: str | None) -> set[str]:
