@@ -1,13 +1,16 @@
-"""Parquet tables, the historian's views of them, and whole-table replacement."""
+"""Parquet tables, the historian's views of them, and a folder for intermediate data."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import files
+
 _work: dict[str, str] = {}
 
 
@@ -16,14 +19,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share; a temporary one only where none is set."""
+    """A folder of this session in spark.checkpoint.dir; where that is unset, a temporary one serves a local master only."""
     app = spark.sparkContext.applicationId
     if app not in _work:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="historian-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            base = tempfile.mkdtemp(prefix="historian-")
         _work[app] = f"{base.rstrip('/')}/historian-{uuid.uuid4().hex}"
+        atexit.register(_drop, spark, _work[app])
     return _work[app]
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        files.delete(spark, path)
+    except Exception:  # the session has ended; the folder's owner clears it
+        pass
+
+
 def event_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select("event_id", F.col("user_id").alias("source_id"), "event_type", F.col("ts").alias("event_timestamp"), F.lit(1).alias("schema_version"), F.col("event_id").alias("legacy_row_id"))
@@ -60,19 +76,3 @@ def event_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     names = table(spark, sf_dir, "events").select("event_type").distinct()
     return names.select(F.row_number().over(Window.orderBy("event_type")).alias("event_type_id"), F.concat(F.lit("ns=2;s=Events."), "event_type").alias("event_type_name"))
-
-
-class Store:
-    """A table kept as versions; a new version is written whole, then named current."""
-
-    def __init__(self, spark: SparkSession, path: str, *partition_by: str):
-        self.spark, self.path, self.partition_by, self.version = spark, path, partition_by, None
-
-    def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.version) if self.version else None
-
-    def replace(self, df: DataFrame) -> DataFrame:
-        version = f"{self.path}/{uuid.uuid4().hex}"
-        df.write.partitionBy(*self.partition_by).parquet(version)
-        self.version = version
-        return self.read()

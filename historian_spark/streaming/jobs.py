@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ingest import insert_new, merge_last_values
-from ..sources.tables import Store, work_dir
+from ..operators.writes import save_events, save_values
+from ..sources.tables import work_dir
+from ..sources.warehouse import Table
 
 
 def stream(spark: SparkSession, path: str, files_a_batch: int = 16) -> DataFrame:
@@ -18,12 +19,33 @@ def stream(spark: SparkSession, path: str, files_a_batch: int = 16) -> DataFrame
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(pattern)
 
 
-def run_to_end(df: DataFrame, mode: str, each) -> None:
-    """All that is there now, in micro-batches; each(batch, number) may be called again after a failure."""
-    spark = df.sparkSession
-    at = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
-    query = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", at).foreachBatch(each).start()
-    query.awaitTermination()
+def start(df: DataFrame, mode: str, each, checkpoint: str, interval: str | None = None):
+    """A running query: each(batch, number) per micro-batch, every interval, or over all that is there now.
+
+    The same checkpoint goes on where an earlier query with it ended; each may be called again
+    with a number that failed. Waiting for the query, or its processAllAvailable(), makes what
+    was written readable; nothing is dropped when writing is slow, the source waits.
+    """
+    trigger = {"availableNow": True} if interval is None else {"processingTime": interval}
+    return df.writeStream.outputMode(mode).trigger(**trigger).option("checkpointLocation", checkpoint).foreachBatch(each).start()
+
+
+def read_once(each):
+    """each, with its batch kept while it runs: the source is then read once, however often the batch is used."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            each(batch, number)
+        finally:
+            batch.unpersist()
+
+    return run
+
+
+def run_to_end(df: DataFrame, mode: str, each, checkpoint: str | None = None) -> None:
+    """All that is there now, in micro-batches."""
+    start(df, mode, each, checkpoint or f"{work_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}").awaitTermination()
 
 
 def last_state(df: DataFrame) -> DataFrame:
@@ -40,8 +62,17 @@ def last_state(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{path}/{done[-1]}")
 
 
+def closed_rows(df: DataFrame, checkpoint: str | None = None) -> DataFrame:
+    """What an aggregation gives in append mode: each window once, when the watermark has passed its end; state before it is dropped."""
+    spark = df.sparkSession
+    target = Table(spark, f"{work_dir(spark)}/closed-{uuid.uuid4().hex}")
+    run_to_end(df, "append", lambda batch, number: target.append(batch, "stream", number), checkpoint)
+    found = target.read()
+    return spark.createDataFrame([], df.schema) if found is None else found
+
+
 def hourly_rollup(events: DataFrame, late: str = "3 hours") -> DataFrame:
-    """Counts by hour, source and type; windows older than the watermark are closed."""
+    """Counts by hour, source and type. In append mode windows older than the watermark are closed and later rows of theirs dropped; complete mode keeps all windows."""
     timed = events.withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", late)
     counted = timed.groupBy(F.window("t", "1 hour").alias("w"), "user_id", "event_type").agg(F.count("*").alias("event_count"))
     return counted.select(F.col("w.start").cast("timestamp_ntz").alias("bucket"), F.col("user_id").alias("source_id"), "event_type", "event_count")
@@ -52,32 +83,18 @@ def latest_values(events: DataFrame) -> DataFrame:
     return best.select(F.col("user_id").alias("variable_id"), F.col("b.ts").alias("sourcetimestamp"), F.col("b.value").alias("value_double"))
 
 
-def deduplicated(spark: SparkSession, events: DataFrame, keys: list[str], arrival: str) -> DataFrame:
-    """First write wins across batches: ranked within a batch, then against what is stored."""
-    path = f"{work_dir(spark)}/dedup-{uuid.uuid4().hex}"
-    schema = events.schema
-
-    def each(batch: DataFrame, number: int) -> None:
-        held = [f"{path}/{k}" for k in range(number)]
-        target = spark.read.schema(schema).parquet(*held) if held else None
-        insert_new(target, batch, keys, arrival).write.mode("overwrite").parquet(f"{path}/{number}")
-
-    run_to_end(events, "append", each)
-    return spark.read.schema(schema).parquet(f"{path}/*")
-
+def deduplicated(spark: SparkSession, events: DataFrame, keys: list[str], arrival: str, ts: str, unit: str = "day") -> DataFrame:
+    """First write wins across batches: within a batch, then against the stored rows of its days."""
+    target = Table(spark, f"{work_dir(spark)}/dedup-{uuid.uuid4().hex}", ts, unit)
+    run_to_end(events, "append", read_once(lambda batch, number: target.append_new(batch, keys, arrival, "stream", number)))
+    return target.read()
 
-def ingest(spark: SparkSession, rows: DataFrame, history: Store, values: Store, keys: list[str], arrival: str) -> None:
-    """History with first write wins and last values merged, batch by batch."""
-
-    def each(batch: DataFrame, number: int) -> None:
-        old = history.read()
-        fresh = insert_new(old, batch, keys, arrival)
-        merged = history.replace(fresh if old is None else old.unionByName(fresh))
-        stored = values.read()
-        if stored is None:
-            stored = merged.limit(0).select("variable_id", "sourcetimestamp", "value_double", F.lit(False).alias("is_seed"))
-        values.replace(merge_last_values(stored, batch, arrival=arrival))
 
-    run_to_end(rows, "append", each)
+def ingest(rows: DataFrame, history: Table, last: Table, checkpoint: str, job: str = "ingest", interval: str | None = None):
+    """Values into history (first write wins, added by day) and last values, each batch once, also after a restart."""
+    return start(rows, "append", read_once(lambda batch, number: save_values(history, last, batch, job, number)), checkpoint, interval)
 
 
+def ingest_events(rows: DataFrame, house, schemas: dict[str, list[str]], mode: str | None, checkpoint: str, job: str = "events", interval: str | None = None):
+    """Events into the stores of the storage mode, each batch once in each table."""
+    return start(rows, "append", read_once(lambda batch, number: save_events(house, batch, schemas, mode, job, number)), checkpoint, interval)
