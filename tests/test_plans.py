@@ -25,8 +25,6 @@ def test_bounds():
 def test_names():
     assert node_ids.format_node_id(2, 5) == "ns=2;i=5" and node_ids.node_id((2, "a")) == "ns=2;s=a"
     assert node_ids.node_id("ns=3;g=x") == "ns=3;g=x" and node_ids.format_node_id(1, 2.5).startswith("ns=1;x=")
-    assert node_ids.slug(2, "Events.SensorMountedEvent") == "t_2_events_sensormountedevent"
-    assert node_ids.type_short_name("ns=2;s=Events.SensorFlagEvent") == "SensorFlagEvent" and node_ids.type_short_name(4) is None
     assert node_ids.check_table_name("table-name") == "table-name"
     assert node_ids.flatten({"a": {"b": 1}, "c": 2}) == {"a.b": 1, "c": 2}
     for bad in ("a b", "a;b", "a'b"):
