@@ -11,13 +11,15 @@ does the same fold beside the texts, for each distinct word that a worker meets,
 table of words, and moves nothing.
 
 Cases: a null or empty text has no ids and decodes to no bytes; null words have no ids; lone
-surrogates cannot occur in Spark strings; repeated rows and null ids give rows of their own; an
+surrogates cannot occur in Spark strings; a word of n bytes takes n log n steps, however long it
+is, and a text is held whole by the worker that encodes it; repeated rows and null ids give rows of their own; an
 empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 from array import array
 from collections.abc import Iterator
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import whole_text
 
-KNOWN_WORDS = 500_000
+KNOWN_WORDS, KNOWN_LENGTH = 500_000, 256  # of the words that a worker remembers
 _BUCKETS = 16_384
 
 
@@ -37,35 +39,49 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of a word: the pair of least rank is merged first, the leftmost of equal ones."""
+    """Ids of a word: the pair of least rank is merged first, the leftmost of equal ones.
+
+    Pieces are the places where they begin; a heap holds the ranks of neighbours, and an entry
+    that a merge has overtaken is passed over, so n bytes take n log n steps.
+    """
     if word in ranks:
         return [ranks[word]]
-    pieces = [word[k : k + 1] for k in range(len(word))]
-    none = len(ranks)
-    order = [ranks.get(a + b, none) for a, b in zip(pieces, pieces[1:])]
-    while order:
-        least = min(order)
-        if least == none:
-            break
-        k = order.index(least)
-        pieces[k : k + 2] = [pieces[k] + pieces[k + 1]]
-        del order[k]
-        if k < len(order):
-            order[k] = ranks.get(pieces[k] + pieces[k + 1], none)
-        if k:
-            order[k - 1] = ranks.get(pieces[k - 1] + pieces[k], none)
-    return [ranks[p] for p in pieces]
+    n, get = len(word), ranks.get
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    pair = [get(word[k : k + 2]) for k in range(n - 1)] + [None]
+    heap = [(r, k) for k, r in enumerate(pair) if r is not None]
+    heapq.heapify(heap)
+    while heap:
+        r, k = heapq.heappop(heap)
+        if pair[k] != r:
+            continue
+        pair[end[k]] = None
+        end[k] = stop = end[end[k]]
+        if stop < n:
+            before[stop] = k
+        for at, to in ((k, end[stop] if stop < n else 0), (before[k], stop)):
+            if at >= 0:
+                pair[at] = r = get(word[at:to]) if to else None
+                if r is not None:
+                    heapq.heappush(heap, (r, at))
+    ids, k = [], 0
+    while k < n:
+        ids.append(ranks[word[k : end[k]]])
+        k = end[k]
+    return ids
 
 
 class _Words(dict):
-    """Packed ids of the words met so far; a new word is folded when it is first asked for."""
+    """Packed ids of the words met so far, but for very long ones; a new word is folded when it is first asked for."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks = ranks
 
     def __missing__(self, word: str) -> bytes:
-        self[word] = got = array("i", merge_word(word.encode(), self.ranks)).tobytes()
+        got = array("i", merge_word(word.encode(), self.ranks)).tobytes()
+        if len(word) <= KNOWN_LENGTH:
+            self[word] = got
         return got
 
 
