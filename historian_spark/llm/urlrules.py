@@ -1,16 +1,19 @@
 """URL filters by listed rules and by association rules mined from their verdicts.
 
-Listed rules (host, path) judge what they fit. Their verdicts are labels: a level-wise search
-over the tokens of the labelled URLs finds token combinations that go with a verdict. Rules are
-pruned by support and confidence, and where a part of the combination is as sure; the search
-leaves out what would be pruned, so no number of rules has to be cut.
+Listed rules (host, path) judge what they fit. Their verdicts are labels: Spark's FP-growth mines
+the combinations of the labelled URLs' tokens that go with a verdict. A rule needs ``MIN_ROWS``
+URLs and a share ``MIN_SUPPORT`` of the labelled ones, a confidence above that of the verdict
+among all, and is pruned where a part of its tokens is as sure. What pruning would take away is
+kept out of the mining where that is plain: tokens that occur in the same URLs are one item, and
+a token whose URLs have one verdict is a rule by itself and in no other.
 Each rule is filed under its rarest token; a URL meets, by its tokens, the rules filed under
 one of them, and takes the surest that it holds whole. URLs that no rule fits are allowed.
 
 Cases: a null URL, or one without ``://``, has an empty host and path and no token, and is
 allowed; rule hosts fit on label boundaries only; among listed rules the longest wins; without
-labels there are no mined rules; repeated rows and null ids give rows of their own; an empty
-table gives no rows; columns other than the id and the URL are not read.
+labels there are no mined rules; repeated rows and null ids give rows of their own; a URL of any
+length is a row of its tokens; an empty table gives no rows; columns other than the id and the
+URL are not read.
 """
 
 from __future__ import annotations
@@ -18,8 +21,6 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,8 @@ from .common import durable
 
 #: The listed rules, each with its verdict.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-MIN_SUPPORT = 0.005
+MIN_SUPPORT = 0.002
+MIN_ROWS = 10
 MIN_CONFIDENCE = 0.9
 BROADCAST_RULES = 10_000  # more are joined without a broadcast
 
@@ -55,17 +57,20 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def tokens_of(host: Column, path: Column, rules=RULES) -> Column:
-    """Distinct words of the host and of the path, but for those of the listed rules.
+def query_of(url: Column) -> Column:
+    return F.coalesce(F.regexp_extract(_rest(url), r"^[^?#]*\?([^#]*)", 1), F.lit(""))
+
+
+def tokens_of(host: Column, path: Column, query: Column, rules=RULES) -> Column:
+    """Distinct words (letters and digits of any script) of the host, the path and the query, but for those of the listed rules.
 
     Labels come from the listed rules, so their own words would only say again where a rule
     fits, and would carry it to places that its author left out.
     """
     said = [w for _, rule in rules for w in re.split("[^a-z]+", rule.lower()) if w]
     fresh = lambda w: (F.length(w) > 1) & ~w.isin(said)
-    words = F.transform(F.filter(F.split(host, "[.-]"), fresh), lambda w: F.concat(F.lit("host:"), w))
-    parts = F.transform(F.filter(F.split(F.lower(path), "[^a-z]+"), fresh), lambda w: F.concat(F.lit("path:"), w))
-    return F.array_distinct(F.concat(words, parts))
+    named = lambda kind, text: F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), fresh), lambda w: F.concat(F.lit(f"{kind}:"), w))
+    return F.array_distinct(F.concat(named("host", host), named("path", path), named("query", query)))
 
 
 def listed_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -82,65 +87,82 @@ def listed_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column
 def judged_by_list(pages: DataFrame, id_column: str, url_column: str, rules=RULES) -> DataFrame:
     """id, host, path, rule, listed (the rule's verdict) and tokens."""
     url = F.col(url_column).cast("string")
-    rows = pages.select(id_column, host_of(url).alias("host"), path_of(url).alias("path"))
+    rows = pages.select(id_column, host_of(url).alias("host"), path_of(url).alias("path"), query_of(url).alias("query"))
     which, verdict = listed_rule(F.col("host"), F.col("path"), rules)
-    return rows.withColumn("rule", which).withColumn("listed", verdict).withColumn("tokens", tokens_of(F.col("host"), F.col("path"), rules))
+    tokens = tokens_of(F.col("host"), F.col("path"), F.col("query"), rules)
+    return rows.select(id_column, "host", "path", which.alias("rule"), verdict.alias("listed"), tokens.alias("tokens"))
 
 
-def _candidates(live: Column, k: int) -> Column:
-    """The sets of k + 1 tokens of which all parts of k tokens are in live."""
-    pairs = lambda a: F.filter(live, lambda b: (F.slice(a, 1, k - 1) == F.slice(b, 1, k - 1)) & (F.element_at(a, k) < F.element_at(b, k)))
-    found = F.flatten(F.transform(live, lambda a: F.transform(pairs(a), lambda b: F.concat(a, F.slice(b, k, 1)))))
-    # the pair itself are the parts without one of the last two tokens
-    return F.filter(found, lambda c: reduce(and_, [F.array_contains(live, _without(c, at, k + 1)) for at in range(k - 1)], F.lit(True)))
+_VERDICT = "verdict:"  # no token begins like this
 
 
-def _without(tokens: Column, at: int, size: int) -> Column:
-    return F.concat(F.slice(tokens, 1, at), F.slice(tokens, at + 2, size - at - 1))
+def _items(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """What FP-growth mines, and the frequent tokens with their items.
+
+    rows have row_id, label and tokens. Tokens of equal row sets, told by their number and two
+    sums of hashes, are one item, named by the least of them.
+    """
+    each = rows.select("row_id", "label", F.explode(F.array_distinct("tokens")).alias("token"))
+    per = each.groupBy("token", "label").agg(F.count("*").alias("own"), F.bit_xor(F.xxhash64("row_id")).alias("x"), F.bit_xor(F.xxhash64("row_id", F.lit(1))).alias("y"))
+    totals = per.groupBy("token").agg(F.sum("own").alias("n"), F.max("own").alias("most"), F.max_by("label", "own").alias("label"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    frequent = durable(totals.where(F.col("most") >= least), "url-tokens")
+    item = frequent.groupBy("n", "x", "y").agg(F.min("token").alias("item"))
+    return each, durable(frequent.join(item, ["n", "x", "y"]).select("token", "item", "n", "most", "label"), "url-items")
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = MIN_ROWS) -> DataFrame:
     """tokens, verdict, confidence and support of every rule of which no part is as sure, from rows of tokens and a label.
 
-    Sets of tokens grow by one token a round. One that has as many rows as a part of it, or rows
-    of one label only, is not extended: any set that holds it has a part that is as sure.
+    Of tokens that occur in the same URLs the least stands for all in rules of several tokens.
     """
+    from pyspark.ml.fpm import FPGrowth
+
     spark = labelled.sparkSession
-    rows = labelled.where(F.col("label").isNotNull()).select("tokens", "label")
-    total = rows.count()
-    none = spark.createDataFrame([], "tokens array<string>, verdict string, confidence double, support double")
+    rows = durable(labelled.where(F.col("label").isNotNull()).select(F.monotonically_increasing_id().alias("row_id"), "label", "tokens"), "url-labels")
+    shares = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # a row a verdict
+    total = sum(shares.values())
     if not total:
-        return none
-    least = math.ceil(min_support * total)
-    frequent = rows.select(F.explode("tokens").alias("token"), "label").groupBy("token", "label").count().where(F.col("count") >= least).select("token").distinct()
-    kept = rows.withColumn("row_id", F.monotonically_increasing_id()).select("row_id", "label", F.explode("tokens").alias("token")).join(F.broadcast(frequent), "token")  # at most 1 / min_support times a row's mean tokens
-    baskets = kept.groupBy("row_id", "label").agg(F.array_sort(F.collect_list("token")).alias("tokens")).groupBy("tokens", "label").agg(F.count("*").alias("rows"))
-    baskets = durable(baskets.withColumn("basket", F.monotonically_increasing_id()), "baskets")
-    found = baskets.select("basket", "label", "rows", F.explode("tokens").alias("token")).select("basket", "label", "rows", F.array("token").alias("tokens"))
-    before, rules, k = None, none, 1
-    while True:
-        own = found.groupBy("tokens", "label").agg(F.sum("rows").alias("own"))
-        counts = own.groupBy("tokens").agg(F.sum("own").alias("n"), F.collect_list(F.struct("label", "own")).alias("by")).select("tokens", "n", F.inline("by"))
-        if before is None:
-            counts = counts.withColumn("part_n", F.lit(total + 1)).withColumn("part_best", F.lit(0.0))
-        else:
-            parts = counts.withColumn("part", F.explode(F.array(*[_without(F.col("tokens"), at, k) for at in range(k)])))
-            counts = parts.join(before, ["part", "label"]).groupBy("tokens", "label", "n", "own").agg(F.min("part_n").alias("part_n"), F.max("part_best").alias("part_best"))
-        counts = durable(counts.withColumn("confidence", F.col("own") / F.col("n")), "url-sets")
-        sure = counts.where((F.col("own") >= least) & (F.col("confidence") >= min_confidence) & (F.col("confidence") > F.col("part_best")))
-        rules = rules.unionByName(sure.select("tokens", F.col("label").alias("verdict"), "confidence", (F.col("own") / total).alias("support")))
-        live = durable(counts.where((F.col("own") >= least) & (F.col("n") < F.col("part_n")) & (F.col("own") < F.col("n"))).select("tokens").distinct(), "url-live")
-        if live.isEmpty():
-            return rules
-        before = counts.join(live, "tokens", "left_semi").select(F.col("tokens").alias("part"), "label", F.col("n").alias("part_n"), F.greatest("confidence", "part_best").alias("part_best"))
-        held = found.join(live, "tokens", "left_semi").groupBy("basket", "label", "rows").agg(F.array_sort(F.collect_list("tokens")).alias("live"))
-        found = durable(held.select("basket", "label", "rows", F.explode(_candidates(F.col("live"), k)).alias("tokens")), "url-found")
+        return spark.createDataFrame([], "tokens array<string>, verdict string, confidence double, support double")
+    least = max(min_rows, math.ceil(min_support * total))
+    share = F.lit(0.0)
+    for label, n in shares.items():
+        share = F.when(F.col("label") == label, F.lit(n / total)).otherwise(share)
+    each, items = _items(rows, least)
+    pure = items.where("most = n")
+    mixed = items.where("most < n and token = item").select("token")
+    baskets = each.join(mixed, "token").groupBy("row_id", "label").agg(F.collect_list("token").alias("own"))
+    baskets = baskets.select(F.concat("own", F.array(F.concat(F.lit(_VERDICT), "label"))).alias("items"))
+    singles = pure.select(F.array("token").alias("tokens"), "label", F.col("most").alias("own"), "n")
+    mined = durable(FPGrowth(itemsCol="items", minSupport=least / total * (1 - 1e-9) * total / max(1, baskets.count()), minConfidence=1.0).fit(baskets).freqItemsets, "url-sets") if not mixed.isEmpty() else None
+    if mined is not None:
+        labels = F.filter("items", lambda t: F.startswith(t, F.lit(_VERDICT)))
+        split = mined.select(F.array_sort(F.filter("items", lambda t: ~F.startswith(t, F.lit(_VERDICT)))).alias("tokens"), F.get(labels, F.lit(0)).alias("verdict"), "freq")
+        with_label = split.where("verdict is not null and size(tokens) > 0").select("tokens", F.substring("verdict", len(_VERDICT) + 1, 1 << 30).alias("label"), F.col("freq").alias("own"))
+        counts = with_label.join(split.where("verdict is null").select("tokens", F.col("freq").alias("n")), "tokens").where(F.col("own") >= least)
+        # tokens of equal URLs are rules of one token each
+        alike = items.where("most < n").select("token", "item")
+        one = counts.where("size(tokens) = 1").withColumn("item", F.get("tokens", F.lit(0))).join(alike, "item").select(F.array("token").alias("tokens"), "label", "own", "n")
+        singles = singles.unionByName(one)
+    scored = lambda df: df.select("tokens", "label", "own", (F.col("own") / F.col("n")).alias("confidence"))
+    level = durable(scored(singles).withColumn("best", share), "url-rules-1")
+    rules, k = level, 1
+    while mined is not None:
         k += 1
-
-
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[Rule]:
+        now = scored(counts.where(F.size("tokens") == k))
+        parts = now.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda at: F.concat(F.slice("tokens", 1, at - 1), F.slice("tokens", at + 1, F.lit(k))))).alias("part"))
+        before = level.select(F.col("tokens").alias("part"), "label", F.greatest("confidence", "best").alias("b"))
+        # all parts of a frequent set are frequent, so each meets its row
+        level = durable(parts.join(before, ["part", "label"]).groupBy("tokens", "label", "own", "confidence").agg(F.max("b").alias("best")), f"url-rules-{k}")
+        if level.isEmpty():
+            break
+        rules = rules.unionByName(level)
+    sure = rules.where((F.col("confidence") >= min_confidence) & (F.col("confidence") > F.col("best")))
+    return sure.select("tokens", F.col("label").alias("verdict"), "confidence", (F.col("own") / total).alias("support"))
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = MIN_ROWS) -> list[Rule]:
     """The rules of mine_rules as a list, for few of them."""
-    return [Rule(tuple(r["tokens"]), r["verdict"], r["confidence"], r["support"]) for r in mine_rules(labelled, min_support, min_confidence).collect()]
+    return [Rule(tuple(r["tokens"]), r["verdict"], r["confidence"], r["support"]) for r in mine_rules(labelled, min_support, min_confidence, min_rows).collect()]
 
 
 def _filed(mined: DataFrame) -> DataFrame:
@@ -158,11 +180,14 @@ def judge(pages: DataFrame, mined: DataFrame | list[Rule], id_column: str = "pag
     index = durable(_filed(mined), "url-rules")
     if index.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
         index = F.broadcast(index)
+    # a row's number is made and used in one evaluation: its tokens meet the rules and come back to it
     rows = judged_by_list(pages, id_column, url_column, rules).withColumn("row_id", F.monotonically_increasing_id())
-    asked = rows.where("listed is null").select("row_id", "tokens", F.explode("tokens").alias("token"))
-    met = asked.join(index, "token").where(F.size(F.array_except("needs", "tokens")) == 0)
+    asked = rows.select("*", F.explode_outer(F.when(F.col("listed").isNull(), F.col("tokens"))).alias("token"))
+    fits = F.col("needs").isNotNull() & (F.size(F.array_except("needs", "tokens")) == 0)
     # the surest, then the longest, then the first in order of tokens; block before allow
-    best = met.groupBy("row_id").agg(F.min(F.struct((-F.col("confidence")).alias("c"), (-F.size("needs")).alias("n"), F.array_join("needs", " ").alias("mined"), F.when(F.col("says") == "block", 0).otherwise(1).alias("o"), "says")).alias("best"))
-    judged = rows.join(best, "row_id", "left")
-    verdict = F.coalesce("listed", "best.says", F.lit("allow"))
-    return judged.select(id_column, "host", "path", "rule", verdict.alias("verdict"), F.col("best.mined").alias("mined"))
+    order = F.struct((-F.col("confidence")).alias("c"), (-F.size("needs")).alias("n"), F.array_join("needs", " ").alias("mined"), F.when(F.col("says") == "block", 0).otherwise(1).alias("o"), "says")
+    own = [id_column, "host", "path", "rule", "listed"]
+    asked = asked.join(index, "token", "left")
+    best = asked.groupBy("row_id").agg(F.first(F.struct(*own)).alias("row"), F.min(F.when(fits, order)).alias("best"))
+    verdict = F.coalesce("row.listed", "best.says", F.lit("allow"))
+    return best.select(*[F.col(f"row.{c}") for c in own[:-1]], verdict.alias("verdict"), F.col("best.mined").alias("mined"))
