@@ -5,14 +5,16 @@ known one and the next character. The set of phrase hashes is summed up by one m
 of 64 bins; empty bins borrow from the next filled one. Two fingerprints are as alike as the
 share of bins in which they agree, as texts are that a common dictionary would compress.
 
-``fingerprints`` walks documents in order of doc_id, in parts between fixed bounds of doc_id;
-the first document of a part is also sent to the end of the part before, so that each document
-meets its successor after one shuffle.
+``fingerprints`` deals documents by ranges of doc_id, of some ``PART_BYTES`` each, so that after
+one shuffle a task walks neighbours. The last document of a range meets the first one of the
+next in a second, small step: what a range keeps for that is these two texts.
 
 Cases: a null text is the empty one, whose fingerprint is empty; two empty fingerprints are
-alike (1), an empty and another are not (0); the parse goes over code points of the whole text;
-null doc_ids come first, equal doc_ids are ordered by text; a lone document is its own
-successor; an empty table gives no rows; other columns are ignored.
+alike (1), an empty and another are not (0); the parse goes over code points of the whole text
+and holds its phrases, some n / log n of n code points at 200 bytes each; null doc_ids come
+first; rows of equal doc_id are ordered by a hash of their text and may be dealt to several
+ranges, repeated rows too; a lone document is its own successor; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,26 +24,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import durable, whole_text
 
 BINS = 64
+PART_BYTES = 16 << 20
 _M = (1 << 64) - 1
 _U = np.uint64
 
 
 class Parse:
-    """The state of a parse, which can be copied and carried on."""
+    """The state of a parse, which can be carried on, and taken back to where it was."""
 
     __slots__ = ("node", "phrases", "hashes")
 
-    def __init__(self, phrases: dict | None = None, hashes: list | None = None, node: int = 0):
-        self.phrases, self.hashes, self.node = phrases or {}, hashes or [0x9E3779B97F4A7C15], node
+    def __init__(self):
+        self.phrases, self.hashes, self.node = {}, [0x9E3779B97F4A7C15], 0
 
-    def copy(self) -> Parse:
-        return Parse(self.phrases.copy(), self.hashes.copy(), self.node)
+    def mark(self) -> tuple[int, int]:
+        return len(self.hashes), self.node
+
+    def back(self, mark: tuple[int, int]) -> Parse:
+        """The state at a mark: phrases and hashes are added together, so the last ones go."""
+        size, self.node = mark
+        for _ in range(len(self.hashes) - size):
+            self.phrases.popitem()
+        del self.hashes[size:]
+        return self
 
     def feed(self, text: str) -> Parse:
         phrases, hashes, node = self.phrases, self.hashes, self.node
@@ -94,61 +106,74 @@ def edited(text: str, following: str) -> str:
 
 
 COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Of each range the texts at its ends: part is null in other rows.
+ENDS = "part long, first_text string, first_print string, last_id long, last_text string"
+_KINDS = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part = held = None  # held: the row before, which waits for its successor
+def _batch(rows: list[tuple], columns: str) -> pa.RecordBatch:
+    named = [c.split() for c in columns.split(", ")]
+    data = zip(*rows) if rows else [[]] * len(named)
+    return pa.RecordBatch.from_arrays([pa.array(x, _KINDS[k]) for x, (_, k) in zip(data, named)], [n for n, _ in named])
+
+
+def _begun(text: str) -> tuple[Parse, str]:
+    """The parse of a text's first half, which its edited text shares, and the whole text's fingerprint."""
+    parse = Parse().feed(text[: len(text) - len(text) // 2])
+    mark = parse.mark()
+    print_ = parse.feed(text[len(text) - len(text) // 2 :]).fingerprint()
+    return parse.back(mark), print_
+
 
-    def row(before: tuple, text: str, print_: str) -> tuple:
-        doc_id, own, own_print, kept = before
-        tail = text[: len(own) // 2]
-        changed = kept.feed(tail).fingerprint()
-        whole = own[: len(own) - len(own) // 2] + tail
-        digest = hashlib.sha256(whole.encode("utf-8", "surrogatepass")).hexdigest()
-        return doc_id, len(own), digest, own_print, changed, likeness(own_print, changed), likeness(own_print, print_)
+def _row(doc_id: int | None, text: str, parse: Parse, print_: str, following: str, next_print: str) -> tuple:
+    changed = parse.feed(following[: len(text) // 2]).fingerprint()
+    digest = hashlib.sha256(edited(text, following).encode("utf-8", "surrogatepass")).hexdigest()
+    return doc_id, len(text), digest, print_, changed, likeness(print_, changed), likeness(print_, next_print)
 
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a range in order: all but the last one are done; the ends of the range come last."""
+    held = first = None  # held: the row before, which waits for its successor
+    no_ends, no_row = (None,) * 5, (None,) * 7
     for batch in batches:
         out = []
-        parts, again, ids = batch.column("part").to_pylist(), batch.column("again").to_pylist(), batch.column("doc_id").to_pylist()
-        texts = batch.column("text")
-        for k in range(batch.num_rows):
-            if part != parts[k]:
-                part, held = parts[k], None
-            elif held is None:
-                continue  # a further row sent from the next part
-            text = texts[k].as_py()
-            parse = Parse().feed(text[: len(text) - len(text) // 2])
-            kept = None if again[k] else parse.copy()
-            print_ = parse.feed(text[len(text) - len(text) // 2 :]).fingerprint()
-            if held is not None:
-                out.append(row(held, text, print_))
-            held = None if again[k] else (ids[k], text, print_, kept)
-        columns = list(zip(*out)) if out else [[]] * 7
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in COLUMNS.split(", ")])
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            text = text.as_py()
+            parse, print_ = _begun(text)
+            if held is None:
+                first = text, print_
+            else:
+                out.append((*_row(*held, text, print_), *no_ends))
+            held = doc_id, text, parse, print_
+        yield _batch(out, f"{COLUMNS}, {ENDS}")
+    if held is not None:
+        yield _batch([(*no_row, TaskContext.get().partitionId(), *first, held[0], held[1])], f"{COLUMNS}, {ENDS}")
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last rows of ranges, each with the first text of the next range."""
+    for batch in batches:
+        for doc_id, text, following, next_print in zip(*(batch.column(c) for c in ("last_id", "last_text", "next_text", "next_print"))):
+            yield _batch([_row(doc_id.as_py(), text.as_py(), *_begun(text.as_py()), following.as_py(), next_print.as_py())], COLUMNS)
 
 
 def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """COLUMNS for every row of docs; parts: into how many ranges of doc_id they are dealt."""
-    spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = parts or 4 * tasks
-    least = -(1 << 63)
-    rows = whole_text(docs, F.col("doc_id").cast("long").alias("doc_id")).withColumn("key", F.coalesce("doc_id", F.lit(least)))
-    shares = [k / parts for k in range(1, parts)] or [0.5]
-    bounds = rows.agg(F.percentile_approx("key", shares, 10 * parts).alias("b")).first()["b"] or []
-    bounds = sorted(set(bounds))
-    steps = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>") if bounds else F.array().cast("array<bigint>")
-    dealt = rows.withColumn("part", F.size(F.filter(steps, lambda b: b <= F.col("key"))))
-    firsts = sorted((r["part"], r["first"]) for r in dealt.groupBy("part").agg(F.min("key").alias("first")).collect())  # a row a part
-    before = {first: firsts[k - 1][0] for k, (_, first) in enumerate(firsts)}  # the first of all follows the last
-    sent = F.lit(None).cast("int")
-    for first, to in before.items():
-        sent = F.when(F.col("key") == first, F.lit(to)).otherwise(sent) if len(before) <= 64 else sent
-    if len(before) > 64:
-        listed = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-        sent = listed[F.col("key")]
-    targets = F.filter(F.array(F.struct(F.col("part"), F.lit(False).alias("again")), F.struct(sent.alias("part"), F.lit(True).alias("again"))), lambda t: t["part"].isNotNull())
-    placed = dealt.withColumn("target", F.explode(targets)).select("target.part", "target.again", "key", "doc_id", "text")
-    ordered = placed.repartition(tasks, "part").sortWithinPartitions("part", "again", "key", "text").select("part", "again", "doc_id", "text")
-    return ordered.mapInArrow(_walk, COLUMNS)
+    """COLUMNS for every row of docs; parts: into how many ranges they are dealt, by default of PART_BYTES each."""
+    rows = whole_text(docs, F.col("doc_id").cast("long").alias("doc_id"))
+    if parts is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    # equal rows may stand in any order, so their places in the table split them
+    placed = rows.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("place")]
+    ordered = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    walked = durable(ordered.mapInArrow(_walk, f"{COLUMNS}, {ENDS}"), "walked")
+    ends = walked.where("part is not null").select(*[c.split()[0] for c in ENDS.split(", ")])
+    # a number a range; the last range is followed by the first
+    numbers = ends.select("part").withColumn("to", F.lead("part").over(Window.orderBy("part")))
+    least = ends.agg(F.min("part").alias("least"))
+    numbers = numbers.crossJoin(F.broadcast(least)).select("part", F.coalesce("to", "least").alias("to"))  # least is one row
+    after = ends.select(F.col("part").alias("to"), F.col("first_text").alias("next_text"), F.col("first_print").alias("next_print"))
+    closed = ends.join(numbers, "part").join(after, "to").select("last_id", "last_text", "next_text", "next_print").mapInArrow(_close, COLUMNS)
+    done = walked.where("part is null").select(*[c.split()[0] for c in COLUMNS.split(", ")])
+    return done.unionByName(closed)
