@@ -213,8 +213,8 @@ def test_secrets(spark, none):
     ]
     docs = spark.createDataFrame([(k, t, None, None, 1) for k, t in enumerate(texts)] + [(None, texts[2], None, None, 1)] * 2, DOCS).withColumn("_base", F.lit(1))
     assign = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
-    cuts = secrets.thresholds(docs)
-    rows = secrets.scan(docs, cuts).collect()
+    cuts = secrets.text_thresholds(docs)
+    rows = secrets.scan(docs).collect()
     assert len(rows) == len(texts) + 2
     for r in rows:
         t = texts[2 if r["doc_id"] is None else r["doc_id"]] or ""
@@ -225,7 +225,7 @@ def test_secrets(spark, none):
     assert spans[5] == "random:3:35" and spans[6] == ""
     redacted = {r["doc_id"]: r["text"] for r in secrets.redact(docs, cuts).collect()}
     assert redacted[2] == '[secret]" x' and redacted[0] is None and redacted[5] == "id [secret] end" and secrets.redact(docs, cuts).columns == docs.columns
-    assert secrets.thresholds(none) == {} and secrets.scan(none, {}).count() == 0
+    assert secrets.text_thresholds(none) == {} and secrets.scan(none).count() == 0
 
 
 def test_random_tokens_are_told_from_regular_ones(spark):
@@ -247,9 +247,9 @@ def test_random_values_are_found_behind_names_and_in_paths(spark):
     # ordinary tokens beside them, so that there is something to tell the values from
     plain = [f"id=section/{'xyxy12' * 6}-{'item' * 6}{k}" for k in range(40)]
     docs = spark.createDataFrame([(k, t, None, None, 1) for k, t in enumerate(texts + plain)], DOCS)
-    cuts = secrets.thresholds(docs)
-    assert secrets.scan(docs.where("doc_id < 7"), cuts).where("base <> ''").count() == 0
-    for r in secrets.scan(docs, cuts).collect():
+    cuts = secrets.text_thresholds(docs)
+    assert secrets.scan(docs.where("doc_id < 7")).where("base <> ''").count() == 0
+    for r in secrets.scan(docs).collect():
         spans = [tuple(map(int, s.split(":")[1:])) for s in r["spans"].split(",") if s]
         if r["doc_id"] >= len(texts):
             assert spans == []
@@ -293,7 +293,8 @@ def test_licenses(spark, hard, none):
 
 # fingerprints
 def test_fingerprints(spark, hard, none):
-    rows = sorted(hard_rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    hashes = {r["t"]: r["h"] for r in spark.createDataFrame([(r[1] or "",) for r in hard_rows()], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    rows = sorted(hard_rows(), key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1] or ""]))
     for parts in (1, 3, 50):
         got = lzprint.fingerprints(hard, parts).collect()
         expected = []
@@ -318,7 +319,7 @@ def test_neighbours(spark):
     odd = [(2000, None), (2001, []), (2002, [0.0] * 16), (2003, [float("nan")] + [1.0] * 15), (2004, [None] + [1.0] * 15), (None, [1.0] * 16), (2005, [1.0, 2.0]), (20, x[20].tolist())]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("shard", F.lit(1))
     use = ann.usable(df)
-    got = ann.search(ann.build_index(use, shard_rows=400), use.where("vec_id % 20 = 0"), 20).collect()
+    got = ann.search(ann.build_index(use, least_rows=400), use.where("vec_id % 20 = 0"), 20).collect()
     by: dict = {}
     for r in sorted(got, key=lambda r: r["rank"]):
         by.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
@@ -376,12 +377,12 @@ def test_no_rule_is_cut(spark, monkeypatch):
                     sure[x, label] = own.count(label) / len(own)
     minimal = {k for k, c in sure.items() if c >= 0.8 and all(sure[p, k[1]] < c for n in range(1, len(k[0])) for p in combinations(k[0], n))}
     table = spark.createDataFrame(rows, labels)
-    mined = urlrules.mine(table, min_support=0.02, min_confidence=0.8)
+    mined = urlrules.mine(table, min_support=0.02, min_confidence=0.8, min_rows=1)
     assert {(r.tokens, r.verdict) for r in mined} == minimal and len(mined) == len(minimal) and max(len(r.tokens) for r in mined) > 2
     assert all(r.confidence == sure[r.tokens, r.verdict] for r in mined)
 
-    pages = spark.createDataFrame([(k, f"http://h{k % 6}.x/p{k % 4}/w{k:02d}") for k in range(30)], "page_id long, url string")
-    rules = spark.createDataFrame([(["host:x", "path:p"], "block", 1.0, 0.1), (["path:w"], "allow", 0.9, 0.5)], "tokens array<string>, verdict string, confidence double, support double")
+    pages = spark.createDataFrame([(k, f"http://h{k % 6}.x/p{k % 4}/w/{k:02d}") for k in range(30)], "page_id long, url string")
+    rules = spark.createDataFrame([(["host:x", "path:p1"], "block", 1.0, 0.1), (["path:w"], "allow", 0.9, 0.5)], "tokens array<string>, verdict string, confidence double, support double")
     few = sorted(map(tuple, urlrules.judge(pages, rules).collect()), key=str)
     monkeypatch.setattr(urlrules, "BROADCAST_RULES", 0)
     assert sorted(map(tuple, urlrules.judge(pages, rules).collect()), key=str) == few
