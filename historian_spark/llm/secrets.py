@@ -51,8 +51,9 @@ def _bind(value: Column, then) -> Column:
 
 def _running(values: Column, join) -> Column:
     """For each place of an array the values up to it, joined: in rounds of doubling distance, so n log n steps and no growing copies."""
-    strides = F.filter(F.array(*[F.lit(1 << r) for r in range(31)]), lambda s: s < F.size(values))
-    return F.aggregate(strides, values, lambda acc, s: F.transform(acc, lambda v, k: F.when(k >= s, join(v, F.get(acc, k - s))).otherwise(v)))
+    strides = lambda n: F.filter(F.array(*[F.lit(1 << r) for r in range(31)]), lambda s: s < n)
+    step = lambda acc, s: F.transform(acc, lambda v, k: F.when(k >= s, join(v, F.get(acc, k - s))).otherwise(v))
+    return _bind(values, lambda own: F.aggregate(strides(F.size(own)), own, step))
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -63,11 +64,16 @@ def matches(text: Column, pattern: str) -> Column:
     matches take n log n steps beside the search.
     """
     step = rf"\G((?s:.*?))(?:({pattern})|\z)"
-    gaps, hits = F.regexp_extract_all(text, F.lit(step), F.lit(1)), F.regexp_extract_all(text, F.lit(step), F.lit(2))
-    values = F.regexp_extract_all(text, F.lit(step), F.lit(3)) if pattern == ASSIGN else hits
-    lengths = F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.length(h))
-    steps = F.arrays_zip(_running(lengths, lambda a, b: a + b).alias("end"), hits.alias("hit"), values.alias("value"))
-    found = F.transform(F.filter(steps, lambda x: x["hit"] != ""), lambda x: F.struct((x["end"] - F.length(x["hit"])).alias("start"), x["end"].alias("end"), x["hit"].alias("hit"), x["value"].alias("value")))
+    group = lambda k: F.regexp_extract_all(text, F.lit(step), F.lit(k))
+    # a hit, with the number of signs from the end of the one before to its own end
+    value = F.zip_with(group(2), group(3), lambda h, v: F.struct(h.alias("hit"), v.alias("value"))) if pattern == ASSIGN else F.transform(group(2), lambda h: F.struct(h.alias("hit"), h.alias("value")))
+    steps = F.zip_with(group(1), value, lambda g, h: F.struct((F.length(g) + F.length(h["hit"])).alias("n"), h["hit"].alias("hit"), h["value"].alias("value")))
+
+    def placed(own: Column) -> Column:
+        ends = _running(F.transform(own, lambda x: x["n"]), lambda a, b: a + b)
+        return F.zip_with(own, ends, lambda x, end: F.struct((end - F.length(x["hit"])).alias("start"), end.alias("end"), x["hit"].alias("hit"), x["value"].alias("value")))
+
+    found = F.filter(_bind(steps, placed), lambda x: x["hit"] != "")
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string,value:string>>"))
 
 
