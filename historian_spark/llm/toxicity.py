@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, only, slices, whole_text
+from .common import column, durable, only, slices, unused, whole_text
 
 MAX_ROWS = 20_000
 MAX_FEATURES = 4_000
@@ -291,4 +291,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that are not predicted toxic, with their columns."""
-    return docs.where(scorer(model)(F.coalesce(F.col("text").cast("string"), F.lit(""))) < 0.5)
+    own = unused(docs, "score")
+    # not deterministic for the optimizer: the scores stay a step of their own, and a text that is computed is computed once
+    scored = docs.withColumn(own, scorer(model).asNondeterministic()(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return scored.where(column(own) < 0.5).select(*[column(c) for c in docs.columns])
