@@ -95,7 +95,7 @@ def _choose(base: np.ndarray, cand: np.ndarray, sims: np.ndarray, vectors: np.nd
     cand, sims = np.take_along_axis(cand, order, 1), np.take_along_axis(sims, order, 1)
     n = cand.shape[1]
     near = vectors[np.maximum(cand, 0)]
-    mutual = np.einsum("bid,bjd->bij", near, near)
+    mutual = near @ near.transpose(0, 2, 1)
     kept = np.zeros((b, n), bool)
     for k in range(n):
         closer = ((mutual[:, k, :] > sims[:, k : k + 1]) & kept).any(1)
@@ -151,7 +151,7 @@ def build_graph(vectors: np.ndarray, seed: int = 0) -> tuple[np.ndarray, list[np
             wide[np.repeat(np.arange(len(nodes)), count), width + np.arange(len(dst)) - np.repeat(first, count)] = src
             for a in range(0, len(nodes), 512):
                 own_nodes, own_wide = nodes[a : a + 512], wide[a : a + 512]
-                near = np.where(own_wide >= 0, np.einsum("bkd,bd->bk", v[np.maximum(own_wide, 0)], v[own_nodes]), -np.inf)
+                near = np.where(own_wide >= 0, (v[np.maximum(own_wide, 0)] @ v[own_nodes][:, :, None])[:, :, 0], -np.inf)
                 layers[k][own_nodes] = _choose(own_nodes, own_wide, near.astype(np.float32), v, width)
         at = stop
     return order, layers
