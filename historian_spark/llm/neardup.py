@@ -287,25 +287,22 @@ def _among(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the least node of its component) for the nodes of edges u < v, by star contraction until nothing changes."""
+    """node, root (the least node of its component) for all nodes of edges but the roots, by star contraction until there are only stars."""
     edges = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     now = durable(edges.where("u <> v").distinct(), "edges")
-    seen = None
     while True:
+        ends = F.array(F.struct(F.col("u").alias("node"), F.lit(0).alias("below")), F.struct(F.col("v").alias("node"), F.lit(1).alias("below")))
+        roles = now.select(F.inline(ends)).groupBy("node").agg(F.sum("below").alias("below"), F.min("below").alias("least"))
+        if roles.where("below > 1 or (below = 1 and least = 0)").isEmpty():  # every node is a centre or has one
+            return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # what a join takes in is stored first: a node with very many edges can then be split over tasks
         least = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
-        large = durable(large, "large")
+        large = durable(both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct(), "large")
         # now every edge is (smaller, larger); link all smaller neighbours of a node to their least
         low = durable(large.groupBy("v").agg(F.min("u").alias("m")), "low")
         small = large.join(low, "v").select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("v")), F.struct(F.col("m").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         now = durable(small.where("u <> v").distinct(), "edges")
-        state = tuple(now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
-        if state == seen:
-            break
-        seen = state
-    return now.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -338,15 +335,17 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs = pairs.where("comparable")  # texts of too different lengths are not alike
     best = pairs.groupBy("v").agg(F.max_by("u", F.struct("shared", "u")).alias("u"))
     compared = durable(_verify(best, words_of), "compared")
-    links = _linked(compared)
-    roots = durable(components(links), "roots").withColumnRenamed("node", "key")
+    # one step up is a class as far as the next comparisons need it: where it is too small, some are made in vain
+    roots = _linked(compared).select(F.col("v").alias("key"), F.col("u").alias("root"))
 
     def root_of(rows: DataFrame, key: str, name: str) -> DataFrame:
         named = roots.select(F.col("key").alias(key), F.col("root").alias(f"{name}_"))
         return rows.join(named, key, "left").withColumn(name, F.coalesce(f"{name}_", key)).drop(f"{name}_")
 
     # then with its other centres, where that can still join classes
-    others = root_of(root_of(pairs.join(best, ["u", "v"], "left_anti"), "u", "ru"), "v", "rv").where("ru <> rv")
+    ends = [F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")]
+    open_ = pairs.select("u", "v", *ends).join(best.select(*ends), ["a", "b"], "left_anti").select("u", "v")
+    others = root_of(root_of(open_, "u", "ru"), "v", "rv").where("ru <> rv").select("u", "v")
     compared = durable(compared.union(_verify(durable(others, "others"), words_of)), "compared")
     links = durable(_linked(compared), "links")
     roots = durable(components(links), "roots").withColumnRenamed("node", "key")
