@@ -95,8 +95,9 @@ def valid_events(rows: DataFrame, now: Column) -> DataFrame:
 
 
 def skip_first(rows: DataFrame, key: str, ts: str, id_column: str) -> DataFrame:
-    """Without the first notification of each series after registration."""
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(ts, id_column))).where("nth > 1").drop("nth")
+    """Without the first notification of each series after registration; the firsts are aggregated, no series is sorted."""
+    first = rows.groupBy(key).agg(F.min(F.struct(ts, id_column)).alias("first"))
+    return rows.join(first, key).where(F.struct(ts, id_column) > F.col("first")).select(*rows.columns)
 
 
 def missing_anchors(legacy: DataFrame, anchors: DataFrame, keys: list[str]) -> DataFrame:

@@ -52,11 +52,17 @@ def rollup_again(hourly: DataFrame, width_ms: int, *keys: str) -> DataFrame:
 def at_times(requests: DataFrame, rows: DataFrame, key: str = "variable_id", ts: str = "sourcetimestamp", id_column: str = "value_id", value: str = "value_double", at: str = "at") -> DataFrame:
     """For each request (key, at) the last row at or before it; nulls where there is none.
 
-    Requests and rows are one stream in order of time, read with one window: one shuffle,
-    however many requests there are.
+    Requests and rows are one stream in order of time, read by days of a series, so that a long
+    series is split over tasks; each day begins with the last row of the days before it, which
+    is found on one row a day. However many requests there are, the rows are shuffled once.
     """
     seen = rows.select(key, F.col(ts).alias("t"), F.lit(0).alias("kind"), F.col(id_column).alias("id"), F.struct(F.col(ts).alias("ts"), F.col(id_column).alias("id"), F.col(value).alias("v")).alias("row"))
     asked = requests.select(key, F.col(at).alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast(seen.schema["row"].dataType).alias("row"))
-    order = Window.partitionBy(key).orderBy("t", "kind", "id").rowsBetween(Window.unboundedPreceding, 0)
-    filled = seen.unionByName(asked).withColumn("row", F.last("row", ignorenulls=True).over(order))
-    return filled.where("kind = 1").select(key, F.col("t").alias(at), F.col("row.ts").alias(ts), F.col("row.v").alias(value))
+    both = seen.unionByName(asked).withColumn("day", F.date_trunc("day", "t"))
+    days = both.groupBy(key, "day").agg(F.max_by("row", F.when(F.col("kind") == 0, F.struct("t", "id"))).alias("last"))
+    earlier = Window.partitionBy(key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(key, "day", F.last("last", ignorenulls=True).over(earlier).alias("before"))
+    order = Window.partitionBy(key, "day").orderBy("t", "kind", "id").rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.withColumn("row", F.last("row", ignorenulls=True).over(order)).where("kind = 1").join(days, [key, "day"])
+    row = F.coalesce("row", "before")
+    return filled.select(key, F.col("t").alias(at), row["ts"].alias(ts), row["v"].alias(value))
