@@ -13,10 +13,10 @@ from . import observe
 from .functions import node_ids, payload
 from .functions.buckets import time_bucket
 from .operators import backfill, ingest, reads, registry, retention, temporal, typed, writes
-from .plans import bounds, planner
+from .plans import bounds, filters, planner
 from .plans.filters import attribute, compile_filter, element, literal, ref, type_filter
 from .sources import tables as src
-from .sources.warehouse import Table, Warehouse
+from .sources.warehouse import Table, Warehouse, probe
 from .streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -745,3 +745,81 @@ def day_files(spark, d):
 def timing_stats(spark, d):
     rows = src.table(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_totalprice", "o_orderkey")
     return observe.timing(rows, "k", "o_totalprice", "o_orderkey").withColumns({"total": F.round("total", 2), "avg": F.round("avg", 4)})
+
+
+# builders, operands and pages that the queries above do not reach
+@query("filter_source_builder", "SELECT event_id FROM events WHERE user_id = 7")
+def filter_source_builder(spark, d):
+    rows = src.event_anchor(spark, d)
+    return rows.where(compile_filter(filters.source_filter(7), rows.schema)).select("event_id")
+
+
+@query("filter_property_builder", "SELECT event_id FROM events WHERE value > 12.5 AND (props->>'$.k') = '3'")
+def filter_property_builder(spark, d):
+    rows = src.table(spark, d, "events").select("event_id", "value", payload.field(F.col("props"), "k").alias("k"))
+    both = [filters.property_filter("value", "GreaterThan", "12.5"), filters.property_filter("k", "Equals", "3")]
+    return rows.where(compile_filter(both[0], rows.schema) & compile_filter(both[1], rows.schema)).select("event_id")
+
+
+@query("filter_unknown_operand", "SELECT event_id FROM events WHERE false")
+def filter_unknown_operand(spark, d):
+    """An operand of a kind that is not known is null, and a comparison with null is false."""
+    rows = src.table(spark, d, "events")
+    return rows.where(compile_filter([element("Equals", {"browse_path": ["a"]}, literal(1))], rows.schema)).select("event_id")
+
+
+@query("filter_shared_element", "SELECT 'shared' AS form, count(*) AS n FROM events WHERE value > 100 UNION ALL SELECT 'strict', 0")
+def filter_shared_element(spark, d):
+    """An element that is reached twice: as it reads, and by the rule that it counts as false the second time."""
+    rows = src.table(spark, d, "events")
+    spec = [element("GreaterThan", _V, literal(100)), element("And", ref(0), ref(0))]
+    count = lambda form, strict: rows.where(compile_filter(spec, rows.schema, strict_shared=strict)).agg(F.lit(form).alias("form"), F.count("*").alias("n"))
+    return count("shared", False).unionByName(count("strict", True))
+
+
+@query("continued_pages", f"SELECT event_id, event_timestamp FROM {ANCHOR} WHERE source_id = 7 AND event_timestamp <= TIMESTAMP '2024-02-02' ORDER BY event_timestamp DESC, event_id DESC LIMIT 9")
+def continued_pages(spark, d):
+    """Three pages, each from the cursor that the one before left."""
+    cursor, pages, b = None, [], _bounds(None, None, 3)
+    for _ in range(3):
+        pages.append(reads.read_events(src.event_anchor(spark, d), 7, b, cursor=cursor).select("event_id", "event_timestamp"))
+        cursor = reads.continuation(pages[-1].collect(), b.limit)
+        if cursor is None:
+            break
+    return reads.union_types(pages)
+
+
+@query("configured_fields", "SELECT * FROM (VALUES ('dev_eui'), ('eui'), ('serial')) AS t(field)")
+def configured_fields(spark, d):
+    found = registry.allowed_fields(filters.parse_csv_set(" serial, eui ,"), _schemas(spark), filters.parse_aliases("eui:dev_eui, bad, :x"))
+    return spark.createDataFrame([(f,) for f in found], "field string")
+
+
+@query("flat_settings", "SELECT * FROM (VALUES ('buffer.size', 500), ('buffer.wait.ms', 1000), ('mode', 2)) AS t(name, value)")
+def flat_settings(spark, d):
+    nodes = observe.settings_nodes({"buffer": {"size": 500, "wait": {"ms": 1000}}, "mode": 2})
+    return spark.createDataFrame(list(nodes.items()), "name string, value int")
+
+
+@query("storage_modes", "SELECT * FROM (VALUES ('', 'dual'), ('V2 ', 'v2'), ('legacy', 'legacy'), ('other', 'dual')) AS t(text, mode)")
+def storage_modes(spark, d):
+    return spark.createDataFrame([(t, ingest.storage_mode(t)) for t in ("", "V2 ", "legacy", "other")], "text string, mode string")
+
+
+@query("table_probe", "SELECT 'events' AS table_name, true AS found, 6 AS columns UNION ALL SELECT 'no_such', false, 0")
+def table_probe(spark, d):
+    found = {n: probe(spark, f"{d}/{n}.parquet") for n in ("events", "no_such")}
+    return spark.createDataFrame([(n, x["exists"], len(x["columns"])) for n, x in found.items()], "table_name string, found boolean, columns int")
+
+
+@query("valid_events", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN ts ELSE TIMESTAMP '2024-02-01' END AS event_timestamp FROM events WHERE event_type <> 'view'")
+def valid_events(spark, d):
+    """Events without a type are dropped; one without a time gets now."""
+    rows = src.table(spark, d, "events").select("event_id", F.col("user_id").alias("source_id"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("event_type"), F.when(F.col("event_id") % 2 == 0, F.col("ts")).alias("Time"))
+    return ingest.valid_events(rows, reads.ntz("2024-02-01")).select("event_id", "event_timestamp")
+
+
+@query("register_one_node", "SELECT 'ns=2;i=' || c_custkey AS node_id, CASE WHEN c_custkey = 3 THEN 'Unknown' ELSE 'Double' END AS data_type FROM customer")
+def register_one_node(spark, d):
+    """Registering one known node again resets its type."""
+    return ingest.register(src.variable_metadata(spark, d), spark.createDataFrame([("ns=2;i=3", 0)], "node_id string, position int"), reset_type=True).select("node_id", "data_type")
