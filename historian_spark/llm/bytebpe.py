@@ -23,13 +23,15 @@ import heapq
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import whole_text
 
-KNOWN_WORDS, KNOWN_LENGTH = 500_000, 256  # of the words that a worker remembers
+KNOWN_WORDS, KNOWN_LENGTH = 400_000, 256  # of the words that a worker remembers
+SHORT = 64  # bytes of a word that is folded without a heap
 _BUCKETS = 16_384
 
 
@@ -41,12 +43,24 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of a word: the pair of least rank is merged first, the leftmost of equal ones.
 
-    Pieces are the places where they begin; a heap holds the ranks of neighbours, and an entry
-    that a merge has overtaken is passed over, so n bytes take n log n steps.
+    Pieces are the places where they begin. In a short word the least rank is looked for among
+    all; in a longer one a heap holds the ranks of neighbours, and an entry that a merge has
+    overtaken is passed over, so n bytes take n log n steps.
     """
     if word in ranks:
         return [ranks[word]]
     n, get = len(word), ranks.get
+    if n <= SHORT:
+        none, at = len(ranks), list(range(n + 1))
+        order = [get(word[k : k + 2], none) for k in range(n - 1)]
+        while order and (least := min(order)) != none:
+            k = order.index(least)
+            del at[k + 1], order[k]
+            if k < len(order):
+                order[k] = get(word[at[k] : at[k + 2]], none)
+            if k:
+                order[k - 1] = get(word[at[k - 1] : at[k + 1]], none)
+        return [ranks[word[a:b]] for a, b in zip(at, at[1:])]
     end, before = list(range(1, n + 1)), list(range(-1, n - 1))
     pair = [get(word[k : k + 2]) for k in range(n - 1)] + [None]
     heap = [(r, k) for k, r in enumerate(pair) if r is not None]
@@ -85,22 +99,22 @@ class _Words(dict):
         return got
 
 
-_known: dict[tuple[str, str], tuple] = {}
+_known: dict = {}  # of a worker
 
 
 def _tables(path: str, pattern: str) -> tuple:
-    """The worker's pattern, words and pieces for a tokenizer."""
+    """The worker's pattern and words for a tokenizer."""
     if (path, pattern) not in _known:
         import regex
 
         ranks = read_ranks(path)
-        _known[path, pattern] = regex.compile(pattern), _Words(ranks), {k: p for p, k in ranks.items()}
+        _known[path, pattern] = regex.compile(pattern), _Words(ranks)
     return _known[path, pattern]
 
 
 def _encoder(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of, words, _ = _tables(path, pattern)
+        words_of, words = _tables(path, pattern)
         for batch in batches:
             parts, ends = [], [0]
             for text in batch.column("text"):
@@ -124,10 +138,21 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def _decoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _tables(path, "")[2]
+        if path not in _known:
+            pieces = sorted((k, p) for p, k in read_ranks(path).items())
+            bounds = np.zeros(pieces[-1][0] + 2, np.int64)
+            bounds[np.array([k for k, _ in pieces]) + 1] = [len(p) for _, p in pieces]
+            _known[path] = np.frombuffer(b"".join(p for _, p in pieces), np.uint8), np.cumsum(bounds)
+        letters, bounds = _known[path]
         for batch in batches:
-            texts = [b"".join(map(pieces.__getitem__, ids.as_py() or ())) for ids in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
+            ids = batch.column("ids")
+            flat, ends = ids.flatten().to_numpy(), np.asarray(ids.offsets) - (ids.offsets[0].as_py() if len(ids) else 0)
+            # the binary pieces of the ids, one after the other
+            n = bounds[flat + 1] - bounds[flat]
+            upto = np.concatenate([[0], np.cumsum(n)])
+            at = np.repeat(bounds[flat] - upto[:-1], n) + np.arange(upto[-1])
+            texts = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(upto[ends].astype(np.int32)), pa.py_buffer(letters[at])])
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
 
     return run
 
