@@ -28,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import slices, whole_text
 
-KNOWN_WORDS, KNOWN_LENGTH = 400_000, 256  # of the words that a worker remembers
+KNOWN_WORDS, KNOWN_LENGTH = 300_000, 256  # of the words that a worker remembers
+SLICE_BYTES, SLICE_IDS = 4 << 20, 1 << 18  # of texts and of ids that a worker handles at once
 SHORT = 64  # bytes of a word that is folded without a heap
 _BUCKETS = 16_384
 
@@ -116,16 +117,17 @@ def _encoder(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of, words = _tables(path, pattern)
         for batch in batches:
-            parts, ends = [], [0]
-            for text in batch.column("text"):
-                if len(words) > KNOWN_WORDS:
-                    words.clear()
-                ids = b"".join(map(words.__getitem__, words_of.findall(text.as_py())))
-                parts.append(ids)
-                ends.append(ends[-1] + len(ids) // 4)
-            flat = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(parts))])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
+            for at, texts in slices(batch.column("text"), SLICE_BYTES):
+                parts, ends = [], [0]
+                for text in texts:
+                    if len(words) > KNOWN_WORDS:
+                        words.clear()
+                    ids = b"".join(map(words.__getitem__, words_of.findall(text.as_py())))
+                    parts.append(ids)
+                    ends.append(ends[-1] + len(ids) // 4)
+                flat = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(parts))])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), lists], ["doc_id", "ids"])
 
     return run
 
@@ -145,14 +147,19 @@ def _decoder(path: str):
             _known[path] = np.frombuffer(b"".join(p for _, p in pieces), np.uint8), np.cumsum(bounds)
         letters, bounds = _known[path]
         for batch in batches:
-            ids = batch.column("ids")
-            flat, ends = ids.flatten().to_numpy(), np.asarray(ids.offsets) - (ids.offsets[0].as_py() if len(ids) else 0)
-            # the binary pieces of the ids, one after the other
-            n = bounds[flat + 1] - bounds[flat]
-            upto = np.concatenate([[0], np.cumsum(n)])
-            at = np.repeat(bounds[flat] - upto[:-1], n) + np.arange(upto[-1])
-            texts = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(upto[ends].astype(np.int32)), pa.py_buffer(letters[at])])
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
+            every = np.asarray(batch.column("ids").offsets)
+            at = 0
+            while at < batch.num_rows:  # some SLICE_IDS at a time, a longer text alone
+                to = max(at + 1, int(np.searchsorted(every, every[at] + SLICE_IDS, "right")) - 1)
+                part = batch.slice(at, to - at)
+                flat, ends = part.column("ids").flatten().to_numpy(), every[at : to + 1] - every[at]
+                # the binary pieces of the ids, one after the other
+                n = bounds[flat + 1] - bounds[flat]
+                upto = np.concatenate([[0], np.cumsum(n)])
+                places = np.repeat(bounds[flat] - upto[:-1], n) + np.arange(upto[-1])
+                texts = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(upto[ends].astype(np.int32)), pa.py_buffer(letters[places])])
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*batch.schema.names, "decoded"])
+                at = to
 
     return run
 
