@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.node_ids import check_table_name
 from ..operators.ingest import first_write
 from . import files
 
@@ -175,7 +176,7 @@ class Warehouse:
         self.spark, self.path = spark, path.rstrip("/")
 
     def table(self, name: str) -> Table:
-        return Table(self.spark, f"{self.path}/{name}", TABLES.get(name, "event_timestamp" if name.startswith("evt_") else None))
+        return Table(self.spark, f"{self.path}/{check_table_name(name)}", TABLES.get(name, "event_timestamp" if name.startswith("evt_") else None))
 
     def names(self) -> list[str]:
         return [n for n in files.names(self.spark, self.path) if files.exists(self.spark, f"{self.path}/{n}/manifest")]
