@@ -78,6 +78,20 @@ def whole_text(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+SPREAD_BYTES = 8 << 20  # a core
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt over all cores where a scan is so small that its row groups may leave most of them idle.
+
+    Larger inputs have row groups enough and stay as they are, so what this moves is bounded by
+    SPREAD_BYTES a core, whatever the input's size.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    scanned = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores) if scanned < cores * SPREAD_BYTES else rows
+
+
 def column(name: str) -> Column:
     """A top-level column by its exact name, whatever signs it holds."""
     return F.col("`" + name.replace("`", "``") + "`")

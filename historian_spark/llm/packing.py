@@ -16,6 +16,7 @@ ignored.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, whole_text
+from .common import durable, spread, whole_text
 from .words import encoder
 
 SEQUENCE = 4096
 CELL_ROWS = 50_000
 
+log = logging.getLogger(__name__)
+
 
 def size_classes(length: int) -> list[int]:
     """Ascending upper bounds of the classes; the last is length - 1 or more."""
@@ -85,50 +88,77 @@ def _first_fit(sizes: np.ndarray, demand: np.ndarray, cap: int) -> list[tuple[in
 
 
 def _inverse(basis: np.ndarray) -> np.ndarray | None:
-    try:
-        found = np.linalg.inv(basis)
-    except np.linalg.LinAlgError:
-        return None
-    return found if np.abs(basis @ found - np.eye(len(basis))).max() < 1e-6 else None
+    """The inverse by eliminations with row exchanges, None where it is not sound.
+
+    Whole-array steps only: a threaded linear-algebra library in the driver would contend with
+    the JVM beside it for the same cores.
+    """
+    m = len(basis)
+    both = np.concatenate([basis, np.eye(m)], axis=1)
+    for k in range(m):
+        at = k + int(np.abs(both[k:, k]).argmax())
+        if abs(both[at, k]) < 1e-9:
+            return None
+        if at != k:
+            both[[k, at]] = both[[at, k]]
+        both[k] /= both[k, k]
+        rows = np.flatnonzero(both[:, k])
+        rows = rows[rows != k]
+        both[rows] -= both[rows, k, None] * both[k]
+    found = both[:, m:]
+    return found if np.abs(np.einsum("ij,j->i", basis, found.sum(axis=1)) - 1).max() < 1e-6 else None
 
 
 def plan(histogram: dict[int, int], cap: int, gap: float = 0.002, rounds: int = 100) -> list[tuple[int, dict[int, int]]]:
-    """Patterns (copies, {size: pieces}) that cut exactly the pieces of the histogram."""
+    """Patterns (copies, {size: pieces}) that cut exactly the pieces of the histogram.
+
+    The linear program ends when no pattern is worth more than 1 + gap, after ``rounds`` priced
+    patterns, or after 12 turns a class: what its basis then holds is rounded and the rest is
+    packed first-fit, so every piece has its place either way, and the log says what was reached.
+    """
     sizes = np.array(sorted(k for k, n in histogram.items() if n > 0), np.int64)
     if not len(sizes):
         return []
     demand = np.array([histogram[int(s)] for s in sizes], np.int64)
     m = len(sizes)
-    pool = [p for _, p in _first_fit(sizes, demand, cap)]
+    first = [p for _, p in _first_fit(sizes, demand, cap)]
+    pool = np.zeros((len(first) + rounds, m))  # patterns that may enter, those in use among them
+    pool[: len(first)] = first
+    n_pool, priced, reached = len(first), 0, "the bound"
     basis = np.diag(cap // sizes).astype(float)
     inverse, amounts = np.diag(1.0 / (cap // sizes)), demand / (cap // sizes)
-    priced = 0
-    for turn in range(40 * m + 400):
-        if turn % 64 == 0:
-            sound = _inverse(basis)
-            if sound is None:  # too near to singular: go back to the last sound basis
-                basis, inverse = kept
-                amounts = np.maximum(inverse @ demand, 0)
-                break
-            inverse = sound
-            kept = basis.copy(), inverse.copy()
-            amounts = np.maximum(inverse @ demand, 0)
+    kept = basis.copy(), inverse.copy()
+    for turn in range(12 * m + 400):
         dual = inverse.sum(axis=0)
-        worth = np.array([dual @ p for p in pool])
+        if turn % 32 == 31:
+            # what rounding has done to the inverse shows in the two sides of the program
+            drift = max(np.abs(np.einsum("ij,j->i", basis, amounts) / demand - 1).max(), np.abs(np.einsum("i,ij->j", dual, basis) - 1).max())
+            if drift > 1e-7:
+                sound = _inverse(basis)
+                if sound is None:  # too near to singular: go back to the last sound basis
+                    (basis, inverse), reached = kept, "a singular basis"
+                    break
+                inverse, amounts = sound, np.maximum(np.einsum("ij,j->i", sound, demand), 0)
+                kept, dual = (basis.copy(), inverse.copy()), inverse.sum(axis=0)
+        worth = np.einsum("ij,j->i", pool[:n_pool], dual)
         k = int(worth.argmax())
         if worth[k] > 1 + 1e-6:
             column = pool[k]
         else:
             if priced == rounds:
+                reached = f"{rounds} priced patterns"
                 break
             priced += 1
             value, column = _best_pattern(sizes, np.maximum(dual, 0), cap)
             if value <= 1 + gap:  # the bound: no plan is shorter by more than this share
                 break
-            pool.append(column)
-        turned = inverse @ column
+            pool[n_pool] = column
+            n_pool += 1
+        used = np.flatnonzero(column)
+        turned = np.einsum("ij,j->i", inverse[:, used], column[used].astype(float))
         able = turned > 1e-7
         if not able.any():
+            reached = "no pattern that can leave"
             break
         ratio = np.full(m, np.inf)
         ratio[able] = amounts[able] / turned[able]
@@ -137,11 +167,15 @@ def plan(histogram: dict[int, int], cap: int, gap: float = 0.002, rounds: int =
         amounts[out] = ratio[out]
         basis[:, out] = column
         pivot = inverse[out] / turned[out]
-        inverse -= np.outer(turned, pivot)
+        touched = np.flatnonzero(turned)
+        inverse[touched] -= turned[touched, None] * pivot
         inverse[out] = pivot
+    else:
+        reached = f"{12 * m + 400} turns"
     sound = _inverse(basis)
     basis, inverse = kept if sound is None else (basis, sound)
-    amounts = np.maximum(inverse @ demand, 0)
+    amounts = np.maximum(np.einsum("ij,j->i", inverse, demand), 0)
+    log.info("cutting-stock plan of %d classes ended at %s after %d turns and %d priced patterns", m, reached, turn + 1, priced)
     patterns, left = [], demand.copy()
     for k in np.argsort(-amounts, kind="stable"):
         p = np.rint(basis[:, k]).astype(np.int64)
@@ -179,7 +213,7 @@ def _cut(tokenizer: str, end_id: int, length: int):
 
 def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int = SEQUENCE) -> DataFrame:
     """Pieces of every document: doc_id, start, length, doc_tokens, ids (little-endian, 32 bits)."""
-    rows = whole_text(docs, F.col("doc_id").cast("long").alias("doc_id"))
+    rows = spread(whole_text(docs, F.col("doc_id").cast("long").alias("doc_id")))
     return rows.mapInArrow(_cut(tokenizer, end_id, length), PIECES)
 
 
