@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bytebpe, licenses, lzprint, neardup, packing, planes, secrets, toxicity, urlrules
+from . import ann, bytebpe, licenses, lzprint, neardup, packing, planes, secrets, toxicity, urlrules, whitening
 from .common import shared_dir, table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -76,6 +76,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hnsw": op1_hnsw,
     "op2_urlrules": op2_urlrules,
@@ -87,5 +91,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lzprint": op8_lzprint,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_whitening": op11_whitening,
 }
 SQL: dict[str, str] = {"op7_licenses": licenses.containment_sql()}
