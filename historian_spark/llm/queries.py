@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bytebpe, licenses, lzprint, neardup, packing, planes, secrets, toxicity, urlrules, whitening
+from . import align, ann, bytebpe, licenses, lzprint, neardup, packing, planes, secrets, toxicity, urlrules, whitening
 from .common import shared_dir, table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
+BYTE_JSON, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 END_ID = 2
 
 
@@ -80,6 +81,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_JSON), tokenizer_path(PIECES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hnsw": op1_hnsw,
     "op2_urlrules": op2_urlrules,
@@ -92,5 +97,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
     "op11_whitening": op11_whitening,
+    "op12_align": op12_align,
 }
 SQL: dict[str, str] = {"op7_licenses": licenses.containment_sql()}

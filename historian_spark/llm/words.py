@@ -29,7 +29,7 @@ def encoder(path: str) -> WordEncoder:
     return only(("words", path), lambda: WordEncoder(path))
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """Byte-level BPE writes each byte as one printable letter; this is that public rule."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in set(plain)]
@@ -43,7 +43,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
         self.known: dict[str, bytes] = {}
         self.limit = known_pieces
 
