@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, ann, bytebpe, licenses, lzprint, neardup, packing, planes, secrets, toxicity, urlrules, whitening
+from . import align, ann, bytebpe, licenses, lines, lzprint, neardup, packing, planes, secrets, toxicity, urlrules, whitening
 from .common import shared_dir, table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -85,6 +85,10 @@ def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_JSON), tokenizer_path(PIECES))
 
 
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hnsw": op1_hnsw,
     "op2_urlrules": op2_urlrules,
@@ -98,5 +102,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_whitening": op11_whitening,
     "op12_align": op12_align,
+    "op13_lines": op13_lines,
 }
-SQL: dict[str, str] = {"op7_licenses": licenses.containment_sql()}
+SQL: dict[str, str] = {"op7_licenses": licenses.containment_sql(), "op13_lines": lines.sql()}
