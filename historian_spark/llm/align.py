@@ -37,9 +37,10 @@ from pyspark.sql import functions as F
 from .common import durable, only, slices, spread, whole_text
 from .words import byte_letters
 
-SLICE_BYTES = 8 << 20  # of texts that are counted together
-KNOWN_PIECES, KNOWN_BYTES = 400_000, 64 << 20  # that a partition remembers
+SLICE_BYTES = 4 << 20  # of texts that are counted together
+KNOWN_PIECES, KNOWN_BYTES = 250_000, 32 << 20  # that a partition remembers
 TOGETHER = 256  # pieces that are encoded in one call
+ADDED = 30_000  # pieces that are aligned in one step
 SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 _JOINS = """
@@ -208,7 +209,8 @@ class Aligner:
             self.cut = np.concatenate([self.cut, np.zeros(len(more), bool)])
             new += more
         if new:
-            self._add([p if isinstance(p, str) else p[0] for p in new])
+            for k in range(0, len(new), ADDED):
+                self._add([p if isinstance(p, str) else p[0] for p in new[k : k + ADDED]])
         unsound = (self.facts[:, 0] == 0) & ~self.cut
         if unsound.any():
             for k, own in enumerate(docs):

@@ -78,7 +78,7 @@ def whole_text(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-SPREAD_BYTES = 8 << 20  # a core
+SPREAD_BYTES = 2 << 20  # a core
 
 
 def spread(rows: DataFrame) -> DataFrame:
