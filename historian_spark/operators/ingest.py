@@ -89,8 +89,8 @@ def touch(dimension: DataFrame, names: DataFrame, key: str, id_column: str, now:
 
 
 def valid_events(rows: DataFrame, now: Column) -> DataFrame:
-    """Events with a source and a type; the time is Time, else time, else now."""
-    named = [F.col(c) for c in ("Time", "time") if c in rows.columns]
+    """Events with a source and a type; the time is Time, else time, else the event_timestamp that came with it, else now."""
+    named = [F.col(c) for c in ("Time", "time", "event_timestamp") if c in rows.columns]
     return rows.where("source_id is not null and event_type is not null").withColumn("event_timestamp", F.coalesce(*named, now))
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import operator
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.node_ids import event_table
@@ -14,13 +17,51 @@ ANCHOR_KEYS = ["event_id", "event_timestamp"]
 
 
 def save_values(history, last, batch: DataFrame, job: str = "values", number: int | None = None, arrival: str = "arrival_seq", value: str = "value_double") -> None:
-    """A batch of values: history keeps the first of each key, last the latest of each series. Either may have it already."""
+    """A batch of values: history keeps the first of each key, last gets the batch's latest row of each series. Either may have it already.
+
+    What is written follows the batch, not the table: last is a log of such rows, which
+    ``last_values`` reads as one row a series and ``settle`` shortens now and then.
+    """
     history.append_new(batch, VALUE_KEYS, arrival, job, number)
-    if not last.done(job, number):
-        stored = last.read()
-        if stored is None:
-            stored = batch.limit(0).select("variable_id", "sourcetimestamp", value, F.lit(False).alias("is_seed"))
-        last.replace(ingest.merge_last_values(stored, batch, arrival=arrival, value=value), job, number)
+    save_last_values(last, ingest.last_value(batch, "variable_id", "sourcetimestamp", arrival, value).withColumn("is_seed", F.lit(False)), job, number, value)
+
+
+def save_last_values(last, rows: DataFrame, job: str = "values", number: int | None = None, value: str = "value_double") -> bool:
+    """rows (one a series, with is_seed) written to the log behind all that is there."""
+    if last.done(job, number):
+        return False
+    written = F.lit(last.manifest()["version"] + 1).cast("long").alias("written")
+    return last.append(rows.select("variable_id", "sourcetimestamp", value, "is_seed", written), job, number)
+
+
+def last_values(last, value: str = "value_double") -> DataFrame | None:
+    """One row a series of the log: a value beats a seed, then the later time, then the later write. None if nothing was ever written."""
+    rows = last.read()
+    return None if rows is None else _newest(rows, value).drop("written")
+
+
+def _newest(rows: DataFrame, value: str) -> DataFrame:
+    order = F.struct(~F.coalesce("is_seed", F.lit(False)), "sourcetimestamp", "written")
+    best = rows.groupBy("variable_id").agg(F.max_by(F.struct("sourcetimestamp", value, "is_seed", "written"), order).alias("best"))
+    return best.select("variable_id", "best.*")
+
+
+def settle(last, value: str = "value_double") -> None:
+    """The log as one row a series; care for quiet hours, as compaction is."""
+    rows = last.read()
+    if rows is not None:
+        last.replace(_newest(rows, value))
+        last.vacuum()
+
+
+def seed_values(last, seeds: DataFrame, position: str | None = None, value: str = "value_double") -> int:
+    """Seeds for the series that have no row yet, the first of several by position; how many were written."""
+    stored = last_values(last, value)
+    stored = seeds.limit(0) if stored is None else stored
+    counted = Observation()
+    fresh = ingest.seed_missing(stored, seeds, position=position).observe(counted, F.count("*").alias("n"))
+    save_last_values(last, fresh, "seeds", value=value)
+    return counted.get["n"]
 
 
 def merge_anchors(stored: DataFrame | None, rows: DataFrame) -> DataFrame:
@@ -44,21 +85,64 @@ def typed_insert(stored: DataFrame | None, rows: DataFrame, arrival: str = "even
     return fresh if stored is None else stored.unionByName(fresh, allowMissingColumns=True)
 
 
-def save_events(house, batch: DataFrame, schemas: dict[str, list[str]], mode: str | None = None, job: str = "events", number: int | None = None) -> None:
+def _stored_of(table, rows: DataFrame) -> DataFrame:
+    """The rows that a table holds under their own event_id: those that were first at their source and instant."""
+    own = [*EVENT_KEYS, "event_id"]
+    return rows.join(table.read_days_of(rows).select(*own), own, "left_semi")
+
+
+def save_events(house, batch: DataFrame, schemas: dict[str, list[str]], mode: str | None = None, job: str = "events", number: int | None = None, now: Column | None = None) -> None:
     """A batch of events to the stores that the storage mode names.
 
-    legacy: events alone; v2: anchors and typed rows; dual: all of them. batch has event_id,
-    source_id, event_type, event_timestamp and props; schemas has the fields of the types that
-    have a typed table. Each table takes a numbered batch once, so a batch that failed between
-    two tables is made whole when it is run again.
+    legacy: events alone; v2: anchors, payloads and typed rows; dual: events, anchors and typed
+    rows. batch has event_id, source_id, event_type, props and a time (``valid_events``); schemas
+    has the fields of the types that have a typed table.
+
+    The first store decides which rows are first at their source and instant; the others take
+    only rows that it holds, so none of them has a row without the others. Each table takes a
+    numbered batch once: one that failed between two tables is made whole when it is run again.
+    An anchor that was written without a legacy row gets a second row with it (``anchors``).
     """
     mode = ingest.storage_mode(mode)
-    batch = batch.where("source_id is not null and event_type is not null")
-    first = ingest.first_write(batch, EVENT_KEYS, "event_id")
-    if mode != "v2":
-        house.table("events").append_new(first, EVENT_KEYS, "event_id", job, number)
-    if mode != "legacy":
-        anchors = first.select(*ANCHOR_KEYS, "source_id", "event_type", (F.col("event_id") if mode == "dual" else F.lit(None).cast("bigint")).alias("legacy_row_id"))
-        house.table("event_anchor").append_new(anchors, EVENT_KEYS, "event_id", job, number)
-        for event_type, fields in schemas.items():
-            house.table(event_table(event_type)).append_new(typed_rows(first, event_type, fields), ANCHOR_KEYS, "event_id", job, number)
+    batch = ingest.valid_events(batch, F.current_timestamp().cast("timestamp_ntz") if now is None else now)
+    anchored = house.table("event_anchor")
+    if mode == "legacy":
+        house.table("events").append_new(batch, EVENT_KEYS, "event_id", job, number)
+        return
+    names = [*ANCHOR_KEYS, "source_id", "event_type"]
+    if mode == "dual":
+        if anchored.manifest()["schema"] is not None:  # an instant that an anchor of v2 holds is taken by its event
+            held = anchored.read_days_of(batch).select(*[F.col(c).alias(f"{c}_") for c in (*EVENT_KEYS, "event_id")])
+            taken = reduce(operator.and_, [batch[c].eqNullSafe(held[f"{c}_"]) for c in EVENT_KEYS]) & (batch["event_id"] != held["event_id_"])
+            batch = batch.join(held, taken, "left_anti")
+        house.table("events").append_new(batch, EVENT_KEYS, "event_id", job, number)
+        won = _stored_of(house.table("events"), ingest.first_write(batch, EVENT_KEYS, "event_id"))
+        anchored.append_new(won.select(*names, F.col("event_id").alias("legacy_row_id")), EVENT_KEYS, "event_id", job, number, old="legacy_row_id is not null")
+    else:
+        anchored.append_new(batch.select(*names, F.lit(None).cast("bigint").alias("legacy_row_id")), EVENT_KEYS, "event_id", job, number)
+        won = _stored_of(anchored, ingest.first_write(batch, EVENT_KEYS, "event_id"))
+        house.table("event_payload").append_new(won.select(*ANCHOR_KEYS, "props"), ANCHOR_KEYS, "event_id", job, number)
+    for event_type, fields in schemas.items():
+        house.table(event_table(event_type)).append_new(typed_rows(won, event_type, fields), ANCHOR_KEYS, "event_id", job, number)
+
+
+def anchors(house) -> DataFrame | None:
+    """One anchor an event, with its legacy row if any row of it has one; conditions on its other columns reach the scan."""
+    rows = house.table("event_anchor").read()
+    return None if rows is None else rows.groupBy(*ANCHOR_KEYS, "source_id", "event_type").agg(F.max("legacy_row_id").alias("legacy_row_id"))
+
+
+def payloads(house) -> DataFrame:
+    """event_id, event_timestamp and props of every event, from the store that has them."""
+    legacy, own = house.table("events").read(), house.table("event_payload").read()
+    found = [rows.select(*ANCHOR_KEYS, "props") for rows in (legacy, own) if rows is not None]
+    if not found:
+        raise ValueError("nothing was ever written")
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1].join(found[0].select(*ANCHOR_KEYS), ANCHOR_KEYS, "left_anti"))
+
+
+def orphans(house, types: list[str]) -> DataFrame:
+    """Typed rows, by type, whose event is not there under their event_id."""
+    held = anchors(house).select(*ANCHOR_KEYS)
+    counted = [house.table(event_table(t)).read().join(held, ANCHOR_KEYS, "left_anti").agg(F.lit(t).alias("event_type"), F.count("*").alias("orphans")) for t in types]
+    return reduce(DataFrame.unionByName, counted)

@@ -446,7 +446,7 @@ def stream_ingest(spark, d):
 
 @query("stream_ingest_last_values", f"SELECT variable_id, max(sourcetimestamp) AS sourcetimestamp, false AS is_seed FROM {DUP} GROUP BY 1")
 def stream_ingest_last_values(spark, d):
-    return _ingested(spark, d)[1].read().select("variable_id", "sourcetimestamp", "is_seed")
+    return writes.last_values(_ingested(spark, d)[1]).select("variable_id", "sourcetimestamp", "is_seed")
 
 
 _FIRST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) AS nth FROM events) WHERE nth = 1)"
@@ -457,9 +457,14 @@ def _events_in(spark, d):
     return src.table(spark, d, "events").select("event_id", F.col("user_id").alias("source_id"), "event_type", F.col("ts").alias("event_timestamp"), "props")
 
 
-def _saved(spark, d, mode: str | None) -> Warehouse:
+def _by_day(spark, d):
+    """Events at midnight of their days, so that many of a source are at one instant and only the first of them counts."""
+    return _events_in(spark, d).withColumn("event_timestamp", F.date_trunc("day", "event_timestamp"))
+
+
+def _saved(spark, d, mode: str | None, rows: DataFrame | None = None) -> Warehouse:
     """Events in three overlapping batches, the second one twice."""
-    house, rows = _house(spark), _events_in(spark, d)
+    house, rows = _house(spark), _events_in(spark, d) if rows is None else rows
     for number, part in enumerate(("event_id % 3 = 0", "event_id % 3 <= 1", "event_id >= 0")):
         for _ in range(2 if number == 1 else 1):
             writes.save_events(house, rows.where(part), _TYPED_FIELDS, mode, number=number)
@@ -474,15 +479,55 @@ _WON = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts OR
 def dual_write(spark, d):
     house = _saved(spark, d, "dual")
     tables = reads.union_types([house.table(f"evt_{t}").read().select("event_id", "k") for t in _TYPED_FIELDS])
-    both = house.table("event_anchor").read().join(house.table("events").read().select("event_id"), "event_id")
+    both = writes.anchors(house).join(house.table("events").read().select("event_id"), "event_id")
     return both.join(tables, "event_id", "left").select("event_id", "event_type", "legacy_row_id", "k")
 
 
-@query("write_v2_only", f"SELECT event_id, event_type, CAST(NULL AS BIGINT) AS legacy_row_id FROM {_WON} WHERE event_type = 'error'")
+@query("write_v2_only", f"SELECT event_id, event_type, CAST(NULL AS BIGINT) AS legacy_row_id, props FROM {_WON}")
 def write_v2_only(spark, d):
+    """Without legacy rows the payload of every event is kept, of those whose type has no table as well."""
     house = _saved(spark, d, "v2")
-    anchors = house.table("event_anchor").read().select("event_id", "event_type", "legacy_row_id")
-    return anchors.join(house.table("evt_error").read().select("event_id"), "event_id")
+    return writes.anchors(house).join(writes.payloads(house), writes.ANCHOR_KEYS).select("event_id", "event_type", "legacy_row_id", "props")
+
+
+_DAYS = _WON.replace("user_id, ts ORDER", "user_id, date_trunc('day', ts) ORDER")
+_HELD = f"SELECT event_id, date_trunc('day', ts)::TIMESTAMP AS event_timestamp, event_type, props->>'$.k' AS k FROM {_DAYS} WHERE event_type IN ('error', 'signup')"
+
+
+def _typed_rows(house):
+    return reads.union_types([house.table(f"evt_{t}").read().withColumn("event_type", F.lit(t)) for t in _TYPED_FIELDS]).select("event_id", "event_timestamp", "event_type", "k")
+
+
+@query("dual_typed_rows", _HELD)
+def dual_typed_rows(spark, d):
+    """All that the typed tables hold: no event is there that lost against another at its source and instant."""
+    return _typed_rows(_saved(spark, d, "dual", _by_day(spark, d)))
+
+
+@query("v2_typed_rows", _HELD)
+def v2_typed_rows(spark, d):
+    return _typed_rows(_saved(spark, d, "v2", _by_day(spark, d)))
+
+
+@query("dual_after_v2", "SELECT event_type, count(*) AS orphans, 0 AS n FROM events WHERE false GROUP BY 1 UNION ALL SELECT 'error', 0, (SELECT count(*) FROM " + _DAYS + " WHERE event_type = 'error') UNION ALL SELECT 'signup', 0, (SELECT count(*) FROM " + _DAYS + " WHERE event_type = 'signup')")
+def dual_after_v2(spark, d):
+    """A warehouse that is switched from v2 to dual while events come twice: typed rows without their event, and typed rows."""
+    house, rows = _house(spark), _by_day(spark, d)
+    writes.save_events(house, rows.where("event_id % 3 = 0"), _TYPED_FIELDS, "v2", number=0)
+    for number, part in enumerate(("event_id % 3 <= 1", "event_id >= 0"), 1):
+        writes.save_events(house, rows.where(part), _TYPED_FIELDS, "dual", number=number)
+    counts = _typed_rows(house).groupBy("event_type").agg(F.count("*").alias("n"))
+    return writes.orphans(house, list(_TYPED_FIELDS)).join(counts, "event_type").select("event_type", "orphans", "n")
+
+
+@query("anchor_filled_in", f"SELECT event_id, event_id AS legacy_row_id FROM {_DAYS}")
+def anchor_filled_in(spark, d):
+    """Anchors of v2 get their legacy row when the events come again in dual mode."""
+    house, rows = _house(spark), _by_day(spark, d)
+    writes.save_events(house, rows.where("event_id % 3 = 0"), _TYPED_FIELDS, "v2", number=0)
+    for number, part in enumerate(("event_id % 3 <= 1", "event_id >= 0"), 1):
+        writes.save_events(house, rows.where(part), _TYPED_FIELDS, "dual", number=number)
+    return writes.anchors(house).select("event_id", "legacy_row_id")
 
 
 @query("insert_events_first_write", f"SELECT event_id, user_id AS source_id, ts AS event_timestamp FROM {_FIRST}")

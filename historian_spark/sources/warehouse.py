@@ -10,10 +10,12 @@ are added. A table has one writer at a time; any number may read.
 from __future__ import annotations
 
 import json
+import operator
 import uuid
 from datetime import date, datetime, timedelta
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,7 +54,8 @@ class Table:
 
     def _parts(self, state: dict) -> DataFrame:
         schema = self._schema(state).add(PART, T.StringType()).add(DAY, T.DateType())
-        where = [p for n in state["parts"] if files.exists(self.spark, p := f"{self.path}/data/{PART}={n}")]
+        held = set(files.names(self.spark, f"{self.path}/data"))
+        where = [f"{self.path}/data/{n}" for p in state["parts"] if (n := f"{PART}={p}") in held]
         if not where:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(*where)
@@ -69,10 +72,25 @@ class Table:
             rows = rows.where((F.col(DAY) <= F.lit(until)) & (F.col(self.ts).cast("date") <= F.lit(until)))
         return rows.drop(PART, DAY)
 
+    def read_days_of(self, rows: DataFrame) -> DataFrame:
+        """The table's rows of the days that rows have, those without a time among them; days between are not read."""
+        state = self.manifest()
+        if state["schema"] is None:
+            raise ValueError(f"{self.path} was never written")
+        found = self._parts(state)
+        if self.ts in rows.columns:
+            days = [r[0] for r in rows.select(self._day_of(F.col(self.ts)).alias(DAY)).distinct().collect()]  # a row a day
+            some = F.col(DAY).isin([d for d in days if d is not None])
+            found = found.where(some | F.col(DAY).isNull() if None in days else some)
+        return found.drop(PART, DAY)
+
     # writing
+    def _day_of(self, ts: Column) -> Column:
+        return F.trunc(ts, "month") if self.unit == "month" else ts.cast("date")
+
     def _write(self, df: DataFrame) -> str:
         part = uuid.uuid4().hex
-        day = F.trunc(F.col(self.ts), "month") if self.unit == "month" else F.col(self.ts).cast("date") if self.ts else F.lit(None).cast("date")
+        day = self._day_of(F.col(self.ts)) if self.ts else F.lit(None).cast("date")
         df.withColumn(DAY, day).write.partitionBy(DAY).parquet(f"{self.path}/data/{PART}={part}")
         return part
 
@@ -99,17 +117,18 @@ class Table:
         """df in place of all rows."""
         return self._put(df, job, number, keep=False)
 
-    def append_new(self, df: DataFrame, keys: list[str], arrival: str, job: str = "batch", number: int | None = None) -> bool:
-        """The first row of each key that the table does not hold yet; of a table parted by a key only the batch's days are read."""
+    def append_new(self, df: DataFrame, keys: list[str], arrival: str, job: str = "batch", number: int | None = None, old: str = "true") -> bool:
+        """The first row of each key that the table does not hold yet (nulls are equal); old: which of its rows count.
+
+        Of a table parted by a key only the batch's days are read.
+        """
         if self.done(job, number):
             return False
         fresh = first_write(df, keys, arrival)
-        if self.ts in keys:
-            span = df.agg(F.min(F.col(self.ts).cast("date")).alias("a"), F.max(F.col(self.ts).cast("date")).alias("b")).first()
-            old = self.read(span["a"], span["b"])
-        else:
-            old = self.read()
-        return self.append(fresh if old is None else fresh.join(old.select(*keys), keys, "left_anti"), job, number)
+        if self.manifest()["schema"] is not None:
+            stored = (self.read_days_of(df) if self.ts in keys else self.read()).where(old).select(*[F.col(k).alias(f"{k}_") for k in keys])
+            fresh = fresh.join(stored, reduce(operator.and_, [fresh[k].eqNullSafe(stored[f"{k}_"]) for k in keys]), "left_anti")
+        return self.append(fresh, job, number)
 
     # care
     def drop_before(self, cutoff: date) -> int:
@@ -165,8 +184,8 @@ class Table:
 
 
 #: What a new warehouse holds: each table with its column of time, and the steps that bring older ones up to date.
-TABLES = {"variables": "sourcetimestamp", "last_values": None, "variable_metadata": None, "events": "event_timestamp", "event_anchor": "event_timestamp", "event_types": None, "event_schemas": None}
-RETENTION_DAYS = {"events": 365, "event_anchor": 365}
+TABLES = {"variables": "sourcetimestamp", "last_values": None, "variable_metadata": None, "events": "event_timestamp", "event_anchor": "event_timestamp", "event_payload": "event_timestamp", "event_types": None, "event_schemas": None}
+RETENTION_DAYS = {"events": 365, "event_anchor": 365, "event_payload": 365}
 
 
 class Warehouse:

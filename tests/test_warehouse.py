@@ -5,13 +5,14 @@ import logging
 from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from historian_spark import __main__ as cli
 from historian_spark import observe
 from historian_spark.operators import ingest, reads, registry, temporal, typed, writes
 from historian_spark.plans import bounds, planner
 from historian_spark.plans import filters as fl
-from historian_spark.sources import tables
+from historian_spark.sources import files, tables
 from historian_spark.sources.warehouse import Table, Warehouse, probe
 from historian_spark.streaming import jobs
 
@@ -33,7 +34,7 @@ def test_a_batch_counts_once(spark, tmp_path):
     for _ in range(2):
         writes.save_values(Table(spark, history.path, "sourcetimestamp"), Table(spark, last.path), second, number=1)
     assert sorted((r["variable_id"], r["value_double"]) for r in history.read().collect()) == [(1, 1.0), (1, 8.0), (2, 2.0)]
-    assert sorted((r["variable_id"], r["value_double"]) for r in last.read().collect()) == [(1, 8.0), (2, 2.0)]
+    assert sorted((r["variable_id"], r["value_double"]) for r in writes.last_values(last).collect()) == [(1, 8.0), (2, 2.0)]
     assert history.manifest()["jobs"] == {"values": 1}
 
 
@@ -77,7 +78,7 @@ def test_added_columns_stay(spark, tmp_path):
 
 def test_storage_modes(spark, tmp_path):
     rows = spark.createDataFrame([(1, 5, "a", T0, '{"k": 1}'), (2, 5, "b", T0, '{"k": 2}'), (3, None, "a", T0, "{}"), (4, 6, "a", T0, '{"k": 4}')], "event_id long, source_id long, event_type string, event_timestamp timestamp_ntz, props string")
-    for mode, names in (("legacy", ["events"]), ("v2", ["event_anchor", "evt_a"]), (None, ["event_anchor", "events", "evt_a"])):
+    for mode, names in (("legacy", ["events"]), ("v2", ["event_anchor", "event_payload", "evt_a"]), (None, ["event_anchor", "events", "evt_a"])):
         house = Warehouse(spark, str(tmp_path / str(mode)))
         writes.save_events(house, rows, {"a": ["k"]}, mode, number=0)
         writes.save_events(house, rows, {"a": ["k"]}, mode, number=0)
@@ -87,6 +88,74 @@ def test_storage_modes(spark, tmp_path):
     assert sorted((r["event_id"], r["k"]) for r in house.table("evt_a").read().collect()) == [(1, "1"), (4, "4")]
 
 
+def test_what_is_written_follows_the_batch(spark, tmp_path):
+    """A batch of one row adds a few KB to a log of 20,000 series, and settling leaves one row a series."""
+    history, last = Table(spark, str(tmp_path / "h"), "sourcetimestamp"), Table(spark, str(tmp_path / "l"))
+    many = spark.range(20_000).select(F.col("id").alias("variable_id"), F.lit(T0).alias("sourcetimestamp"), F.rand(1).alias("value_double"), F.col("id").alias("arrival_seq"))
+    sizes = []
+    for number, batch in enumerate([many, values(spark, (7, 1, 70, 1)), values(spark, (7, 1, 71, 2)), values(spark, (7, 0, 72, 3))]):
+        writes.save_values(history, last, batch, number=number)
+        sizes.append(files.usage(spark, f"{last.path}/data")[1])
+    assert sizes[0] > 100_000 and all(b - a < 6_000 for a, b in zip(sizes, sizes[1:]))
+    for _ in range(2):
+        found = {r["variable_id"]: r["value_double"] for r in writes.last_values(last).collect()}
+        assert len(found) == 20_000 and found[7] == 71.0  # of equal times the later write, whatever older ones come after it
+        writes.settle(last)
+    assert last.read().count() == 20_000 and last.manifest()["jobs"] == {"values": 3}
+
+
+def test_seeds_give_way_to_values(spark, tmp_path):
+    last = Table(spark, str(tmp_path / "l"))
+    seeds = spark.createDataFrame([(1, T0 + timedelta(days=9), 0.5, 0), (1, T0, 0.7, 1), (2, T0, 0.0, 2)], "variable_id long, sourcetimestamp timestamp_ntz, value_double double, position int")
+    assert writes.seed_values(last, seeds, "position") == 2 and writes.seed_values(last, seeds, "position") == 0
+    writes.save_values(Table(spark, str(tmp_path / "h"), "sourcetimestamp"), last, values(spark, (1, 0, 4, 1), (3, 0, 5, 2)), number=0)
+    assert {r["variable_id"]: (r["value_double"], r["is_seed"]) for r in writes.last_values(last).collect()} == {1: (4.0, False), 2: (0.0, True), 3: (5.0, False)}
+    assert writes.seed_values(last, seeds.selectExpr("4L as variable_id", "sourcetimestamp", "value_double", "position"), "position") == 1
+
+
+def test_rows_without_a_time_are_told_apart_once(spark, tmp_path):
+    table = Table(spark, str(tmp_path / "t"), "sourcetimestamp")
+    rows = spark.createDataFrame([(1, None, 1.0, 1), (1, None, 2.0, 2), (None, T0, 3.0, 3)], VALUES)
+    for _ in range(2):
+        table.append_new(rows, writes.VALUE_KEYS, "arrival_seq")
+    assert sorted(r["value_double"] for r in table.read().collect()) == [1.0, 3.0]
+
+
+def test_only_the_batch_s_days_are_read(spark, tmp_path):
+    table = Table(spark, str(tmp_path / "t"), "sourcetimestamp")
+    table.append(values(spark, *[(1, t, t, t) for t in range(0, 60, 5)]))
+    plan = reads.plan_text(table.read_days_of(values(spark, (1, 0, 0, 0), (1, 55, 0, 0))))
+    assert "day#" in plan and "2024-01-01" in plan.split("PartitionFilters")[1] and table.read_days_of(values(spark, (1, 0, 0, 0), (1, 55, 0, 0))).count() == 2
+
+
+EVENTS = "event_id long, source_id long, event_type string, event_timestamp timestamp_ntz, props string"
+
+
+def test_no_typed_row_without_its_event(spark, tmp_path):
+    """Two events at one source and instant, in one batch or in two, and a batch that ends between two tables."""
+    first = spark.createDataFrame([(1, 5, "info", T0, '{"x": "only here"}'), (2, 5, "error", T0, '{"k": 2}')], EVENTS)
+    later = spark.createDataFrame([(3, 5, "error", T0, '{"k": 3}'), (4, 6, "error", T0, '{"k": 4}'), (4, 6, "error", T0, '{"k": 4}')], EVENTS)
+    for mode in ("dual", "v2"):
+        house = Warehouse(spark, str(tmp_path / mode))
+        writes.save_events(house, first, {"error": ["k"]}, mode, number=0)
+        # the first store has the batch, the others do not yet
+        if mode == "dual":
+            house.table("events").append_new(later, writes.EVENT_KEYS, "event_id", "events", 1)
+        for _ in range(2):
+            writes.save_events(Warehouse(spark, house.path), later, {"error": ["k"]}, mode, number=1)
+        assert [(r["event_id"], r["k"]) for r in house.table("evt_error").read().collect()] == [(4, "4")]
+        assert sorted(r["event_id"] for r in writes.anchors(house).collect()) == [1, 4]
+        assert {r["event_id"]: r["props"] for r in writes.payloads(house).collect()} == {1: '{"x": "only here"}', 4: '{"k": 4}'}
+        assert [r["orphans"] for r in writes.orphans(house, ["error"]).collect()] == [0]
+
+
+def test_times_of_events_in_the_writing_path(spark, tmp_path):
+    house = Warehouse(spark, str(tmp_path))
+    rows = spark.createDataFrame([(1, 5, "a", T0, None, "{}"), (2, 5, "a", None, T0 + timedelta(days=1), "{}"), (3, 5, "a", None, None, "{}"), (4, 5, None, T0, None, "{}")], "event_id long, source_id long, event_type string, Time timestamp_ntz, other timestamp_ntz, props string")
+    writes.save_events(house, rows.withColumnRenamed("other", "event_timestamp"), {}, "legacy", now=reads.ntz("2024-03-01"))
+    assert {r["event_id"]: r["event_timestamp"] for r in house.table("events").read().collect()} == {1: T0, 2: T0 + timedelta(days=1), 3: datetime(2024, 3, 1)}
+
+
 def test_streams_go_on_after_a_restart(spark, tmp_path):
     path, at = str(tmp_path / "in"), str(tmp_path / "checkpoint")
     history, last = Table(spark, str(tmp_path / "h"), "sourcetimestamp"), Table(spark, str(tmp_path / "l"))
@@ -95,7 +164,7 @@ def test_streams_go_on_after_a_restart(spark, tmp_path):
         query = jobs.ingest(jobs.stream(spark, path), history, last, at)
         query.awaitTermination()
     assert sorted((r["variable_id"], r["value_double"]) for r in history.read().collect()) == [(1, 0.0), (1, 1.0), (2, 5.0)]
-    assert {r["variable_id"]: r["value_double"] for r in last.read().collect()} == {1: 1.0, 2: 6.0}
+    assert {r["variable_id"]: r["value_double"] for r in writes.last_values(last).collect()} == {1: 1.0, 2: 6.0}
     report = observe.stream_report(query)
     assert report["counts"]["items"] == 2 and not report["active"]
 
