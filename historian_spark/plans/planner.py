@@ -1,21 +1,23 @@
-"""Filter plans: the part of a filter that typed tables can answer, as data that can be shown.
+"""Filter plans: the part of a filter that can be asked early, on fewer tables or columns.
 
-A plan is a tree of {"field", "op", "value"} leaves beneath {"and": [...]} and {"or": [...]}, or
-None for no condition. A plan is never stricter than its filter: where a part cannot be planned
-it is left out beneath And, and an Or that has such a part is left out as a whole. The whole
-filter is still compiled beside it (``filters``), so a plan only says what may be asked early.
+A plan is itself a filter, made of the elements of the whole one, so the same compiler says what
+its comparisons mean. It is never stricter than the whole: a condition that cannot be asked early
+counts as true where it makes a filter stricter, so And goes on without it, Or that holds one is
+given up, and so is everything beneath Not that it is part of. The whole filter is still asked
+afterwards.
 """
 
 from __future__ import annotations
 
-import operator
-from functools import reduce
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .filters import legal_column
+from . import filters
+from .filters import attribute, compile_filter, legal_column, ref
 
 #: Fields that are columns of the anchor, not of typed tables.
 ANCHOR_FIELDS = ("EventType", "Time", "SourceNode")
@@ -29,110 +31,117 @@ def field_name(path, aliases: dict[str, str] | None = None) -> str:
     return (aliases or {}).get(last, last)
 
 
-def _join(kind: str, parts: list) -> dict | None:
-    if kind == "or" and any(p is None for p in parts):
+def _leaf(e: dict, aliases: dict[str, str] | None) -> dict | None:
+    """A condition on one field with literals alone, the field by its name; else None."""
+    known = ("Equals", "GreaterThan", "LessThan", "GreaterThanOrEqual", "LessThanOrEqual", "InList", "Between", "Like", "ILike", "IsNull")
+    ops = e["operands"]
+    if e["op"] not in known or not ops or "attribute" not in ops[0] or any("literal" not in o for o in ops[1:]):
         return None
-    parts = [p for p in parts if p is not None]
-    return None if not parts else parts[0] if len(parts) == 1 else {kind: parts}
+    if e["op"] == "Like" and not (len(ops) > 1 and isinstance(ops[1]["literal"], str)):
+        return None  # it makes the whole filter false, which nothing early can say
+    return filters.element(e["op"], attribute(field_name(ops[0]["attribute"], aliases)), *ops[1:])
 
 
-def build(elements: list[dict] | None, aliases: dict[str, str] | None = None, allowed: set[str] | None = None) -> dict | None:
-    """The plan of a filter; allowed: the fields that may be asked for, beside the event's type."""
+@dataclass(frozen=True)
+class Plan:
+    """A weaker filter; no elements: no condition."""
 
-    def leaf(e: dict) -> dict | None:
-        ops = e["operands"]
-        if not ops or "attribute" not in ops[0] or any("literal" not in o for o in ops[1:]):
-            return None
-        field, values = field_name(ops[0]["attribute"], aliases), [o["literal"] for o in ops[1:]]
-        if e["op"] != "IsNull" and allowed is not None and field != EVENT_TYPE and field not in allowed:
-            return None
-        if e["op"] == "IsNull":
-            return {"field": field, "op": "is_null", "value": None}
-        if e["op"] == "InList" and values:
-            return {"field": field, "op": "in", "value": values}
-        if e["op"] == "Equals" and len(values) == 1 and values[0] is not None:
-            return {"field": field, "op": "eq", "value": values[0]}
-        if e["op"] == "Like" and len(values) == 1 and isinstance(values[0], str):
-            return {"field": field, "op": "ilike", "value": values[0].replace("*", "%").replace("?", "_")}
-        return None
+    elements: list[dict] = field(default_factory=list)
 
-    def at(k: int, above: tuple = ()) -> dict | None:
-        if not isinstance(k, int) or not 0 <= k < len(elements) or k in above:
-            return None
-        e = elements[k]
-        if e["op"] in ("And", "Or"):
-            return _join(e["op"].lower(), [at(o.get("element"), (*above, k)) for o in e["operands"]])
-        return leaf(e)
+    def _kept(self, keep: Callable[[dict], bool]) -> Plan:
+        return _weaker(self.elements, None, keep)
 
-    return at(len(elements) - 1) if elements else None
+    def without_types(self) -> Plan:
+        """The plan without conditions on the event's type."""
+        return self._kept(lambda e: _field(e) != EVENT_TYPE)
 
+    def restricted(self, fields: set[str]) -> Plan:
+        """The plan's conditions on the given fields and on the event's type."""
+        return self._kept(lambda e: _field(e) in fields or _field(e) == EVENT_TYPE)
 
-def _rebuilt(plan: dict | None, keep) -> dict | None:
-    if plan is None:
+    def fields(self) -> list[str]:
+        """Fields of typed tables that the plan asks for, sorted."""
+        return sorted({_field(e) for e in self.elements if e["op"] not in _INNER and _field(e) not in ANCHOR_FIELDS})
+
+    def types(self) -> tuple[list[int], list[str]] | None:
+        """Ids and names of the only types that can fit, from the first list that every event must pass; None if any type can.
+
+        Where ids are given, names beside them do not count.
+        """
+        for e in self._must_pass(len(self.elements) - 1) if self.elements else []:
+            if _field(e) == EVENT_TYPE and e["op"] in ("InList", "Equals"):
+                values = [o["literal"] for o in e["operands"][1:]]
+                ids = [v for v in values if isinstance(v, int) and not isinstance(v, bool)]
+                return ids, [] if ids else [str(v).rpartition(";s=")[2].removeprefix("Events.") for v in values]
         return None
-    for kind in ("and", "or"):
-        if kind in plan:
-            return _join(kind, [_rebuilt(p, keep) for p in plan[kind]])
-    return plan if keep(plan) else None
 
+    def possible(self, types: list[str]) -> list[str]:
+        """Those of the types, by name, that can fit some list of types that every event must pass."""
+        for e in self._must_pass(len(self.elements) - 1) if self.elements else []:
+            values = [o["literal"] for o in e["operands"][1:]]
+            if _field(e) == EVENT_TYPE and e["op"] in ("InList", "Equals") and all(isinstance(v, str | int) and not isinstance(v, bool) for v in values):
+                types = [t for t in types if t in {str(v) for v in values}]
+        return types
 
-def without_types(plan: dict | None) -> dict | None:
-    """The plan without conditions on the event's type."""
-    return _rebuilt(plan, lambda p: p["field"] != EVENT_TYPE)
+    def _must_pass(self, k: int) -> list[dict]:
+        e = self.elements[k]
+        return [x for o in e["operands"] for x in self._must_pass(o["element"])] if e["op"] == "And" else [] if e["op"] in _INNER else [e]
 
+    def column(self, schema: T.StructType, aliases: dict[str, str] | None = None) -> Column:
+        """The plan as a condition on rows of a schema, as far as its fields are columns there; aliases: the columns of fields."""
+        at = lambda e: (aliases or {}).get(_field(e), _field(e))
+        plan = self._kept(lambda e: legal_column(at(e)) and at(e) in schema.names)
+        named = [e if e["op"] in _INNER else filters.element(e["op"], attribute(at(e)), *e["operands"][1:]) for e in plan.elements]
+        return compile_filter(named, schema) if named else F.lit(True)
 
-def restricted(plan: dict | None, fields: set[str]) -> dict | None:
-    """The plan's conditions on the given fields and on the event's type."""
-    return _rebuilt(plan, lambda p: p["field"] in fields or p["field"] == EVENT_TYPE)
+    def shown(self, k: int | None = None) -> str:
+        """The plan as one line."""
+        if not self.elements:
+            return "all"
+        e = self.elements[len(self.elements) - 1 if k is None else k]
+        if e["op"] in _INNER:
+            parts = [self.shown(o["element"]) for o in e["operands"]]
+            return f"not {parts[0]}" if e["op"] == "Not" else "(" + f" {e['op'].lower()} ".join(parts) + ")"
+        return " ".join([_field(e), e["op"], *(repr(o["literal"]) for o in e["operands"][1:])])
 
 
-def fields_of(plan: dict | None) -> list[str]:
-    """Fields of typed tables that the plan asks for, sorted."""
-    if plan is None:
-        return []
-    inner = plan.get("and") or plan.get("or")
-    found = [f for p in inner for f in fields_of(p)] if inner else [plan["field"]]
-    return sorted({f for f in found if f not in ANCHOR_FIELDS})
+_INNER = ("And", "Or", "Not")
 
 
-def types_of(plan: dict | None) -> tuple[list[int], list[str]] | None:
-    """Ids and names of the only types that can fit, from lists that every event must pass; None if any type can.
+def _field(e: dict) -> str:
+    return e["operands"][0]["attribute"][0]
 
-    Where ids are given, names beside them do not count.
-    """
-    if plan is None:
-        return None
-    for p in plan.get("and", [plan]):
-        if p.get("field") == EVENT_TYPE and p["op"] in ("in", "eq"):
-            values = p["value"] if p["op"] == "in" else [p["value"]]
-            ids = [v for v in values if isinstance(v, int) and not isinstance(v, bool)]
-            return ids, [] if ids else [str(v).rpartition(";s=")[2].removeprefix("Events.") for v in values]
-    return None
-
-
-def to_column(plan: dict | None, schema: T.StructType) -> Column:
-    """The plan as a condition on typed rows; what the schema or the rules of names do not allow is left out."""
-    known = set(schema.names)
-    fit = _rebuilt(plan, lambda p: p["field"] not in ANCHOR_FIELDS and legal_column(p["field"]) and p["field"] in known)
-
-    def column(p: dict) -> Column:
-        if "and" in p:
-            return reduce(operator.and_, map(column, p["and"]))
-        if "or" in p:
-            return reduce(operator.or_, map(column, p["or"]))
-        c, v = F.col(f"`{p['field']}`"), p["value"]
-        same = isinstance(schema[p["field"]].dataType, T.StringType)
-        text = lambda x: F.lit(str(x) if same else x)  # noqa: E731  a number asked of a text column is its text
-        return {"is_null": lambda: c.isNull(), "eq": lambda: c == text(v), "in": lambda: c.isin([str(x) if same else x for x in v]), "ilike": lambda: c.cast("string").ilike(v)}[p["op"]]()
-
-    return F.lit(True) if fit is None else column(fit)
-
-
-def shown(plan: dict | None) -> str:
-    """The plan as one line."""
-    if plan is None:
-        return "all"
-    for kind in ("and", "or"):
-        if kind in plan:
-            return "(" + f" {kind} ".join(shown(p) for p in plan[kind]) + ")"
-    return f"{plan['field']} {plan['op']}" + ("" if plan["value"] is None else f" {plan['value']!r}")
+
+def _weaker(elements: list[dict], aliases: dict[str, str] | None, keep: Callable[[dict], bool]) -> Plan:
+    out: list[dict] = []
+
+    def put(e: dict) -> int:
+        out.append(e)
+        return len(out) - 1
+
+    def joined(op: str, parts: list[int]) -> int | None:
+        return None if not parts else parts[0] if len(parts) == 1 else put(filters.element(op, *map(ref, parts)))
+
+    def at(k, exact: bool, above: tuple = ()) -> int | None:
+        """The place of element k in out, None if it is given up; exact: nothing beneath it may be."""
+        if not isinstance(k, int) or not 0 <= k < len(elements) or k in above:
+            return None
+        e, mark = elements[k], len(out)
+        if e["op"] not in _INNER:
+            leaf = _leaf(e, aliases)
+            return put(leaf) if leaf is not None and keep(leaf) else None
+        inner = [at(o.get("element"), exact or e["op"] == "Not", (*above, k)) for o in e["operands"]]
+        some = [p for p in inner if p is not None]
+        if (e["op"] == "Not" and len(inner) != 1) or not some or (len(some) < len(inner) and (exact or e["op"] != "And")):
+            del out[mark:]
+            return None
+        return put(filters.element("Not", ref(some[0]))) if e["op"] == "Not" else joined(e["op"], some)
+
+    if elements:
+        at(len(elements) - 1, False)
+    return Plan(out)
+
+
+def build(elements: list[dict] | None, aliases: dict[str, str] | None = None, allowed: set[str] | None = None) -> Plan:
+    """The plan of a filter; allowed: the fields that may be asked for, beside the event's type. IsNull may ask for any."""
+    return _weaker(elements or [], aliases, lambda e: e["op"] == "IsNull" or allowed is None or _field(e) == EVENT_TYPE or _field(e) in allowed)

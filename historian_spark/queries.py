@@ -573,7 +573,7 @@ def typed_read_all_types(spark, d):
 
 # filter plans
 _PLANNED = [
-    element("InList", attribute("EventType"), literal("ns=2;s=Events.error"), literal("view")), element("Like", attribute("props", "key"), literal("*1?")),
+    element("InList", attribute("EventType"), literal("ns=2;s=Events.error"), literal("view")), element("ILike", attribute("props", "key"), literal("*1?")),
     element("IsNull", attribute("k")), element("Or", ref(1), ref(2)), element("GreaterThan", attribute("value"), literal(5)), element("And", ref(0), ref(3), ref(4)),
 ]
 
@@ -583,15 +583,22 @@ def filter_plan(spark, d):
     """The part of a filter that the plan may ask early: its types, then the rest; the comparison with value is left to the whole filter."""
     plan = planner.build(_PLANNED, aliases={"key": "k"}, allowed={"k"})
     rows = src.table(spark, d, "events").select("event_id", "event_type", payload.field(F.col("props"), "k").alias("k"))
-    _, names = planner.types_of(plan)
-    return rows.where(F.col("event_type").isin(names) & planner.to_column(planner.without_types(plan), rows.schema)).select("event_id", "k")
+    _, names = plan.types()
+    return rows.where(F.col("event_type").isin(names) & plan.without_types().column(rows.schema)).select("event_id", "k")
 
 
-@query("filter_plan_shown", "SELECT * FROM (VALUES ('whole', '(EventType in [''ns=2;s=Events.error'', ''view''] and (k ilike ''%1_'' or k is_null))'), ('without_types', '(k ilike ''%1_'' or k is_null)'), ('other_fields', 'EventType in [''ns=2;s=Events.error'', ''view'']')) AS t(part, plan)")
+_K_FITS = "((props->>'$.k') ILIKE '%1_' OR (props->>'$.k') IS NULL)"
+_TYPES_SHOWN, _K_SHOWN = "EventType InList ''ns=2;s=Events.error'' ''view''", "(k ILike ''*1?'' or k IsNull)"
+
+
+@query("filter_plan_shown", f"SELECT 'whole' AS part, count_if(event_type = 'view' AND {_K_FITS}) AS n, '({_TYPES_SHOWN} and {_K_SHOWN})' AS plan FROM events UNION ALL SELECT 'without_types', count_if({_K_FITS}), '{_K_SHOWN}' FROM events UNION ALL SELECT 'other_fields', count_if(event_type = 'view'), '{_TYPES_SHOWN}' FROM events")
 def filter_plan_shown(spark, d):
+    """Parts of a plan as text, and how many events pass each."""
     plan = planner.build(_PLANNED, aliases={"key": "k"}, allowed={"k"})
-    parts = {"whole": plan, "without_types": planner.without_types(plan), "other_fields": planner.restricted(plan, {"serial"})}
-    return spark.createDataFrame([(n, planner.shown(p)) for n, p in parts.items()], "part string, plan string")
+    rows = src.table(spark, d, "events").select("event_type", payload.field(F.col("props"), "k").alias("k"))
+    parts = {"whole": plan, "without_types": plan.without_types(), "other_fields": plan.restricted({"serial"})}
+    counts = rows.agg(*[F.count_if(p.column(rows.schema, {"EventType": "event_type"})).alias(n) for n, p in parts.items()])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(n).alias("part"), F.col(n).alias("n"), F.lit(p.shown()).alias("plan")) for n, p in parts.items()])))
 
 
 @query("event_explain", "SELECT true AS pushed, true AS pruned, true AS top_k")

@@ -2,9 +2,14 @@
 
 import json
 import logging
+import operator
+import warnings
 from datetime import date, datetime, timedelta
+from functools import reduce
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from historian_spark import __main__ as cli
@@ -212,35 +217,78 @@ A, L, R = fl.attribute, fl.literal, fl.ref
 
 
 def test_plans():
-    assert planner.build([E("Like", A("serial"), L("*23?1%"))]) == {"field": "serial", "op": "ilike", "value": "%23_1%"}
     both = planner.build([E("Equals", A("serial"), L("abc")), E("IsNull", A("dev_eui")), E("And", R(0), R(1))])
-    assert planner.shown(both) == "(serial eq 'abc' and dev_eui is_null)" and planner.fields_of(both) == ["dev_eui", "serial"]
-    assert planner.build([E("GreaterThan", A("x"), L(1))]) is None and planner.build([]) is None
-    assert planner.build([E("Equals", A("a"), L(1)), E("IsNull", A("b"))][::-1], allowed={"b"}) is None
-    assert planner.build([E("Equals", A("Body", "eui"), L("1"))], aliases={"eui": "dev_eui"})["field"] == "dev_eui"
-    assert planner.build([E("InList", A(), L(7))])["field"] == "EventType"
-    typed_plan = planner.build([E("InList", A("EventType"), L(1), L("ns=2;s=Events.X")), E("Like", A("serial"), L("%x%")), E("And", R(0), R(1))])
-    assert planner.types_of(typed_plan) == ([1], []) and planner.without_types(typed_plan) == {"field": "serial", "op": "ilike", "value": "%x%"}
-    assert planner.types_of(planner.build([E("InList", A("EventType"), L("Events.A"), L("ns=2;s=Events.B"), L("string"))])) == ([], ["A", "B", "string"])
-
-
-def test_plans_are_never_stricter_than_filters():
-    # an Or with a part that cannot be planned, or that is taken away, is left out as a whole
-    spec = [E("Equals", A("a"), L("1")), E("GreaterThan", A("b"), L(1)), E("Or", R(0), R(1))]
-    assert planner.build(spec) is None
+    assert both.shown() == "(serial Equals 'abc' and dev_eui IsNull)" and both.fields() == ["dev_eui", "serial"]
+    assert planner.build([]).shown() == "all" and planner.build([E("InView", A("x"))]).elements == []
+    assert planner.build([E("Equals", A("a"), L(1)), E("Equals", A("b"), A("c"))]).elements == []
+    assert planner.build([E("IsNull", A("b")), E("Equals", A("a"), L(1))], allowed={"b"}).elements == []
+    assert planner.build([E("Equals", A("Body", "eui"), L("1"))], aliases={"eui": "dev_eui"}).fields() == ["dev_eui"]
+    assert planner.build([E("InList", A(), L(7))]).types() == ([7], [])
+    plan = planner.build([E("InList", A("EventType"), L(1), L("ns=2;s=Events.X")), E("Like", A("serial"), L("%x%")), E("And", R(0), R(1))])
+    assert plan.types() == ([1], []) and plan.without_types().shown() == "serial Like '%x%'" and plan.restricted({"other"}).shown() == "EventType InList 1 'ns=2;s=Events.X'"
+    assert planner.build([E("InList", A("EventType"), L("Events.A"), L("ns=2;s=Events.B"), L("string"))]).types() == ([], ["A", "B", "string"])
+    assert plan.possible(["1", "2"]) == ["1"]
+
+
+def test_what_plans_give_up():
+    # an Or with a part that cannot be planned, or that is taken away, is given up as a whole; an And goes on
+    spec = [E("Equals", A("a"), L("1")), E("Equals", A("b"), A("a")), E("Or", R(0), R(1))]
+    assert planner.build(spec).elements == []
+    mixed = [*spec[:2], E("And", R(0), R(1)), E("IsNull", A("c")), E("Or", R(2), R(3)), E("Not", R(2)), E("And", R(4), R(5))]
+    assert planner.build(mixed).shown() == "(a Equals '1' or c IsNull)"
     spec = [E("InList", A("EventType"), L("X")), E("Equals", A("a"), L("1")), E("Or", R(0), R(1))]
     plan = planner.build(spec)
-    assert planner.types_of(plan) is None and planner.without_types(plan) is None and planner.restricted(plan, {"b"}) is None
-    cyclic = [E("And", R(0))]
-    assert planner.build(cyclic) is None
+    assert plan.types() is None and plan.without_types().elements == [] and plan.restricted({"b"}).elements == [] and plan.possible(["Y"]) == ["Y"]
+    assert planner.build([E("And", R(0))]).elements == []
 
 
-def test_plan_columns(spark):
-    rows = spark.createDataFrame([("5", "x", 1), ("6", None, 2)], "a string, b string, EventType int")
-    fit = lambda spec: [r["a"] for r in rows.where(planner.to_column(planner.build(spec), rows.schema)).collect()]
-    assert fit([E("Equals", A("a"), L(5))]) == ["5"] and fit([E("InList", A("a"), L(5), L(6))]) == ["5", "6"]
-    assert fit([E("IsNull", A("b"))]) == ["6"] and fit([E("Equals", A("x;y"), L(1))]) == ["5", "6"] and fit([E("Equals", A("missing"), L(1))]) == ["5", "6"]
-    assert fit([E("InList", A("EventType"), L(99))]) == ["5", "6"]
+MIXED = "s string, d double, n int, t boolean, EventType string"
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    return spark.createDataFrame([("abc", 1.5, 1, True, "x"), ("a.c", 7.0, 7, False, "y"), (None, None, None, None, None), ("true", 1e20, 2, None, "x"), ("7", -0.0, 0, True, "7"), ("7.0", float("nan"), 5, False, "z")], MIXED).cache()
+
+
+@pytest.mark.parametrize("spec", [E("Like", A("s"), L("a.c")), E("Equals", A("t"), L(True)), E("Equals", A("s"), L(True)), E("Equals", A("d"), L(1e20)), E("Equals", A("s"), L(1e20)), E("Equals", A("d"), L("abc")), E("InList", A("d"), L("7"), L("x")), E("InList", A("d"), L("7.0")), E("Like", A("s"), L("[a.]_c%"))], ids=str)
+def test_plans_mean_what_their_filters_do(mixed, spec):
+    rows = lambda c: mixed.where(c).count()
+    whole, plan = fl.compile_filter([spec], mixed.schema), planner.build([spec]).column(mixed.schema)
+    assert rows(whole) == rows(plan) == rows(whole & plan)
+
+
+_LEAF = st.builds(lambda op, f, vs: E(op, A(f), *map(L, vs[: {"InList": 3, "Between": 2, "IsNull": 0}.get(op, 1)])), st.sampled_from(["Equals", "GreaterThan", "LessThan", "InList", "Between", "Like", "ILike", "IsNull", "InView"]), st.sampled_from(["s", "d", "n", "t", "EventType", "missing"]), st.lists(st.sampled_from(["abc", "a.c", "7", "true", "x", "%", "a_c", "[a.]%"]) | st.sampled_from([7, 1, True, 1e20, 1.5, None]), min_size=3, max_size=3))
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(_LEAF, min_size=2, max_size=4), st.lists(st.tuples(st.sampled_from(["And", "Or", "Not"]), st.integers(0, 99), st.integers(0, 99)), max_size=5), st.sets(st.sampled_from(["s", "d", "n", "t"])))
+def test_plans_are_never_stricter_than_filters(mixed, leaves, inner, some):
+    spec = list(leaves)
+    for op, a, b in inner:
+        spec.append(E(op, *[R(x % len(spec)) for x in ((a,) if op == "Not" else (a, b))]))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        passed = mixed.where(fl.compile_filter(spec, mixed.schema))
+    plan = planner.build(spec)
+    weaker = [w.column(mixed.schema) for w in (plan, plan.without_types(), plan.restricted(some), planner.build(spec, allowed=some))]
+    assert passed.where(~reduce(operator.and_, [F.coalesce(w, F.lit(False)) for w in weaker])).count() == 0
+
+
+def test_typed_reads_ask_the_plan_early(spark, tmp_path):
+    """A condition beneath Or reaches both scans, and a type that cannot fit is not read."""
+    anchor = spark.createDataFrame([(k, T0 + timedelta(minutes=k), 1, "ab"[k % 2]) for k in range(8)], EVENT + ", event_type string")
+    fields = {t: spark.createDataFrame([(k, T0 + timedelta(minutes=k), 1, str(k), float(k)) for k in range(8) if "ab"[k % 2] == t], EVENT + ", serial string, level double") for t in "ab"}
+    for name, df in {"anchor": anchor, **fields}.items():
+        df.write.parquet(str(tmp_path / name))
+    stored = {n: spark.read.parquet(str(tmp_path / n)) for n in ("anchor", "a", "b")}
+    b = bounds.resolve(T0, T0 + timedelta(hours=1), None, T0)
+    spec = [E("InList", A("event_type"), L("a")), E("Equals", A("serial"), L("4")), E("GreaterThan", A("level"), L(5)), E("Or", R(1), R(2)), E("And", R(0), R(3))]
+    rows = typed.read_typed(stored["anchor"], {t: stored[t] for t in "ab"}, None, b, spec)
+    assert sorted(r["event_id"] for r in rows.collect()) == [4, 6]
+    plan = reads.plan_text(rows)
+    assert f"{tmp_path}/b]" not in plan and "Or(EqualTo(serial,4),GreaterThan(level,5.0))" in plan.replace(" ", "")
+    none = typed.read_typed(stored["anchor"], {t: stored[t] for t in "ab"}, None, b, [E("Equals", A("event_type"), L("c"))])
+    assert none.count() == 0 and none.columns == ["event_id", "event_timestamp", "source_id", "event_type", "serial", "level"]
 
 
 def test_types_are_stripped_beneath_and_alone(spark):
