@@ -1,8 +1,12 @@
 """Near-duplicate classes of documents by BagMinHash signatures.
 
-A document is the bag of its runs of five words. For every shingle and every dyadic interval of
-its count, a seeded Poisson process throws points onto the registers; a point belongs to the
-document if the level it falls to, by repeated halving of the interval, is below the count.
+A document is the bag of its runs of five words. A shingle's counts are cut into the dyadic
+intervals [0, 1), [1, 2), [2, 4), [4, 8) ...: a hierarchy in which each interval is as wide as all
+before it. Each has a seeded Poisson process of its own, with its width as rate, that throws points
+onto the registers; a point belongs to the document if its level, drawn evenly within the interval,
+is below the count. This is one process over all levels, thinned to those that the count covers,
+so an interval is never halved further: the last one alone may be covered in part, and there its
+points are thinned.
 The least point of each register is the signature, so two documents agree in a register with
 the probability of their weighted Jaccard similarity. Points come in ascending order, and a
 process stops once its next point cannot lower any register.
@@ -84,7 +88,7 @@ def signatures(elements: np.ndarray, doc: np.ndarray, count: np.ndarray, n_docs:
         at = at - np.log((state >> _U(11)).astype(float) * 2.0**-53 + 2.0**-54) / rate
         mark = _mix(state ^ _U(0xA0761D6478BD642F))
         fell = low + ((mark >> _U(32)) % np.maximum(low, 1).astype(np.uint64)).astype(np.int64)
-        own = fell < c  # halving the interval down to a level that the count covers
+        own = fell < c  # points at levels that the count does not cover are another document's
         register = (mark & _U(0xFFFFFFFF)) % _U(m)
         np.minimum.at(h, (d * m + register.astype(np.int64))[own], at[own])
         worst = h.reshape(n_docs, m).max(axis=1) if n_docs else worst
@@ -250,12 +254,32 @@ def _across(left_over: DataFrame, words: DataFrame) -> DataFrame:
     rows = rows.select("u", "v", "root", "words_v", "common")
     found = rows.mapInArrow(_prefixes, "u long, v long, root long, probe boolean, size int, token long, place int, n int")
     found = durable(found, "prefixes")
-    x, y = found.where("not probe").alias("x"), found.where("probe").alias("y")
+    met = _met(found).where("root_x <> root_y")
+    return met.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+
+
+def _met(found: DataFrame) -> DataFrame:
+    """x, y and their roots for index and probe rows that share a key and may be alike, without any pair within a key's largest class.
+
+    Keys whose rows are all of one class have no pairs. Of the others the rows of the largest class
+    stand on one side only, so however many copies a class has, a key makes as many pairs as it
+    has rows times those of its other classes, at most.
+    """
+    key = ["u", "size", "token"]
+    per_class = found.groupBy(*key, "root").agg(F.count("*").alias("rows"))
+    largest = per_class.groupBy(*key).agg(F.max_by("root", F.struct("rows", "root")).alias("largest"), F.count("*").alias("classes"))
+    mixed = durable(largest.where("classes > 1").drop("classes"), "mixed-keys")
+    held = durable(found.join(mixed, key), "mixed-prefixes")
     common = (4 * (F.col("x.n") + F.col("y.n")) + 8) / 9
     fits = (F.col("x.place") <= F.col("x.n") - F.floor(common)) & (F.col("y.place") <= F.col("y.n") - F.floor(common))
-    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("u", "size", "token")]
-    met = x.join(y, [*same, F.col("x.root") != F.col("y.root"), F.col("x.n") <= F.col("y.n"), fits])
-    return met.select(F.least("x.v", "y.v").alias("u"), F.greatest("x.v", "y.v").alias("v")).distinct()
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in key]
+
+    def joined(x: DataFrame, y: DataFrame) -> DataFrame:
+        pairs = x.where("not probe").alias("x").join(y.where("probe").alias("y"), [*same, F.col("x.n") <= F.col("y.n"), fits])
+        return pairs.select(F.col("x.v").alias("x"), F.col("y.v").alias("y"), F.col("x.root").alias("root_x"), F.col("y.root").alias("root_y"))
+
+    others, own = held.where("root <> largest"), held.where("root = largest")
+    return joined(held, others).union(joined(others, own))
 
 
 def _linked(compared: DataFrame) -> DataFrame:

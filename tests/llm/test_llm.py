@@ -470,3 +470,15 @@ def test_plan_of_all_classes_ends_soon(seed):
         cut.update({s: times * n for s, n in pattern.items()})
     assert cut == histogram
     assert sum(times for times, _ in found) <= 1.01 * sum(s * n for s, n in histogram.items()) / 4096 + 1
+
+
+def test_pairs_of_a_hot_class_are_linear(spark):
+    """5,000 near copies of one class and a stranger with the same prefix shingle: pairs with the stranger, none within the class."""
+    rows = [(1, v, 1 if v else 9, probe, 3, 77, 0, 50) for v in range(5_001) for probe in (False, True)] + [(1, v, 1, probe, 3, 78, 0, 50) for v in range(1, 300) for probe in (False, True)]
+    found = spark.createDataFrame(rows, "u long, v long, root long, probe boolean, size int, token long, place int, n int")
+    met = neardup._met(found)
+    assert met.count() <= 2 * 5_001 and met.where("root_x <> root_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().count() == 5_000
+    # two classes and a third: every pair across classes is there
+    small = spark.createDataFrame([(1, v, v % 3, probe, 3, 77, 0, 50) for v in range(30) for probe in (False, True)], found.schema)
+    across = {tuple(sorted((r["x"], r["y"]))) for r in neardup._met(small).where("root_x <> root_y").collect()}
+    assert across == {(a, b) for a in range(30) for b in range(a + 1, 30) if a % 3 != b % 3}
