@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 from .common import durable, only, slices, spread, whole_text
 from .words import byte_letters
 
-SLICE_BYTES = 4 << 20  # of texts that are counted together
+SLICE_BYTES = 2 << 20  # of texts that are counted together
 KNOWN_PIECES, KNOWN_BYTES = 250_000, 32 << 20  # that a partition remembers
 TOGETHER = 256  # pieces that are encoded in one call
-ADDED = 30_000  # pieces that are aligned in one step
+ADDED = 10_000  # pieces that are aligned in one step
 SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 _JOINS = """
@@ -236,12 +236,12 @@ class Aligner:
             "sha256": [hashlib.sha256(t.as_buffer()).hexdigest() if m else "" for t, m in zip(joined.cast(pa.large_binary()), n)],
             "ends": np.searchsorted(doc, np.arange(len(docs) + 1)), "pieces": local, "times": times,
             "pair": counts["pair"], "docs": counts["docs"],
-            "link_piece": np.searchsorted(own, links["piece"]), "link_pair": np.searchsorted(counts["pair"], links["pair"]), "link_n": links["n"],
+            "links": np.bincount(np.searchsorted(own, links["piece"]), links["n"], len(own)), "link_pair": np.repeat(np.searchsorted(counts["pair"], links["pair"]), links["n"]),
         }
 
 
 FACTS = ["n_a", "n_b", "n_groups", "n_links"]
-_LISTS = {"pieces": "int", "times": "int", "pair": "bigint", "docs": "int", "link_piece": "int", "link_pair": "int", "link_n": "int"}
+_LISTS = {"pieces": "int", "times": "int", "pair": "bigint", "docs": "int", "links": "int", "link_pair": "int"}
 SLICES = "slice long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, " + ", ".join(f"{n} array<{k}>" for n, k in _LISTS.items())
 
 
@@ -257,7 +257,7 @@ def _align(path_a: str, path_b: str):
                 columns = [pa.array([number] * (m + 1), pa.int64()), pa.concat_arrays([batch.column("doc_id").slice(at, m), pa.nulls(1, pa.int64())])]
                 columns += [pa.array([*got["facts"][:, k].tolist(), None], pa.int64()) for k in range(4)] + [pa.array([*got["sha256"], None], pa.string())]
                 for name, kind in kinds.items():
-                    values = pa.array(got[name], kind.value_type)
+                    values = pa.array(got[name].astype(np.int64)).cast(kind.value_type)
                     if name in ("pieces", "times"):
                         lists = [pa.ListArray.from_arrays(pa.array(got["ends"], pa.int32()), values), pa.nulls(1, kind)]
                     else:
@@ -297,9 +297,8 @@ def _scored(own: pa.Table, totals: pa.Table) -> pa.Table:
     at = totals.column("pos").to_numpy()
     values = np.zeros((len(flat(shared, "pair")), 2), np.int64)
     values[at, 0], values[at, 1] = totals.column("best").cast(pa.int64()).to_numpy(), totals.column("docs").to_numpy()
-    linked = values[flat(shared, "link_pair")] * flat(shared, "link_n")[:, None]
-    piece = flat(shared, "link_piece")  # ascending, and every piece has a link
-    a_piece = np.add.reduceat(linked, np.flatnonzero(np.diff(piece, prepend=-1)), axis=0) if len(piece) else linked
+    linked, links = values[flat(shared, "link_pair")], flat(shared, "links")  # links in order of their pieces, each of which has one
+    a_piece = np.add.reduceat(linked, np.cumsum(links) - links, axis=0) if len(links) else linked
     upto = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(a_piece[flat(docs, "pieces")] * flat(docs, "times")[:, None], axis=0)])
     n = pc.list_value_length(docs.column("pieces").combine_chunks()).to_numpy()
     ends = np.concatenate([[0], np.cumsum(n)])
