@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Identifier kinds of node ids.
 KINDS = {"int": "i", "str": "s", "guid": "g", "bytes": "b"}
@@ -49,6 +50,15 @@ def check_table_name(name: str) -> str:
     return name
 
 
+def flat_columns(schema: T.StructType, prefix: str = "") -> dict[str, Column]:
+    """The fields of nested structs by dotted paths, in order."""
+    found: dict[str, Column] = {}
+    for f in schema.fields:
+        path = f"{prefix}`{f.name}`"
+        found |= flat_columns(f.dataType, f"{path}.") if isinstance(f.dataType, T.StructType) else {path.replace("`", ""): F.col(path)}
+    return found
+
+
 def flatten(metrics: dict, prefix: str = "") -> dict:
     """Nested metrics as dotted paths."""
     found = {}

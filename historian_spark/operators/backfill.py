@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .ingest import coverage
-from .writes import ANCHOR_KEYS, typed_rows
+from ..functions.node_ids import event_table
+from .ingest import backfill_seeds, coverage
+from .writes import ANCHOR_KEYS, anchors, last_values, payloads, save_last_values, typed_rows
 
 
 def next_batch(legacy: DataFrame, anchors: DataFrame, after: int, size: int, id_column: str = "event_id") -> DataFrame:
@@ -41,3 +45,58 @@ def run(house, size: int, id_column: str = "event_id") -> int:
             return n
         target.append(batch.select(*ANCHOR_KEYS, "source_id", "event_type", F.col(id_column).alias("legacy_row_id")), "backfill", end)
         after, n = end, n + 1
+
+
+def missing_of_types(house, schemas: dict[str, list[str]], after: int) -> DataFrame:
+    """Anchors behind an id whose type has a table that lacks them, old ones as well as new."""
+    own = anchors(house).where((F.col("event_id") > after) & F.col("event_type").isin(list(schemas)))
+    held = [rows.select(*ANCHOR_KEYS) for t in schemas if (rows := house.table(event_table(t)).read()) is not None]
+    return own.join(reduce(DataFrame.unionByName, held), ANCHOR_KEYS, "left_anti") if held else own
+
+
+def run_typed(house, schemas: dict[str, list[str]], size: int, job: str = "typed_backfill") -> int:
+    """The typed rows that are missing for the warehouse's anchors, all types in one pass over the ids. How many batches.
+
+    A batch is the next ``size`` anchors without a typed row, by id. The cursor is the batch number
+    of the typed tables' job, the least of them: a batch that ended between two tables is run
+    again, and the tables that have it pass it over. A job of another name begins anew.
+    """
+    tables = {t: house.table(event_table(t)) for t in schemas}
+    after, n = min(table.manifest()["jobs"].get(job, -1) for table in tables.values()), 0
+    while True:
+        batch = missing_of_types(house, schemas, after).orderBy("event_id").limit(size).join(payloads(house), ANCHOR_KEYS).persist()
+        try:
+            end = batch.agg(F.max("event_id")).first()[0]
+            if end is None:
+                return n
+            for event_type, fields in schemas.items():
+                tables[event_type].append_new(typed_rows(batch, event_type, fields), ANCHOR_KEYS, "event_id", job, end)
+        finally:
+            batch.unpersist()
+        after, n = end, n + 1
+
+
+def restore(last, history: DataFrame, chunks: int, on_chunk: Callable[[dict], None] | None = None, job: str = "restore", staged: Callable[[DataFrame], DataFrame] | None = None, value: str = "value_double") -> list[dict]:
+    """Seeds of the log of last values replaced by the history's last values; no series stays a seed. Figures of each chunk.
+
+    The history is read once, for all seeds; the result is written to the log a chunk of series at
+    a time, each counted while it is written: found in the history, missing there, and cleared.
+    on_chunk gets these figures. A restart passes over the chunks that the log has; staged stores
+    the result for the chunks (else each is computed anew).
+    """
+    stored = last_values(last, value)
+    seeds = stored.where("is_seed")
+    found = backfill_seeds(seeds, history.join(seeds.select("variable_id"), "variable_id", "left_semi"), value=value)
+    found = found.withColumn("chunk", F.pmod("variable_id", F.lit(chunks)))
+    found = found if staged is None else staged(found)
+    figures = []
+    for chunk in range(chunks):
+        if last.done(job, chunk):
+            continue
+        counted = Observation()
+        rows = found.where(F.col("chunk") == chunk).observe(counted, F.count_if("restored").alias("found"), F.count_if(~F.col("restored")).alias("missing"), F.count("*").alias("cleared"))
+        save_last_values(last, rows, job, chunk, value)
+        figures.append({"chunk": chunk} | counted.get)
+        if on_chunk is not None:
+            on_chunk(figures[-1])
+    return figures

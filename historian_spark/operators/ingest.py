@@ -14,6 +14,12 @@ def storage_mode(text: str | None) -> str:
     return mode if mode in STORAGE_MODES else "dual"
 
 
+def storage_mode_column(text: Column) -> Column:
+    """A known mode, else dual."""
+    mode = F.lower(F.trim(text))
+    return F.when(mode.isin(*STORAGE_MODES), mode).otherwise(F.lit("dual"))
+
+
 def first_write(rows: DataFrame, keys: list[str], arrival: str) -> DataFrame:
     """The earliest arrival of each key; partial aggregates move, one row a key and task."""
     best = rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), arrival).alias("first"))

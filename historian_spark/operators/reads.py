@@ -78,6 +78,17 @@ def resolve_types(types: DataFrame, names: list[str]) -> DataFrame:
     return types.where(reduce(lambda a, b: a | b, fits, F.lit(False)))
 
 
+def resolve_each(types: DataFrame, names: list[str]) -> DataFrame:
+    """One type for each name that has any: the whole name before the prefixed ones, then the least id; name, event_type_id, event_type_name."""
+    asked = F.explode(F.array(*map(F.lit, names))).alias("name")
+    rows = resolve_types(types, names).select("*", asked)
+    whole = F.col("event_type_name") == F.col("name")
+    fits = [F.endswith("event_type_name", F.concat(F.lit(p), "name")) for p in (";s=Events.", ";s=")]
+    rank = F.struct(F.when(whole, 0).when(fits[0], 1).otherwise(2).alias("how"), "event_type_id")
+    best = rows.where(whole | fits[0] | fits[1]).groupBy("name").agg(F.min_by(F.struct("event_type_id", "event_type_name"), rank).alias("t"))
+    return best.select("name", "t.*")
+
+
 def latest(rows: DataFrame, key: str, ts: str, id_column: str, *values: str, since=None) -> DataFrame:
     """The last row of each series, ties to the larger id; partial aggregates move, not rows."""
     rows = rows.where(F.col(ts) >= ntz(since)) if since is not None else rows

@@ -28,6 +28,31 @@ def sync(schemas: DataFrame, event_type_id: int, fields: list[str]) -> DataFrame
     return schemas.unionByName(fresh.select([F.col(f.name).cast(f.dataType) for f in schemas.schema.fields]))
 
 
+def found_fields(events: DataFrame, event_type: str = "event_type", payload: str = "props") -> DataFrame:
+    """event_type and fields: the names in the JSON payloads of each type, sorted; names meet on the mappers first."""
+    names = events.select(event_type, F.explode(F.json_object_keys(payload)).alias("field")).where(F.col("field") != "")
+    return names.groupBy(event_type).agg(F.sort_array(F.collect_set("field")).alias("fields"))
+
+
+def sync_found(schemas: DataFrame | None, found: DataFrame, key: str = "event_type") -> DataFrame:
+    """schemas (key, schema_version, fields) with a new version of each type whose found fields are not its latest ones; all types at once."""
+    if schemas is None:
+        return found.select(key, F.lit(1).alias("schema_version"), "fields")
+    last = schemas.groupBy(key).agg(F.max_by(F.struct("schema_version", "fields"), "schema_version").alias("had"))
+    changed = found.join(last, key, "left").where("had is null or had.fields <> fields")
+    return schemas.unionByName(changed.select(key, (F.coalesce("had.schema_version", F.lit(0)) + 1).alias("schema_version"), "fields"))
+
+
+def register_events(house, batch: DataFrame, job: str = "schemas", number: int | None = None) -> bool:
+    """The warehouse's schemas with what a batch of events adds: new versions only are written, a numbered batch once."""
+    table = house.table("event_schemas")
+    stored = table.read()
+    synced = sync_found(stored, found_fields(batch))
+    if stored is not None:
+        synced = synced.join(stored.select("event_type", "schema_version"), ["event_type", "schema_version"], "left_anti")
+    return table.append(synced, job, number)
+
+
 def upsert(stored: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """stored with rows in place of those of equal keys, and with the new ones."""
     return stored.join(rows.select(*keys), keys, "left_anti").unionByName(rows.select(*stored.columns))
@@ -39,20 +64,20 @@ def allowed_fields(configured: set[str], schemas: DataFrame, aliases: dict[str,
     return expand_fields(found, aliases)
 
 
-def latest_schemas(schemas: DataFrame) -> DataFrame:
-    best = schemas.groupBy("event_type_id").agg(F.max_by(F.struct("schema_version", "fields"), "schema_version").alias("s"))
-    return best.select("event_type_id", "s.schema_version", "s.fields")
+def latest_schemas(schemas: DataFrame, key: str = "event_type_id") -> DataFrame:
+    best = schemas.groupBy(key).agg(F.max_by(F.struct("schema_version", "fields"), "schema_version").alias("s"))
+    return best.select(key, "s.schema_version", "s.fields")
 
 
-def all_fields(schemas: DataFrame) -> DataFrame:
-    return latest_schemas(schemas).select(F.explode("fields").alias("field")).distinct()
+def all_fields(schemas: DataFrame, key: str = "event_type_id") -> DataFrame:
+    return latest_schemas(schemas, key).select(F.explode("fields").alias("field")).distinct()
 
 
-def common_fields(schemas: DataFrame) -> DataFrame:
+def common_fields(schemas: DataFrame, key: str = "event_type_id") -> DataFrame:
     """Fields that all types have in their latest versions."""
-    now = latest_schemas(schemas)
-    n = now.agg(F.countDistinct("event_type_id").alias("n"))
-    counts = now.select("event_type_id", F.explode("fields").alias("field")).groupBy("field").agg(F.countDistinct("event_type_id").alias("types"))
+    now = latest_schemas(schemas, key)
+    n = now.agg(F.countDistinct(key).alias("n"))
+    counts = now.select(key, F.explode("fields").alias("field")).groupBy("field").agg(F.countDistinct(key).alias("types"))
     return counts.join(F.broadcast(n), F.col("types") == F.col("n")).select("field")
 
 

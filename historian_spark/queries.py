@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -297,26 +297,57 @@ def semi_join_storage(spark, d):
 
 
 # schema registry
-_SCHEMAS = "(VALUES (1, 1, ['a']), (1, 2, ['a', 'b']), (2, 1, ['a', 'c']), (3, 1, ['a', 'b', 'c']), (3, 3, ['a', 'b', 'd'])) AS s(event_type_id, schema_version, fields)"
+# payloads whose fields depend on the event and on its time; schemas are what is found in three thirds of a month
+_FIELDS = {"k": "true", "high": "value > 100", "tag": "user_id % 7 = 0 AND event_type <> 'click'", "mid": "day(ts) > 10 AND event_type <> 'view'", "late": "day(ts) > 20 AND event_type IN ('error', 'view')"}
+_THIRD = "CASE WHEN day(ts) <= 10 THEN 1 WHEN day(ts) <= 20 THEN 2 ELSE 3 END"
+_FOUND = "(SELECT event_type, part, list_sort(list(DISTINCT field)) AS fields FROM (" + " UNION ALL ".join(f"SELECT event_type, {_THIRD} AS part, '{f}' AS field FROM events WHERE {c}" for f, c in _FIELDS.items()) + ") GROUP BY 1, 2)"
+_CHANGED = f"(SELECT * FROM (SELECT *, lag(fields) OVER (PARTITION BY event_type ORDER BY part) AS had FROM {_FOUND}) WHERE had IS NULL OR had <> fields)"
+_SCHEMAS = f"(SELECT event_type, CAST(row_number() OVER (PARTITION BY event_type ORDER BY part) AS INTEGER) AS schema_version, fields FROM {_CHANGED})"
+_LATEST = f"(SELECT event_type, max(schema_version) AS schema_version, arg_max(fields, schema_version) AS fields FROM {_SCHEMAS} GROUP BY 1)"
 
 
-def _schemas(spark):
-    return spark.createDataFrame([(1, 1, ["a"]), (1, 2, ["a", "b"]), (2, 1, ["a", "c"]), (3, 1, ["a", "b", "c"]), (3, 3, ["a", "b", "d"])], "event_type_id int, schema_version int, fields array<string>")
+def _with_fields(spark, d):
+    rows = src.table(spark, d, "events")
+    values = [F.when(F.expr(c), F.lit("x")).alias(f) for f, c in _FIELDS.items()]
+    return rows.withColumn("props", F.to_json(F.struct(*values))).withColumn("part", F.expr(_THIRD))
+
+
+def _schemas(spark, d):
+    """The registry after the three thirds, each synced as a batch of the warehouse."""
+    house, rows = _house(spark), _with_fields(spark, d)
+    for part in (1, 2, 3):
+        for _ in range(2 if part == 2 else 1):  # a batch that comes twice adds nothing
+            registry.register_events(house, rows.where(F.col("part") == part), number=part)
+    return house.table("event_schemas").read()
 
 
-@query("schema_latest_per_type", f"SELECT event_type_id, max(schema_version) AS schema_version, array_to_string(arg_max(fields, schema_version), ',') AS fields FROM {_SCHEMAS} GROUP BY 1")
+@query("schema_sync", f"SELECT event_type, schema_version, array_to_string(fields, ',') AS fields FROM {_SCHEMAS}")
+def schema_sync(spark, d):
+    return _schemas(spark, d).withColumn("fields", F.array_join("fields", ","))
+
+
+@query("schema_latest_per_type", f"SELECT event_type, schema_version, array_to_string(fields, ',') AS fields FROM {_LATEST}")
 def schema_latest_per_type(spark, d):
-    return registry.latest_schemas(_schemas(spark)).withColumn("fields", F.array_join("fields", ","))
+    return registry.latest_schemas(_schemas(spark, d), "event_type").withColumn("fields", F.array_join("fields", ","))
 
 
-@query("field_union", f"SELECT DISTINCT unnest(f) AS field FROM (SELECT arg_max(fields, schema_version) AS f FROM {_SCHEMAS} GROUP BY event_type_id)")
+@query("field_union", f"SELECT DISTINCT unnest(fields) AS field FROM {_LATEST}")
 def field_union(spark, d):
-    return registry.all_fields(_schemas(spark))
+    return registry.all_fields(_schemas(spark, d), "event_type")
 
 
-@query("field_intersection", f"SELECT field FROM (SELECT event_type_id, unnest(arg_max(fields, schema_version)) AS field FROM {_SCHEMAS} GROUP BY 1) GROUP BY field HAVING count(*) = 3")
+@query("field_intersection", f"SELECT field FROM (SELECT event_type, unnest(fields) AS field FROM {_LATEST}) GROUP BY field HAVING count(*) = (SELECT count(*) FROM {_LATEST})")
 def field_intersection(spark, d):
-    return registry.common_fields(_schemas(spark))
+    return registry.common_fields(_schemas(spark, d), "event_type")
+
+
+@query("configured_fields", f"SELECT event_type, field, count(*) AS events FROM ({' UNION ALL '.join(f"SELECT event_type, '{f}' AS field FROM events WHERE {c}" for f, c in _FIELDS.items())}) WHERE field IN ('high', 'late', 'tag') GROUP BY 1, 2")
+def configured_fields(spark, d):
+    """The fields of payloads that the configuration allows, also by an alias; malformed aliases are skipped."""
+    rows = _with_fields(spark, d)
+    allowed = registry.allowed_fields(filters.parse_csv_set(" tag, elevated ,late,"), rows, filters.parse_aliases("elevated:high, bad, :x"))
+    names = rows.select("event_type", F.explode(F.json_object_keys("props")).alias("field"))
+    return names.where(F.col("field").isin(sorted(allowed))).groupBy("event_type", "field").agg(F.count("*").alias("events"))
 
 
 @query("schema_evolution_union", "SELECT event_id, value, NULL::VARCHAR AS k FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, value, props->>'$.k' FROM events WHERE event_type = 'signup'")
@@ -624,10 +655,12 @@ def filter_stripped_of_types(spark, d):
     return rows.where(compile_filter(strip_types(spec), rows.schema)).select("event_id")
 
 
-@query("filter_bad_pattern_is_false", "SELECT event_id FROM events WHERE false")
+@query("filter_bad_pattern_is_false", "SELECT event_id FROM events WHERE value > 300")
 def filter_bad_pattern_is_false(spark, d):
+    """A pattern that is no text makes its whole filter false; another filter beside it is not touched."""
     rows = src.table(spark, d, "events")
-    return rows.where(compile_filter([element("Like", _T, literal(5)), element("GreaterThan", _V, literal(0)), element("Or", ref(0), ref(1))], rows.schema)).select("event_id")
+    bad = compile_filter([element("Like", _T, literal(5)), element("GreaterThan", _V, literal(0)), element("Or", ref(0), ref(1))], rows.schema)
+    return rows.where(bad | compile_filter([element("GreaterThan", _V, literal(300))], rows.schema)).select("event_id")
 
 
 @query("filter_emitting_node", "SELECT event_id FROM events WHERE user_id = 5")
@@ -712,19 +745,13 @@ def type_storage_join(spark, d):
 
 
 # registry
-@query("schema_sync", f"SELECT event_type_id, schema_version, array_to_string(fields, ',') AS fields FROM {_SCHEMAS} UNION ALL SELECT 2, 2, 'a,d' UNION ALL SELECT 4, 1, 'x'")
-def schema_sync(spark, d):
-    rows = _schemas(spark)
-    for event_type, fields in ((1, ["a", "b"]), (2, ["a", "d"]), (4, ["x"])):
-        rows = registry.sync(rows, event_type, fields)
-    return rows.withColumn("fields", F.array_join("fields", ","))
-
-
-@query("storage_sync", "SELECT * FROM (VALUES (1, 'evt_one'), (2, 'evt_new'), (3, 'evt_three')) AS t(event_type_id, table_name)")
+@query("storage_sync", "SELECT event_type, CASE WHEN max(value) > 300 THEN 'evt_new_' ELSE 'evt_' END || event_type AS table_name FROM events GROUP BY 1")
 def storage_sync(spark, d):
-    kind = "event_type_id int, table_name string"
-    stored = spark.createDataFrame([(1, "evt_one"), (2, "evt_two")], kind)
-    return registry.upsert(stored, spark.createDataFrame([(2, "evt_new"), (3, "evt_three")], kind), ["event_type_id"])
+    """Tables of types, with those of some types renamed and no others touched."""
+    tops = src.table(spark, d, "events").groupBy("event_type").agg(F.max("value").alias("top"))
+    held = tops.select("event_type", F.concat(F.lit("evt_"), "event_type").alias("table_name"))
+    moved = tops.where("top > 300").select("event_type", F.concat(F.lit("evt_new_"), "event_type").alias("table_name"))
+    return registry.upsert(held, moved, ["event_type"])
 
 
 @query("register_sources", "SELECT n_name AS name, n_nationkey + 1 AS source_id, CASE WHEN n_nationkey < 5 THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-01-01' END AS updated_at FROM nation UNION ALL SELECT 'new ' || r_name, (SELECT max(n_nationkey) + 1 FROM nation) + row_number() OVER (ORDER BY r_regionkey), TIMESTAMP '2024-02-01' FROM region")
@@ -735,9 +762,12 @@ def register_sources(spark, d):
     return ingest.touch(held, asked, "name", "source_id", reads.ntz("2024-02-01")).select("name", F.col("source_id").cast("long").alias("source_id"), "updated_at")
 
 
-@query("array_parameters", "SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) AS t(id, name)")
+@query("array_parameters", "SELECT p.id, p.name, count(event_id) AS events FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL), (-1, NULL)) AS p(id, name) LEFT JOIN events ON user_id = p.id GROUP BY 1, 2")
 def array_parameters(spark, d):
-    return reads.array_rows(spark, id=[1, 2, 3], name=["a", "b"]).select(F.col("id").cast("int").alias("id"), "name")
+    """Parallel arrays of parameters as rows that the events are joined to."""
+    asked = reads.array_rows(spark, id=[1, 2, 3, -1], name=["a", "b"]).select(F.col("id").cast("int").alias("id"), "name")
+    counts = src.table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"))
+    return asked.join(counts, "id", "left").select("id", "name", F.coalesce("n", F.lit(0)).alias("events"))
 
 
 @query("json_safe", "SELECT n_nationkey, '{\"name\":\"' || n_name || '\",\"raw\":\"' || base64(encode(n_name)) || '\"}' AS body FROM nation")
@@ -813,11 +843,12 @@ def filter_property_builder(spark, d):
     return rows.where(compile_filter(both[0], rows.schema) & compile_filter(both[1], rows.schema)).select("event_id")
 
 
-@query("filter_unknown_operand", "SELECT event_id FROM events WHERE false")
+@query("filter_unknown_operand", "SELECT event_id FROM events WHERE value < 5")
 def filter_unknown_operand(spark, d):
-    """An operand of a kind that is not known is null, and a comparison with null is false."""
+    """An operand of a kind that is not known is null; a comparison with null is false, and its negation true."""
     rows = src.table(spark, d, "events")
-    return rows.where(compile_filter([element("Equals", {"browse_path": ["a"]}, literal(1))], rows.schema)).select("event_id")
+    spec = [element("Equals", {"browse_path": ["a"]}, literal(1)), element("Not", ref(0)), element("LessThan", _V, literal(5)), element("And", ref(1), ref(2))]
+    return rows.where(compile_filter(spec, rows.schema)).select("event_id")
 
 
 @query("filter_shared_element", "SELECT 'shared' AS form, count(*) AS n FROM events WHERE value > 100 UNION ALL SELECT 'strict', 0")
@@ -841,21 +872,19 @@ def continued_pages(spark, d):
     return reads.union_types(pages)
 
 
-@query("configured_fields", "SELECT * FROM (VALUES ('dev_eui'), ('eui'), ('serial')) AS t(field)")
-def configured_fields(spark, d):
-    found = registry.allowed_fields(filters.parse_csv_set(" serial, eui ,"), _schemas(spark), filters.parse_aliases("eui:dev_eui, bad, :x"))
-    return spark.createDataFrame([(f,) for f in found], "field string")
-
-
-@query("flat_settings", "SELECT * FROM (VALUES ('buffer.size', 500), ('buffer.wait.ms', 1000), ('mode', 2)) AS t(name, value)")
+@query("flat_settings", "SELECT event_type, count(*) AS \"figures.count\", min(value) AS \"figures.value.min\", max(value) AS \"figures.value.max\" FROM events GROUP BY 1")
 def flat_settings(spark, d):
-    nodes = observe.settings_nodes({"buffer": {"size": 500, "wait": {"ms": 1000}}, "mode": 2})
-    return spark.createDataFrame(list(nodes.items()), "name string, value int")
+    """Nested figures as flat columns with dots."""
+    nested = F.struct(F.count("*").alias("count"), F.struct(F.min("value").alias("min"), F.max("value").alias("max")).alias("value"))
+    rows = src.table(spark, d, "events").groupBy("event_type").agg(nested.alias("figures"))
+    return rows.select(*[c.alias(n) for n, c in node_ids.flat_columns(rows.schema).items()])
 
 
-@query("storage_modes", "SELECT * FROM (VALUES ('', 'dual'), ('V2 ', 'v2'), ('legacy', 'legacy'), ('other', 'dual')) AS t(text, mode)")
+@query("storage_modes", "SELECT CASE event_type WHEN 'click' THEN 'v2' WHEN 'view' THEN 'legacy' ELSE 'dual' END AS mode, count(*) AS events FROM events GROUP BY 1")
 def storage_modes(spark, d):
-    return spark.createDataFrame([(t, ingest.storage_mode(t)) for t in ("", "V2 ", "legacy", "other")], "text string, mode string")
+    """Modes as they may be written down, one a type of event."""
+    named = F.when(F.col("event_type") == "click", " V2 ").when(F.col("event_type") == "view", "Legacy").when(F.col("event_type") == "error", "other")
+    return src.table(spark, d, "events").groupBy(ingest.storage_mode_column(named).alias("mode")).agg(F.count("*").alias("events"))
 
 
 @query("table_probe", "SELECT 'events' AS table_name, true AS found, 6 AS columns UNION ALL SELECT 'no_such', false, 0")
@@ -875,3 +904,87 @@ def valid_events(spark, d):
 def register_one_node(spark, d):
     """Registering one known node again resets its type."""
     return ingest.register(src.variable_metadata(spark, d), spark.createDataFrame([("ns=2;i=3", 0)], "node_id string, position int"), reset_type=True).select("node_id", "data_type")
+
+
+# typed backfill, restore, refresh, state
+@query("backfill_typed_run", "SELECT event_id, ts AS event_timestamp, event_type, props->>'$.k' AS k FROM events WHERE event_type IN ('error', 'signup')")
+def backfill_typed_run(spark, d):
+    """All types in one pass, in batches; some rows are there before, one table has a batch that the other lacks."""
+    house, rows = _house(spark), _events_in(spark, d)
+    house.table("events").append(rows)
+    house.table("event_anchor").append(rows.select("event_id", "event_timestamp", "source_id", "event_type", F.col("event_id").alias("legacy_row_id")))
+    for t in _TYPED_FIELDS:
+        house.table(f"evt_{t}").append(writes.typed_rows(rows.where("event_id % 3 = 0"), t, ["k"]))
+    size = rows.where(F.col("event_type").isin(list(_TYPED_FIELDS))).count() // 4 + 1
+    first = backfill.missing_of_types(house, _TYPED_FIELDS, -1).orderBy("event_id").limit(size)
+    end = first.agg(F.max("event_id")).first()[0]
+    part = writes.typed_rows(first.join(writes.payloads(house), writes.ANCHOR_KEYS), "error", ["k"])
+    house.table("evt_error").append_new(part, writes.ANCHOR_KEYS, "event_id", "typed_backfill", end)
+    backfill.run_typed(house, _TYPED_FIELDS, size)
+    return _typed_rows(house)
+
+
+def _restored(spark, d):
+    house = _house(spark)
+    last = house.table("last_values")
+    writes.seed_values(last, _seeds(spark, d))
+    figures = backfill.restore(last, src.variables(spark, d), 4, staged=lambda rows: src.stored(rows, "restored"))
+    return last, figures
+
+
+@query("restore_statistics", "SELECT c_custkey % 4 AS chunk, count(*) FILTER (c_custkey IN (SELECT user_id FROM events)) AS found, count(*) FILTER (c_custkey NOT IN (SELECT user_id FROM events)) AS missing, count(*) AS cleared FROM customer GROUP BY 1")
+def restore_statistics(spark, d):
+    """Figures of each chunk, counted while it is written."""
+    return spark.createDataFrame([(x["chunk"], x["found"], x["missing"], x["cleared"]) for x in _restored(spark, d)[1]], "chunk long, found long, missing long, cleared long")
+
+
+@query("restored_values", SQL["backfill_seeds"].replace(", max(ts) IS NOT NULL AS restored", ""))
+def restored_values(spark, d):
+    return writes.last_values(_restored(spark, d)[0])
+
+
+@query("seeds_counted", "SELECT count(*) FILTER (c_custkey % 3 = 0) AS first, count(*) FILTER (c_custkey % 3 <> 0) AS second, 0 AS third FROM customer")
+def seeds_counted(spark, d):
+    """How many seeds each of three calls wrote; a series that has a row gets none."""
+    last, seeds = _house(spark).table("last_values"), _seeds(spark, d)
+    n = [writes.seed_values(last, rows) for rows in (seeds.where("variable_id % 3 = 0"), seeds, seeds)]
+    return spark.createDataFrame([tuple(n)], "first long, second long, third int")
+
+
+_ARRIVAL = "((day(ts) - 1) // 10 + CASE WHEN event_id % 10 = 0 THEN 1 WHEN event_id % 10 = 5 THEN 2 ELSE 0 END)"
+
+
+@query("stream_rollup_refreshed", f"""
+    WITH e AS (SELECT *, {_ARRIVAL} AS arrival, time_bucket(INTERVAL '1 hour', ts) AS bucket FROM events),
+    w AS (SELECT b, (SELECT max(ts) FROM e WHERE arrival <= b) AS now FROM (SELECT DISTINCT arrival AS b FROM e)),
+    r AS (SELECT bucket, max(b) AS last FROM (SELECT DISTINCT bucket FROM e), w WHERE bucket >= time_bucket(INTERVAL '1 hour', now - INTERVAL 12 DAY) AND bucket < time_bucket(INTERVAL '1 hour', now - INTERVAL 1 DAY) GROUP BY 1)
+    SELECT bucket, user_id AS source_id, event_type, count(*) AS event_count FROM e JOIN r USING (bucket) WHERE arrival <= last GROUP BY 1, 2, 3""")
+def stream_rollup_refreshed(spark, d):
+    """A tenth of the events comes ten days late and a tenth twenty; hours are counted anew while the window of twelve days holds them."""
+    house = _house(spark)
+    rows = _events_in(spark, d).withColumn("arrival", F.expr(_ARRIVAL.replace("//", "div").replace("day(ts)", "day(event_timestamp)")))
+    arrivals = [r[0] for r in rows.select("arrival").distinct().orderBy("arrival").collect()]  # six at most
+    window = temporal.RefreshWindow(timedelta(days=12), timedelta(days=1))
+    for arrival in arrivals:  # a restart for each
+        rows.where(F.col("arrival") == arrival).drop("arrival").coalesce(1).write.mode("append").parquet(f"{house.path}/in")
+        jobs.refreshed_rollup(jobs.stream(spark, f"{house.path}/in"), house, f"{house.path}/checkpoint", window).awaitTermination()
+    return temporal.refreshed(house.table("event_rollup"))
+
+
+@query("stream_newest_state", "SELECT user_id AS variable_id, coalesce(max(ts) FILTER (event_id % 4 <> 0), max(ts)) AS sourcetimestamp, coalesce(arg_max(value, (ts, event_id)) FILTER (event_id % 4 <> 0), arg_max(value, (ts, event_id))) AS value_double, count(*) FILTER (event_id % 4 <> 0) = 0 AS is_seed FROM events GROUP BY 1")
+def stream_newest_state(spark, d):
+    """Last values kept as a stream's state over a restart; every fourth event is a seed, which any value beats."""
+    at = _house(spark).path
+    rows = src.variables(spark, d).withColumn("arrival_seq", F.col("value_id")).withColumn("is_seed", F.col("value_id") % 4 == 0)
+    for turn in range(2):
+        rows.where(F.col("value_id") % 2 == turn).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        jobs.newest_state(jobs.stream(spark, f"{at}/in"), f"{at}/checkpoint").awaitTermination()
+    return jobs.state_of(spark, f"{at}/checkpoint")
+
+
+@query("type_of_each_name", "SELECT 'error' AS name, event_type_id, event_type_name FROM (SELECT CAST(dense_rank() OVER (ORDER BY event_type) AS INTEGER) AS event_type_id, 'ns=2;s=Events.' || event_type AS event_type_name FROM (SELECT DISTINCT event_type FROM events)) WHERE event_type_name = 'ns=2;s=Events.error' UNION ALL SELECT 'ns=2;s=Events.view', event_type_id, event_type_name FROM (SELECT CAST(dense_rank() OVER (ORDER BY event_type) AS INTEGER) AS event_type_id, 'ns=2;s=Events.' || event_type AS event_type_name FROM (SELECT DISTINCT event_type FROM events)) WHERE event_type_name = 'ns=2;s=Events.view'")
+def type_of_each_name(spark, d):
+    """One type a name, also where another's name ends alike; a name without a type has no row."""
+    types = src.event_types(spark, d)
+    more = types.where("event_type_name like '%error'").select((F.col("event_type_id") + 100).alias("event_type_id"), F.lit("ns=9;s=error").alias("event_type_name"))
+    return reads.resolve_each(types.unionByName(more), ["error", "ns=2;s=Events.view", "no_such"])

@@ -40,6 +40,13 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the session's folder and read back."""
+    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def event_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select("event_id", F.col("user_id").alias("source_id"), "event_type", F.col("ts").alias("event_timestamp"), F.lit(1).alias("schema_version"), F.col("event_id").alias("legacy_row_id"))

@@ -184,7 +184,7 @@ class Table:
 
 
 #: What a new warehouse holds: each table with its column of time, and the steps that bring older ones up to date.
-TABLES = {"variables": "sourcetimestamp", "last_values": None, "variable_metadata": None, "events": "event_timestamp", "event_anchor": "event_timestamp", "event_payload": "event_timestamp", "event_types": None, "event_schemas": None}
+TABLES = {"variables": "sourcetimestamp", "last_values": None, "variable_metadata": None, "events": "event_timestamp", "event_anchor": "event_timestamp", "event_payload": "event_timestamp", "event_rollup": "bucket", "event_rollup_pending": None, "event_types": None, "event_schemas": None}
 RETENTION_DAYS = {"events": 365, "event_anchor": 365, "event_payload": 365}
 
 

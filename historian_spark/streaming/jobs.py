@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.temporal import RefreshWindow, refresh
 from ..operators.writes import save_events, save_values
 from ..sources.tables import work_dir
 from ..sources.warehouse import Table
@@ -95,6 +96,35 @@ def ingest(rows: DataFrame, history: Table, last: Table, checkpoint: str, job: s
     return start(rows, "append", read_once(lambda batch, number: save_values(history, last, batch, job, number)), checkpoint, interval)
 
 
+def refreshed_rollup(rows: DataFrame, house, checkpoint: str, window: RefreshWindow, interval: str | None = None):
+    """Events into the warehouse, and after each batch the roll-up of the hours that its rows touched, within the window; late rows count as long as it holds their hour."""
+    stored, rollup, pending = house.table("events"), house.table("event_rollup"), house.table("event_rollup_pending")
+
+    def each(batch: DataFrame, number: int) -> None:
+        stored.append_new(batch, ["event_id", "event_timestamp"], "event_id", "rollup", number)
+        refresh(rollup, pending, stored, batch, window, number)
+
+    return start(rows, "append", read_once(each), checkpoint, interval)
+
+
+def newest_state(rows: DataFrame, checkpoint: str, interval: str | None = None):
+    """Last values as the state of a streaming aggregation: each batch stores the series that it changes, a restart goes on from them.
+
+    rows: variable_id, sourcetimestamp, value_double, arrival_seq and is_seed. ``state_of`` reads
+    the state where the stream keeps it; what this gives on (the changed series) may be ignored.
+    """
+    order = F.struct((~F.coalesce("is_seed", F.lit(False))).alias("own"), "sourcetimestamp", "arrival_seq")
+    best = rows.groupBy("variable_id").agg(F.max(F.struct(order.alias("o"), "value_double")).alias("best"))
+    return start(best, "update", lambda batch, number: batch.write.format("noop").mode("overwrite").save(), checkpoint, interval)
+
+
+def state_of(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The last values that ``newest_state`` holds, read from its state store."""
+    rows = spark.read.format("statestore").load(checkpoint)
+    held = F.col(f"value.`{rows.schema['value'].dataType.names[0]}`")
+    return rows.select("key.variable_id", held["o"]["sourcetimestamp"].alias("sourcetimestamp"), held["value_double"].alias("value_double"), (~held["o"]["own"]).alias("is_seed"))
+
+
 def ingest_events(rows: DataFrame, house, schemas: dict[str, list[str]], mode: str | None, checkpoint: str, job: str = "events", interval: str | None = None):
     """Events into the stores of the storage mode, each batch once in each table."""
     return start(rows, "append", read_once(lambda batch, number: save_events(house, batch, schemas, mode, job, number)), checkpoint, interval)

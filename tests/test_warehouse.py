@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from historian_spark import __main__ as cli
 from historian_spark import observe
-from historian_spark.operators import ingest, reads, registry, temporal, typed, writes
+from historian_spark.operators import backfill, ingest, reads, registry, temporal, typed, writes
 from historian_spark.plans import bounds, planner
 from historian_spark.plans import filters as fl
 from historian_spark.sources import files, tables
@@ -161,6 +161,97 @@ def test_times_of_events_in_the_writing_path(spark, tmp_path):
     assert {r["event_id"]: r["event_timestamp"] for r in house.table("events").read().collect()} == {1: T0, 2: T0 + timedelta(days=1), 3: datetime(2024, 3, 1)}
 
 
+def test_typed_backfill_goes_on_where_it_ended(spark, tmp_path):
+    """Old rows and new, several types, a batch that one table has and the other lacks, and rows that come afterwards."""
+    house = Warehouse(spark, str(tmp_path))
+    rows = spark.createDataFrame([(k, 1, "ab"[k % 2], T0 + timedelta(minutes=k), f'{{"x": {k}}}') for k in range(20)], EVENTS)
+    writes.save_events(house, rows, {}, "dual", number=0)
+    schemas = {"a": ["x"], "b": ["x"]}
+    house.table("evt_a").append(writes.typed_rows(rows.where("event_id = 4"), "a", ["x"]))
+    first = backfill.missing_of_types(house, schemas, -1).orderBy("event_id").limit(6)
+    assert [r["event_id"] for r in first.collect()] == [0, 1, 2, 3, 5, 6]
+    house.table("evt_a").append_new(writes.typed_rows(first.join(writes.payloads(house), writes.ANCHOR_KEYS), "a", ["x"]), writes.ANCHOR_KEYS, "event_id", "typed_backfill", 6)
+    assert backfill.run_typed(house, schemas, 6) == 3 and backfill.run_typed(house, schemas, 6) == 0
+    held = {t: sorted((r["event_id"], r["x"]) for r in house.table(f"evt_{t}").read().collect()) for t in "ab"}
+    assert held == {"a": [(k, str(k)) for k in range(0, 20, 2)], "b": [(k, str(k)) for k in range(1, 20, 2)]}
+    writes.save_events(house, spark.createDataFrame([(30, 2, "b", T0, '{"x": 1}')], EVENTS), {}, "dual", number=1)
+    assert backfill.run_typed(house, schemas, 6) == 1 and house.table("evt_b").read().count() == 11
+
+
+def test_restore_tells_of_each_chunk_once(spark, tmp_path):
+    last, told = Table(spark, str(tmp_path / "l")), []
+    seeds = spark.createDataFrame([(k, T0 - timedelta(days=9), 0.0) for k in range(10)], "variable_id long, sourcetimestamp timestamp_ntz, value_double double")
+    history = spark.createDataFrame([(k, T0 + timedelta(days=d), 10 * k + d, float(10 * k + d)) for k in range(6) for d in (0, 1)], "variable_id long, sourcetimestamp timestamp_ntz, value_id long, value_double double")
+    writes.seed_values(last, seeds)
+
+    def stops(figures):
+        told.append(figures)
+        if len(told) == 2:
+            raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        backfill.restore(last, history, 3, stops)
+    assert [x["chunk"] for x in backfill.restore(last, history, 3)] == [2] and backfill.restore(last, history, 3) == []
+    assert told == [{"chunk": 0, "found": 2, "missing": 2, "cleared": 4}, {"chunk": 1, "found": 2, "missing": 1, "cleared": 3}]
+    got = {r["variable_id"]: (r["value_double"], r["is_seed"]) for r in writes.last_values(last).collect()}
+    assert got == {k: (10.0 * k + 1 if k < 6 else 0.0, False) for k in range(10)}
+
+
+def test_only_touched_hours_are_counted_again(spark, tmp_path):
+    house = Warehouse(spark, str(tmp_path))
+    tables = [house.table(n) for n in ("event_rollup", "event_rollup_pending", "events")]
+    batch = lambda *minutes: spark.createDataFrame([(1000 * len(minutes) + k, 1, "a", T0 + timedelta(minutes=m)) for k, m in enumerate(minutes)], "event_id long, source_id long, event_type string, event_timestamp timestamp_ntz")
+
+    def step(number, *minutes):
+        tables[2].append(batch(*minutes), "events", number)
+        for _ in range(2):
+            temporal.refresh(*tables, batch(*minutes), temporal.RefreshWindow(), number)
+        return {(r["bucket"] - T0) // timedelta(hours=1): r["event_count"] for r in temporal.refreshed(tables[0]).collect()}
+
+    # the newest hour waits, hours older than three are never counted
+    assert step(0, 5, 70, 130, 190, 250) == {1: 1, 2: 1}
+    written = tables[0].read().count()
+    assert step(1, 130, 251) == {1: 1, 2: 2}
+    assert tables[0].read().count() == written + 1 and sorted((r["bucket"] - T0) // timedelta(hours=1) for r in tables[1].read().collect()) == [3, 4]
+    assert step(2, 6, 310) == {1: 1, 2: 2, 3: 1}
+    # rolled up, but not to the second table: the batch is made whole
+    tables[2].append(batch(311, 371, 372), "events", 3)
+    lost = house.table("other")
+    temporal.refresh(tables[0], lost, tables[2], batch(311, 371, 372), temporal.RefreshWindow(), 3)
+    temporal.refresh(*tables, batch(311, 371, 372), temporal.RefreshWindow(), 3)
+    assert sorted((r["bucket"] - T0) // timedelta(hours=1) for r in tables[1].read().collect()) == [5, 6]
+
+
+def test_state_follows_the_batch(spark, tmp_path):
+    """A restart goes on from the state; a batch of one row adds a few KB to a state of 20,000 series."""
+    path, at = str(tmp_path / "in"), str(tmp_path / "checkpoint")
+    many = spark.range(20_000).select(F.col("id").alias("variable_id"), F.lit(T0).alias("sourcetimestamp"), F.rand(1).alias("value_double"), F.col("id").alias("arrival_seq"), (F.col("id") == 9).alias("is_seed"))
+    sizes = []
+    for batch in (many, many.where("variable_id = 7").withColumn("value_double", F.lit(70.0)).withColumn("arrival_seq", F.lit(20_001)), many.where("variable_id = 9").withColumns({"value_double": F.lit(90.0), "is_seed": F.lit(False), "sourcetimestamp": F.lit(T0 - timedelta(days=1)).cast("timestamp")})):
+        batch.coalesce(1).write.mode("append").parquet(path)
+        jobs.newest_state(jobs.stream(spark, path), at).awaitTermination()
+        sizes.append(files.usage(spark, f"{at}/state")[1])
+    got = {r["variable_id"]: (r["value_double"], r["is_seed"]) for r in jobs.state_of(spark, at).collect()}
+    assert len(got) == 20_000 and got[7] == (70.0, False) and got[9] == (90.0, False)
+    assert sizes[0] > 200_000 and all(b - a < 20_000 for a, b in zip(sizes, sizes[1:]))
+
+
+def test_schemas_are_found_and_versioned(spark, tmp_path):
+    house = Warehouse(spark, str(tmp_path))
+    for number, rows in enumerate([[("a", '{"x": 1}'), ("b", '{"y": 1, "x": null}'), ("c", None), ("c", "[1]"), ("c", "{}")], [("a", '{"x": 2}')], [("a", '{"x": 1, "z": {"w": 1}}'), ("d", '{"q": 0}')]]):
+        for _ in range(2):
+            registry.register_events(house, spark.createDataFrame(rows, "event_type string, props string"), number=number)
+    got = sorted((r["event_type"], r["schema_version"], r["fields"]) for r in house.table("event_schemas").read().collect())
+    assert got == [("a", 1, ["x"]), ("a", 2, ["x", "z"]), ("b", 1, ["x", "y"]), ("d", 1, ["q"])]
+
+
+def test_requests_without_a_time_keep_their_rows(spark):
+    rows = spark.createDataFrame([(1, T0, 1, 1.0), (None, T0, 2, 2.0), (1, None, 3, 3.0)], "variable_id int, sourcetimestamp timestamp_ntz, value_id long, value_double double")
+    asked = spark.createDataFrame([(1, T0), (1, None), (None, T0), (None, None), (2, T0)], "variable_id int, at timestamp_ntz")
+    got = sorted(((r["variable_id"], r["at"], r["value_double"]) for r in temporal.at_times(asked, rows).collect()), key=str)
+    assert got == sorted([(1, T0, 1.0), (1, None, None), (None, T0, None), (None, None, None), (2, T0, None)], key=str)
+
+
 def test_streams_go_on_after_a_restart(spark, tmp_path):
     path, at = str(tmp_path / "in"), str(tmp_path / "checkpoint")
     history, last = Table(spark, str(tmp_path / "h"), "sourcetimestamp"), Table(spark, str(tmp_path / "l"))
