@@ -815,12 +815,27 @@ def warehouse_info(spark, d):
     house.table("events").append(_events_in(spark, d))
     for turn in range(2):
         house.table("variables").append(src.variables(spark, d).where(F.col("value_id") % 2 == turn))
-    return spark.createDataFrame([(x["table_name"], x["row_count"], x["version"]) for x in house.info()], "table_name string, row_count long, version int")
+    return house.stats().select("table_name", "row_count", "version")
 
 
-@query("day_files", "SELECT strftime(ts, '%Y-%m-%d') AS day FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 20")
+@query("day_files", "SELECT CAST(ts AS DATE) AS day, count(*) AS row_count, CAST(count(DISTINCT event_id % 2) AS BIGINT) AS files FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 20")
 def day_files(spark, d):
-    return spark.createDataFrame([(x["day"],) for x in _stored_values(spark, d).days()], "day string")
+    """Rows and files of the newest days, from the footers."""
+    table = _house(spark).table("variables")
+    for turn in range(2):
+        table.append(src.variables(spark, d).where(F.col("value_id") % 2 == turn).coalesce(1))
+    return table.stats("day").orderBy(F.desc("day")).limit(20).select("day", "row_count", "files")
+
+
+@query("retention_policy", f"SELECT * FROM {VARS} WHERE sourcetimestamp >= TIMESTAMP '2024-01-22'")
+def retention_policy(spark, d):
+    """A period that the table keeps, put in place of another and applied at once."""
+    house = _house(spark)
+    table = house.table("variables")
+    table.append(src.variables(spark, d))
+    table.set_policy(300)
+    house.table("variables").set_policy(10, datetime(2024, 2, 1, 10))
+    return house.table("variables").read()
 
 
 @query("timing_stats", "SELECT o_custkey AS k, count(*) AS count, CAST(sum(c) AS BIGINT) AS total, arg_max(c, o_orderkey) AS last, max(c) AS max, avg(c) AS avg FROM (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS c FROM orders) GROUP BY 1")

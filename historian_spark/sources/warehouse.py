@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import operator
 import uuid
-from datetime import date, datetime, timedelta
+from datetime import UTC, date, datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,7 +58,9 @@ class Table:
         where = [f"{self.path}/data/{n}" for p in state["parts"] if (n := f"{PART}={p}") in held]
         if not where:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(*where)
+        rows = self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(*where)
+        since = state.get("since")  # days before it are gone for readers, though their folders may still be there
+        return rows if since is None else rows.where(F.col(DAY).isNull() | (F.col(DAY) >= F.lit(since).cast("date")))
 
     def read(self, since: date | None = None, until: date | None = None) -> DataFrame | None:
         """All rows, or those of some days; only the folders of those are read. None if nothing was ever written."""
@@ -106,7 +108,8 @@ class Table:
             old = self._schema(state)
             schema = T.StructType([*old.fields, *[f for f in own.fields if f.name not in old.names]])
         jobs = state["jobs"] | ({job: number} if number is not None else {})
-        self._commit(state | {"parts": [*(state["parts"] if keep else []), part], "jobs": jobs, "schema": json.loads(schema.json())})
+        gone = {} if keep else self._expired(state, [f"{PART}={p}" for p in state["parts"]]) | {"since": None}
+        self._commit(state | gone | {"parts": [*(state["parts"] if keep else []), part], "jobs": jobs, "schema": json.loads(schema.json())})
         return True
 
     def append(self, df: DataFrame, job: str = "batch", number: int | None = None) -> bool:
@@ -130,57 +133,92 @@ class Table:
             fresh = fresh.join(stored, reduce(operator.and_, [fresh[k].eqNullSafe(stored[f"{k}_"]) for k in keys]), "left_anti")
         return self.append(fresh, job, number)
 
-    # care
+    # care: what readers may still be reading is named as expired first, and deleted by a later vacuum
+    def _expired(self, state: dict, names: list[str]) -> dict:
+        had = state.get("expired", [])
+        known, at = {n for n, _ in had}, datetime.now(UTC).isoformat()
+        return {"expired": [*had, *[[n, at] for n in names if n not in known]]}
+
     def drop_before(self, cutoff: date) -> int:
-        """Deletes the folders that hold days before cutoff only, without reading them; how many there were."""
-        dropped, cutoff = 0, self._first_day(cutoff)
-        for part in self.manifest()["parts"]:
-            for name in files.names(self.spark, where := f"{self.path}/data/{PART}={part}"):
+        """The folders that hold days before cutoff only are given up, without reading them; how many there were."""
+        state, cutoff = self.manifest(), self._first_day(cutoff)
+        known, dropped = {n for n, _ in state.get("expired", [])}, []
+        for part in state["parts"]:
+            for name in files.names(self.spark, f"{self.path}/data/{PART}={part}"):
                 day = name.removeprefix(f"{DAY}=")
-                if name != day and day < cutoff.isoformat() and day[:1].isdigit():
-                    files.delete(self.spark, f"{where}/{name}")
-                    dropped += 1
-        return dropped
+                if name != day and day < cutoff.isoformat() and day[:1].isdigit() and f"{PART}={part}/{name}" not in known:
+                    dropped.append(f"{PART}={part}/{name}")
+        since = max(cutoff.isoformat(), state.get("since") or "")
+        self._commit(state | self._expired(state, dropped) | {"since": since})
+        return len(dropped)
 
     def retain(self, days: int, now: datetime) -> int:
-        """Drops whole days older than a period; the period must be positive."""
+        """Gives up whole days older than a period; the period must be positive."""
         if days <= 0:
             raise ValueError("a retention period must be positive")
         return self.drop_before((now - timedelta(days=days)).date())
 
+    def set_policy(self, days: int | None, now: datetime | None = None) -> int:
+        """Keeps a retention period with the table, in place of any other (None: without one), and applies it if now is given."""
+        if days is not None and days <= 0:
+            raise ValueError("a retention period must be positive")
+        self._commit(self.manifest() | {"policy": days})
+        return self.apply_policy(now) if now is not None else 0
+
+    def policy(self) -> int | None:
+        return self.manifest().get("policy")
+
+    def apply_policy(self, now: datetime) -> int:
+        days = self.policy()
+        return 0 if days is None else self.retain(days, now)
+
     def compact(self) -> None:
-        """All live parts as one, a few files a day; the old ones go."""
+        """All live parts as one, a few files a day; the old ones expire."""
         state = self.manifest()
         if len(state["parts"]) > 1:
             rows = self._parts(state).drop(PART)
             part = self._write(rows.repartition(DAY, F.pmod(F.xxhash64(*rows.columns), F.lit(8))).drop(DAY))
-            self._commit(state | {"parts": [part]})
+            self._commit(state | self._expired(state, [f"{PART}={p}" for p in state["parts"]]) | {"parts": [part]})
         self.vacuum()
 
-    def vacuum(self) -> None:
-        """Deletes parts that no manifest names any more, and all manifests but the newest."""
-        live = {f"{PART}={p}" for p in self.manifest()["parts"]}
-        for name in files.names(self.spark, f"{self.path}/data"):
-            if name not in live:
-                files.delete(self.spark, f"{self.path}/data/{name}")
+    def vacuum(self, grace: timedelta = timedelta(hours=1), now: datetime | None = None) -> int:
+        """Deletes what expired longer than grace ago, parts that no manifest names, and all manifests but the newest; how many folders.
+
+        A reader that began before its parts expired ends well if it takes no longer than grace.
+        """
+        state, now = self.manifest(), now or datetime.now(UTC)
+        due = {n for n, at in state.get("expired", []) if datetime.fromisoformat(at) + grace <= now}
+        waiting = [[n, at] for n, at in state.get("expired", []) if n not in due]
+        named = {f"{PART}={p}" for p in state["parts"]} | {n.partition("/")[0] for n, _ in waiting}
+        gone = sorted(due) + [n for n in files.names(self.spark, f"{self.path}/data") if n not in named and n not in due]
+        for name in gone:
+            files.delete(self.spark, f"{self.path}/data/{name}")
+        if due:
+            self._commit(state | {"expired": waiting})
         for name in files.names(self.spark, f"{self.path}/manifest")[:-1]:
             files.delete(self.spark, f"{self.path}/manifest/{name}")
+        return len(gone)
 
     def clear(self) -> None:
         """No rows any more; schema and jobs stay."""
-        self._commit(self.manifest() | {"parts": []})
+        state = self.manifest()
+        self._commit(state | self._expired(state, [f"{PART}={p}" for p in state["parts"]]) | {"parts": []})
         self.vacuum()
 
+    def stats(self, *by: str) -> DataFrame:
+        """row_count, files and bytes of the live rows, by day if asked: a Spark job that reads footers, no column."""
+        state = self.manifest()
+        rows = self._parts(state)
+        if not state["parts"]:
+            return rows.groupBy(*by).agg(F.count("*").alias("row_count"), F.count("*").alias("files"), F.count("*").alias("bytes"))
+        per_file = rows.groupBy(*by, F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"), F.max("_metadata.file_size").alias("size"))
+        sums = [F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")]
+        return per_file.groupBy(*by).agg(*sums)
+
     def days(self, newest: int = 20) -> list[dict]:
-        """day, files and bytes of the newest days."""
-        found: dict[str, list[int]] = {}
-        for part in self.manifest()["parts"]:
-            for name in files.names(self.spark, where := f"{self.path}/data/{PART}={part}"):
-                if name.startswith(f"{DAY}="):
-                    n, size = files.usage(self.spark, f"{where}/{name}")
-                    own = found.setdefault(name.removeprefix(f"{DAY}="), [0, 0])
-                    own[0], own[1] = own[0] + n, own[1] + size
-        return [{"day": d, "files": found[d][0], "bytes": found[d][1]} for d in sorted(found, reverse=True)[:newest]]
+        """day, files, bytes and row_count of the newest days."""
+        found = self.stats(DAY).where(F.col(DAY).isNotNull()).orderBy(F.desc(DAY)).limit(newest).collect()
+        return [{"day": r[DAY].isoformat(), "files": r["files"], "bytes": r["bytes"], "row_count": r["row_count"]} for r in found]
 
 
 #: What a new warehouse holds: each table with its column of time, and the steps that bring older ones up to date.
@@ -212,19 +250,22 @@ class Warehouse:
         return ran
 
     def retain(self, now: datetime, days: int | None = None, limits: dict[str, int] | None = None) -> dict[str, int]:
-        """Applies retention to the tables that have a period: the shorter of days and their own."""
-        done = {}
+        """Applies retention to the tables that have a period: the shorter of days and their own, which the table keeps or limits give."""
+        done, known = {}, set(self.names())
         for name, own in (RETENTION_DAYS if limits is None else limits).items():
-            done[name] = self.table(name).retain(min(own, days) if days is not None else own, now)
+            if name in known:
+                own = own if limits is not None else self.table(name).policy() or own
+                done[name] = self.table(name).retain(min(own, days) if days is not None else own, now)
         return done
 
+    def stats(self) -> DataFrame:
+        """table_name, row_count, files, bytes and version of every table that was ever written."""
+        each = [t.stats().select(F.lit(n).alias("table_name"), "*", F.lit(t.manifest()["version"]).alias("version")) for n in self.names() if (t := self.table(n)).manifest()["schema"] is not None]
+        kinds = "table_name string, row_count long, files long, bytes long, version int"
+        return reduce(DataFrame.unionByName, each) if each else self.spark.createDataFrame([], kinds)
+
     def info(self) -> list[dict]:
-        out = []
-        for name in self.names():
-            rows = self.table(name).read()
-            n, size = files.usage(self.spark, f"{self.path}/{name}/data")
-            out.append({"table_name": name, "row_count": 0 if rows is None else rows.count(), "files": n, "bytes": size, "version": self.table(name).manifest()["version"]})
-        return out
+        return [r.asDict() for r in self.stats().orderBy("table_name").collect()]
 
 
 def probe(spark: SparkSession, path: str) -> dict:

@@ -4,7 +4,7 @@ import json
 import logging
 import operator
 import warnings
-from datetime import date, datetime, timedelta
+from datetime import UTC, date, datetime, timedelta
 from functools import reduce
 
 import pytest
@@ -74,6 +74,33 @@ def test_warehouse(spark, tmp_path, capsys):
         cli.main([str(tmp_path), "retain", "last_values", "1"], spark)
 
 
+def test_readers_that_began_before_end_well(spark, tmp_path):
+    """Retention, compaction and replacement take nothing from a frame that is read already; later vacuums do."""
+    table = Table(spark, str(tmp_path / "t"), "sourcetimestamp")
+    for k in range(3):
+        table.append(values(spark, *[(1, t, t, t) for t in range(k, 30, 3)]))
+    early = table.read()
+    assert table.set_policy(20, T0 + timedelta(days=30)) == 10 and table.read().count() == 20 and Table(spark, table.path).policy() == 20
+    table.compact()
+    table.replace(values(spark, (1, 40, 1, 1)))
+    assert early.count() == 30 and table.read().count() == 1 and table.vacuum() == 0
+    assert table.vacuum(now=datetime.now(UTC) + timedelta(hours=2)) > 0
+    assert files.usage(spark, f"{table.path}/data")[0] == 2 and table.read().count() == 1  # its file and the mark of a write that ended
+    assert table.apply_policy(T0 + timedelta(days=90)) == 1 and table.read().count() == 0
+    with pytest.raises(ValueError):
+        table.set_policy(0)
+
+
+def test_figures_come_from_footers(spark, tmp_path):
+    house = Warehouse(spark, str(tmp_path))
+    house.table("variables").append(values(spark, *[(1, t, t, t) for t in range(30)]).coalesce(1))
+    house.table("variables").append(values(spark, (1, 29, 1, 1)).coalesce(1))
+    plan = reads.plan_text(house.table("variables").stats("day"))
+    assert "value_double" not in plan.split("ReadSchema")[1].split("\n")[0]
+    assert house.table("variables").days(2) == [{"day": "2024-01-30", "files": 2, "bytes": house.table("variables").days(1)[0]["bytes"], "row_count": 2}, {"day": "2024-01-29", "files": 1, "bytes": house.table("variables").days(2)[1]["bytes"], "row_count": 1}]
+    assert [(x["table_name"], x["row_count"], x["files"]) for x in house.info()] == [("variables", 31, 31)] and house.stats().count() == 1
+
+
 def test_added_columns_stay(spark, tmp_path):
     table = Table(spark, str(tmp_path / "t"))
     table.append(spark.createDataFrame([(1,)], "a int"))
