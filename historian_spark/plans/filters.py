@@ -18,6 +18,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.payload import text_of
+
 _COMPARE = {"Equals": operator.eq, "GreaterThan": operator.gt, "LessThan": operator.lt, "GreaterThanOrEqual": operator.ge, "LessThanOrEqual": operator.le}
 
 
@@ -114,7 +116,7 @@ class Compiler:
         if _numeric(kx) and _numeric(ky):
             double = lambda c, k: c if isinstance(k, T.DoubleType | T.FloatType) else c.cast("double")
             return how(double(x, kx), double(y, ky))
-        return how(x.cast("string"), y.cast("string"))
+        return how(text_of(x, kx), text_of(y, ky))
 
     def _compare(self, how, operands: list[dict]) -> Column:
         return self._pair(operands[0], operands[1], how) if len(operands) >= 2 else F.lit(False)

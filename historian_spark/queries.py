@@ -866,6 +866,15 @@ def filter_unknown_operand(spark, d):
     return rows.where(compile_filter(spec, rows.schema)).select("event_id")
 
 
+@query("filter_text_of_values", "SELECT event_id FROM events WHERE CAST(value * 1e8 AS VARCHAR) > '5' AND CAST(value / 1e8 AS VARCHAR) LIKE '%e-0%' AND (CASE WHEN value > 50 THEN 'True' ELSE 'False' END) = 'False'")
+def filter_text_of_values(spark, d):
+    """Numbers and booleans beside texts compare by their own text."""
+    rows = src.table(spark, d, "events").select("event_id", (F.col("value") * 1e8).alias("large"), (F.col("value") / 1e8).alias("small"), (F.col("value") > 50).alias("high"))
+    spec = [element("GreaterThan", attribute("large"), literal("5")), element("Equals", attribute("high"), literal("False")), element("And", ref(0), ref(1))]
+    text = payload.text_of(F.col("small"), rows.schema["small"].dataType)
+    return rows.where(compile_filter(spec, rows.schema) & text.contains("e-0")).select("event_id")
+
+
 @query("filter_shared_element", "SELECT 'shared' AS form, count(*) AS n FROM events WHERE value > 100 UNION ALL SELECT 'strict', 0")
 def filter_shared_element(spark, d):
     """An element that is reached twice: as it reads, and by the rule that it counts as false the second time."""
