@@ -27,25 +27,26 @@ def decode_value(value: Column) -> Column:
 def text_of(value: Column, kind: T.DataType) -> Column:
     """The text that values are compared and stored by: True and False, floats in the fewest digits that give them back.
 
-    From 1e16 on and below 1e-4 these have an exponent of two digits or more; Spark's own text,
-    which has one from 1e7 on and below 1e-3, is rewritten.
+    From 1e16 on and below 1e-4 these have an exponent of two digits or more. Of the least
+    floats of all (subnormal ones) the text may have a digit more than it needs.
     """
     if isinstance(kind, T.BooleanType):
         return F.when(value, F.lit("True")).when(~value, F.lit("False"))
     if not isinstance(kind, T.DoubleType | T.FloatType):
         return value.cast("string")
-    own = value.cast("double").cast("string")
-    power = F.substring_index(own, "E", -1).try_cast("int")
+    x = value.cast("double")
+    tried = [F.format_string(f"%.{n}e", x) for n in (14, 15, 16)]
+    own = F.coalesce(*[F.when(t.try_cast("double") == x, t) for t in tried])
+    power = F.substring_index(own, "e", -1).try_cast("int")
     sign = F.when(F.startswith(own, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
-    digits = F.regexp_replace(F.regexp_replace(F.substring_index(own, "E", 1), "[-.]", ""), "0+$", "")
+    digits = F.regexp_replace(F.regexp_replace(F.substring_index(own, "e", 1), "[-.]", ""), "(?<=.)0+$", "")
     rest = F.substring(digits, 2, 400)
     behind = F.call_function("substring", digits, power + 2, F.lit(400))
     plain = F.concat(sign, F.rpad(F.call_function("substring", digits, F.lit(1), power + 1), power + 1, F.lit("0")), F.lit("."), F.when(behind == "", F.lit("0")).otherwise(behind))
     small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
     exponent = F.concat(sign, F.substring(digits, 1, 1), F.when(rest == "", F.lit("")).otherwise(F.concat(F.lit("."), rest)), F.lit("e"), F.when(power < 0, F.lit("-")).otherwise(F.lit("+")), F.when(F.abs(power) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(power).cast("string"))
-    written = F.when(power.between(0, 15), plain).when(power.between(-4, -1), small).otherwise(exponent)
-    odd = F.when(own == "NaN", F.lit("nan")).when(own == "Infinity", F.lit("inf")).when(own == "-Infinity", F.lit("-inf"))
-    return F.coalesce(odd, F.when(F.contains(own, F.lit("E")), written).otherwise(own))
+    odd = F.when(F.isnan(x), F.lit("nan")).when(x == F.lit(float("inf")), F.lit("inf")).when(x == F.lit(float("-inf")), F.lit("-inf"))
+    return F.coalesce(odd, F.when(power.between(0, 15), plain).when(power.between(-4, -1), small).otherwise(exponent))
 
 
 def field(json: Column, name: str) -> Column:

@@ -151,8 +151,7 @@ def test_text_of_values(spark):
     df = spark.createDataFrame([(x,) for x in xs], "x double")
     got = [r[0] for r in df.select(payload.text_of(F.col("x"), DoubleType())).collect()]
     wrong = [(g, x) for g, x in zip(got, xs) if g != (None if x is None else repr(x))]
-    # a few doubles have more digits than they need in some Java versions; their text gives them back all the same
-    assert len(wrong) <= 4 and all(float(g) == x for g, x in wrong)
+    assert wrong in ([], [("4.9e-324", 5e-324)])
     flags = spark.createDataFrame([(True, "True"), (False, "True"), (None, "None")], "b boolean, s string")
     assert [r[0] for r in flags.select(payload.text_of(F.col("b"), BooleanType())).collect()] == ["True", "False", None]
     assert flags.where(fl.compile_filter([fl.element("Equals", fl.attribute("b"), fl.attribute("s"))], flags.schema)).count() == 1
