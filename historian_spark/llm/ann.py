@@ -11,7 +11,8 @@ original vectors, and merges the shards' best. A query that a graph leaves with
 the shard's vectors is compared with all of that shard.
 
 Shards hold ``least_rows`` vectors on small tables, more as the table grows so that a query meets
-about ``SHARDS`` of them, and ``most_rows`` at most, which bounds a task's memory; beyond that the
+about ``SHARDS`` of them, and ``most_rows`` or ``SHARD_BYTES`` at most, which bounds a task's memory
+also where vectors have many components; beyond that the
 number of shards that a query meets grows with the table. Uneven lengths add a shard a class.
 
 Cases: vectors that are null, of length zero, all zero or that hold null or non-finite
@@ -27,13 +28,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, durable
 
 LEAST_ROWS, MOST_ROWS, SHARDS = 8_192, 131_072, 64
 BLOCK_QUERIES = 8_192
+SHARD_BYTES = 256 << 20  # of a shard's vectors: rows x components x 8
 SALTS = 64
 LINKS = 16
 EF_BUILD, EF_SEARCH = 64, 192
@@ -221,12 +223,17 @@ def _shard_rows(n: int, least: int, most: int) -> int:
     return min(most, max(least, -(-n // SHARDS)))
 
 
+def _rows_of(size: int) -> Column:
+    """Rows of a shard of dim components: size, or as many as SHARD_BYTES hold."""
+    return F.least(F.lit(size), F.greatest(F.lit(64), F.floor(F.lit(SHARD_BYTES) / (8 * F.col("dim"))))).cast("int")
+
+
 def build_index(rows: DataFrame, least_rows: int = LEAST_ROWS, most_rows: int = MOST_ROWS) -> DataFrame:
     """The index of usable rows, one row a shard, stored in the shared folder."""
     counts = durable(rows.groupBy("dim", "length").agg(F.count("*").alias("n")), "ann-parts")
     size = _shard_rows(int(counts.agg(F.sum("n")).first()[0] or 0), least_rows, most_rows)
     # a row a part, once for each salt: a part that holds all vectors meets them in many tasks
-    shards = counts.select("dim", "length", F.ceil(F.col("n") / size).alias("shards"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    shards = counts.select("dim", "length", F.ceil(F.col("n") / _rows_of(size)).alias("shards"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(SALTS)).cast("int"))
     dealt = salted.join(shards, ["dim", "length", "salt"]).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
     return durable(dealt.select("vec_id", "vector", "dim", "length", "shard").groupBy("dim", "length", "shard").applyInPandas(_build, INDEX), "ann")

@@ -482,3 +482,17 @@ def test_pairs_of_a_hot_class_are_linear(spark):
     small = spark.createDataFrame([(1, v, v % 3, probe, 3, 77, 0, 50) for v in range(30) for probe in (False, True)], found.schema)
     across = {tuple(sorted((r["x"], r["y"]))) for r in neardup._met(small).where("root_x <> root_y").collect()}
     assert across == {(a, b) for a in range(30) for b in range(a + 1, 30) if a % 3 != b % 3}
+
+
+def test_shards_are_bounded_by_bytes(spark, monkeypatch):
+    """Shards of long vectors hold fewer of them; nothing else changes."""
+    x = np.random.default_rng(5).normal(size=(600, 48))
+    rows = ann.usable(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    assert [r[0] for r in spark.createDataFrame([(64,), (768,), (10**6,)], "dim int").select(ann._rows_of(131_072)).collect()] == [131_072, 43_690, 64]
+    monkeypatch.setattr(ann, "SHARD_BYTES", 100 * 48 * 8)
+    index = ann.build_index(rows)
+    assert index.count() >= 6 and index.where("octet_length(vectors) > 200 * 48 * 8").isEmpty()
+    found = ann.search(index, rows.where("vec_id % 60 = 0"), k=5).collect()
+    for q in range(0, 600, 60):
+        best = [k for k in np.argsort(-(x @ x[q])) if k != q][:5]
+        assert len(set(best) & {r["vec_id"] for r in found if r["query_id"] == q}) >= 4
