@@ -37,16 +37,25 @@ def text_of(value: Column, kind: T.DataType) -> Column:
     x = value.cast("double")
     tried = [F.format_string(f"%.{n}e", x) for n in (14, 15, 16)]
     own = F.coalesce(*[F.when(t.try_cast("double") == x, t) for t in tried])
-    power = F.substring_index(own, "e", -1).try_cast("int")
-    sign = F.when(F.startswith(own, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+    odd = F.when(F.isnan(x), F.lit("nan")).when(x == F.lit(float("inf")), F.lit("inf")).when(x == F.lit(float("-inf")), F.lit("-inf"))
+    # lambdas bind what is used more than once, or the generated code would hold it as often
+    return F.coalesce(odd, F.get(F.transform(F.transform(F.array(own), _parts), _written), F.lit(0)))
+
+
+def _parts(own: Column) -> Column:
+    """Sign, digits and power of ten of a float's text with an exponent."""
     digits = F.regexp_replace(F.regexp_replace(F.substring_index(own, "e", 1), "[-.]", ""), "(?<=.)0+$", "")
-    rest = F.substring(digits, 2, 400)
-    behind = F.call_function("substring", digits, power + 2, F.lit(400))
+    sign = F.when(F.startswith(own, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+    return F.struct(sign.alias("sign"), digits.alias("digits"), F.substring_index(own, "e", -1).try_cast("int").alias("power"))
+
+
+def _written(parts: Column) -> Column:
+    sign, digits, power = parts["sign"], parts["digits"], parts["power"]
+    rest, behind = F.substring(digits, 2, 400), F.call_function("substring", digits, power + 2, F.lit(400))
     plain = F.concat(sign, F.rpad(F.call_function("substring", digits, F.lit(1), power + 1), power + 1, F.lit("0")), F.lit("."), F.when(behind == "", F.lit("0")).otherwise(behind))
     small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
     exponent = F.concat(sign, F.substring(digits, 1, 1), F.when(rest == "", F.lit("")).otherwise(F.concat(F.lit("."), rest)), F.lit("e"), F.when(power < 0, F.lit("-")).otherwise(F.lit("+")), F.when(F.abs(power) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(power).cast("string"))
-    odd = F.when(F.isnan(x), F.lit("nan")).when(x == F.lit(float("inf")), F.lit("inf")).when(x == F.lit(float("-inf")), F.lit("-inf"))
-    return F.coalesce(odd, F.when(power.between(0, 15), plain).when(power.between(-4, -1), small).otherwise(exponent))
+    return F.when(power.between(0, 15), plain).when(power.between(-4, -1), small).otherwise(exponent)
 
 
 def field(json: Column, name: str) -> Column:
