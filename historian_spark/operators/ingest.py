@@ -26,6 +26,15 @@ def first_write(rows: DataFrame, keys: list[str], arrival: str) -> DataFrame:
     return best.select("first.*")
 
 
+def first_new(stored: DataFrame, rows: DataFrame, keys: list[str], arrival: str) -> DataFrame:
+    """The earliest arrival of each key that stored lacks (nulls are equal). One aggregation over both: rows move once, and no task is sent all that is stored."""
+    new = rows.select(*keys, F.col(arrival).alias("_at"), F.struct(*rows.columns).alias("_row"), F.lit(None).cast("boolean").alias("_held"))
+    kinds = {f.name: f.dataType for f in new.schema.fields}
+    old = stored.select(*keys, *[F.lit(None).cast(kinds[c]).alias(c) for c in ("_at", "_row")], F.lit(True).alias("_held"))
+    best = new.unionByName(old).groupBy(*keys).agg(F.min_by("_row", "_at").alias("_row"), F.max("_held").alias("_held"))
+    return best.where("_held is null").select("_row.*")
+
+
 def insert_new(target: DataFrame | None, rows: DataFrame, keys: list[str], arrival: str) -> DataFrame:
     """Rows that the target does not hold yet, one a key."""
     fresh = first_write(rows, keys, arrival)

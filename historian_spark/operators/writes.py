@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import operator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -85,10 +84,26 @@ def typed_insert(stored: DataFrame | None, rows: DataFrame, arrival: str = "even
     return fresh if stored is None else stored.unionByName(fresh, allowMissingColumns=True)
 
 
-def _stored_of(table, rows: DataFrame) -> DataFrame:
-    """The rows that a table holds under their own event_id: those that were first at their source and instant."""
-    own = [*EVENT_KEYS, "event_id"]
-    return rows.join(table.read_days_of(rows).select(*own), own, "left_semi")
+def _decided(batch: DataFrame, stored: DataFrame | None, anchored: DataFrame | None = None) -> DataFrame:
+    """The first row of each source and instant, as first, and what is stored there: any row (held), that very event (own), an anchor with a legacy row (linked).
+
+    Where anchored holds another event, rows are left out. All sides are parted by source and
+    instant once, by joins that send nothing to every task.
+    """
+    linked = F.lit(False)
+    if anchored is not None:
+        at = anchored.groupBy(*EVENT_KEYS).agg(F.min("event_id").alias("least_"), F.max("event_id").alias("most_"), F.max(F.col("legacy_row_id").isNotNull()).alias("linked_"))
+        taken = (F.col("least_") != F.col("event_id")) | (F.col("most_") != F.col("event_id"))
+        first, linked = F.struct(*batch.columns), F.coalesce("linked_", F.lit(False))
+        batch = batch.join(at.hint("merge"), EVENT_KEYS, "left").where(~F.coalesce(taken, F.lit(False)))
+    else:
+        first = F.struct(*batch.columns)
+    rows = batch.groupBy(*EVENT_KEYS).agg(F.min_by(first, "event_id").alias("first"), F.max(linked).alias("linked"))
+    if stored is None:
+        return rows.withColumn("held", F.lit(False)).withColumn("own", F.lit(False))
+    both = rows.join(stored.select(*EVENT_KEYS, F.col("event_id").alias("id_"), F.lit(True).alias("held_")).hint("merge"), EVENT_KEYS, "left")
+    marks = [F.coalesce(F.max(c), F.lit(False)).alias(n) for c, n in ((F.col("held_"), "held"), (F.col("id_") == F.col("first.event_id"), "own"))]
+    return both.groupBy(*EVENT_KEYS).agg(F.any_value("first").alias("first"), F.max("linked").alias("linked"), *marks)
 
 
 def save_events(house, batch: DataFrame, schemas: dict[str, list[str]], mode: str | None = None, job: str = "events", number: int | None = None, now: Column | None = None) -> None:
@@ -105,25 +120,27 @@ def save_events(house, batch: DataFrame, schemas: dict[str, list[str]], mode: st
     """
     mode = ingest.storage_mode(mode)
     batch = ingest.valid_events(batch, F.current_timestamp().cast("timestamp_ntz") if now is None else now)
-    anchored = house.table("event_anchor")
+    stored, anchored = house.table("events"), house.table("event_anchor")
     if mode == "legacy":
-        house.table("events").append_new(batch, EVENT_KEYS, "event_id", job, number)
+        stored.append_new(batch, EVENT_KEYS, "event_id", job, number)
         return
-    names = [*ANCHOR_KEYS, "source_id", "event_type"]
-    if mode == "dual":
-        if anchored.manifest()["schema"] is not None:  # an instant that an anchor of v2 holds is taken by its event
-            held = anchored.read_days_of(batch).select(*[F.col(c).alias(f"{c}_") for c in (*EVENT_KEYS, "event_id")])
-            taken = reduce(operator.and_, [batch[c].eqNullSafe(held[f"{c}_"]) for c in EVENT_KEYS]) & (batch["event_id"] != held["event_id_"])
-            batch = batch.join(held, taken, "left_anti")
-        house.table("events").append_new(batch, EVENT_KEYS, "event_id", job, number)
-        won = _stored_of(house.table("events"), ingest.first_write(batch, EVENT_KEYS, "event_id"))
-        anchored.append_new(won.select(*names, F.col("event_id").alias("legacy_row_id")), EVENT_KEYS, "event_id", job, number, old="legacy_row_id is not null")
-    else:
-        anchored.append_new(batch.select(*names, F.lit(None).cast("bigint").alias("legacy_row_id")), EVENT_KEYS, "event_id", job, number)
-        won = _stored_of(anchored, ingest.first_write(batch, EVENT_KEYS, "event_id"))
-        house.table("event_payload").append_new(won.select(*ANCHOR_KEYS, "props"), ANCHOR_KEYS, "event_id", job, number)
-    for event_type, fields in schemas.items():
-        house.table(event_table(event_type)).append_new(typed_rows(won, event_type, fields), ANCHOR_KEYS, "event_id", job, number)
+    first, days = stored if mode == "dual" else anchored, stored.days_of(batch)
+    held = {t.path: t.read_days(days) for t in (stored, anchored) if t.manifest()["schema"] is not None}
+    # an instant that an anchor of v2 holds is taken by its event
+    decided = _decided(batch, held.get(first.path), held.get(anchored.path) if mode == "dual" else None).persist()
+    try:
+        names = [*ANCHOR_KEYS, "source_id", "event_type"]
+        won = decided.where("own" if first.done(job, number) else "own or not held")
+        if mode == "dual":
+            stored.append(decided.where("not held").select("first.*"), job, number)
+            anchored.append(won.where("not linked").select("first.*").select(*names, F.col("event_id").alias("legacy_row_id")), job, number)
+        else:
+            anchored.append(decided.where("not held").select("first.*").select(*names, F.lit(None).cast("bigint").alias("legacy_row_id")), job, number)
+            house.table("event_payload").append_new(won.select("first.*").select(*ANCHOR_KEYS, "props"), ANCHOR_KEYS, "event_id", job, number, days)
+        for event_type, fields in schemas.items():
+            house.table(event_table(event_type)).append_new(typed_rows(won.select("first.*"), event_type, fields), ANCHOR_KEYS, "event_id", job, number, days)
+    finally:
+        decided.unpersist()
 
 
 def anchors(house) -> DataFrame | None:
@@ -138,11 +155,11 @@ def payloads(house) -> DataFrame:
     found = [rows.select(*ANCHOR_KEYS, "props") for rows in (legacy, own) if rows is not None]
     if not found:
         raise ValueError("nothing was ever written")
-    return found[0] if len(found) == 1 else found[0].unionByName(found[1].join(found[0].select(*ANCHOR_KEYS), ANCHOR_KEYS, "left_anti"))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1].join(found[0].select(*ANCHOR_KEYS).hint("merge"), ANCHOR_KEYS, "left_anti"))
 
 
 def orphans(house, types: list[str]) -> DataFrame:
     """Typed rows, by type, whose event is not there under their event_id."""
-    held = anchors(house).select(*ANCHOR_KEYS)
+    held = anchors(house).select(*ANCHOR_KEYS).hint("merge")  # as large as the events: sent to no task whole
     counted = [house.table(event_table(t)).read().join(held, ANCHOR_KEYS, "left_anti").agg(F.lit(t).alias("event_type"), F.count("*").alias("orphans")) for t in types]
     return reduce(DataFrame.unionByName, counted)

@@ -10,7 +10,6 @@ are added. A table has one writer at a time; any number may read.
 from __future__ import annotations
 
 import json
-import operator
 import uuid
 from datetime import UTC, date, datetime, timedelta
 from functools import reduce
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.node_ids import check_table_name
-from ..operators.ingest import first_write
+from ..operators.ingest import first_new, first_write
 from . import files
 
 DAY, PART = "day", "part"
@@ -74,14 +73,22 @@ class Table:
             rows = rows.where((F.col(DAY) <= F.lit(until)) & (F.col(self.ts).cast("date") <= F.lit(until)))
         return rows.drop(PART, DAY)
 
+    def days_of(self, rows: DataFrame) -> list[date | None] | None:
+        """The days that rows have; None if they have no such column."""
+        if self.ts not in rows.columns:
+            return None
+        return [r[0] for r in rows.select(self._day_of(F.col(self.ts)).alias(DAY)).distinct().collect()]  # a row a day
+
     def read_days_of(self, rows: DataFrame) -> DataFrame:
         """The table's rows of the days that rows have, those without a time among them; days between are not read."""
+        return self.read_days(self.days_of(rows))
+
+    def read_days(self, days: list[date | None] | None) -> DataFrame:
         state = self.manifest()
         if state["schema"] is None:
             raise ValueError(f"{self.path} was never written")
         found = self._parts(state)
-        if self.ts in rows.columns:
-            days = [r[0] for r in rows.select(self._day_of(F.col(self.ts)).alias(DAY)).distinct().collect()]  # a row a day
+        if days is not None:
             some = F.col(DAY).isin([d for d in days if d is not None])
             found = found.where(some | F.col(DAY).isNull() if None in days else some)
         return found.drop(PART, DAY)
@@ -92,8 +99,11 @@ class Table:
 
     def _write(self, df: DataFrame) -> str:
         part = uuid.uuid4().hex
-        day = self._day_of(F.col(self.ts)) if self.ts else F.lit(None).cast("date")
-        df.withColumn(DAY, day).write.partitionBy(DAY).parquet(f"{self.path}/data/{PART}={part}")
+        if self.ts:
+            rows = df.withColumn(DAY, self._day_of(F.col(self.ts))).hint("rebalance", DAY)  # else each task writes a file a day
+        else:
+            rows = df.withColumn(DAY, F.lit(None).cast("date"))
+        rows.write.partitionBy(DAY).parquet(f"{self.path}/data/{PART}={part}")
         return part
 
     def _put(self, df: DataFrame, job: str, number: int | None, keep: bool) -> bool:
@@ -120,18 +130,17 @@ class Table:
         """df in place of all rows."""
         return self._put(df, job, number, keep=False)
 
-    def append_new(self, df: DataFrame, keys: list[str], arrival: str, job: str = "batch", number: int | None = None, old: str = "true") -> bool:
-        """The first row of each key that the table does not hold yet (nulls are equal); old: which of its rows count.
+    def append_new(self, df: DataFrame, keys: list[str], arrival: str, job: str = "batch", number: int | None = None, days: list[date | None] | None = None) -> bool:
+        """The first row of each key that the table does not hold yet (nulls are equal).
 
-        Of a table parted by a key only the batch's days are read.
+        Of a table parted by a key only the batch's days are read; days are these (or more), if they are known.
         """
         if self.done(job, number):
             return False
-        fresh = first_write(df, keys, arrival)
-        if self.manifest()["schema"] is not None:
-            stored = (self.read_days_of(df) if self.ts in keys else self.read()).where(old).select(*[F.col(k).alias(f"{k}_") for k in keys])
-            fresh = fresh.join(stored, reduce(operator.and_, [fresh[k].eqNullSafe(stored[f"{k}_"]) for k in keys]), "left_anti")
-        return self.append(fresh, job, number)
+        if self.manifest()["schema"] is None:
+            return self.append(first_write(df, keys, arrival), job, number)
+        stored = self.read_days(self.days_of(df) if days is None else days) if self.ts in keys else self.read()
+        return self.append(first_new(stored, df, keys, arrival), job, number)
 
     # care: what readers may still be reading is named as expired first, and deleted by a later vacuum
     def _expired(self, state: dict, names: list[str]) -> dict:
