@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.node_ids import event_table
-from .ingest import backfill_seeds, coverage
+from .ingest import backfill_seeds, coverage, numbered
 from .writes import ANCHOR_KEYS, anchors, last_values, payloads, save_last_values, typed_rows
 
 
@@ -51,29 +51,43 @@ def missing_of_types(house, schemas: dict[str, list[str]], after: int) -> DataFr
     """Anchors behind an id whose type has a table that lacks them, old ones as well as new."""
     own = anchors(house).where((F.col("event_id") > after) & F.col("event_type").isin(list(schemas)))
     held = [rows.select(*ANCHOR_KEYS) for t in schemas if (rows := house.table(event_table(t)).read()) is not None]
-    return own.join(reduce(DataFrame.unionByName, held), ANCHOR_KEYS, "left_anti") if held else own
+    return own.join(reduce(DataFrame.unionByName, held).hint("merge"), ANCHOR_KEYS, "left_anti") if held else own
+
+
+def batch_ends(rows: DataFrame, size: int, id_column: str = "event_id") -> list[int]:
+    """The last id of each batch of size rows in order of id; a number a batch comes to the driver, and no task orders all rows."""
+    nth = numbered(rows.select(id_column), id_column, "nth")
+    found = nth.groupBy(F.floor((F.col("nth") - 1) / size).alias("batch")).agg(F.max(id_column).alias("end")).collect()
+    return sorted({r["end"] for r in found})
 
 
 def run_typed(house, schemas: dict[str, list[str]], size: int, job: str = "typed_backfill") -> int:
     """The typed rows that are missing for the warehouse's anchors, all types in one pass over the ids. How many batches.
 
-    A batch is the next ``size`` anchors without a typed row, by id. The cursor is the batch number
-    of the typed tables' job, the least of them: a batch that ended between two tables is run
-    again, and the tables that have it pass it over. A job of another name begins anew.
+    A batch is the next ``size`` anchors without a typed row, by id (rows of one id stay together).
+    What is missing is looked up once for all batches, and again when they are through. The cursor
+    is the batch number of the typed tables' job, the least of them: a batch that ended between two
+    tables is run again, and the tables that have it pass it over. A job of another name begins anew.
     """
     tables = {t: house.table(event_table(t)) for t in schemas}
     after, n = min(table.manifest()["jobs"].get(job, -1) for table in tables.values()), 0
     while True:
-        batch = missing_of_types(house, schemas, after).orderBy("event_id").limit(size).join(payloads(house), ANCHOR_KEYS).persist()
+        missing = missing_of_types(house, schemas, after).persist()
         try:
-            end = batch.agg(F.max("event_id")).first()[0]
-            if end is None:
+            ends = batch_ends(missing, size)
+            if not ends:
                 return n
-            for event_type, fields in schemas.items():
-                tables[event_type].append_new(typed_rows(batch, event_type, fields), ANCHOR_KEYS, "event_id", job, end)
+            for end in ends:
+                own = (F.col("event_id") > after) & (F.col("event_id") <= end)  # on both sides, so other batches' payloads are not moved
+                batch = missing.where(own).join(payloads(house).where(own).hint("merge"), ANCHOR_KEYS).persist()
+                try:
+                    for event_type, fields in schemas.items():
+                        tables[event_type].append_new(typed_rows(batch, event_type, fields), ANCHOR_KEYS, "event_id", job, end)
+                finally:
+                    batch.unpersist()
+                after, n = end, n + 1
         finally:
-            batch.unpersist()
-        after, n = end, n + 1
+            missing.unpersist()
 
 
 def restore(last, history: DataFrame, chunks: int, on_chunk: Callable[[dict], None] | None = None, job: str = "restore", staged: Callable[[DataFrame], DataFrame] | None = None, value: str = "value_double") -> list[dict]:
