@@ -446,7 +446,8 @@ def stream_late_rows(spark, d):
     path = f"{src.work_dir(spark)}/late-{uuid4().hex}"
     rows = src.table(spark, d, "events")
     for condition in _FILES:
-        rows.where(condition).coalesce(1).write.mode("append").parquet(path)
+        # small row groups deal a file to many tasks; one group would be one task, with all its windows in memory
+        rows.where(condition).coalesce(1).write.mode("append").option("parquet.block.size", 4 << 20).parquet(path)
     return jobs.closed_rows(jobs.hourly_rollup(jobs.stream(spark, path, files_a_batch=1)))
 
 
@@ -940,9 +941,10 @@ def backfill_typed_run(spark, d):
     for t in _TYPED_FIELDS:
         house.table(f"evt_{t}").append(writes.typed_rows(rows.where("event_id % 3 = 0"), t, ["k"]))
     size = rows.where(F.col("event_type").isin(list(_TYPED_FIELDS))).count() // 4 + 1
-    first = backfill.missing_of_types(house, _TYPED_FIELDS, -1).orderBy("event_id").limit(size)
-    end = first.agg(F.max("event_id")).first()[0]
-    part = writes.typed_rows(first.join(writes.payloads(house), writes.ANCHOR_KEYS), "error", ["k"])
+    missing = backfill.missing_of_types(house, _TYPED_FIELDS, -1)
+    end = next(iter(backfill.batch_ends(missing, size)), None)
+    first = missing.where(F.col("event_id") <= end)
+    part = writes.typed_rows(first.join(writes.payloads(house).hint("merge"), writes.ANCHOR_KEYS), "error", ["k"])
     house.table("evt_error").append_new(part, writes.ANCHOR_KEYS, "event_id", "typed_backfill", end)
     backfill.run_typed(house, _TYPED_FIELDS, size)
     return _typed_rows(house)
@@ -990,7 +992,7 @@ def stream_rollup_refreshed(spark, d):
     arrivals = [r[0] for r in rows.select("arrival").distinct().orderBy("arrival").collect()]  # six at most
     window = temporal.RefreshWindow(timedelta(days=12), timedelta(days=1))
     for arrival in arrivals:  # a restart for each
-        rows.where(F.col("arrival") == arrival).drop("arrival").coalesce(1).write.mode("append").parquet(f"{house.path}/in")
+        rows.where(F.col("arrival") == arrival).drop("arrival").coalesce(16).write.mode("append").parquet(f"{house.path}/in")  # as many files as a batch takes
         jobs.refreshed_rollup(jobs.stream(spark, f"{house.path}/in"), house, f"{house.path}/checkpoint", window).awaitTermination()
     return temporal.refreshed(house.table("event_rollup"))
 
