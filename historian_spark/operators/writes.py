@@ -124,7 +124,10 @@ def save_events(house, batch: DataFrame, schemas: dict[str, list[str]], mode: st
     if mode == "legacy":
         stored.append_new(batch, EVENT_KEYS, "event_id", job, number)
         return
-    first, days = stored if mode == "dual" else anchored, stored.days_of(batch)
+    first, others = (stored, [anchored]) if mode == "dual" else (anchored, [house.table("event_payload")])
+    if all(t.done(job, number) for t in (first, *others, *[house.table(event_table(t)) for t in schemas])):
+        return  # the batch came again, and no store lacks it
+    days = stored.days_of(batch)
     held = {t.path: t.read_days(days) for t in (stored, anchored) if t.manifest()["schema"] is not None}
     # an instant that an anchor of v2 holds is taken by its event
     decided = _decided(batch, held.get(first.path), held.get(anchored.path) if mode == "dual" else None).persist()

@@ -569,3 +569,17 @@ def test_refreshed_rollup_is_fed_by_many_tasks(spark, tmp_path):
     (path,) = set(Path(tables.work_dir(spark)).glob("house-*")) - before
     turns = len(list((path / "checkpoint" / "offsets").glob("[0-9]*")))
     assert turns < len(list((path / "in").glob("*.parquet"))) <= 16 * turns
+
+
+@pytest.mark.parametrize("mode", ["v2", "dual"])
+def test_batch_that_came_again_starts_no_job(spark, tmp_path, mode):
+    house = Warehouse(spark, str(tmp_path / "house"))
+    rows = spark.createDataFrame([(1, 1, "error", T0, "{}"), (2, 1, "view", T0 + timedelta(days=1), "{}")], "event_id long, source_id long, event_type string, event_timestamp timestamp_ntz, props string")
+    jobs_of = []
+    for turn in range(2):
+        spark.sparkContext.setJobGroup(f"turn-{mode}-{turn}", "")
+        writes.save_events(house, rows, {"error": ["k"]}, mode, number=0)
+        jobs_of.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"turn-{mode}-{turn}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs_of[0] and not jobs_of[1], jobs_of
+    assert writes.anchors(house).count() == 2
