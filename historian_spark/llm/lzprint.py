@@ -7,7 +7,8 @@ share of bins in which they agree, as texts are that a common dictionary would c
 
 ``fingerprints`` deals documents by ranges of doc_id, of some ``PART_BYTES`` each, so that after
 one shuffle a task walks neighbours. The last document of a range meets the first one of the
-next in a second, small step: what a range keeps for that is these two texts.
+next in a second, small step: what a range keeps for that is these two texts. The loop over code
+points only finds the phrases; those of a slice of texts are hashed and summed up together.
 
 Cases: a null text is the empty one, whose fingerprint is empty; two empty fingerprints are
 alike (1), an empty and another are not (0); the parse goes over code points of the whole text
@@ -20,6 +21,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,68 +30,112 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, whole_text
+from .common import durable, slices, whole_text
 
 BINS = 64
 PART_BYTES = 16 << 20
+SLICE_BYTES = 256 << 10  # of texts whose phrases are hashed together
 _M = (1 << 64) - 1
 _U = np.uint64
 
 
-class Parse:
-    """The state of a parse, which can be carried on, and taken back to where it was."""
-
-    __slots__ = ("node", "phrases", "hashes")
-
-    def __init__(self):
-        self.phrases, self.hashes, self.node = {}, [0x9E3779B97F4A7C15], 0
-
-    def mark(self) -> tuple[int, int]:
-        return len(self.hashes), self.node
-
-    def back(self, mark: tuple[int, int]) -> Parse:
-        """The state at a mark: phrases and hashes are added together, so the last ones go."""
-        size, self.node = mark
-        for _ in range(len(self.hashes) - size):
-            self.phrases.popitem()
-        del self.hashes[size:]
-        return self
-
-    def feed(self, text: str) -> Parse:
-        phrases, hashes, node = self.phrases, self.hashes, self.node
-        get, size = phrases.get, len(hashes)
-        for c in map(ord, text):
-            key = node << 21 | c
-            known = get(key)
-            if known is None:
-                phrases[key] = size
-                hashes.append(((hashes[node] ^ c) * 0x100000001B3 + 0x632BE59BD9B4E019) & _M)
-                size += 1
-                node = 0
-            else:
-                node = known
-        self.node = node
-        return self
-
-    def fingerprint(self) -> str:
-        h = np.array(self.hashes[1:], np.uint64)
-        if not len(h):
-            return ""
-        h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
-        h ^= h >> _U(31)
-        least = np.full(BINS, _M, np.uint64)
-        np.minimum.at(least, (h >> _U(58)).astype(np.int64), h & _U((1 << 58) - 1))
-        filled = np.flatnonzero(least != _M)
-        # an empty bin takes the value of the next filled one, marked by its distance
-        at = filled[np.searchsorted(filled, np.arange(BINS)) % len(filled)]
-        far = ((at - np.arange(BINS)) % BINS).astype(np.uint64)
-        kept = (least[at] + far * _U(0xD1B54A32D192ED03)) & _U(0xFFFF)
-        return kept.astype(">u2").tobytes().hex()
+def _bits(text: str) -> int:
+    """Bits that hold any of a text's code points."""
+    return 7 if text.isascii() else int(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").max()).bit_length()
+
+
+def _parse(phrases: dict[int, int], node: int, text: str, bits: int) -> int:
+    """Carries a parse on over a text, from a node to the node that is returned.
+
+    A phrase's key is its parent's node and its last code point in the low bits, its node is its
+    number (from 1) above these bits; the root is 0. Phrases stay in order of their numbers.
+    """
+    get, new, step = phrases.get, len(phrases) + 1 << bits, 1 << bits
+    for c in text.encode("latin-1") if bits <= 8 else map(ord, text):
+        key = node + c
+        node = get(key)
+        if node is None:
+            phrases[key] = new
+            new += step
+            node = 0
+    return node
+
+
+def _hashes(parents: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Hashes of phrases, each from its parent's and its last code point; parents stand before, roots have -1."""
+    n = len(parents)
+    ahead = np.append(np.where(parents < 0, n, parents), n)
+    depth = np.append(np.ones(n, np.int64), 0)
+    while (ahead != n).any():  # each round doubles the way to an ancestor
+        depth, ahead = depth + depth[ahead], ahead[ahead]
+    depth = depth[:n]
+    counts = np.bincount(depth)
+    order = np.argsort(depth.astype(np.uint16) if len(counts) < 1 << 16 else depth, kind="stable")
+    hashes = np.append(np.zeros(n, np.uint64), _U(0x9E3779B97F4A7C15))  # the last one is the root's
+    at = 0
+    for size in counts[1:].tolist():
+        own = order[at : at + size]
+        hashes[own] = (hashes[parents[own]] ^ signs[own]) * _U(0x100000001B3) + _U(0x632BE59BD9B4E019)
+        at += size
+    return hashes[:n]
+
+
+def _least(hashes: np.ndarray, part: np.ndarray, parts: int) -> np.ndarray:
+    """The least mixed hash in every bin of each part."""
+    h = (hashes ^ (hashes >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
+    h ^= h >> _U(31)
+    least = np.full(parts * BINS, _M, np.uint64)
+    np.minimum.at(least, part * BINS + (h >> _U(58)).astype(np.int64), h & _U((1 << 58) - 1))
+    return least.reshape(parts, BINS)
+
+
+def _values(least: np.ndarray) -> np.ndarray:
+    """Fingerprints of rows of least hashes, as numbers; -1 throughout those that are empty."""
+    filled = least != _M
+    # an empty bin takes the value of the next filled one, marked by its distance
+    at = np.where(np.tile(filled, 2), np.arange(2 * BINS), 2 * BINS)
+    at = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :BINS]
+    far = (at - np.arange(BINS)).astype(np.uint64)
+    kept = (np.take_along_axis(least, at % BINS, axis=1) + far * _U(0xD1B54A32D192ED03)) & _U(0xFFFF)
+    return np.where(filled.any(axis=1)[:, None], kept.astype(np.int64), -1)
+
+
+def _text(values: np.ndarray) -> str:
+    return values.astype(">u2").tobytes().hex() if values[0] >= 0 else ""
+
+
+def prints(texts: list[str], following: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Values of the fingerprints of texts, and of the texts as edited with those that follow them.
+
+    A text and its edited one share the phrases of the first half, which is parsed once. The
+    phrases of all texts are hashed together.
+    """
+    parents, signs, sizes, before = [], [], [], 0
+    for text, after in zip(texts, following):
+        half = len(text) // 2
+        begin, end, other = text[: len(text) - half], text[len(text) - half :], after[:half]
+        bits = max(_bits(text), _bits(other))
+        phrases: dict[int, int] = {}
+        node = _parse(phrases, 0, begin, bits)
+        shared, changed = len(phrases), phrases.copy()
+        _parse(phrases, node, end, bits)
+        _parse(changed, node, other, bits)
+        n, more = len(phrases), len(changed) - shared
+        keys = np.concatenate([np.fromiter(phrases, np.int64, n), np.fromiter(itertools.islice(changed, shared, None), np.int64, more)])
+        up = (keys >> bits) - 1
+        up[n:] += np.where(up[n:] >= shared, n - shared, 0)  # the edited text's own phrases come behind all others
+        parents.append(np.where(up < 0, -1, up + before))
+        signs.append((keys & (1 << bits) - 1).astype(np.uint64))
+        sizes += [shared, n - shared, more]
+        before += n + more
+    hashes = _hashes(np.concatenate(parents), np.concatenate(signs))
+    begin, end, other = _least(hashes, np.repeat(np.arange(len(sizes)), sizes), len(sizes)).reshape(-1, 3, BINS).swapaxes(0, 1)
+    return _values(np.minimum(begin, end)), _values(np.minimum(begin, other))
 
 
 def fingerprint(text: str) -> str:
-    return Parse().feed(text).fingerprint()
+    return _text(prints([text], [""])[0][0])
 
 
 def likeness(a: str, b: str) -> float:
@@ -117,44 +163,48 @@ def _batch(rows: list[tuple], columns: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, _KINDS[k]) for x, (_, k) in zip(data, named)], [n for n, _ in named])
 
 
-def _begun(text: str) -> tuple[Parse, str]:
-    """The parse of a text's first half, which its edited text shares, and the whole text's fingerprint."""
-    parse = Parse().feed(text[: len(text) - len(text) // 2])
-    mark = parse.mark()
-    print_ = parse.feed(text[len(text) - len(text) // 2 :]).fingerprint()
-    return parse.back(mark), print_
-
-
-def _row(doc_id: int | None, text: str, parse: Parse, print_: str, following: str, next_print: str) -> tuple:
-    changed = parse.feed(following[: len(text) // 2]).fingerprint()
-    digest = hashlib.sha256(edited(text, following).encode("utf-8", "surrogatepass")).hexdigest()
-    return doc_id, len(text), digest, print_, changed, likeness(print_, changed), likeness(print_, next_print)
+def _rows(docs: list[tuple[int | None, str]], following: list[str]) -> tuple[list[tuple], np.ndarray]:
+    """COLUMNS of documents but for near_next, and the values of their fingerprints."""
+    own, changed = prints([text for _, text in docs], following)
+    digests = [hashlib.sha256(edited(text, after).encode("utf-8", "surrogatepass")).hexdigest() for (_, text), after in zip(docs, following)]
+    near = (own == changed).mean(axis=1).tolist()
+    return [(doc_id, len(text), digest, _text(x), _text(y), z) for (doc_id, text), digest, x, y, z in zip(docs, digests, own, changed, near)], own
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a range in order: all but the last one are done; the ends of the range come last."""
-    held = first = None  # held: the row before, which waits for its successor
+    held = first = waiting = None  # held: the last row so far, not parsed yet; waiting: the row before, which lacks near_next, with its values
     no_ends, no_row = (None,) * 5, (None,) * 7
     for batch in batches:
-        out = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-            text = text.as_py()
-            parse, print_ = _begun(text)
-            if held is None:
-                first = text, print_
+        for at, texts in slices(batch.column("text"), SLICE_BYTES):
+            docs = list(zip(batch.column("doc_id").slice(at, len(texts)).to_pylist(), texts.to_pylist()))
+            if held is not None:
+                docs.insert(0, held)
+            held = docs.pop()
+            if not docs:
+                continue
+            rows, values = _rows(docs, [text for _, text in docs[1:]] + [held[1]])
+            if waiting is None:
+                first = docs[0][1], rows[0][3]
             else:
-                out.append((*_row(*held, text, print_), *no_ends))
-            held = doc_id, text, parse, print_
-        yield _batch(out, f"{COLUMNS}, {ENDS}")
+                rows.insert(0, waiting[0])
+                values = np.concatenate([waiting[1], values])
+            waiting = rows.pop(), values[-1:]
+            near = (values[:-1] == values[1:]).mean(axis=1).tolist()
+            yield _batch([(*row, x, *no_ends) for row, x in zip(rows, near)], f"{COLUMNS}, {ENDS}")
     if held is not None:
-        yield _batch([(*no_row, TaskContext.get().partitionId(), *first, held[0], held[1])], f"{COLUMNS}, {ENDS}")
+        own, _ = prints([held[1]], [""])
+        rows = [] if waiting is None else [(*waiting[0], float((waiting[1] == own).mean()), *no_ends)]
+        rows.append((*no_row, TaskContext.get().partitionId(), *(first or (held[1], _text(own[0]))), *held))
+        yield _batch(rows, f"{COLUMNS}, {ENDS}")
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last rows of ranges, each with the first text of the next range."""
     for batch in batches:
         for doc_id, text, following, next_print in zip(*(batch.column(c) for c in ("last_id", "last_text", "next_text", "next_print"))):
-            yield _batch([_row(doc_id.as_py(), text.as_py(), *_begun(text.as_py()), following.as_py(), next_print.as_py())], COLUMNS)
+            (row,), _ = _rows([(doc_id.as_py(), text.as_py())], [following.as_py()])
+            yield _batch([(*row, likeness(row[3], next_print.as_py()))], COLUMNS)
 
 
 def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
