@@ -2,9 +2,11 @@
 
 Both tokenizers end a token before a single space that stands between two other signs, so the
 pieces between such spaces are aligned apart and once: beside its Arrow partitions every worker
-keeps a DuckDB with the pieces it has met, a bounded number. For new pieces it gets interval tables of the tokens (number, id, begin and
+keeps a DuckDB with the pieces it has met, a bounded number; where there are too many, those stay
+that most slices met again. For new pieces it gets interval tables of the tokens (number, id, begin and
 end in bytes); ASOF joins find the first and the last token of B that a token of A overlaps, a
-range join between those gives the links, and window sums over the common ends number the groups.
+range join between those gives the links. A token of A whose end is that of its last token of B
+closes a group; the number of such ends before a token is that of its group.
 Documents are sums over their pieces; the documents that hold a pair are counted in DuckDB, a
 slice of texts at a time, and these partial counts are merged in Spark. Totals come back by slice:
 a slice's pairs are joined with the totals and meet its documents, which were stored as piece
@@ -22,7 +24,7 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import itertools
+import operator
 import os
 import re
 from collections.abc import Iterator
@@ -45,23 +47,22 @@ SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 _JOINS = """
 CREATE OR REPLACE TEMP TABLE spans AS
-    SELECT f.*, l.k AS upto FROM (SELECT a.*, b.k AS since FROM a ASOF JOIN b ON a.s >= b.s) f ASOF JOIN b l ON f.e > l.s;
-INSERT INTO links SELECT t.piece, t.id::BIGINT * {base} + b.id, count(*)::INTEGER FROM (SELECT piece, id, unnest(range(since, upto + 1)) AS k FROM spans) t JOIN b USING (k) GROUP BY ALL;
+    SELECT f.*, l.k AS upto, l.e = f.e AS closes FROM (SELECT a.*, b.k AS since FROM a ASOF JOIN b ON a.s >= b.s) f ASOF JOIN b l ON f.e > l.s;
+INSERT INTO links SELECT t.piece, t.id::BIGINT * {base} + b.id FROM (SELECT piece, id, unnest(range(since, upto + 1)) AS k FROM spans) t JOIN b USING (k);
 """
-#: The number of the group of every token of a (and of b, with the names exchanged): common ends before it.
-_GROUPS = "SELECT coalesce(sum((o.e IS NOT NULL)::INTEGER) OVER (ORDER BY t.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS g FROM {} t LEFT JOIN {} o USING (e) ORDER BY t.k"
-_LINKS = "SELECT piece, sum(n)::BIGINT AS n FROM links WHERE piece >= $1 GROUP BY piece ORDER BY piece"
+_CLOSES = "SELECT e FROM spans WHERE closes ORDER BY e"
+_LINKS = "SELECT piece, count(*) AS n FROM links WHERE piece >= $1 GROUP BY piece ORDER BY piece"
 _COUNTS = "SELECT pair, count(*)::INTEGER AS docs FROM (SELECT DISTINCT o.doc, l.pair FROM occurs o JOIN links l USING (piece)) GROUP BY pair ORDER BY pair"
-_OWN_LINKS = "SELECT piece, pair, n FROM links SEMI JOIN occurs USING (piece) ORDER BY piece, pair"
+_OWN_LINKS = "SELECT piece, pair FROM links SEMI JOIN occurs USING (piece) ORDER BY piece, pair"
 
 
 class _Codes(dict):
     """Numbers of pieces in the order in which they are first asked for; new ones are listed."""
 
-    def __init__(self):
-        super().__init__()
+    def __init__(self, known=()):
+        super().__init__(known)
         self.new: list[str] = []
-        self.n = 0
+        self.n = len(self)
 
     def __missing__(self, piece: str) -> int:
         self[piece] = code = self.n
@@ -101,36 +102,43 @@ def _tokenizers(path_a: str, path_b: str) -> tuple:
     return _vocabularies[path_a, path_b]
 
 
-def _bare(piece) -> bool:
-    """Whether a piece has signs other than white space at both ends."""
-    return isinstance(piece, str) and piece != "" and not (piece[0].isspace() or piece[-1].isspace())
+def _bare(pieces: list[str]) -> np.ndarray:
+    """Whether pieces have signs other than white space at both ends."""
+    return np.fromiter(map(operator.eq, map(str.strip, pieces), pieces), bool, len(pieces)) & np.fromiter(map(bool, pieces), bool, len(pieces))
 
 
-def _apart(pieces: list[str], raw: list[bytes], encode, own: list[bytes], widths: np.ndarray) -> tuple[list[list[int]], np.ndarray]:
-    """Ids of every piece, and whether their bytes are a space and the piece's own bytes (raw).
+def _apart(pieces: list[str], raw: list[bytes], bare: np.ndarray, encode, own: list[bytes], widths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all pieces one after the other, how many each has, and whether their bytes are a space and the piece's own bytes (raw); none if not.
 
     Bare pieces are encoded many at a time, with the space between them that each begins with;
     the bytes tell their ids apart.
     """
-    bare = [k for k, p in enumerate(pieces) if _bare(p)]
-    rows = [bare[k : k + TOGETHER] for k in range(0, len(bare), TOGETHER)]
-    found: list = [None] * len(pieces)
-    sound, get = np.zeros(len(pieces), bool), own.__getitem__
+    n, sound, get = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), bool), own.__getitem__
+    sizes = 1 + np.fromiter(map(len, raw), np.int64, len(raw))
+    each, rest = np.flatnonzero(bare), np.flatnonzero(~bare).tolist()
+    rows = [each[k : k + TOGETHER] for k in range(0, len(each), TOGETHER)]
+    found, places = [_NONE], [_NONE]
     for some, ids in zip(rows, encode([" ".join([pieces[k] for k in some]) for some in rows])):
         if b"".join(map(get, ids)) == b" " + b" ".join([raw[k] for k in some]):
-            ends = np.concatenate([[0], np.cumsum(widths[np.array(ids, np.int64)])])
-            wanted = np.cumsum([0, *[1 + len(raw[k]) for k in some]])
+            flat = np.array(ids, np.int64)
+            ends = np.concatenate([[0], np.cumsum(widths[flat])])
+            wanted = np.concatenate([[0], np.cumsum(sizes[some])])
             at = np.searchsorted(ends, wanted)
             if (ends[at] == wanted).all():
-                at = at.tolist()
-                for k, x, y in zip(some, at, at[1:]):
-                    found[k] = ids[x:y]
-                sound[some] = True
-    rest = [k for k, ids in enumerate(found) if ids is None]
+                n[some], sound[some] = np.diff(at), True
+                found.append(flat)
+                places.append(some)
+                continue
+        rest += some.tolist()
     for k, ids in zip(rest, encode([pieces[k] for k in rest])):
-        found[k] = ids
-        sound[k] = pieces[k] != "" and b"".join(map(get, ids)) == b" " + raw[k]
-    return found, sound
+        if pieces[k] != "" and b"".join(map(get, ids)) == b" " + raw[k]:
+            n[k], sound[k] = len(ids), True
+            found.append(np.array(ids, np.int64))
+            places.append(np.array([k]))
+    ids, place = np.concatenate(found), np.concatenate(places)
+    if rest:
+        ids = ids[np.argsort(np.repeat(place, n[place]), kind="stable")]
+    return ids, n, sound
 
 
 class Aligner:
@@ -149,31 +157,51 @@ class Aligner:
         self.cut = np.zeros(0, bool)  # whether a piece may have been cut beside white space
         self.groups = pa.array([], pa.large_string())  # of a piece, as text
         self.facts = np.zeros((0, 4), np.int64)  # n_a, n_b, n_groups, n_links of a piece; zeros: it is not given back
-        self.duck.execute("CREATE OR REPLACE TABLE links (piece INTEGER, pair BIGINT, n INTEGER)")
+        self.again = np.zeros(0, np.int32)  # slices that met a piece again
+        self.duck.execute("CREATE OR REPLACE TABLE links (piece INTEGER, pair BIGINT)")
+
+    def forget(self) -> None:
+        """Leaves half of the pieces that may be known, those that most slices met again; they get new numbers."""
+        keep = np.sort(np.argsort(-self.again, kind="stable")[: KNOWN_PIECES // 2])
+        keep = keep[self.again[keep] > 0]
+        places = np.full(len(self.again), -1)
+        places[keep] = np.arange(len(keep))
+        known = [(piece, code) for piece, code in zip(self.codes, places[np.fromiter(self.codes.values(), np.int64, len(self.codes))].tolist()) if code >= 0]
+        facts, cut, groups = self.facts[keep], self.cut[keep], self.groups.take(pa.array(keep))
+        size = sum(len(p if isinstance(p, str) else p[0]) for p, _ in known) + groups.nbytes
+        if size > KNOWN_BYTES // 2:
+            return self.clear()
+        self.codes, self.size, self.facts, self.cut, self.groups = _Codes(known), size, facts, cut, groups
+        self.again = np.zeros(len(keep), np.int32)
+        self.duck.register("kept", pa.table({"piece": keep.astype(np.int32), "place": np.arange(len(keep), dtype=np.int32)}))
+        self.duck.execute("CREATE OR REPLACE TABLE links AS SELECT place AS piece, pair FROM links JOIN kept USING (piece) ORDER BY place")
+        self.duck.unregister("kept")
 
     def _add(self, pieces: list[str]) -> None:
         """Aligns pieces, each as a text of its own; they get the next numbers."""
         first = len(self.facts)
         raw = [p.encode() for p in pieces]
-        ids_a, sound = _apart(pieces, raw, lambda texts: [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], self.bytes_a, self.widths[0])
-        ids_b, sound_b = _apart(pieces, raw, lambda texts: self.b.encode(texts, num_threads=1), self.bytes_b, self.widths[1])
-        sound &= sound_b
+        bare = _bare(pieces)
+        *own_a, sound_a = _apart(pieces, raw, bare, lambda texts: [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], self.bytes_a, self.widths[0])
+        *own_b, sound_b = _apart(pieces, raw, bare, lambda texts: self.b.encode(texts, num_threads=1), self.bytes_b, self.widths[1])
+        sound = sound_a & sound_b
         facts, texts = np.zeros((len(pieces), 4), np.int64), pa.nulls(0, pa.large_string())
         at = np.flatnonzero(sound)
         if len(at):
-            tokens, piece = [], []
-            for side, (name, ids) in enumerate((("a", ids_a), ("b", ids_b))):
-                n = np.fromiter(map(len, ids), np.int64, len(ids))[at]
-                flat = np.fromiter(itertools.chain.from_iterable(ids[k] for k in at), np.int64, int(n.sum()))
+            tokens, piece, starts = [], [], []
+            for side, (name, (ids, n)) in enumerate((("a", own_a), ("b", own_b))):
+                flat, n = ids[np.repeat(sound, n)], n[at]
                 width = self.widths[side][flat]
                 ends = np.cumsum(width)
                 facts[at, side] = n
                 tokens.append(flat)
+                starts.append(ends - width)
                 piece.append(np.repeat(np.arange(len(at)), n))
-                self.duck.register(name, pa.table({"k": np.arange(len(flat)), "id": flat, "s": ends - width, "e": ends, "piece": (first + at[piece[-1]]).astype(np.int32)}))
+                self.duck.register(name, pa.table({"k": np.arange(len(flat)), "id": flat, "s": starts[-1], "e": ends, "piece": (first + at[piece[-1]]).astype(np.int32)}))
             self.duck.execute(_JOINS.format(base=len(self.bytes_b)))
             facts[at, 3] = self.duck.execute(_LINKS, [first]).fetchnumpy()["n"]
-            groups = [self.duck.execute(_GROUPS.format(x, y)).fetchnumpy()["g"] for x, y in ("ab", "ba")]
+            closes = self.duck.execute(_CLOSES).fetchnumpy()["e"]
+            groups = [np.searchsorted(closes, s, "right") for s in starts]
             texts, facts[at, 2] = self._texts(tokens, groups, piece)
         self.groups = pa.concat_arrays([self.groups, texts.take(pa.array(np.where(sound, np.cumsum(sound) - 1, -1), mask=~sound))])
         self.facts = np.concatenate([self.facts, facts])
@@ -195,16 +223,17 @@ class Aligner:
     def slice(self, texts: pa.Array) -> dict:
         """Facts of some texts, their pieces with how often, and the slice's own links and partial counts."""
         if len(self.facts) > KNOWN_PIECES or self.size > KNOWN_BYTES:
-            self.clear()
-        code = self.codes.__getitem__
+            self.forget()
+        before, code = len(self.facts), self.codes.__getitem__
         docs = [np.fromiter(map(code, t.split(" ")), np.int64) if (t := text.as_py()) else _NONE for text in texts]
         new = self.codes.take_new()
-        self.cut = np.concatenate([self.cut, np.fromiter((not _bare(p) for p in new), bool, len(new))])
+        self.cut = np.concatenate([self.cut, ~_bare(new)])
         if self.cut.any():
             # a space beside other white space ends no piece: such texts are cut by the rule, and pieces of theirs are told from the others
             for k, own in enumerate(docs):
                 if self.cut[own].any():
-                    docs[k] = np.fromiter((code(p if _bare(p) else (p,)) for p in SPACE.split(texts[k].as_py())), np.int64)
+                    parts = SPACE.split(texts[k].as_py())
+                    docs[k] = np.fromiter((code(p if b else (p,)) for p, b in zip(parts, _bare(parts))), np.int64, len(parts))
             more = self.codes.take_new()
             self.cut = np.concatenate([self.cut, np.zeros(len(more), bool)])
             new += more
@@ -229,6 +258,8 @@ class Aligner:
         keys, times = np.unique(np.repeat(np.arange(len(docs)), n) * (len(self.facts) + 1) + flat, return_counts=True)
         doc, piece = np.divmod(keys, len(self.facts) + 1)
         own, local = np.unique(piece, return_inverse=True)
+        self.again = np.append(self.again, np.zeros(len(self.facts) - before, np.int32))
+        self.again[own[: np.searchsorted(own, before)]] += 1
         self.duck.register("occurs", pa.table({"doc": doc.astype(np.int32), "piece": piece.astype(np.int32)}))
         counts, links = self.duck.execute(_COUNTS).fetchnumpy(), self.duck.execute(_OWN_LINKS).fetchnumpy()
         return {
@@ -236,7 +267,7 @@ class Aligner:
             "sha256": [hashlib.sha256(t.as_buffer()).hexdigest() if m else "" for t, m in zip(joined.cast(pa.large_binary()), n)],
             "ends": np.searchsorted(doc, np.arange(len(docs) + 1)), "pieces": local, "times": times,
             "pair": counts["pair"], "docs": counts["docs"],
-            "links": np.bincount(np.searchsorted(own, links["piece"]), links["n"], len(own)), "link_pair": np.repeat(np.searchsorted(counts["pair"], links["pair"]), links["n"]),
+            "links": np.bincount(np.searchsorted(own, links["piece"]), minlength=len(own)), "link_pair": np.searchsorted(counts["pair"], links["pair"]),
         }
 
 

@@ -111,3 +111,31 @@ def test_slices_and_forgetting(spark, monkeypatch):
         got = aligner.slice(pa.array([t or "" for _, t in rows[k : k + 3]], pa.large_string()))
         for j, w in enumerate(want[k : k + 3]):
             assert tuple(got["facts"][j]) == w[1:5] and (w[7] is None or got["sha256"][j] == w[7])
+
+
+def test_pieces_that_come_again_stay_known(monkeypatch):
+    """Where a worker knows too many pieces it keeps those met again, with their links (all were aligned anew before)."""
+    import pyarrow as pa
+
+    rng, monkey = random.Random(5), monkeypatch.setattr
+    usual = ["ordinary", "words,", "that", "don't", "vary.", "Größe", "日本語", "x\ny", "and", "and,", "né", "12.5"]
+    slices = [[" ".join(rng.choices(usual, k=30) + [f"rare{rng.randrange(10**9)}" for _ in range(8)] + ["", "a", ""][: 3 * (j % 2)]) for j in range(4)] for _ in range(12)]
+    monkey(align, "KNOWN_PIECES", 60)
+    aligner = align.Aligner(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    added, add = [], aligner._add
+    monkey(aligner, "_add", lambda pieces: (added.extend(pieces), add(pieces)))
+    for texts in slices:
+        got, holders = aligner.slice(pa.array(texts, pa.large_string())), Counter()
+        upto = [0, *got["links"].astype(int).cumsum().tolist()]
+        for k, text in enumerate(texts):
+            a, b = tokens(text)
+            want = Counter(x * len(aligner.bytes_b) + y for x, s, e in a for y, t, u in b if s < u and t < e)
+            holders.update(want.keys())
+            own = Counter()
+            for piece, times in zip(*(got[n][got["ends"][k] : got["ends"][k + 1]].tolist() for n in ("pieces", "times"))):
+                for at in got["link_pair"][upto[piece] : upto[piece + 1]].tolist():
+                    own[int(got["pair"][at])] += times
+            assert own == want and tuple(got["facts"][k][[0, 1, 3]]) == (len(a), len(b), sum(want.values()))
+        assert dict(zip(got["pair"].tolist(), got["docs"].tolist())) == holders
+        assert len(aligner.facts) == len(aligner.cut) == len(aligner.groups) == aligner.codes.n <= 60 + 4 * 12 + 20
+    assert len(added) > 12 * 4 * 8 and max(Counter(p for p in added if p in usual).values()) == 1
