@@ -41,7 +41,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 25, 5
 BITMAP_BITS = 26
-PIVOTS = 16  # texts of a centre's buckets, at most, whose shingles count as common there
+PIVOTS = 16  # texts of a centre's buckets, at most, whose shingles count as common there; of no more members no order is asked
 SALT_ROWS = 64  # members of a centre's buckets that meet in a task, about
 _U = np.uint64
 
@@ -242,12 +242,14 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _across(left_over: DataFrame, words: DataFrame) -> DataFrame:
     """Pairs (u, v) of left_over's texts with one centre and different classes that may be alike; none that is alike is missing."""
     # pivots only order shingles: any members serve, and any order finds the same pairs
-    some = left_over.groupBy("u", F.pmod(F.xxhash64("v"), F.lit(PIVOTS)).alias("slot")).agg(F.min("v").alias("key")).select("u", "key")
-    some = some.union(left_over.select("u", F.col("u").alias("key")).distinct())
+    weights = durable(left_over.groupBy("u").agg(F.count("*").alias("members")), "weights")
+    many = weights.where(F.col("members") > PIVOTS).select("u")  # of so few members as others have, all pairs are few
+    some = left_over.join(many, "u").groupBy("u", F.pmod(F.xxhash64("v"), F.lit(PIVOTS)).alias("slot")).agg(F.min("v").alias("key")).select("u", "key")
+    some = some.union(many.select("u", F.col("u").alias("key")))
     held = some.join(words, "key").select("u", "words").mapInArrow(_tokens, "u long, token long").groupBy("u", "token").agg(F.count("*").alias("held")).where("held > 1")
     common = held.groupBy("u").agg(F.collect_list(F.struct("token", "held")).alias("common"))
     # the members of a centre are dealt over as many tasks as there are SALT_ROWS of them
-    weights = durable(left_over.groupBy("u").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")), "weights")
+    weights = weights.select("u", F.ceil(F.col("members") / SALT_ROWS).cast("int").alias("salts"))
     pivots = durable(weights.join(common, "u", "left").select("u", "common", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")), "pivots")
     salted = left_over.join(weights, "u").withColumn("salt", F.pmod(F.xxhash64("v", F.lit(1)), F.col("salts")).cast("int")).drop("salts")
     rows = salted.join(words.select(F.col("key").alias("v"), F.col("words").alias("words_v")), "v").join(pivots, ["u", "salt"])
@@ -261,21 +263,23 @@ def _across(left_over: DataFrame, words: DataFrame) -> DataFrame:
 def _met(found: DataFrame) -> DataFrame:
     """x, y and their roots for index and probe rows that share a key and may be alike, without any pair within a key's largest class.
 
-    Keys whose rows are all of one class have no pairs. Of the others the rows of the largest class
+    Keys whose rows are all of one class, all index or all probe rows have no pairs; nearly all keys
+    are such, and their rows are left where they are. Of the others the rows of the largest class
     stand on one side only, so however many copies a class has, a key makes as many pairs as it
     has rows times those of its other classes, at most.
     """
-    key = ["u", "size", "token"]
-    per_class = found.groupBy(*key, "root").agg(F.count("*").alias("rows"))
-    largest = per_class.groupBy(*key).agg(F.max_by("root", F.struct("rows", "root")).alias("largest"), F.count("*").alias("classes"))
-    mixed = durable(largest.where("classes > 1").drop("classes"), "mixed-keys")
-    held = durable(found.join(mixed, key), "mixed-prefixes")
+    found = found.withColumn("key", F.xxhash64("u", "size", "token")).drop("u", "size", "token")  # keys that fall together only make candidates more
+    sides = found.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.bit_or(F.when(F.col("probe"), 2).otherwise(1)).alias("sides"))
+    near = durable(_among(found, sides.where("a <> b and sides = 3"), "key"), "mixed-prefixes")
+    per_class = near.groupBy("key", "root").agg(F.count("*").alias("rows"))
+    largest = per_class.groupBy("key").agg(F.max_by("root", F.struct("rows", "root")).alias("largest"), F.count("*").alias("classes"))
+    largest = durable(largest.where("classes > 1").drop("classes"), "largest")
+    held = durable(near.join(largest, "key"), "held")
     common = (4 * (F.col("x.n") + F.col("y.n")) + 8) / 9
     fits = (F.col("x.place") <= F.col("x.n") - F.floor(common)) & (F.col("y.place") <= F.col("y.n") - F.floor(common))
-    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in key]
 
     def joined(x: DataFrame, y: DataFrame) -> DataFrame:
-        pairs = x.where("not probe").alias("x").join(y.where("probe").alias("y"), [*same, F.col("x.n") <= F.col("y.n"), fits])
+        pairs = x.where("not probe").alias("x").join(y.where("probe").alias("y"), [F.col("x.key") == F.col("y.key"), F.col("x.n") <= F.col("y.n"), fits])
         return pairs.select(F.col("x.v").alias("x"), F.col("y.v").alias("y"), F.col("x.root").alias("root_x"), F.col("y.root").alias("root_y"))
 
     others, own = held.where("root <> largest"), held.where("root = largest")
@@ -315,14 +319,13 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     now = durable(edges.where("u <> v").distinct(), "edges")
     while True:
-        ends = F.array(F.struct(F.col("u").alias("node"), F.lit(0).alias("below")), F.struct(F.col("v").alias("node"), F.lit(1).alias("below")))
-        roles = now.select(F.inline(ends)).groupBy("node").agg(F.sum("below").alias("below"), F.min("below").alias("least"))
-        if roles.where("below > 1 or (below = 1 and least = 0)").isEmpty():  # every node is a centre or has one
-            return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # what a join takes in is stored first: a node with very many edges can then be split over tasks
-        least = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = durable(both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct(), "large")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") < F.col("u")).alias("below"), F.max("v").alias("most"))
+        least = durable(least, "least")
+        if least.where("below > 1 or (below = 1 and most > u)").isEmpty():  # every node is a centre or has one
+            return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
+        large = durable(both.join(least.select("u", "m"), "u").where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct(), "large")
         # now every edge is (smaller, larger); link all smaller neighbours of a node to their least
         low = durable(large.groupBy("v").agg(F.min("u").alias("m")), "low")
         small = large.join(low, "v").select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("v")), F.struct(F.col("m").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
@@ -340,7 +343,7 @@ def classes(docs: DataFrame) -> DataFrame:
     bands = signed.select("key", "n", F.explode("bands").alias("band"))
     # sums by a key are stored before they are joined back: both sides of the join are then plain, and a hot key can be split
     sizes = durable(bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
-    shared = durable(bands.join(sizes, "band"), "shared")
+    shared = durable(_among(bands, sizes, "band").join(sizes, "band"), "shared")
     # the centre of a bucket is the member that meets most others anywhere, such as the text others were made from
     popular = shared.groupBy("key").agg(F.sum("members").alias("meets"))
     centre = shared.join(popular, "key").groupBy("band").agg(F.max(F.struct("meets", "key", "n")).alias("c"))
@@ -382,7 +385,8 @@ def classes(docs: DataFrame) -> DataFrame:
     more = _across(left_over, words_of)
     done = compared.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     more = more.join(done, ["u", "v"], "left_anti")
-    links = links.union(_linked(_verify(durable(more, "more"), words_of)))
+    # each class found so far counts as a star
+    links = roots.select(F.col("root").alias("u"), F.col("key").alias("v")).union(_linked(_verify(durable(more, "more"), words_of)))
     roots = components(links).withColumnRenamed("node", "key")
     of_key = durable(firsts.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "classes")
     per_class = durable(of_key.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_rows")), "per-class")

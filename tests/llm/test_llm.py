@@ -484,6 +484,24 @@ def test_pairs_of_a_hot_class_are_linear(spark):
     assert across == {(a, b) for a in range(30) for b in range(a + 1, 30) if a % 3 != b % 3}
 
 
+def test_only_rows_that_can_meet_another_class_move(spark, monkeypatch):
+    """Keys with index rows alone, probe rows alone or one class alone are not stored again, whatever their number."""
+    alone = [(1, v, v, probe, 3, 100 + probe, 0, 50) for v in range(500) for probe in (False, True)]
+    one = [(1, v, 7, probe, 3, 200, 0, 50) for v in range(500) for probe in (False, True)]
+    meet = [(1, v, v, probe, 3, 300, 0, 50) for v in (1, 2) for probe in (False, True)]
+    found = spark.createDataFrame(alone + one + meet, "u long, v long, root long, probe boolean, size int, token long, place int, n int")
+    stored, real = {}, neardup.durable
+
+    def durable(df, name):
+        out = real(df, name)
+        stored[name] = out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "durable", durable)
+    assert {tuple(sorted((r["x"], r["y"]))) for r in neardup._met(found).where("root_x <> root_y").collect()} == {(1, 2)}
+    assert sum(stored.values()) <= 20
+
+
 def test_shards_are_bounded_by_bytes(spark, monkeypatch):
     """Shards of long vectors hold fewer of them; nothing else changes."""
     x = np.random.default_rng(5).normal(size=(600, 48))
