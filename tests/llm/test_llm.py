@@ -514,3 +514,30 @@ def test_shards_are_bounded_by_bytes(spark, monkeypatch):
     for q in range(0, 600, 60):
         best = [k for k in np.argsort(-(x @ x[q])) if k != q][:5]
         assert len(set(best) & {r["vec_id"] for r in found if r["query_id"] == q}) >= 4
+
+
+def test_forms_of_a_word_are_encoded_once():
+    """Case and signs behind a word make no more work for the library, and no other ids; pieces it parts otherwise stay whole."""
+    import public_tokenizers
+
+    encoder = words.WordEncoder(str(public_tokenizers.path("word_bpe_49k.json")))
+    calls: Counter = Counter()
+
+    class Model:
+        def tokenize(self, word, real=encoder.model):
+            calls["word"] += 1
+            return real.tokenize(word)
+
+    def whole(text, real=encoder.whole):
+        calls["whole"] += 1
+        return real(text)
+
+    encoder.model, encoder.whole = Model(), whole
+    plain = [f"{a}{b}" for a in ("tion", "eau", "wh", "blor") for b in ("erst", "anly", "oux", "mek")]
+    texts = [" ".join(f(w) + end for w in plain) for f in (str, str.title, str.upper) for end in ("", ",", "***", "%%%", "!?")]
+    odd = ["it's IT'S, a1. <|endoftext|> <|ENDOFTEXT|> w<|startoftext|>", "ΟΔΟΣ ΟΔΟΣ. H̱. é, K.", "a'! b!'s _c_ 'd' x\x00. -y-", "", None]
+    ids, n = encoder.encode(pa.array(texts), 2)
+    assert calls["word"] <= len(plain) and calls["whole"] <= 5
+    more, m = encoder.encode(pa.array(odd), 2)
+    wanted = [[*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in [*texts, *odd]]
+    assert [*n, *m] == [len(w) for w in wanted] and [*ids, *more] == [x for w in wanted for x in w]
